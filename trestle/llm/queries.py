@@ -5,15 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trestle.llm._common import new_path
 from trestle.llm.decontaminate import find_contamination
 from trestle.llm.exact_dedup import exact_dedup
+from trestle.llm.mixing import mix_sources, taken_words
 from trestle.llm.simhash import simhash_groups
+from trestle.llm.token_files import read_token_files, write_token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mix_sources(_table(spark, sf_dir, "documents"), share=1.5, max_repeats=2, block_words=64)
+    return taken_words(mix).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = new_path(spark, "tokens")
+    write_token_files(_table(spark, sf_dir, "documents"), out, tokenizer_path(), end_id=2)
+    return read_token_files(spark, out).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -35,4 +55,4 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op7_exact_dedup, op9_simhash_dedup, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_mix_sources, op3_token_files, op7_exact_dedup, op9_simhash_dedup, op10_decontaminate)}
