@@ -1,5 +1,18 @@
 """DuckDB SQL for the training-data queries that SQL can express."""
 
+OP6 = r"""
+WITH p AS (
+    SELECT page_id, encode(coalesce(html, '')) AS b FROM pages
+), d AS (
+    SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha256(b) AS payload_digest FROM p
+), f AS (
+    SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first_id FROM d
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM f
+"""
+
 OP7 = r"""
 WITH d AS (
     SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
@@ -39,4 +52,4 @@ FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7, "op10_decontaminate": OP10}
+    return {"op6_warc": OP6, "op7_exact_dedup": OP7, "op10_decontaminate": OP10}

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trestle.llm._common import new_path
+from trestle.llm._common import crc32_mod4, new_path
 from trestle.llm.decontaminate import find_contamination
 from trestle.llm.exact_dedup import exact_dedup
 from trestle.llm.mixing import mix_sources, taken_words
+from trestle.llm.quality import is_good, quality_scores
 from trestle.llm.simhash import simhash_groups
 from trestle.llm.token_files import read_token_files, write_token_files
+from trestle.llm.warc import read_warc, write_warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +36,18 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, out).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scores.select("doc_id", (crc32_mod4(F.col("doc_id")) == 2).alias("held_out"), "score", is_good(F.col("score")).cast("int").alias("predicted"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = new_path(spark, "warc")
+    write_warc(_table(spark, sf_dir, "pages"), out)
+    digest = F.when(F.col("record_type") == "response", F.sha2("payload", 256)).otherwise(F.col("payload_digest"))
+    return read_warc(spark, out).select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -55,4 +69,4 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op3_token_files, op7_exact_dedup, op9_simhash_dedup, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_mix_sources, op3_token_files, op5_quality_classifier, op6_warc, op7_exact_dedup, op9_simhash_dedup, op10_decontaminate)}
