@@ -1,5 +1,23 @@
 """DuckDB SQL for the training-data queries that SQL can express."""
 
+OP4 = r"""
+WITH d AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), win AS (
+    SELECT doc_id, i, md5(array_to_string(w[i : i + 12], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)
+), rep AS (
+    SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) AS first_id FROM win) WHERE doc_id > first_id
+), gone AS (
+    SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM rep
+), kept AS (
+    SELECT x.doc_id, string_agg(x.word, ' ' ORDER BY x.j) AS t, count(*) AS n
+    FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d) x LEFT JOIN gone g ON x.doc_id = g.doc_id AND x.j = g.j
+    WHERE g.j IS NULL GROUP BY x.doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
 OP6 = r"""
 WITH p AS (
     SELECT page_id, encode(coalesce(html, '')) AS b FROM pages
@@ -52,4 +70,4 @@ FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": OP6, "op7_exact_dedup": OP7, "op10_decontaminate": OP10}
+    return {"op4_substring_dedup": OP4, "op6_warc": OP6, "op7_exact_dedup": OP7, "op10_decontaminate": OP10}

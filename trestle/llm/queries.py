@@ -11,6 +11,7 @@ from trestle.llm.exact_dedup import exact_dedup
 from trestle.llm.mixing import mix_sources, taken_words
 from trestle.llm.quality import is_good, quality_scores
 from trestle.llm.simhash import simhash_groups
+from trestle.llm.substring_dedup import remove_repeats
 from trestle.llm.token_files import read_token_files, write_token_files
 from trestle.llm.warc import read_warc, write_warc
 
@@ -36,6 +37,11 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, out).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeats(_table(spark, sf_dir, "documents"), window=13)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return scores.select("doc_id", (crc32_mod4(F.col("doc_id")) == 2).alias("held_out"), "score", is_good(F.col("score")).cast("int").alias("predicted"))
@@ -69,4 +75,4 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op3_token_files, op5_quality_classifier, op6_warc, op7_exact_dedup, op9_simhash_dedup, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_mix_sources, op3_token_files, op4_substring_dedup, op5_quality_classifier, op6_warc, op7_exact_dedup, op9_simhash_dedup, op10_decontaminate)}
