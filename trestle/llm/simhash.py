@@ -26,8 +26,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from trestle.llm._common import LOWER_TABLE, materialize
+from trestle.llm._common import LOWER_TABLE, materialize, partitions
 from trestle.llm.components import connected_components
 
 HOT_LIMIT = 64
@@ -80,16 +81,13 @@ def links(fps: DataFrame, max_distance: int = 2, hot_limit: int = HOT_LIMIT) ->
     Below hot variants a link may be given through a third fingerprint that is linked to both ends, so components are exact.
     """
     key = ["slot", "rest"]
-    variants = _variants(fps, max_distance)
-    shared = materialize(variants.groupBy(*key).agg(F.count("*").alias("n"), F.min("fp").alias("least"), F.max("fp").alias("most")).where("n > 1"), "variants")
     close = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= max_distance
-    pairs = shared.where("n = 2").where(close("least", "most")).select(F.col("least").alias("a"), F.col("most").alias("b"))
     hubs = max_distance <= 2
-    several = shared.where(F.col("n") > 2)
-    kept = materialize(variants.join(several.select(*key, "n"), key), "members")
+    counted = _variants(fps, max_distance).withColumn("n", F.count("*").over(Window.partitionBy(*key)))  # most variants are alone and go no further
+    kept = materialize(counted.where("n > 1"), "variants")
     cold = kept.where(F.col("n") <= hot_limit) if hubs else kept
     other = cold.select(*key, F.col("fp").alias("b"))
-    pairs = pairs.union(cold.select(*key, F.col("fp").alias("a")).join(other, key).where("a < b").where(close("a", "b")).select("a", "b"))
+    pairs = cold.select(*key, F.col("fp").alias("a")).join(other, key).where("a < b").where(close("a", "b")).select("a", "b")
     if hubs:
         hot = kept.where(F.col("n") > hot_limit).select("fp").distinct()
         if max_distance == 2:
@@ -107,7 +105,7 @@ def links(fps: DataFrame, max_distance: int = 2, hot_limit: int = HOT_LIMIT) ->
 def simhash_groups(docs: DataFrame, shingle_words: int = 3, max_distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_key, fingerprint (16 hex digits) and component_id, the smallest doc_id reachable over links; one row per input row."""
     rows = materialize(fingerprints(docs, shingle_words, id_col, text_col), "fingerprints")
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+    nodes = rows.repartition(partitions(docs.sparkSession), "fp").groupBy("fp").agg(F.min("doc_id").alias("least_id"))
     roots = connected_components(links(nodes.select("fp"), max_distance))
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     named = rooted.select("root", "least_id").groupBy("root").agg(F.min("least_id").alias("component_id"))
@@ -120,8 +118,6 @@ def simhash_dedup(docs: DataFrame, shingle_words: int = 5, max_distance: int = 2
 
     Rows without an id are left alone; of repeated rows of one id and text, one stays.
     """
-    from pyspark.sql.window import Window
-
     groups = simhash_groups(docs, shingle_words, max_distance, id_col, text_col)
     dropped = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__simhash_id"), F.col("text_key").alias("__simhash_key")).distinct()
     keyed = docs.withColumns({"__simhash_id": F.col(id_col), "__simhash_key": F.xxhash64(text_col)})
