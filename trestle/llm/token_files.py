@@ -21,6 +21,7 @@ import json
 import os
 import re
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +37,8 @@ MAGIC, NULL_ID = b"TRTOKIX1", -(1 << 63)
 #: A single space between two characters that are no white space: the byte-level pattern always starts a new piece there.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _RUN = re.compile(r"\s\s")
-#: Pieces that a worker remembers before it starts afresh.
-CACHE_PIECES = 400_000
+#: Pieces that a worker remembers; once it has so many, the ones it meets later, which are rare, are forgotten after each batch.
+CACHE_PIECES = 800_000
 
 
 class Encoder:
@@ -54,7 +55,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         top = self.tokenizer.get_vocab_size()
-        self.dtype = np.dtype("<u2" if top <= 1 << 16 else "<u4")
+        self.dtype, self.code = (np.dtype("<u2"), "H") if top <= 1 << 16 else (np.dtype("<u4"), "I")
         conf = json.loads(spec)
         pre = conf.get("pre_tokenizer") or {}
         self.by_piece = (
@@ -62,25 +63,50 @@ class Encoder:
             and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
             and not any(re.search(r"\s", t["content"]) or t.get("lstrip") or t.get("rstrip") for t in conf.get("added_tokens") or [] if not t.get("special"))
         )
+        self.id_bytes = np.zeros(top, np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.id_bytes[i] = len(token)
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _pieces(self, pieces: list[str], lead: str) -> Iterator[tuple[str, bytes]]:
+        """The ids of pieces that follow lead. Plain ones are encoded some thousand at a time in one text and told apart by the bytes that each id stands for."""
+        plain = [p for p in pieces if p and not p[0].isspace() and not p[-1].isspace()] if lead else []
+        apart = set(pieces).difference(plain) if lead else pieces
+        groups = [plain[i : i + 2000] for i in range(0, len(plain), 2000)]
+        coded = self.tokenizer.encode_batch_fast([lead + lead.join(g) for g in groups], add_special_tokens=False) if groups else []
+        for group, encoding in zip(groups, coded, strict=True):
+            ids = np.array(encoding.ids, self.dtype)
+            ends = np.cumsum(self.id_bytes[ids])
+            stops = np.cumsum([len(p.encode()) + 1 for p in group])
+            cuts = np.searchsorted(ends, stops)
+            if not (ends[cuts] == stops).all():
+                raise ValueError("a token spans two words: this is no byte-level pattern tokenizer")
+            flat, cuts = ids.tobytes(), ((cuts + 1) * self.dtype.itemsize).tolist()
+            yield from zip(group, [flat[i:j] for i, j in zip([0, *cuts], cuts, strict=False)], strict=True)
+        apart = list(apart)
+        yield from zip(apart, self._bytes([lead + p for p in apart]), strict=True)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes of the file's integer type."""
         if not self.by_piece:
             return self._bytes(texts)
-        if len(self.first) + len(self.later) > CACHE_PIECES:
-            self.first.clear()
-            self.later.clear()
         cut = [_CUT.split(t) if _RUN.search(t) else t.split(" ") for t in texts]
-        for cache, lead, new in ((self.first, "", {c[0] for c in cut}), (self.later, " ", {p for c in cut for p in c[1:]})):
-            missing = [p for p in new if p not in cache]
-            cache.update(zip(missing, self._bytes([lead + p for p in missing]), strict=True))
+        passing: list[tuple[dict[str, bytes], list[str]]] = []
+        for cache, lead, new in ((self.first, "", {c[0] for c in cut}), (self.later, " ", set().union(*cut))):
+            missing = list(new.difference(cache))
+            if len(cache) > CACHE_PIECES:
+                passing.append((cache, missing))
+            cache.update(self._pieces(missing, lead))
         later = self.later.__getitem__
-        return [self.first[c[0]] + b"".join(map(later, c[1:])) for c in cut]
+        out = [self.first[c[0]] + b"".join(map(later, c[1:])) for c in cut]
+        for cache, missing in passing:
+            for p in missing:
+                del cache[p]
+        return out
 
 
 _encoders: dict[int, Encoder] = {}
