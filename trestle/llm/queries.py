@@ -9,6 +9,7 @@ from trestle.llm._common import crc32_mod4, new_path
 from trestle.llm.chat_format import format_windows, read_back
 from trestle.llm.decontaminate import find_contamination
 from trestle.llm.exact_dedup import exact_dedup
+from trestle.llm.line_dedup import line_dedup
 from trestle.llm.mixing import mix_sources, taken_words
 from trestle.llm.quality import is_good, quality_scores
 from trestle.llm.simhash import simhash_groups
@@ -70,6 +71,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup(_table(spark, sf_dir, "documents"), threshold=0.8)
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"), shingle_words=3, max_distance=2).select("doc_id", "fingerprint", "component_id")
 
@@ -87,4 +93,4 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op2_chat_format, op3_token_files, op4_substring_dedup, op5_quality_classifier, op6_warc, op7_exact_dedup, op9_simhash_dedup, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_chat_format, op3_token_files, op4_substring_dedup, op5_quality_classifier, op6_warc, op7_exact_dedup, op8_line_dedup, op9_simhash_dedup, op10_decontaminate)}
