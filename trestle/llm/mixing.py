@@ -199,3 +199,42 @@ def taken_words(mix: Mix) -> DataFrame:
     taken = F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(F.lit(0)).cast("bigint")
     joined = rows.join(used.withColumnRenamed("doc_start", "start"), ["source_no", "start"], "left")
     return joined.select("doc_id", "text_key", "source", "size", "source_size", "target", taken.alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+    """The mix by document: a row for each time that words of a document are taken, with those words' stretches of the text and the document's columns.
+
+    A document whose blocks are all taken comes back unchanged. Row n of a document holds the blocks drawn n times or more;
+    stretches that do not touch are joined by a line end. The length column, if there is one, is counted anew.
+    """
+    import re
+
+    import pyarrow as pa
+
+    each = mix.blocks().select(F.inline("pieces"))
+    times = each.groupBy("doc_id", "text_key", "doc_start", "first", "n").agg(F.count("*").alias("times"))
+    turns = times.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    taken = turns.groupBy("doc_id", "text_key", "doc_start", "turn").agg(F.sort_array(F.collect_list(F.struct(F.col("first").cast("int").alias("first"), F.col("n").cast("int").alias("n")))).alias("mix_spans"))
+    named = taken.select(F.col("doc_id").alias("mix_id"), F.col("text_key").alias("mix_key"), "mix_spans")
+    joined = docs.join(named, docs[id_col].eqNullSafe(named.mix_id) & (F.xxhash64(docs[text_col]) == named.mix_key)).select(*(docs[c] for c in docs.columns), "mix_spans")
+    word, names = re.compile(WORD), docs.columns
+
+    def cut(batches):
+        for b in batches:
+            out = []
+            for text, spans in zip(b.column(text_col).to_pylist(), b.column("mix_spans").to_pylist(), strict=True):
+                runs: list[list[int]] = []
+                for s in spans:
+                    if runs and runs[-1][1] == s["first"]:
+                        runs[-1][1] += s["n"]
+                    else:
+                        runs.append([s["first"], s["first"] + s["n"]])
+                where = [m.span() for m in word.finditer(text)]
+                whole = len(runs) == 1 and runs[0] == [0, len(where)]
+                out.append(text if whole else "\n".join(text[where[i][0] : where[j - 1][1]] for i, j in runs))
+            columns = {c: b.column(c) for c in names} | {text_col: pa.array(out, pa.string())}
+            if length_col in columns:
+                columns[length_col] = pa.array([len(x) for x in out], pa.int64()).cast(b.column(length_col).type)
+            yield pa.record_batch(list(columns.values()), names=list(columns))
+
+    return joined.mapInArrow(cut, docs.schema)
