@@ -142,11 +142,9 @@ def phrases_found(text: Column, phrases: Sequence[str], normalize: Callable[[Col
 
 
 def starts_with_any(text: Column, phrases: Sequence[str]) -> Column:
-    """The first phrase whose normalised form (so without spaces at its end) starts the text, else null."""
-    out = F.lit(None).cast("string")
-    for p in reversed(phrases):
-        out = F.when(F.startswith(text, normalize_table(F.lit(p))), F.lit(p)).otherwise(out)
-    return out
+    """The first phrase whose normalised form (so without spaces at its end) starts the text, else null. text should be a plain column: it is looked at for each phrase."""
+    forms = F.array(*[F.struct(F.lit(p).alias("phrase"), normalize_table(F.lit(p)).alias("form")) for p in phrases])
+    return F.get(F.filter(forms, lambda p: F.startswith(text, p["form"])), F.lit(0))["phrase"]
 
 
 def clean_work_name(c: Column | str) -> Column:

@@ -77,15 +77,18 @@ def find_headers(cells: DataFrame, kinds: DataFrame) -> DataFrame:
     return best.select(*SHEET, F.col("h.row_idx").alias("header_row"), score.alias("header_score"), sure.alias("header_confidence"), *[f"h.{r}_col" for r in L.HEADER_ALIASES])
 
 
-def row_type(name: Column, looks_like_work: Column) -> tuple[Column, Column]:
-    """Type of a row and the phrase that tells it, from the work name."""
-    text = T.normalize_table(T.clean_work_name(name))
-    mark = {k: T.starts_with_any(text, v) for k, v in L.ROW_PREFIXES.items()}
+def with_row_type(rows: DataFrame, name: str, looks_like_work: Column | None = None, out: str = "row_type") -> DataFrame:
+    """Adds the type of a row and out + "_mark", the phrase that tells it, from its work name."""
+    known = looks_like_work if looks_like_work is not None else F.lit(False)
+    text = rows.withColumn("text_", T.normalize_table(T.clean_work_name(name)))
+    mark = {k: F.col(f"{k}_mark_") for k in L.ROW_PREFIXES}
+    marked = text.withColumns({f"{k}_mark_": T.starts_with_any(F.col("text_"), v) for k, v in L.ROW_PREFIXES.items()})
     kind = (
-        F.when(text == "", "uncertain").when(mark["summary"].isNotNull(), "summary").when(mark["section"].isNotNull(), "section").when(mark["strong_machinery"].isNotNull(), "machinery")
-        .when(mark["work"].isNotNull() | looks_like_work, "work").when(mark["material"].isNotNull(), "material").when(mark["machinery"].isNotNull(), "machinery").otherwise("uncertain")
+        F.when(F.col("text_") == "", "uncertain").when(mark["summary"].isNotNull(), "summary").when(mark["section"].isNotNull(), "section").when(mark["strong_machinery"].isNotNull(), "machinery")
+        .when(mark["work"].isNotNull() | known, "work").when(mark["material"].isNotNull(), "material").when(mark["machinery"].isNotNull(), "machinery").otherwise("uncertain")
     )
-    return kind, F.coalesce(mark["summary"], mark["section"], mark["strong_machinery"], mark["work"], F.when(~looks_like_work, F.coalesce(mark["material"], mark["machinery"])))
+    told = F.coalesce(mark["summary"], mark["section"], mark["strong_machinery"], mark["work"], F.when(~known, F.coalesce(mark["material"], mark["machinery"])))
+    return marked.withColumns({out: kind, f"{out}_mark": told}).drop("text_", *[f"{k}_mark_" for k in L.ROW_PREFIXES])
 
 
 def schedule_review(start: Column, finish: Column) -> Column:
@@ -112,14 +115,13 @@ def analyze_sheets(cells: DataFrame, looks_like_work=None) -> DataFrame:
     rows = rows.withColumns({"work_name": T.clean_work_name("work_raw"), "unit": table_unit("unit_raw"), "quantity": parse_number("quantity_raw"), "start": parse_date("start_date_raw"), "finish": parse_date("finish_date_raw")})
     rows = rows.where("length(work_name) >= 3 and unit <> '' and quantity > 0")
     known = looks_like_work(F.col("work_name")) if looks_like_work else F.lit(False)
-    kind, _ = row_type(F.col("work_name"), known)
     is_schedule, both, neither = F.col("kind") == "schedule-table", F.col("start").isNotNull() & F.col("finish").isNotNull(), F.col("start").isNull() & F.col("finish").isNull()
-    out = rows.withColumn("base_", kind)
+    out = with_row_type(rows, "work_name", known, "base_")
     final = F.when(is_schedule & both & (F.col("base_") == "uncertain"), "work").when(is_schedule & neither & F.contains("work_name", F.lit(":")), "section").otherwise(F.col("base_"))
     reasons = F.when(is_schedule, schedule_review(F.col("start"), F.col("finish"))).otherwise(F.array().cast("array<string>"))
     out = out.withColumns({"row_type": final, "duration_days": duration_days(F.col("start"), F.col("finish")), "review": reasons, "automatic": F.col("automatic") & (final == "work") & (F.col("base_") == "work")})
     w = Window.partitionBy(*SHEET).orderBy("row_idx")
-    return out.withColumn("n_", F.row_number().over(w)).where(F.col("n_") <= MAX_CANDIDATES).drop("n_", "base_", *[f"{r}_raw" for r in L.HEADER_ALIASES])
+    return out.withColumn("n_", F.row_number().over(w)).where(F.col("n_") <= MAX_CANDIDATES).drop("n_", "base_", "base__mark", *[f"{r}_raw" for r in L.HEADER_ALIASES])
 
 
 def row_type_counts(rows: DataFrame, by: list[str]) -> DataFrame:

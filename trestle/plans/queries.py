@@ -470,8 +470,7 @@ def header_detect(spark, sf):
 @query
 def row_type_counts(spark, sf):
     rows = D.schedule_cells(spark, sf).where("col_idx = 0 and row_idx > 0")
-    kind, _ = tables.row_type(F.col("value"), F.lit(False))
-    return tables.row_type_counts(rows.withColumn("row_type", kind), ["doc"])
+    return tables.row_type_counts(tables.with_row_type(rows, "value"), ["doc"])
 
 
 @query
@@ -483,8 +482,7 @@ def sheet_rows(spark, sf):
 @query
 def uncertain_groups(spark, sf):
     rows = D.schedule_cells(spark, sf).where("col_idx = 0 and row_idx > 0")
-    kind, _ = tables.row_type(F.col("value"), F.lit(False))
-    found = tables.uncertain_groups(rows.withColumn("row_type", kind), "doc", "value", ["row_idx"])
+    found = tables.uncertain_groups(tables.with_row_type(rows, "value"), "doc", "value", ["row_idx"])
     return found.select("doc", "n", F.array_join("examples", "; ").alias("examples"))
 
 
