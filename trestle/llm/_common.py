@@ -48,6 +48,13 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Let Arrow batches that hold texts end by bytes, so long documents do not add up in a worker. A size that the session has set stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "64MB", "67108864"):
+        spark.conf.set(key, size)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trestle.llm._common import crc32_mod4, new_path
+from trestle.llm._common import bounded_batches, crc32_mod4, new_path
 from trestle.llm.chat_format import format_windows, read_back
 from trestle.llm.decontaminate import find_contamination
 from trestle.llm.exact_dedup import exact_dedup
@@ -19,6 +19,7 @@ from trestle.llm.warc import read_warc, write_warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
