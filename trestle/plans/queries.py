@@ -12,10 +12,14 @@ from trestle.plans import driver_tables as D
 from trestle.sources.tables import read_table
 from trestle.streaming.runs import debounced_runs
 
-AS_OF = F.lit(D.AS_OF).cast("date")
 _all: dict = {}
 
 
+def _as_of():
+    return F.lit(D.AS_OF).cast("date")
+
+
+
 def query(f):
     _all[f.__name__] = f
     return f
@@ -26,7 +30,7 @@ def _state(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
-    return control.with_categories(_state(spark, sf), AS_OF)
+    return control.with_categories(_state(spark, sf), _as_of())
 
 
 # --- materials and control ---------------------------------------------------------------------------------------
@@ -37,7 +41,7 @@ def material_state(spark, sf):
 
 @query
 def material_risk(spark, sf):
-    return control.with_risk(_state(spark, sf), AS_OF).select("part_key", "slot", "order_deadline", "risk")
+    return control.with_risk(_state(spark, sf), _as_of()).select("part_key", "slot", "order_deadline", "risk")
 
 
 @query
