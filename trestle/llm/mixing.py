@@ -66,7 +66,7 @@ def draw_shards(quotas: np.ndarray, shard_blocks: int, seed: int) -> np.ndarray:
             counts += np.minimum(rng.multinomial(short, room / room.sum()), room)
         out.append(counts)
         left -= counts
-    return np.array(out, np.int64).reshape(-1, len(quotas))
+    return np.array(out, np.int64).reshape(len(out), len(quotas))
 
 
 def _scramble(x: np.ndarray, key: int) -> np.ndarray:

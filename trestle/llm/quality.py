@@ -151,7 +151,7 @@ def fit_quality(stats: DataFrame, labels: DataFrame, fit_folds=(0, 1), calibrati
     rng = np.random.default_rng(seed)
     mean, scale = (np.array([moments[f"{f}{i}"] or 0.0 for i in range(k)]) for f in ("avg", "stddev_pop"))
     model = QualityModel(mean, np.where(scale > 1e-9, scale, 1.0), rng.normal(0, math.sqrt(2 * gamma), (k, n_features)), rng.uniform(0, 2 * math.pi, n_features), np.zeros(n_features + k + 1), np.array([0.0]), np.array([share]))
-    if not 0 < share < 1:
+    if moments["share"] is None or not 0 < share < 1:
         return model
     a, b = normal_equations(fit, model)
     penalty = np.full(len(b), ridge)

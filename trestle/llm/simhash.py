@@ -64,13 +64,18 @@ def fingerprints(docs: DataFrame, shingle_words: int = 3, id_col: str = "doc_id"
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_key bigint, fp bigint")
 
 
+def _signed(x: int) -> int:
+    """A 64-bit pattern as Spark's signed bigint."""
+    return x - (1 << 64) if x >> 63 else x
+
+
 def _variants(fps: DataFrame, max_distance: int) -> DataFrame:
     """key (segment, wiped bit and what is left of the segment) and fp; as many rows for each fingerprint as it has bits."""
     parts = max_distance // 2 + 1
     width = 64 // parts
     cuts = [(p * width, width if p < parts - 1 else 64 - p * width) for p in range(parts)]
     bits = [(shift, bit, ((1 << w) - 1) & ~(1 << bit)) for shift, w in cuts for bit in range(w)]
-    left = lambda shift, mask: F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit(mask))
+    left = lambda shift, mask: F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit(_signed(mask)))
     keys = [F.struct(F.lit(shift * 64 + bit).cast("smallint").alias("slot"), left(shift, mask).alias("rest")) for shift, bit, mask in bits]
     return fps.select("fp", F.inline(F.array(*keys)))
 
@@ -91,11 +96,11 @@ def links(fps: DataFrame, max_distance: int = 2, hot_limit: int = HOT_LIMIT) ->
     if hubs:
         hot = kept.where(F.col("n") > hot_limit).select("fp").distinct()
         if max_distance == 2:
-            points = [F.col("fp")] + [F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64)]
+            points = [F.col("fp")] + [F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)]
             near = hot.select("fp", F.explode(F.array(*points)).alias("point"))
             tied = near.groupBy("point").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n").join(near, "point").select(F.col("fp").alias("a"), "b")
         else:  # at one bit, or none, a variant of the whole fingerprint ties its two
-            wiped = [F.struct(F.lit(i).alias("bit"), F.col("fp").bitwiseAND(F.lit(~(1 << i) if i < 63 else (1 << 63) - 1)).alias("point")) for i in range(64)]
+            wiped = [F.struct(F.lit(i).alias("bit"), F.col("fp").bitwiseAND(F.lit(_signed((1 << 64) - 1 - (1 << i)))).alias("point")) for i in range(64)]
             near = hot.select("fp", F.inline(F.array(*wiped)))
             tied = near.groupBy("bit", "point").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where(close("a", "b")).select("a", "b")
         pairs = pairs.union(tied)
