@@ -113,6 +113,21 @@ def test_simhash_groups_and_dedup(docs):
     assert kept.where("doc_id is null").count() == 1
 
 
+def test_near_copies_are_verified(spark):
+    base = words(200, 300)
+    edited = lambda n, seed: " ".join("zz" + str(seed) if i % (200 // n) == 1 else w for i, w in enumerate(base.split()))
+    rows = [(1, base, "s"), (2, edited(2, 1), "s"), (3, edited(50, 2), "s"), (4, base.upper(), "s"), (5, words(200, 301), "s")]
+    got = {r["doc_id"]: r["component_id"] for r in S.near_copy_groups(table(spark, rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5}  # two edits leave 0.9 of the shingles, fifty hardly any
+
+
+def test_many_near_copies_are_one_group(spark):
+    base = words(300, 400).split()
+    rows = [(i, " ".join(base[:k] + [f"new{i}"] + base[k + 1 :]), "s") for i, k in enumerate(range(0, 300, 2))]
+    got = {r["component_id"] for r in S.near_copy_groups(table(spark, rows)).collect()}
+    assert got == {0}
+
+
 def test_simhash_of_nothing(no_docs):
     assert S.simhash_groups(no_docs).count() == 0
     assert S.simhash_dedup(no_docs).count() == 0

@@ -10,6 +10,8 @@ are linked through hubs instead: at up to 2 bits, two fingerprints link exactly
 each, so each names its 65 points and every point ties its at most 65 fingerprints to the least of them. No cap and no
 loss. For other distances all variants are paired.
 
+near_copy_groups() uses the same signatures on a longer fingerprint, for links by the similarity of the texts themselves.
+
 Copies share a fingerprint and are one node, so no group of copies is ever expanded.
 
 Defined cases: null and wordless texts have fingerprint zero, linked like any other; a null id never names a component
@@ -28,28 +30,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trestle.llm._common import LOWER_TABLE, materialize, partitions
+from trestle.llm._common import LOWER_TABLE, ascii_lower, materialize, partitions
 from trestle.llm.components import connected_components
 
 HOT_LIMIT = 64
 
 
-def fingerprint(text: bytes, shingle_words: int) -> int:
-    """The fingerprint of one UTF-8 text, as a signed 64-bit integer."""
+def shingle_hashes(text: bytes, shingle_words: int) -> np.ndarray:
+    """XXH64 (seed 42) of every word shingle of a UTF-8 text with A-Z lower-cased, repeats included; none for a text without words."""
     words = text.translate(LOWER_TABLE).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, n = b" ".join(words), len(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     last = max(n - shingle_words + 1, 1)
     stops = ends[min(shingle_words, n) - 1 :][:last]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[i:j], 42) for i, j in zip(starts[:last].tolist(), stops.tolist(), strict=True)], np.uint64)
+    return np.array([digest(joined[i:j], 42) for i, j in zip(starts[:last].tolist(), stops.tolist(), strict=True)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half the hashes; as a signed 64-bit integer."""
     ones = np.zeros(64, np.int64)
-    for i in range(0, last, 1 << 16):
+    for i in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > last, bitorder="little").view(np.int64)[0])
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.int64)[0])
+
+
+def lanes_of(text: bytes, shingle_words: int, lanes: int) -> list[int]:
+    """A fingerprint of ``lanes`` times 64 bits: the first lane is fingerprint(), further ones are majorities over hashes mixed anew."""
+    hashes, out = shingle_hashes(text, shingle_words), []
+    for lane in range(lanes):
+        x = hashes
+        if lane:
+            with np.errstate(over="ignore"):
+                x = hashes + np.uint64(0x9E3779B97F4A7C15 * lane % (1 << 64))
+                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                x ^= x >> np.uint64(31)
+        out.append(majority(x) if len(x) else 0)
+    return out
+
+
+def fingerprint(text: bytes, shingle_words: int) -> int:
+    """The 64-bit fingerprint of one UTF-8 text, as a signed integer."""
+    return lanes_of(text, shingle_words, 1)[0]
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -69,15 +95,15 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _variants(fps: DataFrame, max_distance: int) -> DataFrame:
-    """key (segment, wiped bit and what is left of the segment) and fp; as many rows for each fingerprint as it has bits."""
+def _variants(fps: DataFrame, max_distance: int, kept: tuple[str, ...] = ("fp",)) -> DataFrame:
+    """key (segment, wiped bit and what is left of the segment) and the kept columns; as many rows for each fingerprint (fp) as it has bits."""
     parts = max_distance // 2 + 1
     width = 64 // parts
     cuts = [(p * width, width if p < parts - 1 else 64 - p * width) for p in range(parts)]
     bits = [(shift, bit, ((1 << w) - 1) & ~(1 << bit)) for shift, w in cuts for bit in range(w)]
     left = lambda shift, mask: F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit(_signed(mask)))
     keys = [F.struct(F.lit(shift * 64 + bit).cast("smallint").alias("slot"), left(shift, mask).alias("rest")) for shift, bit, mask in bits]
-    return fps.select("fp", F.inline(F.array(*keys)))
+    return fps.select(*kept, F.inline(F.array(*keys)))
 
 
 def links(fps: DataFrame, max_distance: int = 2, hot_limit: int = HOT_LIMIT) -> DataFrame:
@@ -118,12 +144,75 @@ def simhash_groups(docs: DataFrame, shingle_words: int = 3, max_distance: int =
     return rows.join(classes, "fp").select("doc_id", "text_key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def simhash_dedup(docs: DataFrame, shingle_words: int = 5, max_distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without near copies, columns unchanged: of each component the row with the smallest id stays.
+def _lanes(docs: DataFrame, id_col: str, text_col: str, feature_words: int, lanes: int) -> DataFrame:
+    """doc_id, text_key, node (a hash of the text with A-Z lower-cased: copies are one node) and lanes."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.xxhash64(ascii_lower(text), F.length(text)).alias("node"), text.alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [lanes_of(x, feature_words, lanes) for x in b.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.record_batch([b.column("doc_id"), b.column("text_key"), b.column("node"), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "text_key", "node", "lanes"])
+
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_key bigint, node bigint, lanes array<bigint>")
+
+
+def lane_candidates(nodes: DataFrame) -> DataFrame:
+    """Pairs a < b of nodes (node, lanes) that share a one-bit-wiped segment of a lane: under each variant, every node with the least one and with the one before it.
+
+    Two pairs for each node and variant, however many nodes share it.
+    """
+    lane = nodes.select("node", F.posexplode("lanes").alias("lane", "fp"))
+    variants = _variants(lane, 2, ("node", "lane"))
+    key = Window.partitionBy("lane", "slot", "rest").orderBy("node")
+    met = variants.select("node", F.min("node").over(key).alias("least"), F.lag("node").over(key).alias("last"))
+    return met.select(F.explode(F.array("least", "last")).alias("a"), F.col("node").alias("b")).where("a < b").distinct()
+
+
+def _shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle_words: int) -> DataFrame:
+    """node and shingles (distinct 64-bit hashes) of the documents named in wanted (node, doc_id, text_key)."""
+    named = wanted.select("node", F.col("doc_id").alias("d"), F.col("text_key").alias("k"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.join(named, rows.doc_id.eqNullSafe(named.d) & (rows.text_key == named.k)).select("node", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(x, shingle_words)).view(np.int64) for x in b.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.record_batch([b.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    return rows.mapInArrow(run, "node bigint, shingles array<bigint>").dropDuplicates(["node"])
+
+
+def near_copy_groups(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, feature_words: int = 2, lanes: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_key and component_id, the smallest id of the near copies' group; one row per input row.
+
+    A longer fingerprint of ``lanes`` times 64 bits over shingles of ``feature_words`` words stands in for max_distance: two
+    texts are candidates if one of its 32-bit segments differs by at most one bit, found through the same deletion variants.
+    Candidates are verified: they are linked if the Jaccard similarity of their sets of ``shingle_words``-word shingles is
+    ``similarity`` or more. Copies (A-Z lower-cased) are always one group.
+    """
+    rows = materialize(_lanes(docs, id_col, text_col, feature_words, lanes), "lanes")
+    nodes = rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_key", "lanes")).alias("first"), F.min("doc_id").alias("least_id"))
+    nodes = materialize(nodes.select("node", "least_id", "first.doc_id", "first.text_key", "first.lanes"), "nodes")
+    found = materialize(lane_candidates(nodes.select("node", "lanes").repartition(partitions(docs.sparkSession), "node")), "candidates")
+    ends = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
+    sets = materialize(_shingle_sets(docs, nodes.join(ends, "node"), id_col, text_col, shingle_words), "shingles")
+    side = lambda n: sets.select(F.col("node").alias(n), F.col("shingles").alias(f"{n}_set"))
+    shared = F.size(F.array_intersect("a_set", "b_set"))
+    linked = found.join(side("a"), "a").join(side("b"), "b").where(shared >= similarity * (F.size("a_set") + F.size("b_set") - shared)).select("a", "b")
+    roots = connected_components(linked)
+    rooted = nodes.select("node", "least_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    classes = materialize(rooted.select("node", "root").join(named, "root").select("node", "component_id"), "classes")
+    return rows.select("doc_id", "text_key", "node").join(classes, "node").select("doc_id", "text_key", "component_id")
+
+
+def simhash_dedup(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The documents without near copies, columns unchanged: of each group of near_copy_groups() the row with the smallest id stays.
 
     Rows without an id are left alone; of repeated rows of one id and text, one stays.
     """
-    groups = simhash_groups(docs, shingle_words, max_distance, id_col, text_col)
+    groups = near_copy_groups(docs, shingle_words, similarity, id_col=id_col, text_col=text_col, **settings)
     dropped = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__simhash_id"), F.col("text_key").alias("__simhash_key")).distinct()
     keyed = docs.withColumns({"__simhash_id": F.col(id_col), "__simhash_key": F.xxhash64(text_col)})
     left = keyed.join(dropped, ["__simhash_id", "__simhash_key"], "left_anti")
