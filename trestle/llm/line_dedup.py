@@ -5,13 +5,15 @@ order of document id and line number, has a Jaccard similarity of ``threshold``
 
 1. Word counts of all lines go into a count-min row of ``2**count_bits`` counters, summed over tasks. Ordering words by
    estimated count, then by hash, is one total order for all lines, rarest first, whatever the estimates' errors.
-2. Lines of one word set are one set, kept with its first line; copies go no further.
-3. Each set is indexed under the words of its prefix: two sets of the wanted similarity share one. Pairs that meet under a
-   word are held to the length filter, the positional filter and a parity-bitmap bound on the symmetric difference, all
-   of which only turn away pairs that cannot be similar.
-4. The remaining pairs are verified on their words' 64-bit hashes, fetched for the lines that need it.
+2. Lines of one word set are one set, kept with its first line; copies go no further. Sets are numbered in the order of
+   their first lines.
+3. Each set is indexed under the words of its prefix: two sets of the wanted similarity share one. Words that occur once
+   are left out. Pairs that meet under a word are held to the length filter, the positional filter and a parity-bitmap
+   bound on the symmetric difference, all of which only turn away pairs that cannot be similar.
+4. The words of the sets that are left in a pair are fetched. Each set is verified against its earliest candidate first,
+   and against all its others only if that one is not similar.
 
-Copies of a set are never paired with each other.
+Words are 64-bit hashes, told from each other in all steps by all 64 bits; 32 of them index a prefix.
 
 Defined cases: null texts have no lines; lines without words are always kept; a null id is below all others; rows of one
 id are told apart by their text, and lines of identical rows count as the same line; an empty table gives an empty result;
@@ -20,38 +22,102 @@ other columns are not read.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trestle.llm._common import materialize
-
-CACHE_WORDS = 500_000
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_cache = _Hashes()
-
-
-def _line_sets(text: bytes) -> Iterator[tuple[int, np.ndarray]]:
-    """Number and sorted distinct word hashes of every line that has words."""
-    if len(_cache) > CACHE_WORDS:
-        _cache.clear()
-    get = _cache.__getitem__
-    for i, line in enumerate(text.split(b"\n")):
-        if words := set(line.split()):
-            yield i, np.sort(np.fromiter(map(get, words), np.uint64, len(words)))
+from trestle.llm._common import materialize, partitions
+
+#: Bytes of text that are worked on at once, unless a single text is longer.
+CHUNK = 1 << 20
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_P = 0x9E3779B97F4A7C15
+_powers: dict[str, np.ndarray] = {}
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1), mod 2 ** 64."""
+    key = str(base)
+    if key not in _powers or len(_powers[key]) < n:
+        x = np.full(max(n, CHUNK), base, np.uint64)
+        x[0] = 1
+        _powers[key] = np.cumprod(x)
+    return _powers[key][:n]
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Words:
+    """The words of some texts laid end to end: their hash, and the text and line that each stands in."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        n, filled = len(data), offsets[:-1][np.diff(offsets) > 0]
+        blank, first = _BLANK[data], np.zeros(n + 1, bool)
+        first[filled] = True
+        first[n] = True
+        inside = ~blank
+        starts, ends = inside.copy(), inside.copy()
+        if n:
+            starts[1:] &= blank[:-1] | first[1:n]
+            ends[:-1] &= blank[1:] | first[1:n]
+        starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+        # the sum of (byte + 1) * P ** place over a word, brought back to place 0: equal words have equal sums wherever they stand
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_P, n), out=sums[1:])
+        self.hash = _mix((sums[ends] - sums[starts]) * _power(pow(_P, -1, 1 << 64), n)[starts])
+        lines = np.concatenate(([0], np.cumsum(data == 10)))
+        self.text = np.searchsorted(offsets, starts, "right") - 1
+        self.line_no = lines[starts] - lines[offsets[self.text]]
+        self.line = lines[starts] + self.text  # rises over all texts
+
+
+def _chunks(column: pa.Array) -> Iterator[tuple[int, Words]]:
+    """Words of a binary column, some texts at a time, with the row of the first."""
+    column = column.fill_null(b"") if column.null_count else column
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    i = 0
+    while i < len(column):
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, "right")) - 1)
+        yield i, Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        i = j
+
+
+class LineSets:
+    """The distinct words of every line that has words, by line, and within a line by rising count and hash."""
+
+    def __init__(self, words: Words, counts: np.ndarray | None):
+        new = np.ones(len(words.line), bool)
+        new[1:] = words.line[1:] != words.line[:-1]
+        line, n = np.cumsum(new) - 1, int(new.sum())
+        self.text, self.line_no = words.text[new], words.line_no[new]
+        h = words.hash
+        rank = np.zeros(len(h), np.int64) if counts is None else np.minimum(counts[(h & np.uint64(len(counts) - 1)).astype(np.int64)], (1 << 20) - 1).astype(np.int64)
+        order = None
+        if n <= 1 << 20:
+            packed = (line.astype(np.uint64) << np.uint64(44)) | (rank.astype(np.uint64) << np.uint64(24)) | (h >> np.uint64(40))
+            order = np.argsort(packed)
+            p, g = packed[order], h[order]
+            if ((p[1:] == p[:-1]) & (g[1:] != g[:-1])).any():  # two words with equal leading bits: all bits have to decide
+                order = None
+        if order is None:
+            order = np.lexsort((h, rank, line))
+        h, line, rank = h[order], line[order], rank[order]
+        kept = np.ones(len(h), bool)
+        kept[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
+        self.hash, self.line, self.rank = h[kept], line[kept], rank[kept]
+        self.size = np.bincount(self.line, minlength=n) if n else np.zeros(0, np.int64)
+        self.start = np.concatenate(([0], np.cumsum(self.size)))[:-1] if n else np.zeros(0, np.int64)
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -59,16 +125,15 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def word_counts(rows: DataFrame, count_bits: int) -> np.ndarray:
-    """Counters of words over the lines of all documents: the place of a word is the low bits of its hash."""
+    """Counters of words over all texts: the place of a word is the low bits of its hash."""
     blocks, size = 64, (1 << count_bits) // 64
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << count_bits, np.int64)
-        mask = np.uint64((1 << count_bits) - 1)
+        total, mask = np.zeros(1 << count_bits, np.int32), np.uint64((1 << count_bits) - 1)
         for b in batches:
-            found = [h for text in b.column("text").to_pylist() if text for _, h in _line_sets(text)]
-            if found:
-                total += np.bincount((np.concatenate(found) & mask).astype(np.int64), minlength=len(total))
+            for _, words in _chunks(b.column("text")):
+                place, times = np.unique((words.hash & mask).astype(np.uint32), return_counts=True)
+                total[place] += times.astype(np.int32)
         pack = zstandard.ZstdCompressor(level=1).compress
         yield pa.record_batch([pa.array(range(blocks), pa.int32()), pa.array([pack(x.tobytes()) for x in total.reshape(blocks, size)], pa.binary())], names=["block", "data"])
 
@@ -76,8 +141,8 @@ def word_counts(rows: DataFrame, count_bits: int) -> np.ndarray:
         unpack = zstandard.ZstdDecompressor().decompress
         total = np.zeros(size, np.int64)
         for x in table.column("data").to_pylist():
-            total += np.frombuffer(unpack(x), np.int64)
-        return pa.table({"block": table.column("block")[:1], "data": pa.array([np.minimum(total, 1 << 31).astype("<u4").tobytes()], pa.binary())})
+            total += np.frombuffer(unpack(x), np.int32)
+        return pa.table({"block": table.column("block")[:1], "data": pa.array([np.minimum(total, (1 << 32) - 1).astype("<u4").tobytes()], pa.binary())})
 
     summed = rows.select("text").mapInArrow(count, "block int, data binary").groupBy("block").applyInArrow(add, "block int, data binary")
     out = np.zeros((blocks, size), "<u4")
@@ -87,96 +152,109 @@ def word_counts(rows: DataFrame, count_bits: int) -> np.ndarray:
 
 
 def lines_of(rows: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
-    """One row per line with words: doc_id, text_key, line_no, s1 and s2 (128 bits of the word set), size, bitmap and prefix."""
+    """One row per line with words: doc_id, text_key, line_no, s1 and s2 (128 bits of the word set), size, bitmap, and prefix, less the ``skip`` words at its start that occur once."""
     shared = rows.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, mask = shared.value, np.uint64(len(shared.value) - 1)
         for b in batches:
-            out: dict[str, list] = {k: [] for k in ("row", "line_no", "s1", "s2", "size", "bitmap", "prefix")}
-            for row, text in enumerate(b.column("text").to_pylist()):
-                for i, h in _line_sets(text or b""):
-                    n, whole = len(h), xxhash.xxh3_128_digest(h.tobytes())
-                    p = n - math.ceil(threshold * n - 1e-9) + 1
-                    order = np.lexsort((h, counts[(h & mask).astype(np.int64)]))[:p]
-                    bits = np.bincount((h >> np.uint64(58)).astype(np.int64), minlength=64) & 1
-                    out["row"].append(row)
-                    out["line_no"].append(i)
-                    s1, s2 = np.frombuffer(whole, "<i8").tolist()
-                    out["s1"].append(s1)
-                    out["s2"].append(s2)
-                    out["size"].append(n)
-                    out["bitmap"].append(int(np.packbits(bits.astype(np.uint8)).view("<i8")[0]))
-                    out["prefix"].append((h[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
-            at = pa.array(out.pop("row"), pa.int64())
-            types = {"line_no": pa.int32(), "s1": pa.int64(), "s2": pa.int64(), "size": pa.int32(), "bitmap": pa.int64(), "prefix": pa.list_(pa.int32())}
-            yield pa.record_batch([b.column("doc_id").take(at), b.column("text_key").take(at), *(pa.array(v, types[k]) for k, v in out.items())], names=["doc_id", "text_key", *out])
-
-    return rows.mapInArrow(run, "doc_id bigint, text_key bigint, line_no int, s1 bigint, s2 bigint, size int, bitmap bigint, prefix array<int>")
+            for row, words in _chunks(b.column("text")):
+                s = LineSets(words, shared.value)
+                if not len(s.size):
+                    continue
+                sums = [np.add.reduceat(_mix(s.hash + np.uint64(k)), s.start).view(np.int64) for k in (1, 2)]
+                bitmap = np.bitwise_xor.reduceat(np.uint64(1) << (s.hash >> np.uint64(58)), s.start).view(np.int64)
+                length = s.size - np.ceil(threshold * s.size - 1e-9).astype(np.int64) + 1
+                place = np.arange(len(s.hash)) - s.start[s.line]
+                within = place < length[s.line]
+                once = within & (s.rank <= 1)
+                skip = np.bincount(s.line[once], minlength=len(s.size))
+                listed = within & ~once
+                ends = np.concatenate(([0], np.cumsum(np.bincount(s.line[listed], minlength=len(s.size))))).astype(np.int32)
+                prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array((s.hash[listed] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
+                at = pa.array(s.text + row)
+                columns = {"doc_id": b.column("doc_id").take(at), "text_key": b.column("text_key").take(at), "line_no": pa.array(s.line_no.astype(np.int32)), "s1": pa.array(sums[0]), "s2": pa.array(sums[1])}
+                columns |= {"size": pa.array(s.size.astype(np.int32)), "bitmap": pa.array(bitmap), "skip": pa.array(skip.astype(np.int32)), "prefix": prefix}
+                yield pa.record_batch(list(columns.values()), names=list(columns))
+
+    return rows.mapInArrow(run, "doc_id bigint, text_key bigint, line_no int, s1 bigint, s2 bigint, size int, bitmap bigint, skip int, prefix array<int>")
+
+
+def numbered_sets(lines: DataFrame) -> DataFrame:
+    """One row per word set: s1, s2, first (doc_id, text_key, line_no), id, which rises with first, size, bitmap, skip and prefix."""
+    names = ("doc_id", "text_key", "line_no", "size", "bitmap", "skip", "prefix")
+    firsts = lines.groupBy("s1", "s2").agg(F.min(F.struct(*names)).alias("f")).select("s1", "s2", "f.*")
+    order = ("doc_id", "text_key", "line_no")
+    ranged = firsts.repartitionByRange(partitions(lines.sparkSession), *order).sortWithinPartitions(*order)
+    return ranged.withColumn("id", F.monotonically_increasing_id())
 
 
 def candidate_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of sets (a and b, by s1) that share a prefix word and pass the filters."""
-    index = sets.select("s1", "size", "bitmap", F.posexplode("prefix").alias("pos", "word"))
-    x = index.select("word", *(F.col(c).alias(f"x_{c}") for c in ("s1", "size", "bitmap", "pos")))
-    y = index.select("word", *(F.col(c).alias(f"y_{c}") for c in ("s1", "size", "bitmap", "pos")))
+    """Pairs of set ids, x after y, that share a prefix word and pass the filters."""
+    index = sets.select("id", "size", "bitmap", "skip", F.posexplode("prefix").alias("at", "word")).select("word", "id", "size", "bitmap", (F.col("at") + F.col("skip")).alias("pos"))
+    side = lambda n: index.select("word", *(F.col(c).alias(f"{n}_{c}") for c in ("id", "size", "bitmap", "pos")))
     both = F.col("x_size") + F.col("y_size")
-    ordered = (F.col("x_size") < F.col("y_size")) | ((F.col("x_size") == F.col("y_size")) & (F.col("x_s1") < F.col("y_s1")))
-    length = F.col("x_size") >= threshold * F.col("y_size") - 1e-9
-    overlap = threshold / (1 + threshold) * both - 1e-9
-    place = 1 + F.least(F.col("x_size") - F.col("x_pos"), F.col("y_size") - F.col("y_pos")) - 1 >= overlap
+    length = F.least("x_size", "y_size") >= threshold * F.greatest("x_size", "y_size") - 1e-9
+    place = F.least(F.col("x_size") - F.col("x_pos"), F.col("y_size") - F.col("y_pos")) >= threshold / (1 + threshold) * both - 1e-9
     apart = F.bit_count(F.col("x_bitmap").bitwiseXOR(F.col("y_bitmap"))) <= (1 - threshold) / (1 + threshold) * both + 1e-9
-    return x.join(y, "word").where(ordered & length & place & apart).select(F.col("x_s1").alias("a"), F.col("y_s1").alias("b")).distinct()
+    met = side("x").join(side("y"), "word").where((F.col("x_id") > F.col("y_id")) & length & place & apart)
+    return met.select(F.col("x_id").alias("x"), F.col("y_id").alias("y")).distinct()
 
 
 def _words_of_lines(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id, line_no and words (sorted 64-bit hashes) of the lines wanted (doc_id, text_key, line_nos)."""
+    """doc_id, text_key, line_no and words (64-bit hashes) of the lines wanted (doc_id, text_key, line_nos)."""
     named = wanted.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "line_nos")
     joined = rows.join(named, rows.doc_id.eqNullSafe(named.d) & (rows.text_key == named.k)).drop("d", "k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, number, words = [], [], []
-            for i, (text, nos) in enumerate(zip(b.column("text").to_pylist(), b.column("line_nos").to_pylist(), strict=True)):
-                nos = set(nos)
-                for n, h in _line_sets(text):
-                    if n in nos:
-                        row.append(i)
-                        number.append(n)
-                        words.append(h.view(np.int64))
-            at = pa.array(row, pa.int64())
-            yield pa.record_batch([b.column("doc_id").take(at), b.column("text_key").take(at), pa.array(number, pa.int32()), pa.array(words, pa.list_(pa.int64()))], names=["doc_id", "text_key", "line_no", "words"])
-
-    return joined.mapInArrow(run, "doc_id bigint, text_key bigint, line_no int, words array<bigint>")
-
-
-def similar_sets(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Verified pairs: s1 and s2 of a set and first (place of the first line) of a set similar to it, both ways."""
+            numbers = b.column("line_nos")
+            bounds, flat = numbers.offsets.to_numpy() - numbers.offsets[0].as_py(), numbers.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            wish = np.repeat(np.arange(len(numbers)), np.diff(bounds)) * (1 << 32) + flat
+            for row, words in _chunks(b.column("text")):
+                s = LineSets(words, None)
+                hit = np.isin((s.text + row) * (1 << 32) + s.line_no, wish)
+                if not hit.any():
+                    continue
+                at = pa.array((s.text + row)[hit])
+                ends = np.concatenate(([0], np.cumsum(s.size[hit]))).astype(np.int32)
+                words_ = pa.ListArray.from_arrays(pa.array(ends), pa.array(s.hash[hit[s.line]].view(np.int64)))
+                yield pa.record_batch([b.column("doc_id").take(at), b.column("text_key").take(at), pa.array(s.line_no[hit].astype(np.int32)), words_], names=["doc_id", "text_key", "line_no", "words"])
+
+    return joined.mapInArrow(run, "doc_id bigint, text_key bigint, line_no int, words array<bigint>").dropDuplicates(["doc_id", "text_key", "line_no"])
+
+
+def _similar(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (x, y) whose word sets have the wanted similarity."""
+    side = lambda n: words.select(F.col("id").alias(n), F.col("words").alias(f"{n}_words"))
+    shared = F.size(F.array_intersect("x_words", "y_words"))
+    met = pairs.join(side("x"), "x").join(side("y"), "y")
+    return met.where(shared >= threshold * (F.size("x_words") + F.size("y_words") - shared) - 1e-9).select("x", "y")
+
+
+def late_sets(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Ids (x) of the sets that are similar to one before them."""
     pairs = materialize(candidate_pairs(sets, threshold), "pairs")
-    ends = pairs.select(F.col("a").alias("s1")).union(pairs.select(F.col("b").alias("s1"))).distinct()
-    involved = materialize(sets.select("s1", "s2", "first").join(ends, "s1"), "involved")
-    wanted = involved.groupBy("first.doc_id", "first.text_key").agg(F.collect_set("first.line_no").alias("line_nos"))
-    words = _words_of_lines(rows, wanted).dropDuplicates(["doc_id", "text_key", "line_no"])
-    place = F.struct("doc_id", "text_key", "line_no")
-    keyed = materialize(involved.join(words.select(place.alias("at"), "words"), F.col("first").eqNullSafe(F.col("at"))).select("s1", "s2", "first", "words"), "words")
-    side = lambda n: keyed.select(F.col("s1").alias(n), F.struct("s1", "s2", "first", "words").alias(f"{n}_set"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b")
-    shared = F.size(F.array_intersect("a_set.words", "b_set.words"))
-    similar = met.where(shared >= threshold * (F.size("a_set.words") + F.size("b_set.words") - shared) - 1e-9)
-    one = similar.select("a_set.s1", "a_set.s2", F.col("b_set.first").alias("other"))
-    return one.union(similar.select("b_set.s1", "b_set.s2", F.col("a_set.first").alias("other")))
+    ends = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
+    involved = materialize(sets.select("id", "doc_id", "text_key", "line_no").join(ends, "id"), "involved")
+    wanted = involved.groupBy("doc_id", "text_key").agg(F.collect_list("line_no").alias("line_nos"))
+    found = _words_of_lines(rows, wanted).select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), F.col("line_no").alias("l"), "words")
+    same = involved.doc_id.eqNullSafe(found.d) & (involved.text_key == found.k) & (involved.line_no == found.l)
+    words = materialize(involved.join(found, same).select("id", "words"), "words")
+    first = pairs.groupBy("x").agg(F.min("y").alias("y"))
+    late = materialize(_similar(first, words, threshold).select("x"), "late")
+    rest = pairs.join(first, ["x", "y"], "left_anti").join(late, "x", "left_anti")
+    return late.union(_similar(rest, words, threshold).select("x").distinct())
 
 
 def removed_lines(docs: DataFrame, threshold: float = 0.8, count_bits: int = 22, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_key and line_no of every line that resembles an earlier one."""
     rows = _rows(docs, id_col, text_col)
     lines = materialize(lines_of(rows, word_counts(rows, count_bits), threshold), "lines")
-    place = F.struct("doc_id", "text_key", "line_no")
-    firsts = lines.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "text_key", "line_no", "size", "bitmap", "prefix")).alias("f"))
-    sets = materialize(firsts.select("s1", "s2", F.struct("f.doc_id", "f.text_key", "f.line_no").alias("first"), "f.size", "f.bitmap", "f.prefix"), "sets")
-    others = similar_sets(rows, sets, threshold).groupBy("s1", "s2").agg(F.min("other").alias("other"))
-    bound = sets.select("s1", "s2", "first").join(others, ["s1", "s2"], "left").select("s1", "s2", F.least("first", "other").alias("bound"))
-    return lines.join(bound, ["s1", "s2"]).where(place > F.col("bound")).select("doc_id", "text_key", "line_no").distinct()
+    sets = materialize(numbered_sets(lines), "sets")
+    late = late_sets(rows, sets, threshold).select(F.col("x").alias("id"), F.lit(True).alias("late"))
+    place = ("doc_id", "text_key", "line_no")
+    told = sets.select("s1", "s2", "id", F.struct(*place).alias("first")).join(late, "id", "left").drop("id")
+    return lines.select("s1", "s2", *place).join(told, ["s1", "s2"]).where(F.col("late") | (F.struct(*place) != F.col("first"))).select(*place).distinct()
 
 
 def line_dedup(docs: DataFrame, threshold: float = 0.8, count_bits: int = 22, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
