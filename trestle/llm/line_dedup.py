@@ -31,67 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trestle.llm._common import materialize, partitions
-
-#: Bytes of text that are worked on at once, unless a single text is longer.
-CHUNK = 1 << 20
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
-_P = 0x9E3779B97F4A7C15
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1), mod 2 ** 64."""
-    key = str(base)
-    if key not in _powers or len(_powers[key]) < n:
-        x = np.full(max(n, CHUNK), base, np.uint64)
-        x[0] = 1
-        _powers[key] = np.cumprod(x)
-    return _powers[key][:n]
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class Words:
-    """The words of some texts laid end to end: their hash, and the text and line that each stands in."""
-
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        n, filled = len(data), offsets[:-1][np.diff(offsets) > 0]
-        blank, first = _BLANK[data], np.zeros(n + 1, bool)
-        first[filled] = True
-        first[n] = True
-        inside = ~blank
-        starts, ends = inside.copy(), inside.copy()
-        if n:
-            starts[1:] &= blank[:-1] | first[1:n]
-            ends[:-1] &= blank[1:] | first[1:n]
-        starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-        # the sum of (byte + 1) * P ** place over a word, brought back to place 0: equal words have equal sums wherever they stand
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_P, n), out=sums[1:])
-        self.hash = _mix((sums[ends] - sums[starts]) * _power(pow(_P, -1, 1 << 64), n)[starts])
-        lines = np.concatenate(([0], np.cumsum(data == 10)))
-        self.text = np.searchsorted(offsets, starts, "right") - 1
-        self.line_no = lines[starts] - lines[offsets[self.text]]
-        self.line = lines[starts] + self.text  # rises over all texts
-
-
-def _chunks(column: pa.Array) -> Iterator[tuple[int, Words]]:
-    """Words of a binary column, some texts at a time, with the row of the first."""
-    column = column.fill_null(b"") if column.null_count else column
-    _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    i = 0
-    while i < len(column):
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, "right")) - 1)
-        yield i, Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-        i = j
-
+from trestle.llm.words import Words, chunks, mix
 
 class LineSets:
     """The distinct words of every line that has words, by line, and within a line by rising count and hash."""
@@ -131,7 +71,7 @@ def word_counts(rows: DataFrame, count_bits: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, mask = np.zeros(1 << count_bits, np.int32), np.uint64((1 << count_bits) - 1)
         for b in batches:
-            for _, words in _chunks(b.column("text")):
+            for _, words in chunks(b.column("text")):
                 place, times = np.unique((words.hash & mask).astype(np.uint32), return_counts=True)
                 total[place] += times.astype(np.int32)
         pack = zstandard.ZstdCompressor(level=1).compress
@@ -157,11 +97,11 @@ def lines_of(rows: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row, words in _chunks(b.column("text")):
+            for row, words in chunks(b.column("text")):
                 s = LineSets(words, shared.value)
                 if not len(s.size):
                     continue
-                sums = [np.add.reduceat(_mix(s.hash + np.uint64(k)), s.start).view(np.int64) for k in (1, 2)]
+                sums = [np.add.reduceat(mix(s.hash + np.uint64(k)), s.start).view(np.int64) for k in (1, 2)]
                 bitmap = np.bitwise_xor.reduceat(np.uint64(1) << (s.hash >> np.uint64(58)), s.start).view(np.int64)
                 length = s.size - np.ceil(threshold * s.size - 1e-9).astype(np.int64) + 1
                 place = np.arange(len(s.hash)) - s.start[s.line]
@@ -210,7 +150,7 @@ def _words_of_lines(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             numbers = b.column("line_nos")
             bounds, flat = numbers.offsets.to_numpy() - numbers.offsets[0].as_py(), numbers.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             wish = np.repeat(np.arange(len(numbers)), np.diff(bounds)) * (1 << 32) + flat
-            for row, words in _chunks(b.column("text")):
+            for row, words in chunks(b.column("text")):
                 s = LineSets(words, None)
                 hit = np.isin((s.text + row) * (1 << 32) + s.line_no, wish)
                 if not hit.any():

@@ -24,33 +24,21 @@ others; rows of one id never remove each other's words; an empty table gives an
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trestle.llm._common import partitions
+from trestle.llm.words import chunks
 
 NULL_ID = -(1 << 63)
 DEPTH, COUNTERS_A_WINDOW = 2, 4
-CACHE_WORDS = 500_000
 #: Odd multipliers of the two window hashes.
 _M1, _M2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_cache = _WordHashes()
-
-
 def _planes(values: np.ndarray) -> bytes:
     """An integer array by byte planes: the high bytes, which hardly vary, lie together for the compressor."""
     return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
@@ -75,17 +63,17 @@ class _Chunk:
     """The windows of a chunk's documents."""
 
     def __init__(self, table: pa.Table, window: int):
-        if len(_cache) > CACHE_WORDS:
-            _cache.clear()
         self.window = window
         self.ids = table.column("id").fill_null(NULL_ID).to_numpy()
-        self.words = [(x or b"").split() for x in table.column("text").to_pylist()]
-        sizes = np.fromiter(map(len, self.words), np.int64, len(self.words))
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        hashes = np.fromiter(map(_cache.__getitem__, chain.from_iterable(self.words)), np.uint64, total)
-        #: Of every word: its document and whether a window starts there.
-        self.doc = np.repeat(np.arange(len(sizes)), sizes)
+        self.texts = table.column("text").combine_chunks().fill_null(b"")
+        hashes, doc = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for row, words in chunks(self.texts):
+            hashes.append(words.hash)
+            doc.append(words.text + row)
+        hashes, self.doc = np.concatenate(hashes), np.concatenate(doc)
+        sizes = np.bincount(self.doc, minlength=len(self.ids))
+        ends, total = np.cumsum(sizes), len(hashes)
+        #: Of every word: its document, and whether a window starts there.
         n = max(0, total - window + 1)
         starts = np.arange(n) + window <= ends[self.doc[:n]] if n else np.zeros(0, bool)
         self.at = np.nonzero(starts)[0]
@@ -224,7 +212,8 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
         np.add.at(change, repeated + window, -1)
         gone = np.cumsum(change[:-1]) > 0
         spans, removed, kept, at = [], [], [], 0
-        for words in chunk.words:
+        for text in chunk.texts.to_pylist():
+            words = text.split()
             mine = gone[at : at + len(words)]
             at += len(words)
             cuts = np.nonzero(np.diff(np.concatenate(([False], mine, [False])).astype(np.int8)))[0].tolist()
