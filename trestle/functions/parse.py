@@ -104,8 +104,9 @@ def content_hash(content: Column, name: Column, size: Column, modified: Column)
 
 
 def size_label(size: Column) -> Column:
+    tenth = lambda x: F.format_string("%.1f", F.floor(x * 10 + 0.5) / 10)
     kb, mb = size / 1024.0, size / 1048576.0
-    return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" Б"))).when(kb < 1024, F.concat(F.format_number(kb, "0.0"), F.lit(" КБ"))).otherwise(F.concat(F.format_number(mb, "0.0"), F.lit(" МБ")))
+    return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" Б"))).when(kb < 1024, F.concat(tenth(kb), F.lit(" КБ"))).otherwise(F.concat(tenth(mb), F.lit(" МБ")))
 
 
 def text_layer(with_text: Column, total: Column) -> Column:

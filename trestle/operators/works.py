@@ -115,3 +115,20 @@ def audit(resources: DataFrame, present: DataFrame, key: str) -> DataFrame:
     n = present.groupBy(key).agg(F.count("*").alias("materials"))
     out = sums.join(n, key, "left").withColumn("materials", F.coalesce("materials", F.lit(0)))
     return out.withColumn("severity", audit_severity(F.col("missing_required"), F.col("missing_typical"), F.col("materials")))
+
+
+def category_summary(works: DataFrame) -> DataFrame:
+    """Works and names of each category."""
+    return works.groupBy("category").agg(F.count("*").alias("works"), F.sum(F.size("names")).alias("names"))
+
+
+def context_profile(context: DataFrame, name: str, variants: Mapping[str, Any], resources: DataFrame, key: str = "family") -> DataFrame:
+    """What a quantity search needs to know of a work: family_roots, variant_markers and resource_names. resources: key, name, names."""
+    known = resources.groupBy(key).agg(F.array_distinct(F.flatten(F.sort_array(F.collect_list(F.transform(F.concat(F.array("name"), "names"), lambda n: T.normalize_quantity(n)))))).alias("resource_names"))
+    roots, marks = F.array().cast("array<string>"), F.array().cast("array<string>")
+    for family, spec in variants.items():
+        roots = F.when(F.col("family") == family, F.array(*map(F.lit, spec["required"]))).otherwise(roots)
+        for variant, markers in spec["variants"].items():
+            marks = F.when((F.col("family") == family) & (F.col("variant") == variant), F.array(*[F.lit(m[1]) for m in markers])).otherwise(marks)
+    found = classify_taxonomy(context, name, variants).withColumns({"family_roots": roots, "variant_markers": marks})
+    return found.join(known, key, "left").withColumn("resource_names", F.coalesce("resource_names", F.array().cast("array<string>")))

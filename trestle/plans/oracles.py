@@ -200,5 +200,36 @@ SQL["uncertain_groups"] = f"""WITH {_book}, u AS (SELECT doc, name, row_number()
     SELECT doc, count(*) AS n, string_agg(name, '; ' ORDER BY u.n) FILTER (WHERE u.n <= 3) AS examples FROM u GROUP BY 1"""
 
 
+# projects, contexts and lookups
+SQL["context_validation"] = f"""WITH {C}, n AS (SELECT s_suppkey AS ord, CASE WHEN s_suppkey % 9 <> 0 THEN 'p' || (s_suppkey % 8) END AS p, 'o' || (s_suppkey % 12) AS o, 'w' || (s_suppkey % 11) AS w,
+    DATE '2026-01-15' - CAST(s_suppkey % 7 AS INTEGER) AS e, s_suppkey % 10 - 1 AS sd FROM supplier), x AS (SELECT *, CASE WHEN p IS NULL THEN 'REQUIRED' WHEN e < DATE '2026-01-10' THEN 'DATE_ORDER' WHEN sd < 0 THEN 'SAFETY_DAYS' END AS err FROM n)
+    SELECT ord, CASE WHEN err IS NULL AND (EXISTS (SELECT 1 FROM contexts c WHERE c.kp = x.p AND c.ko = x.o AND c.kw = x.w) OR row_number() OVER (PARTITION BY p, o, w, err IS NULL ORDER BY ord) > 1) THEN 'DUPLICATE' ELSE err END AS error FROM x"""
+SQL["context_active"] = "SELECT min(c_custkey) AS ord, ' p' || (min(c_custkey) % 7) AS project FROM customer WHERE c_custkey <> 5"
+SQL["review_upsert"] = """WITH e AS (SELECT user_id AS doc_id, arg_max(event_type, event_id) AS review FROM events GROUP BY 1)
+    SELECT coalesce(e.doc_id, l.doc_id) AS doc_id, coalesce(e.review, 'pending') AS review FROM e FULL JOIN (SELECT DISTINCT doc_id FROM labels) l ON e.doc_id = l.doc_id"""
+SQL["project_nodes"] = """SELECT 'r' || r_regionkey AS id, NULL AS parent_id, r_name AS label FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 'K-' || n_nationkey || ' · ' || n_name || ' · объект' FROM nation"""
+SQL["linked_projects_anti"] = "SELECT ' ' || lower(n_name) AS name, 'K-' || (n_nationkey % 10) AS code FROM nation WHERE n_regionkey >= 3"
+SQL["revision_projects"] = f"""WITH {R}, b AS (SELECT document, revision FROM promoted QUALIFY row_number() OVER (PARTITION BY document ORDER BY status = 'current' DESC, revision DESC) = 1)
+    SELECT document, 'p' || (revision % 5) AS project_id FROM b UNION ALL SELECT document, 'q' || (revision % 3) FROM b"""
+SQL["kb_categories"] = "SELECT p_brand AS category, count(DISTINCT p_type) AS works, count(DISTINCT p_type || '|' || p_name) AS names FROM part GROUP BY 1"
+SQL["work_named_first"] = """WITH k AS (SELECT p_type AS work_id, unnest([min(p_name), max(p_name)]) AS n FROM part GROUP BY 1), t AS (SELECT DISTINCT upper(p_name) AS text FROM part)
+    SELECT text, min(work_id) AS work_id FROM t JOIN k ON contains(lower(text), lower(n)) OR contains(lower(n), lower(text)) GROUP BY 1"""
+SQL["work_resolved"] = "SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 't' || p_partkey WHEN p_partkey % 3 = 0 THEN 'm' || p_partkey WHEN p_partkey % 5 = 0 THEN 'n' || p_partkey END AS work_id, CASE WHEN p_partkey % 4 = 0 THEN 'taxonomy' WHEN p_partkey % 3 = 0 THEN 'matcher' WHEN p_partkey % 5 = 0 THEN 'name' ELSE 'unresolved' END AS source FROM part"
+SQL["volume_search"] = f"""WITH {_book}, c AS (SELECT * FROM typed WHERE has_unit AND floor(total) > 0 QUALIFY row_number() OVER (PARTITION BY doc ORDER BY row_idx) <= 500), x AS (SELECT doc, row_idx, row_number() OVER (ORDER BY doc, row_idx) AS place FROM c WHERE t = 0)
+    SELECT doc, row_idx, 100 AS score, CAST(place AS INTEGER) AS place, place = 1 AS chosen, 'high' AS confidence FROM x WHERE place <= 6"""
+SQL["file_facts"] = r"""WITH x AS (SELECT page_id, string_split(url, '/')[-1] AS n, length(html) * 400 AS s FROM pages)
+    SELECT page_id, CASE WHEN contains(n, '.') THEN lower(string_split(n, '.')[-1]) ELSE '' END AS extension, n || '-' || s || '-' || page_id AS file_id,
+    CASE WHEN s < 1024 THEN s || ' Б' WHEN s / 1024.0 < 1024 THEN format('{:.1f}', floor(s / 1024.0::DOUBLE * 10 + 0.5) / 10) || ' КБ' ELSE format('{:.1f}', floor(s / 1048576.0::DOUBLE * 10 + 0.5) / 10) || ' МБ' END AS size,
+    page_id || ' ' || CASE WHEN page_id % 100 BETWEEN 11 AND 14 THEN 'документов' WHEN page_id % 10 = 1 THEN 'документ' WHEN page_id % 10 BETWEEN 2 AND 4 THEN 'документа' ELSE 'документов' END AS documents,
+    ['scan', 'mixed', 'text'][page_id % 3 + 1] AS layer FROM x"""
+SQL["registry_kind_guess"] = """SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND doc_id % 3 = 0 THEN 'schedule' WHEN doc_id % 2 = 0 AND doc_id % 3 = 1 THEN 'journal'
+    ELSE ['work-volume', 'schedule', 'agreement', 'commercial-proposal', 'estimate', 'project-documentation', 'other'][doc_id % 7 + 1] END AS kind FROM documents"""
+SQL["table_kind_fused"] = """WITH x AS (SELECT doc_id, ['estimate', NULL, 'schedule'][doc_id % 3 + 1] AS s, ['high', NULL, 'medium'][doc_id % 3 + 1] AS sc, doc_id % 11 = 0 AS strong, ['commercial-proposal', 'schedule', NULL, 'specification'][doc_id % 4 + 1] AS t,
+    ['medium', 'high', NULL, 'medium'][doc_id % 4 + 1] AS tc FROM documents), y AS (SELECT *, s IS NOT NULL AND t IS NOT NULL AS b FROM x), z AS (SELECT *, b AND t = 'commercial-proposal' AND s = 'estimate' AS priced, b AND s = t AS agree FROM y)
+    SELECT doc_id, CASE WHEN strong OR priced OR agree THEN s WHEN b THEN t ELSE coalesce(s, t, 'other') END AS kind,
+    CASE WHEN strong THEN 'high' WHEN priced THEN CASE WHEN sc = 'high' THEN 'high' ELSE 'medium' END WHEN agree THEN CASE WHEN sc = 'high' OR tc = 'high' THEN 'high' ELSE 'medium' END WHEN b THEN 'medium' ELSE coalesce(sc, tc, 'low') END AS confidence,
+    b AND s <> t AS conflict FROM z"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

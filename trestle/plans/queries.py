@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trestle.functions import parse as P
 from trestle.functions import text as T
-from trestle.operators import approvals, ask, control, documents, history, planning, quantity, registry, tables, works
+from trestle.operators import approvals, ask, control, documents, history, planning, projects, quantity, registry, tables, works
 from trestle.plans import driver_tables as D
 from trestle.sources.tables import read_table
 from trestle.streaming.runs import debounced_runs
@@ -523,5 +523,104 @@ def debounced_runs_by_user(spark, sf):
     return debounced_runs(read_table(spark, sf, "events").select("ts", "user_id"), gap="10 minutes", by=["user_id"]).select("user_id", "first_event", "n_events")
 
 
+# --- projects, contexts and lookups ------------------------------------------------------------------------------
+def _new_contexts(spark, sf):
+    k = F.col("s_suppkey")
+    return read_table(spark, sf, "supplier").select(
+        F.when(k % 9 != 0, F.concat(F.lit("P"), k % 8)).alias("project"), F.concat(F.lit("O"), k % 12).alias("object"), F.concat(F.lit("w"), k % 11).alias("work"), F.lit("2026-01-10").cast("date").alias("start"),
+        F.date_add(F.lit("2026-01-15").cast("date"), -(k % 7).cast("int")).alias("end"), (k % 10 - 1).cast("int").alias("safety_days"), k.alias("ord"),
+    )
+
+
+@query
+def context_validation(spark, sf):
+    return projects.add_contexts(D.contexts(spark, sf), _new_contexts(spark, sf)).select("ord", "error")
+
+
+@query
+def context_active(spark, sf):
+    return projects.active_context(D.contexts(spark, sf).where("ord <> 5"), 5).select("ord", "project")
+
+
+@query
+def review_upsert(spark, sf):
+    base = read_table(spark, sf, "labels").select("doc_id", F.lit("pending").alias("review"))
+    late = read_table(spark, sf, "events").select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("review"), "event_id")
+    return projects.upsert(base.dropDuplicates(["doc_id"]), late, ["doc_id"], "event_id")
+
+
+@query
+def project_nodes(spark, sf):
+    roots = read_table(spark, sf, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent_id"), F.col("r_name").alias("name"), F.lit("").alias("code"), F.lit(None).cast("string").alias("object"))
+    linked = read_table(spark, sf, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.concat(F.lit("r"), "n_regionkey").alias("parent_id"), F.col("n_name").alias("name"), F.concat(F.lit("K-"), "n_nationkey").alias("code"), F.lit("объект").alias("object"))
+    return projects.all_nodes(roots, linked).select("id", "parent_id", "label")
+
+
+@query
+def linked_projects_anti(spark, sf):
+    nation = read_table(spark, sf, "nation")
+    row = lambda df: df.select(F.col("n_name").alias("name"), F.concat(F.lit("K-"), F.col("n_nationkey") % 10).alias("code"))
+    new = row(nation).select(F.concat(F.lit(" "), F.lower("name")).alias("name"), "code")
+    return projects.add_linked(row(nation.where("n_regionkey < 3")), new)
+
+
+@query
+def revision_projects(spark, sf):
+    rows = _promoted(spark, sf).withColumn("project_ids", F.array(F.concat(F.lit("p"), F.col("revision") % 5), F.concat(F.lit("q"), F.col("revision") % 3)))
+    return projects.node_projects(projects.inherited_projects(rows, "document", "revision"))
+
+
+@query
+def kb_categories(spark, sf):
+    parts = read_table(spark, sf, "part").where("p_name is not null")
+    catalogue = parts.groupBy("p_brand", "p_type").agg(F.collect_set("p_name").alias("names"))
+    return works.category_summary(catalogue.withColumnRenamed("p_brand", "category"))
+
+
+@query
+def work_named_first(spark, sf):
+    names = read_table(spark, sf, "part").select(F.upper("p_name").alias("text"))
+    return planning.first_named(names, "text", _catalogue(spark, sf))
+
+
+@query
+def work_resolved(spark, sf):
+    k = F.col("p_partkey")
+    source = planning.resolve_work(F.when(k % 4 == 0, F.concat(F.lit("t"), k)), F.when(k % 3 == 0, F.concat(F.lit("m"), k)), F.when(k % 5 == 0, F.concat(F.lit("n"), k)))
+    return read_table(spark, sf, "part").select("p_partkey", source[0].alias("work_id"), source[1].alias("source"))
+
+
+@query
+def volume_search(spark, sf):
+    cells = D.schedule_cells(spark, sf)
+    rows = tables.analyze_sheets(cells, lambda n: F.startswith(n, F.lit("Монтаж"))).withColumn("automatic", F.col("row_type") == "work")
+    return tables.find_volume(rows, F.lit("монтаж секции")).select("doc", "row_idx", "score", "place", "chosen", "confidence")
+
+
+@query
+def file_facts(spark, sf):
+    pages = read_table(spark, sf, "pages")
+    name = F.element_at(F.split("url", "/"), -1)
+    size = F.length("html") * 400
+    return pages.select("page_id", P.extension(name).alias("extension"), P.file_id(name, size, F.col("page_id")).alias("file_id"), P.size_label(size).alias("size"), T.plural_documents(F.col("page_id")).alias("documents"), P.text_layer(F.col("page_id") % 3, F.lit(2)).alias("layer"))
+
+
+@query
+def registry_kind_guess(spark, sf):
+    docs = read_table(spark, sf, "documents")
+    k = F.col("doc_id")
+    pick = lambda of: F.element_at(F.array(*map(F.lit, of)), (k % len(of) + 1).cast("int"))
+    name = pick(["ВОР.xlsx", "график.pdf", "Доп. соглашение.pdf", "ткп.pdf", "смета 1.xls", "раздел.PDF", "план.csv"])
+    return docs.select("doc_id", registry.guess_kind(name, F.when(k % 2 == 0, pick(["schedule", "cable-journal", "unknown"]))).alias("kind"))
+
+
+@query
+def table_kind_fused(spark, sf):
+    k = F.col("doc_id")
+    pick = lambda of: F.element_at(F.array(*[F.lit(x).cast("string") for x in of]), (k % len(of) + 1).cast("int"))
+    fused = documents.fuse_table_kinds(pick(["estimate", None, "schedule"]), pick(["high", None, "medium"]), k % 11 == 0, pick(["commercial-proposal", "schedule", None, "specification"]), pick(["medium", "high", None, "medium"]))
+    return read_table(spark, sf, "documents").select("doc_id", *[c.alias(n) for n, c in fused.items()])
+
+
 def queries() -> dict:
     return dict(_all)
