@@ -68,15 +68,5 @@ def resolve_work(taxonomy_work: Column, matched_work: Column, named_work: Column
     return F.coalesce(taxonomy_work, matched_work, named_work), source
 
 
-def first_named(texts: DataFrame, text: str, works: DataFrame) -> DataFrame:
-    """The first work, by ord, one of whose names contains the text or is contained in it. For a small table of distinct texts."""
-    from trestle.functions.text import normalize_plain
-
-    names = works.select("work_id", "ord", F.explode("names").alias("n")).withColumn("n", normalize_plain("n"))
-    keyed = texts.select(F.col(text).alias("text")).distinct().withColumn("t", normalize_plain("text"))
-    met = keyed.join(F.broadcast(names), F.contains("t", "n") | F.contains("n", "t")).where("t <> ''")
-    return met.groupBy("text").agg(F.min(F.struct("ord", "work_id")).alias("w")).select("text", F.col("w.work_id").alias("work_id"))
-
-
 def latest(rows: DataFrame, key: str, order: Column) -> DataFrame:
     return rows.withColumn("place_", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("place_ = 1").drop("place_")

@@ -19,10 +19,10 @@ SHEET = ["doc", "sheet"]
 
 def table_text(cells: DataFrame) -> DataFrame:
     """doc, sheet, text (names of document and sheet and the first 40 rows, normalised) and cells (their normalised values)."""
-    head = cells.where(F.col("row_idx") < SCAN_ROWS).withColumn("v", T.normalize_table("value")).where("v <> ''")
-    packed = head.groupBy(*SHEET).agg(F.transform(F.sort_array(F.collect_list(F.struct("row_idx", "col_idx", "v"))), lambda x: x["v"]).alias("cells"))
-    every = cells.select(*SHEET).distinct().join(packed, SHEET, "left").withColumn("cells", F.coalesce("cells", F.array().cast("array<string>")))
-    return every.withColumn("text", T.normalize_table(F.concat_ws(" ", "doc", "sheet", F.array_join("cells", " "))))
+    head = cells.where(F.col("row_idx") < SCAN_ROWS).withColumn("v", T.normalize_table("value"))
+    filled = F.collect_list(F.when(F.col("v") != "", F.struct("row_idx", "col_idx", "v")))
+    packed = head.groupBy(*SHEET).agg(F.transform(F.sort_array(filled), lambda x: x["v"]).alias("cells"))
+    return packed.withColumn("text", T.normalize_table(F.concat_ws(" ", "doc", "sheet", F.array_join("cells", " "))))
 
 
 def classify_tables(cells: DataFrame) -> DataFrame:

@@ -62,16 +62,31 @@ def match_score(query: Column, candidate: Column) -> Column:
     return F.when((q == "") | (c == ""), 0).otherwise(F.least(score, F.lit(100))).cast("int")
 
 
-def match_works(queries: DataFrame, name: str, works: DataFrame, alternatives: int = 3, threshold: int = 40) -> DataFrame:
+#: Works of a catalogue that meet the names at once; a larger catalogue is dealt into as many blocks as it needs.
+BLOCK_WORKS = 2000
+
+
+def catalogue_blocks(works: DataFrame, block_works: int = BLOCK_WORKS) -> list[DataFrame]:
+    """The catalogue (work_id, ord, names) in blocks of about block_works rows, each packed into one row."""
+    blocks = max(1, -(-works.count() // block_works))
+    part = lambda i: works if blocks == 1 else works.where(F.pmod(F.xxhash64("work_id"), F.lit(blocks)) == i)
+    return [part(i).agg(F.sort_array(F.collect_list(F.struct("ord", "work_id", "names"))).alias("works")) for i in range(blocks)]
+
+
+def match_works(queries: DataFrame, name: str, works: DataFrame, alternatives: int = 3, threshold: int = 40, block_works: int = BLOCK_WORKS) -> DataFrame:
     """For each distinct name: work_id, score and confidence of the best work, and alternatives (work_id, score).
 
-    works: work_id, ord and names (array of the name and its aliases). Names are deduplicated first and all works of one
-    name meet in one row, so the cost is distinct names times works.
+    works: work_id, ord and names (array of the name and its aliases). Names are deduplicated first. The catalogue is laid
+    beside them in blocks of a bounded size, each keeps its best works, and the best of all blocks are ranked.
     """
     names = queries.select(F.col(name).alias("name")).distinct()
-    packed = works.agg(F.sort_array(F.collect_list(F.struct("ord", "work_id", "names"))).alias("works"))  # the catalogue in one row
     best = lambda w: F.array_max(F.transform(w["names"], lambda n: match_score(F.col("name"), n)))
-    scored = names.join(F.broadcast(packed), how="cross").withColumn("ranked", F.sort_array(F.transform("works", lambda w: F.struct((-best(w)).alias("negative"), w["ord"].alias("ord"), w["work_id"].alias("work_id"))))).drop("works")
+    rank = lambda: F.sort_array(F.transform("works", lambda w: F.struct((-best(w)).alias("negative"), w["ord"].alias("ord"), w["work_id"].alias("work_id"))))
+    found = None
+    for block in catalogue_blocks(works, block_works):
+        one = names.join(F.broadcast(block), F.lit(True)).select("name", F.slice(rank(), 1, alternatives + 1).alias("ranked"))
+        found = one if found is None else found.unionByName(one)
+    scored = found.groupBy("name").agg(F.sort_array(F.flatten(F.collect_list("ranked"))).alias("ranked"))
     top, rest = F.get("ranked", F.lit(0)), F.slice("ranked", 2, alternatives)
     score = -top["negative"]
     return scored.select(
@@ -83,6 +98,18 @@ def match_works(queries: DataFrame, name: str, works: DataFrame, alternatives: i
     )
 
 
+def first_named(texts: DataFrame, text: str, works: DataFrame, block_works: int = BLOCK_WORKS) -> DataFrame:
+    """text and work_id: for each distinct text the first work, by ord, one of whose names contains it or is contained in it."""
+    keyed = texts.select(F.col(text).alias("text")).distinct().withColumn("t", T.normalize_plain("text")).where("t <> ''")
+    out = None
+    for block in catalogue_blocks(works, block_works):
+        fits = lambda n: F.contains(F.col("t"), T.normalize_plain(n)) | F.contains(T.normalize_plain(n), F.col("t"))
+        hit = F.get(F.filter("works", lambda w: F.exists(w["names"], fits)), F.lit(0))
+        one = keyed.join(F.broadcast(block), F.lit(True)).select("text", F.struct(hit["ord"].alias("ord"), hit["work_id"].alias("work_id")).alias("w")).where("w.ord is not null")
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("text").agg(F.min("w").alias("w")).select("text", F.col("w.work_id").alias("work_id"))
+
+
 def overlay(base: DataFrame, extra: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Base rows and then extra rows of each key, one for each normalised name: the first wins. Both have ord."""
     both = base.withColumn("layer_", F.lit(0)).unionByName(extra.withColumn("layer_", F.lit(1)))

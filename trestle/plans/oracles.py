@@ -96,8 +96,8 @@ SQL: dict[str, str] = {
     "tokens": f"""WITH x AS (SELECT doc_id, {words(NORM['work']('text'), L.STOP_WORK, 2)} AS a, {words(NORM['cell']('text'), L.STOP_TABLE, 3, '[^а-яa-z0-9-]+')} AS b FROM documents)
         SELECT doc_id, CAST(len(a) AS INTEGER) AS n_work, CAST(len(b) AS INTEGER) AS n_table, md5(array_to_string(b, ' ')) AS table_words FROM x""",
     "stems_ru": "WITH x AS (SELECT b.unnest || e.unnest AS word FROM unnest(" + listed("подземн кабельн канализац эстакад мост пролетн труб опор монтаж установк бетон грунт".split()) + ") b, unnest(" + listed(["", *L.ENDINGS]) + f") e) SELECT word, {STEM.format('word')} AS stem FROM x",
-    "roots_match": f"""WITH p AS (SELECT DISTINCT p_name FROM part), w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM p)
-        SELECT p_name, w, {covered('[w]', "string_split(p_name, ' ')")} AS coverage FROM p, w""",
+    "roots_match": f"""WITH p AS (SELECT DISTINCT p_name, p_type FROM part), w AS (SELECT DISTINCT p_name, unnest(string_split(p_name || ' ' || p_type, ' ')) AS w FROM p)
+        SELECT p_name, w, {covered('[w]', "string_split(p_name, ' ')")} AS coverage FROM w""",
     "text_coverage": f"""WITH x AS (SELECT p_partkey, {stems(words(NORM['cell']('p_name'), L.STOP_TABLE, 3, '[^а-яa-z0-9-]+'))} AS a, {stems(words(NORM['cell']("concat_ws(' ', p_type, p_name)"), L.STOP_TABLE, 3, '[^а-яa-z0-9-]+'))} AS b FROM part)
         SELECT p_partkey, CAST(floor({covered('a', 'b')} * 100 + 0.5) AS INTEGER) AS score FROM x""",
     "parse_number": r"""WITH x AS (SELECT o_orderkey, replace(CASE o_orderkey % 3 WHEN 0 THEN '1 ' || lpad(o_custkey::VARCHAR, 6, '0') || ',5' WHEN 1 THEN o_custkey || '.' || o_orderkey ELSE o_orderkey || ' шт' END, ' ', '') AS t FROM orders),

@@ -210,9 +210,9 @@ def stems_ru(spark, sf):
 
 @query
 def roots_match(spark, sf):
-    parts = read_table(spark, sf, "part").select("p_name").distinct()
-    words = parts.select(F.explode(F.split("p_name", " ")).alias("w")).distinct()
-    return parts.crossJoin(F.broadcast(words)).select("p_name", "w", T.coverage(F.array("w"), F.split("p_name", " ")).alias("coverage"))
+    parts = read_table(spark, sf, "part").select("p_name", "p_type").distinct()
+    pairs = parts.select("p_name", F.explode(F.split(F.concat_ws(" ", "p_name", "p_type"), " ")).alias("w")).distinct()
+    return pairs.select("p_name", "w", T.coverage(F.array("w"), F.split("p_name", " ")).alias("coverage"))
 
 
 @query
@@ -580,7 +580,7 @@ def kb_categories(spark, sf):
 @query
 def work_named_first(spark, sf):
     names = read_table(spark, sf, "part").select(F.upper("p_name").alias("text"))
-    return planning.first_named(names, "text", _catalogue(spark, sf))
+    return works.first_named(names, "text", _catalogue(spark, sf))
 
 
 @query
