@@ -10,7 +10,7 @@ order of document id and line number, has a Jaccard similarity of ``threshold``
 3. Each set is indexed under the words of its prefix: two sets of the wanted similarity share one. Words that occur once
    are left out. Pairs that meet under a word are held to the length filter, the positional filter and a parity-bitmap
    bound on the symmetric difference, all of which only turn away pairs that cannot be similar.
-4. The words of the sets that are left in a pair are fetched. Each set is verified against its earliest candidate first,
+4. The words of the sets that are left in a pair are fetched, by a Bloom filter that goes to the texts. Each set is verified against its earliest candidate first,
    and against all its others only if that one is not similar.
 
 Words are 64-bit hashes, told from each other in all steps by all 64 bits; 32 of them index a prefix.
@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from trestle.llm._common import materialize, partitions
 from trestle.llm.words import Words, chunks, mix
 
+NULL_ID, _ODD = -(1 << 63), 0xD6E8FEB86659FD93
+
 class LineSets:
     """The distinct words of every line that has words, by line, and within a line by rising count and hash."""
 
@@ -140,27 +142,74 @@ def candidate_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     return met.select(F.col("x_id").alias("x"), F.col("y_id").alias("y")).distinct()
 
 
+#: Bits of the filter that says which lines' words to fetch: about 16 for each line, at least and at most so many. It is sent to every task.
+FILTER_BITS = (1 << 20, 1 << 30)
+
+
+def _line_keys(doc_id: np.ndarray, text_key: np.ndarray, line_no: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(mix(doc_id.astype(np.int64).view(np.uint64)) + text_key.astype(np.int64).view(np.uint64) * np.uint64(_ODD) + line_no.astype(np.uint64))
+
+
+def _filter_places(keys: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Four places of each key in a filter of so many bits (a power of two)."""
+    return [((keys >> np.uint64(s)) ^ (keys * np.uint64(_ODD + 2 * s))) & np.uint64(bits - 1) for s in (0, 11, 23, 31)]
+
+
+def line_filter(lines: DataFrame) -> np.ndarray:
+    """A Bloom filter of lines (doc_id, text_key, line_no), as bytes: partial filters of the tasks, joined block by block."""
+    n, bits = lines.count(), FILTER_BITS[0]
+    while bits < min(16 * n, FILTER_BITS[1]):
+        bits *= 2
+    blocks = 64
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(bits, bool)
+        for b in batches:
+            keys = _line_keys(*(b.column(c).fill_null(NULL_ID if c == "doc_id" else 0).to_numpy(zero_copy_only=False) for c in ("doc_id", "text_key", "line_no")))
+            for places in _filter_places(keys, bits):
+                seen[places.astype(np.int64)] = True
+        pack = zstandard.ZstdCompressor(level=1).compress
+        rows = np.packbits(seen).reshape(blocks, -1)
+        yield pa.record_batch([pa.array(range(blocks), pa.int32()), pa.array([pack(x.tobytes()) for x in rows], pa.binary())], names=["block", "data"])
+
+    def join(table: pa.Table) -> pa.Table:
+        unpack = zstandard.ZstdDecompressor().decompress
+        total = np.bitwise_or.reduce([np.frombuffer(unpack(x), np.uint8) for x in table.column("data").to_pylist()])
+        return pa.table({"block": table.column("block")[:1], "data": pa.array([total.tobytes()], pa.binary())})
+
+    joined = lines.select("doc_id", "text_key", "line_no").mapInArrow(part, "block int, data binary").groupBy("block").applyInArrow(join, "block int, data binary")
+    found = dict(joined.collect())  # bits / 8 bytes in all
+    return np.concatenate([np.frombuffer(found[i], np.uint8) for i in range(blocks)]) if found else np.zeros(bits // 8, np.uint8)
+
+
 def _words_of_lines(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id, text_key, line_no and words (64-bit hashes) of the lines wanted (doc_id, text_key, line_nos)."""
-    named = wanted.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "line_nos")
-    joined = rows.join(named, rows.doc_id.eqNullSafe(named.d) & (rows.text_key == named.k)).drop("d", "k")
+    """doc_id, text_key, line_no and words (64-bit hashes) of the lines wanted (doc_id, text_key, line_no) and of a few others.
+
+    Texts stay where they are: a filter of the lines wanted goes to them.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(line_filter(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = shared.value
+        bits = 8 * len(told)
         for b in batches:
-            numbers = b.column("line_nos")
-            bounds, flat = numbers.offsets.to_numpy() - numbers.offsets[0].as_py(), numbers.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            wish = np.repeat(np.arange(len(numbers)), np.diff(bounds)) * (1 << 32) + flat
+            ids, keys = (b.column(c).fill_null(NULL_ID).to_numpy(zero_copy_only=False) for c in ("doc_id", "text_key"))
             for row, words in chunks(b.column("text")):
                 s = LineSets(words, None)
-                hit = np.isin((s.text + row) * (1 << 32) + s.line_no, wish)
+                at = s.text + row
+                hit = np.ones(len(at), bool)
+                for places in _filter_places(_line_keys(ids[at], keys[at], s.line_no), bits):
+                    places = places.astype(np.int64)
+                    hit &= (told[places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & 1 == 1
                 if not hit.any():
                     continue
-                at = pa.array((s.text + row)[hit])
+                take = pa.array(at[hit])
                 ends = np.concatenate(([0], np.cumsum(s.size[hit]))).astype(np.int32)
-                words_ = pa.ListArray.from_arrays(pa.array(ends), pa.array(s.hash[hit[s.line]].view(np.int64)))
-                yield pa.record_batch([b.column("doc_id").take(at), b.column("text_key").take(at), pa.array(s.line_no[hit].astype(np.int32)), words_], names=["doc_id", "text_key", "line_no", "words"])
+                found = pa.ListArray.from_arrays(pa.array(ends), pa.array(s.hash[hit[s.line]].view(np.int64)))
+                yield pa.record_batch([b.column("doc_id").take(take), b.column("text_key").take(take), pa.array(s.line_no[hit].astype(np.int32)), found], names=["doc_id", "text_key", "line_no", "words"])
 
-    return joined.mapInArrow(run, "doc_id bigint, text_key bigint, line_no int, words array<bigint>").dropDuplicates(["doc_id", "text_key", "line_no"])
+    return rows.mapInArrow(run, "doc_id bigint, text_key bigint, line_no int, words array<bigint>")
 
 
 def _similar(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
@@ -176,10 +225,9 @@ def late_sets(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     pairs = materialize(candidate_pairs(sets, threshold), "pairs")
     ends = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
     involved = materialize(sets.select("id", "doc_id", "text_key", "line_no").join(ends, "id"), "involved")
-    wanted = involved.groupBy("doc_id", "text_key").agg(F.collect_list("line_no").alias("line_nos"))
-    found = _words_of_lines(rows, wanted).select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), F.col("line_no").alias("l"), "words")
+    found = _words_of_lines(rows, involved).select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), F.col("line_no").alias("l"), "words")
     same = involved.doc_id.eqNullSafe(found.d) & (involved.text_key == found.k) & (involved.line_no == found.l)
-    words = materialize(involved.join(found, same).select("id", "words"), "words")
+    words = materialize(involved.join(found, same).select("id", "words").dropDuplicates(["id"]), "words")
     first = pairs.groupBy("x").agg(F.min("y").alias("y"))
     late = materialize(_similar(first, words, threshold).select("x"), "late")
     rest = pairs.join(first, ["x", "y"], "left_anti").join(late, "x", "left_anti")
@@ -202,7 +250,7 @@ def line_dedup(docs: DataFrame, threshold: float = 0.8, count_bits: int = 22, id
     gone = removed_lines(docs, threshold, count_bits, id_col, text_col).groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("gone"))
     named = gone.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "gone")
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    joined = texts.join(named, texts.doc_id.eqNullSafe(named.d) & (texts.text_key == named.k), "left")
+    joined = texts.join(named.hint("shuffle_hash"), texts.doc_id.eqNullSafe(named.d) & (texts.text_key == named.k), "left")
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     some = F.coalesce("gone", F.array().cast("array<int>"))
     kept = F.when(F.size(some) == 0, F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(some, i)), "\n"))
