@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Maps A-Z to a-z in UTF-8 bytes and leaves all others.
 LOWER_TABLE = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 
+PACKAGE_ROOT = str(Path(__file__).resolve().parents[2])
 _own_scratch: dict[str, str] = {}
 
 
@@ -49,7 +51,10 @@ def discard(df: DataFrame) -> None:
 
 
 def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
-    """Let Arrow batches that hold texts end by bytes, so long documents do not add up in a worker. A size that the session has set stays."""
+    """Prepare a session for tasks with texts: Arrow batches end by bytes, so long documents do not add up in a worker (a size that the session has set stays)."""
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if PACKAGE_ROOT not in paths.split(":"):  # tasks find this package wherever the driver was started
+        spark.sparkContext.environment["PYTHONPATH"] = ":".join(x for x in (PACKAGE_ROOT, paths) if x)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key) in ("67108864b", "64MB", "67108864"):
         spark.conf.set(key, size)

@@ -10,8 +10,9 @@ order of document id and line number, has a Jaccard similarity of ``threshold``
 3. Each set is indexed under the words of its prefix: two sets of the wanted similarity share one. Words that occur once
    are left out. Pairs that meet under a word are held to the length filter, the positional filter and a parity-bitmap
    bound on the symmetric difference, all of which only turn away pairs that cannot be similar.
-4. The words of the sets that are left in a pair are fetched, by a Bloom filter that goes to the texts. Each set is verified against its earliest candidate first,
-   and against all its others only if that one is not similar.
+4. The words of the sets that are left in a pair are fetched, by a Bloom filter that goes to the texts, and verified. In a
+   first round a set meets the first set under each of its rarest words; only sets that this does not settle meet all
+   others, so a group of near copies is never paired up.
 
 Words are 64-bit hashes, told from each other in all steps by all 64 bits; 32 of them index a prefix.
 
@@ -27,8 +28,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from trestle.llm._common import materialize, partitions
 from trestle.llm.words import Words, chunks, mix
@@ -39,10 +41,9 @@ class LineSets:
     """The distinct words of every line that has words, by line, and within a line by rising count and hash."""
 
     def __init__(self, words: Words, counts: np.ndarray | None):
-        new = np.ones(len(words.line), bool)
-        new[1:] = words.line[1:] != words.line[:-1]
-        line, n = np.cumsum(new) - 1, int(new.sum())
-        self.text, self.line_no = words.text[new], words.line_no[new]
+        first, line = words.lines()
+        n = len(first)
+        self.text, self.line_no = words.text[first], words.line_no[first]
         h = words.hash
         rank = np.zeros(len(h), np.int64) if counts is None else np.minimum(counts[(h & np.uint64(len(counts) - 1)).astype(np.int64)], (1 << 20) - 1).astype(np.int64)
         order = None
@@ -72,10 +73,19 @@ def word_counts(rows: DataFrame, count_bits: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, mask = np.zeros(1 << count_bits, np.int32), np.uint64((1 << count_bits) - 1)
+        places: list[np.ndarray] = []
+
+        def flush() -> None:
+            if places:
+                total[:] += np.bincount(np.concatenate(places), minlength=len(total)).astype(np.int32)
+                places.clear()
+
         for b in batches:
             for _, words in chunks(b.column("text")):
-                place, times = np.unique((words.hash & mask).astype(np.uint32), return_counts=True)
-                total[place] += times.astype(np.int32)
+                places.append((words.hash & mask).astype(np.uint32))
+                if sum(map(len, places)) > len(total):
+                    flush()
+        flush()
         pack = zstandard.ZstdCompressor(level=1).compress
         yield pa.record_batch([pa.array(range(blocks), pa.int32()), pa.array([pack(x.tobytes()) for x in total.reshape(blocks, size)], pa.binary())], names=["block", "data"])
 
@@ -130,15 +140,46 @@ def numbered_sets(lines: DataFrame) -> DataFrame:
     return ranged.withColumn("id", F.monotonically_increasing_id())
 
 
-def candidate_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of set ids, x after y, that share a prefix word and pass the filters."""
-    index = sets.select("id", "size", "bitmap", "skip", F.posexplode("prefix").alias("at", "word")).select("word", "id", "size", "bitmap", (F.col("at") + F.col("skip")).alias("pos"))
+#: Words of a prefix that are looked at in the first round.
+HEAD_WORDS = 3
+#: Added to the places of a settled set, so that both sides of the index have the same columns.
+SETTLED = 1 << 30
+
+
+def _index(sets: DataFrame, words: int | None = None) -> DataFrame:
+    """word, id, size, bitmap and pos: the words of each set's prefix, all or the first ones."""
+    prefix = F.col("prefix") if words is None else F.slice("prefix", 1, words)
+    rows = sets.select("id", "size", "bitmap", "skip", F.posexplode(prefix).alias("at", "word"))
+    return rows.select("word", "id", "size", "bitmap", (F.col("at") + F.col("skip")).alias("pos"))
+
+
+def _may_be_similar(x: str, y: str, threshold: float) -> Column:
+    """The length, positional and bitmap filters on two index entries of one word, of columns x + name and y + name."""
+    size = F.col(f"{x}size") + F.col(f"{y}size")
+    length = F.least(f"{x}size", f"{y}size") >= threshold * F.greatest(f"{x}size", f"{y}size") - 1e-9
+    left = lambda n: F.col(f"{n}size") - F.col(f"{n}pos").bitwiseAND(SETTLED - 1)
+    place = F.least(left(x), left(y)) >= threshold / (1 + threshold) * size - 1e-9
+    apart = F.bit_count(F.col(f"{x}bitmap").bitwiseXOR(F.col(f"{y}bitmap"))) <= (1 - threshold) / (1 + threshold) * size + 1e-9
+    return length & place & apart
+
+
+def leader_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (x, y) of a set with the first set under each of its rarest prefix words: a few for each set, however many share a word."""
+    entry = F.struct("id", "size", "bitmap", "pos")
+    led = _index(sets, HEAD_WORDS).withColumn("y", F.min(entry).over(Window.partitionBy("word")))
+    return led.where(F.col("id") > F.col("y.id")).where(_may_be_similar("", "y.", threshold)).select(F.col("id").alias("x"), F.col("y.id").alias("y")).distinct()
+
+
+def candidate_pairs(sets: DataFrame, settled: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of ids, x of a set that is not settled (id) and y of a set before it, that share a prefix word and pass the filters.
+
+    Both sides are one index, so it is shuffled once; whether x asks is part of the condition on the pair.
+    """
+    told = sets.join(settled.select("id", F.lit(SETTLED).alias("done")), "id", "left").withColumn("skip", F.col("skip") + F.coalesce("done", F.lit(0)))
+    index = _index(told)
     side = lambda n: index.select("word", *(F.col(c).alias(f"{n}_{c}") for c in ("id", "size", "bitmap", "pos")))
-    both = F.col("x_size") + F.col("y_size")
-    length = F.least("x_size", "y_size") >= threshold * F.greatest("x_size", "y_size") - 1e-9
-    place = F.least(F.col("x_size") - F.col("x_pos"), F.col("y_size") - F.col("y_pos")) >= threshold / (1 + threshold) * both - 1e-9
-    apart = F.bit_count(F.col("x_bitmap").bitwiseXOR(F.col("y_bitmap"))) <= (1 - threshold) / (1 + threshold) * both + 1e-9
-    met = side("x").join(side("y"), "word").where((F.col("x_id") > F.col("y_id")) & length & place & apart)
+    later = F.when(F.col("x_pos") >= SETTLED, F.lit(-1)).otherwise(F.col("x_id")) > F.col("y_id")
+    met = side("x").join(side("y"), "word").where(later & _may_be_similar("x_", "y_", threshold))
     return met.select(F.col("x_id").alias("x"), F.col("y_id").alias("y")).distinct()
 
 
@@ -196,18 +237,19 @@ def _words_of_lines(rows: DataFrame, wanted: DataFrame) -> DataFrame:
         for b in batches:
             ids, keys = (b.column(c).fill_null(NULL_ID).to_numpy(zero_copy_only=False) for c in ("doc_id", "text_key"))
             for row, words in chunks(b.column("text")):
-                s = LineSets(words, None)
-                at = s.text + row
+                first, line = words.lines()
+                at = words.text[first] + row
                 hit = np.ones(len(at), bool)
-                for places in _filter_places(_line_keys(ids[at], keys[at], s.line_no), bits):
+                for places in _filter_places(_line_keys(ids[at], keys[at], words.line_no[first]), bits):
                     places = places.astype(np.int64)
                     hit &= (told[places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & 1 == 1
                 if not hit.any():
                     continue
-                take = pa.array(at[hit])
-                ends = np.concatenate(([0], np.cumsum(s.size[hit]))).astype(np.int32)
-                found = pa.ListArray.from_arrays(pa.array(ends), pa.array(s.hash[hit[s.line]].view(np.int64)))
-                yield pa.record_batch([b.column("doc_id").take(take), b.column("text_key").take(take), pa.array(s.line_no[hit].astype(np.int32)), found], names=["doc_id", "text_key", "line_no", "words"])
+                s = LineSets(words.only(hit[line]), None)
+                take = pa.array(s.text + row)
+                ends = np.concatenate(([0], np.cumsum(s.size))).astype(np.int32)
+                found = pa.ListArray.from_arrays(pa.array(ends), pa.array(s.hash.view(np.int64)))
+                yield pa.record_batch([b.column("doc_id").take(take), b.column("text_key").take(take), pa.array(s.line_no.astype(np.int32)), found], names=["doc_id", "text_key", "line_no", "words"])
 
     return rows.mapInArrow(run, "doc_id bigint, text_key bigint, line_no int, words array<bigint>")
 
@@ -220,18 +262,24 @@ def _similar(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
     return met.where(shared >= threshold * (F.size("x_words") + F.size("y_words") - shared) - 1e-9).select("x", "y")
 
 
-def late_sets(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Ids (x) of the sets that are similar to one before them."""
-    pairs = materialize(candidate_pairs(sets, threshold), "pairs")
+def _verified(rows: DataFrame, sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """The ids x of pairs (x, y) that are similar."""
+    pairs = materialize(pairs, "pairs")
     ends = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
     involved = materialize(sets.select("id", "doc_id", "text_key", "line_no").join(ends, "id"), "involved")
     found = _words_of_lines(rows, involved).select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), F.col("line_no").alias("l"), "words")
     same = involved.doc_id.eqNullSafe(found.d) & (involved.text_key == found.k) & (involved.line_no == found.l)
-    words = materialize(involved.join(found, same).select("id", "words").dropDuplicates(["id"]), "words")
-    first = pairs.groupBy("x").agg(F.min("y").alias("y"))
-    late = materialize(_similar(first, words, threshold).select("x"), "late")
-    rest = pairs.join(first, ["x", "y"], "left_anti").join(late, "x", "left_anti")
-    return late.union(_similar(rest, words, threshold).select("x").distinct())
+    words = materialize(involved.join(found, same).select("id", "words"), "words")  # a repeated row gives its words again, which does no harm
+    return materialize(_similar(pairs, words, threshold).select("x").distinct(), "late")
+
+
+def late_sets(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Ids (x) of the sets that are similar to one before them.
+
+    Round one settles most sets of a group of near copies, by its first set. Only what is left asks the whole index.
+    """
+    first = _verified(rows, sets, leader_pairs(sets, threshold), threshold)
+    return first.union(_verified(rows, sets, candidate_pairs(sets, first.select(F.col("x").alias("id")), threshold), threshold))
 
 
 def removed_lines(docs: DataFrame, threshold: float = 0.8, count_bits: int = 22, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once, unless a single text is longer.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _P = 0x9E3779B97F4A7C15
@@ -55,6 +55,19 @@ class Words:
         self.line = lines[starts] + self.text  # rises over all texts
 
 
+    def lines(self) -> tuple[np.ndarray, np.ndarray]:
+        """For the lines that have words: the index of each one's first word, and of each word its line's place among them."""
+        new = np.ones(len(self.line), bool)
+        new[1:] = self.line[1:] != self.line[:-1]
+        return np.flatnonzero(new), np.cumsum(new) - 1
+
+    def only(self, kept: np.ndarray) -> Words:
+        """The words that a mask keeps."""
+        out = object.__new__(Words)
+        out.hash, out.text, out.line_no, out.line = self.hash[kept], self.text[kept], self.line_no[kept], self.line[kept]
+        return out
+
+
 def chunks(column: pa.Array) -> Iterator[tuple[int, Words]]:
     """Words of a binary column, some texts at a time, with the row of the first."""
     column = column.fill_null(b"") if column.null_count else column
