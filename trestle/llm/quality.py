@@ -193,15 +193,23 @@ def is_good(score: Column, threshold: float = 0.7) -> Column:
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """The documents that the classifier accepts, columns unchanged. Statistics are joined to the texts by the model alone: each text is scored where it is read."""
-    stats = materialize(document_statistics(docs, id_col, text_col), "statistics")
-    model = fit_quality(stats, labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label")))
+    """The documents that the classifier accepts, columns unchanged. Statistics are made once and kept beside their documents, so no text is joined or read for them again."""
+    names, extra = docs.columns, "__quality_stats"
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            stats = [statistics(x or b"") for x in b.column(text_col).cast(pa.binary()).to_pylist()]
+            yield pa.record_batch([*b.columns, pa.array(stats, pa.list_(pa.float64()))], names=[*names, extra])
+
+    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names]
+    kept = materialize(docs.mapInArrow(measure, ", ".join([*fields, f"{extra} array<double>"])), "measured")
+    model = fit_quality(kept.select(F.col(id_col).alias("doc_id"), F.col(extra).alias("stats")), labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label")))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(text_col).cast(pa.binary()).fill_null(b"").to_pylist()
-            good = shared.value.score(np.array([statistics(x) for x in texts]).reshape(-1, len(DOC_STATS))) >= threshold
-            yield b.filter(pa.array(good))
+            if b.num_rows:
+                good = shared.value.score(_stacked(b.column(extra))) >= threshold
+                yield pa.record_batch([b.column(c) for c in names], names=names).filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return kept.mapInArrow(accept, docs.schema)
