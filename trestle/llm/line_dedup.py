@@ -176,7 +176,7 @@ def candidate_pairs(sets: DataFrame, settled: DataFrame, threshold: float) -> Da
     Both sides are one index, so it is shuffled once; whether x asks is part of the condition on the pair.
     """
     told = sets.join(settled.select("id", F.lit(SETTLED).alias("done")), "id", "left").withColumn("skip", F.col("skip") + F.coalesce("done", F.lit(0)))
-    index = _index(told)
+    index = _index(told.where("id is not null"))  # stated, so that the planner's own conditions leave both sides alike
     side = lambda n: index.select("word", *(F.col(c).alias(f"{n}_{c}") for c in ("id", "size", "bitmap", "pos")))
     later = F.when(F.col("x_pos") >= SETTLED, F.lit(-1)).otherwise(F.col("x_id")) > F.col("y_id")
     met = side("x").join(side("y"), "word").where(later & _may_be_similar("x_", "y_", threshold))
