@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from trestle.functions import lexicon as L
 from trestle.plans import driver_tables as D
-from trestle.plans.queries import UNITS
+from trestle.plans.queries import UNITS, WORK_NAMES
 
 M, C, H, R = D.MATERIALS_SQL, D.CONTEXTS_SQL, D.CHANGES_SQL, D.REVISIONS_SQL
 
@@ -231,5 +231,25 @@ SQL["table_kind_fused"] = """WITH x AS (SELECT doc_id, ['estimate', NULL, 'sched
     b AND s <> t AS conflict FROM z"""
 
 
+SQL["lifecycle_replay"] = f"""WITH RECURSIVE {H}, o AS (SELECT key, action, row_number() OVER (PARTITION BY key ORDER BY seq) AS n FROM changes),
+    r AS (SELECT DISTINCT key, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS status, 0 AS revision, 0 AS rejected FROM o
+        UNION ALL SELECT key, n, coalesce(moved, status), CAST(revision + (moved IS NOT NULL)::INTEGER AS INTEGER), CAST(rejected + (moved IS NULL)::INTEGER AS INTEGER) FROM (
+            SELECT o.key, o.n, r.status, r.revision, r.rejected, CASE WHEN action = 'create' AND status IS NULL THEN 'active' WHEN action = 'update' AND status = 'active' THEN 'active'
+                WHEN action = 'archive' AND status = 'active' THEN 'archived' WHEN action = 'restore' AND status = 'archived' THEN 'active' END AS moved FROM r JOIN o ON o.key = r.key AND o.n = r.n + 1))
+    SELECT key, status, revision, rejected FROM r QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC) = 1"""
+
+_has = lambda root: f"len(list_filter(roots, lambda r: {match('r', q(root))})) > 0"
+_hit = lambda m: _has(m[1]) if m[0] == "root" else f"contains(t, {NORM['work'](q(m[1]))})"
+_spec = L.TAXONOMY["cable-duct"]
+_marks = " UNION ALL ".join(f"SELECT id, {i} AS ord, {q(v)} AS variant, greatest(" + ", ".join(f"CASE WHEN {_hit(m)} THEN {m[2]} ELSE 0 END" for m in ms) + ", 0) AS score FROM w WHERE fam" for i, (v, ms) in enumerate(_spec["variants"].items()))
+SQL["taxonomy_classify"] = f"""WITH n AS (SELECT unnest(range(0, {len(WORK_NAMES)})) AS id, unnest({listed(WORK_NAMES)}) AS name), m AS (SELECT id, {NORM['work']('name')} AS t FROM n),
+    w0 AS (SELECT id, t, {stems(words('t', L.STOP_TAXONOMY, 2))} AS roots FROM m), w AS (SELECT *, {' AND '.join(_has(r) for r in _spec['required'])} AS fam FROM w0), s AS ({_marks}),
+    k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, ord) AS place, lead(score) OVER (PARTITION BY id ORDER BY score DESC, ord) AS second FROM s),
+    b AS (SELECT id, variant, score, second, score > 0 AND second > 0 AND score - second < 15 AS close FROM k WHERE place = 1), a AS (SELECT id, string_agg(variant, ',' ORDER BY place) AS alternatives FROM k WHERE score > 0 AND place <= 3 GROUP BY id)
+    SELECT CAST(w.id AS INTEGER) AS id, CASE WHEN fam THEN 'cable-duct' END AS family, CASE WHEN score >= 50 AND NOT close THEN b.variant END AS variant, CAST(coalesce(score, 0) AS INTEGER) AS variant_score, CAST(coalesce(second, 0) AS INTEGER) AS second_score,
+    CASE WHEN t = '' THEN 'name-required' WHEN NOT fam THEN 'family-not-found' WHEN score >= 50 AND NOT close THEN 'family-and-variant-detected' WHEN close THEN 'variant-ambiguous' ELSE 'family-detected-variant-required' END AS decision,
+    coalesce(alternatives, '') AS alternatives FROM w LEFT JOIN b ON b.id = w.id LEFT JOIN a ON a.id = w.id"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
