@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from trestle.functions import lexicon as L
 from trestle.plans import driver_tables as D
-from trestle.plans.queries import UNITS, WORK_NAMES
+from trestle.plans.queries import PAGES, UNITS, WORK_NAMES
 
 M, C, H, R = D.MATERIALS_SQL, D.CONTEXTS_SQL, D.CHANGES_SQL, D.REVISIONS_SQL
 
@@ -251,5 +251,16 @@ SQL["taxonomy_classify"] = f"""WITH n AS (SELECT unnest(range(0, {len(WORK_NAMES
     coalesce(alternatives, '') AS alternatives FROM w LEFT JOIN b ON b.id = w.id LEFT JOIN a ON a.id = w.id"""
 
 
+# document kinds over the inline pages: each phrase counts once for every time that it occurs
+_phrases = ", ".join(f"({i}, {q(k)}, {j}, {q(p)}, {w})" for i, (k, v) in enumerate(L.DOCUMENT_KINDS.items()) for j, (p, w) in enumerate(v))
+_pages = ", ".join(f"({q(d)}, {n}, {q(t)})" for d, n, t in PAGES)
+SQL["doc_kind_ru"] = f"""WITH p(doc, page, text) AS (VALUES {_pages}), n AS (SELECT doc, page, {NORM['plain']('text')} AS t FROM p), d AS (SELECT doc, string_agg(t, ' ' ORDER BY page) AS t, bool_or(page <= 3 AND regexp_matches(t, {q(L.COVER_PATTERN)})) AS cover FROM n GROUP BY doc),
+    r(ord, kind, place, phrase, weight) AS (VALUES {_phrases}), f AS (SELECT *, {NORM['plain']('phrase')} AS f FROM r), c AS (SELECT doc, cover, ord, kind, place, phrase, weight * CAST((length(t) - length(replace(t, f, ''))) / length(f) AS INTEGER) AS points FROM d, f),
+    s AS (SELECT doc, cover, ord, kind, sum(points) AS score, coalesce(string_agg(phrase, '; ' ORDER BY place) FILTER (WHERE points > 0), '') AS phrases FROM c GROUP BY doc, cover, ord, kind),
+    k AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY score DESC, ord) AS rank, lead(score) OVER (PARTITION BY doc ORDER BY score DESC, ord) AS second FROM s)
+    SELECT doc, CASE WHEN cover THEN 'working-documents' WHEN score >= 4 THEN kind ELSE 'unknown' END AS kind, CASE WHEN cover THEN 'high' WHEN score < 4 THEN 'low' WHEN score >= 12 AND score >= second * 1.5 THEN 'high' WHEN score >= 7 THEN 'medium' ELSE 'low' END AS confidence,
+    CAST(score AS INTEGER) AS score, CAST(second AS INTEGER) AS second_score, CASE WHEN NOT cover AND score >= 4 THEN phrases ELSE '' END AS phrases FROM k WHERE rank = 1"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
