@@ -38,7 +38,7 @@ MAGIC, NULL_ID = b"TRTOKIX1", -(1 << 63)
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _RUN = re.compile(r"\s\s")
 #: Pieces that a worker remembers; once it has so many, the ones it meets later, which are rare, are forgotten after each batch.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 600_000
 
 
 class Encoder:
