@@ -128,6 +128,32 @@ def test_many_near_copies_are_one_group(spark):
     assert got == {0}
 
 
+def boilerplate_family(n, seed, shared=264, own=36):
+    """n pages that share most words (pairwise just under 0.8) and, with ids from n, a true near copy of each."""
+    base, rng = words(shared, seed), random.Random(seed)
+    rows = []
+    for i in range(n):
+        page = (base + " " + words(own, seed * 10_000 + i)).split()
+        copy = list(page)
+        copy[rng.randrange(len(page))] = f"new{i}"
+        rows += [(i, " ".join(page), "s"), (n + i, " ".join(copy), "s")]
+    return rows
+
+
+def share_a_variant(a, b):
+    return any(((x ^ y) >> shift & 0xFFFFFFFF).bit_count() <= 1 for x, y in zip(a, b, strict=True) for shift in (0, 32))
+
+
+def test_copies_among_boilerplate_are_found(spark):
+    n = 150
+    rows = boilerplate_family(n, 8)
+    got = {r["doc_id"]: r["component_id"] for r in S.near_copy_groups(table(spark, rows), lanes=1).collect()}
+    prints = {i: S.lanes_of(t.encode(), 2, 1) for i, t, _ in rows}
+    candidates = [i for i in range(n) if share_a_variant(prints[i], prints[n + i])]
+    assert len(candidates) > 100 and [i for i in candidates if got[n + i] != i] == []  # every pair that the signatures give
+    assert all(c == i % n or c == i for i, c in got.items())  # and none between pages
+
+
 def test_simhash_of_nothing(no_docs):
     assert S.simhash_groups(no_docs).count() == 0
     assert S.simhash_dedup(no_docs).count() == 0

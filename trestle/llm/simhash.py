@@ -34,6 +34,8 @@ from trestle.llm._common import LOWER_TABLE, ascii_lower, materialize, partition
 from trestle.llm.components import connected_components
 
 HOT_LIMIT = 64
+#: The same for near_copy_groups(), where a pair costs two shingle sets.
+HOT_TEXTS = 16
 
 
 def shingle_hashes(text: bytes, shingle_words: int) -> np.ndarray:
@@ -157,16 +159,62 @@ def _lanes(docs: DataFrame, id_col: str, text_col: str, feature_words: int, lane
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_key bigint, node bigint, lanes array<bigint>")
 
 
-def lane_candidates(nodes: DataFrame) -> DataFrame:
-    """Pairs a < b of nodes (node, lanes) that share a one-bit-wiped segment of a lane: under each variant, every node with the least one and with the one before it.
+def lane_candidates(nodes: DataFrame, hot_limit: int = HOT_TEXTS) -> DataFrame:
+    """Pairs a < b of nodes (node, lanes) that share a one-bit-wiped segment of a lane, and a row a = b for each hot node.
 
-    Two pairs for each node and variant, however many nodes share it.
+    Under a variant of up to hot_limit nodes all are paired. Nodes under a larger one are hot: here they only meet the least
+    one and the one before, which settles groups of near copies; hot_links() compares what is left.
     """
     lane = nodes.select("node", F.posexplode("lanes").alias("lane", "fp"))
-    variants = _variants(lane, 2, ("node", "lane"))
     key = Window.partitionBy("lane", "slot", "rest").orderBy("node")
-    met = variants.select("node", F.min("node").over(key).alias("least"), F.lag("node").over(key).alias("last"))
-    return met.select(F.explode(F.array("least", "last")).alias("a"), F.col("node").alias("b")).where("a < b").distinct()
+    whole = key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    shared = _variants(lane, 2, ("node", "lane")).withColumn("n", F.count("*").over(whole)).where("n > 1")  # most variants are alone and go no further
+    before = F.collect_list("node").over(key.rowsBetween(-hot_limit, -1))
+    met = shared.select("node", "n", before.alias("before"), F.min("node").over(whole).alias("least"), F.lag("node").over(key).alias("last"))
+    others = F.when(F.col("n") <= hot_limit, F.col("before")).otherwise(F.array("least", "last", "node"))
+    return met.select(F.explode(others).alias("a"), F.col("node").alias("b")).where("a <= b").distinct()
+
+
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows with a node, and the root of its component so far."""
+    return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have the similarity."""
+    side = lambda n: sets.select(F.col("node").alias(n), F.col("shingles").alias(f"{n}_set"))
+    shared = F.size(F.array_intersect("a_set", "b_set"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(shared >= similarity * (F.size("a_set") + F.size("b_set") - shared)).select("a", "b")
+
+
+def hot_links(hot: DataFrame, sets: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Components (node, root) of roots and of all links between hot nodes, exactly.
+
+    Shingles are ordered from rare to frequent. Two sets that are similar enough share one within the prefix of each, and
+    at its first such place there is enough left of both. Each set first meets the least one and the one before it under its
+    shingles; then sets that are still in different components are paired. Members of one component never are.
+    """
+    filled = F.when(F.size("shingles") > 0, F.col("shingles")).otherwise(F.array(F.lit(0).cast("bigint")))  # texts without words are alike
+    words = hot.join(sets, "node").select("node", F.size(filled).alias("size"), F.explode(filled).alias("s"))
+    ranked = words.join(words.groupBy("s").agg(F.count("*").alias("n")), "s").withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("n", "s")) - 1)
+    left, slack = F.col("size") - F.col("place"), 1e-9
+    prefix = materialize(ranked.where("n > 1").where(left >= similarity * F.col("size") - slack).select("node", "size", "s", "place"), "prefix")
+    both = similarity / (1 + similarity)
+
+    key = Window.partitionBy("s").orderBy("node")
+    rows = _rooted(prefix.select("node", "s"), roots).withColumns({"first": F.min(F.struct("node", "root")).over(Window.partitionBy("s")), "last": F.lag(F.struct("node", "root")).over(key)})
+    met = rows.select(F.explode(F.array("first", "last")).alias("o"), "node", "root").where("o.node < node and o.root <> root").select(F.col("o.node").alias("a"), F.col("node").alias("b")).distinct()
+    star = lambda r: r.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    roots = connected_components(star(roots).union(_verified(met, sets, similarity)))
+
+    probe = _rooted(prefix, roots)
+    index = probe.where(left >= 2 * both * F.col("size") - slack)  # the smaller set of a pair
+    named = lambda rows, x: rows.select("s", *[F.col(c).alias(f"{x}_{c}") for c in ("root", "node", "size", "place")])
+    apart = index.select("s", F.col("root").alias("a_root")).distinct().join(probe.select("s", F.col("root").alias("b_root")).distinct(), "s").where("a_root <> b_root")
+    enough = F.least(F.col("a_size") - F.col("a_place"), F.col("b_size") - F.col("b_place")) >= both * (F.col("a_size") + F.col("b_size")) - slack
+    smaller = F.struct("a_size", "a_node") < F.struct("b_size", "b_node")
+    pairs = apart.join(named(index, "a"), ["s", "a_root"]).join(named(probe, "b"), ["s", "b_root"]).where(smaller & enough)
+    return connected_components(star(roots).union(_verified(pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct(), sets, similarity)))
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle_words: int) -> DataFrame:
@@ -183,24 +231,25 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str
     return rows.mapInArrow(run, "node bigint, shingles array<bigint>").dropDuplicates(["node"])
 
 
-def near_copy_groups(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, feature_words: int = 2, lanes: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_copy_groups(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, feature_words: int = 2, lanes: int = 4, hot_limit: int = HOT_TEXTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_key and component_id, the smallest id of the near copies' group; one row per input row.
 
     A longer fingerprint of ``lanes`` times 64 bits over shingles of ``feature_words`` words stands in for max_distance: two
     texts are candidates if one of its 32-bit segments differs by at most one bit, found through the same deletion variants.
     Candidates are verified: they are linked if the Jaccard similarity of their sets of ``shingle_words``-word shingles is
-    ``similarity`` or more. Copies (A-Z lower-cased) are always one group.
+    ``similarity`` or more. Texts under a variant that more than ``hot_limit`` share are compared by their shingles instead,
+    all with all. Copies (A-Z lower-cased) are always one group.
     """
     rows = materialize(_lanes(docs, id_col, text_col, feature_words, lanes), "lanes")
     nodes = rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_key", "lanes")).alias("first"), F.min("doc_id").alias("least_id"))
     nodes = materialize(nodes.select("node", "least_id", "first.doc_id", "first.text_key", "first.lanes"), "nodes")
-    found = materialize(lane_candidates(nodes.select("node", "lanes").repartition(partitions(docs.sparkSession), "node")), "candidates")
+    found = materialize(lane_candidates(nodes.select("node", "lanes").repartition(partitions(docs.sparkSession), "node"), hot_limit), "candidates")
     ends = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
     sets = materialize(_shingle_sets(docs, nodes.join(ends, "node"), id_col, text_col, shingle_words), "shingles")
-    side = lambda n: sets.select(F.col("node").alias(n), F.col("shingles").alias(f"{n}_set"))
-    shared = F.size(F.array_intersect("a_set", "b_set"))
-    linked = found.join(side("a"), "a").join(side("b"), "b").where(shared >= similarity * (F.size("a_set") + F.size("b_set") - shared)).select("a", "b")
-    roots = connected_components(linked)
+    roots = connected_components(_verified(found.where("a < b"), sets, similarity))
+    hot = found.where("a = b").select(F.col("a").alias("node"))
+    if not hot.isEmpty():
+        roots = hot_links(hot, sets, roots, similarity)
     rooted = nodes.select("node", "least_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     classes = materialize(rooted.select("node", "root").join(named, "root").select("node", "component_id"), "classes")
