@@ -156,6 +156,18 @@ def test_pieces_give_the_ids_of_whole_texts(name):
             assert np.frombuffer(b, e.dtype).tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def test_special_tokens_are_the_librarys(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer_path())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y", "one  <|endoftext|>\ntwo", "end <|endoftext|> <|endoftext|>", "a b", "<|endoftext"]
+    assert plain.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    out = new_path(spark, "tokens")
+    TF.write_token_files(table(spark, [(i, t, "s") for i, t in enumerate(texts)]), out, tokenizer_path(), 2)
+    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in TF.read_token_files(spark, out).collect()}
+    assert got == {i: plain.encode(t, add_special_tokens=False).ids + [2] for i, t in enumerate(texts)}
+
+
 def test_full_piece_cache_forgets_nothing_that_it_needs(monkeypatch):
     monkeypatch.setattr(TF, "CACHE_PIECES", 3)
     e = TF.Encoder(open(tokenizer_path(), encoding="utf-8").read())

@@ -53,7 +53,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         top = self.tokenizer.get_vocab_size()
         self.dtype, self.code = (np.dtype("<u2"), "H") if top <= 1 << 16 else (np.dtype("<u4"), "I")
         conf = json.loads(spec)
@@ -61,7 +60,7 @@ class Encoder:
         self.by_piece = (
             not conf.get("normalizer") and not conf.get("truncation") and not conf.get("padding")
             and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-            and not any(re.search(r"\s", t["content"]) or t.get("lstrip") or t.get("rstrip") for t in conf.get("added_tokens") or [] if not t.get("special"))
+            and not any(re.search(r"\s", t["content"]) or t.get("lstrip") or t.get("rstrip") for t in conf.get("added_tokens") or [])
         )
         self.id_bytes = np.zeros(top, np.int64)
         for token, i in self.tokenizer.get_vocab().items():
