@@ -227,4 +227,46 @@ def test_line_dedup(spark):
 def test_line_dedup_takes_any_rows(docs, no_docs):
     assert LD.line_dedup(docs).count() == len(ROWS)
     assert LD.line_dedup(no_docs).count() == 0
-    assert LD.removed_lines(docs).where(F.col("doc_id") == 8).count() == 1
+    assert LD.removed_lines(docs).where(F.col("id") == 8).distinct().count() == 1
+
+
+def complementary_words(n=1024):
+    """Two words that every polynomial sum modulo 2**64 hashes alike."""
+    one = "a"
+    while len(one) < n:
+        one += one.translate(str.maketrans("ab", "ba"))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_look_alike_to_sums_are_told_apart(spark):
+    one, other = complementary_words()
+    rows = [(1, " ".join([one, *words(12, 1).split()]), "s"), (2, " ".join([other, *words(12, 1).split()]), "s"), (3, one, "s"), (4, other, "s")]
+    assert [r["n_removed"] for r in SD.remove_repeats(table(spark, rows), 13).collect()] == [0] * 4
+    assert [r["n_removed"] for r in LD.line_dedup(table(spark, rows[2:]), 0.8).collect()] == [0] * 2
+
+
+def test_windows_of_one_hash_are_told_apart_by_their_words(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [words(40, 1) + " " + words(20, 2), words(20, 3) + " " + words(40, 1)]
+    chunk = SD._Chunk(pa.table({"id": pa.array([1, 2]), "text": pa.array([t.encode() for t in texts], pa.binary())}), 13)
+    chunk.h1[:], chunk.h2[:] = 7, 7
+    group, one = chunk._same_windows(np.arange(len(chunk.at)))
+    windows = [tuple(texts[d].split()[i : i + 13]) for d in (0, 1) for i in range(48)]
+    assert len(one) == len(set(windows)) == len({(g, w) for g, w in zip(group.tolist(), windows, strict=True)})
+
+
+def test_copies_that_a_task_remembers(spark):
+    rows = [(i, "one two three\n" + words(6, i), "s") for i in range(200)] + [(500 + i, "one two three", "s") for i in range(50)]
+    got = sorted(((r["doc_id"], r["n_lines"], r["n_removed"], r["kept_text"]) for r in LD.line_dedup(table(spark, rows[::-1]).coalesce(1), 0.8).collect()), key=str)
+    assert got == plain_lines([(i, t) for i, t, _ in rows], 0.8)
+
+
+def test_repeated_rows_and_null_ids_in_line_dedup(spark):
+    rows = [(None, "a b c d\ne f g h", "s"), (5, "a b c d\nx", "s"), (5, "a b c d\nx", "s"), (5, "x\nother text", "s"), (-(1 << 63), "e f g h", "s")]
+    got = sorted((str(r["doc_id"]), r["n_removed"], r["kept_text"]) for r in LD.line_dedup(table(spark, rows), 0.8).collect())
+    lows = [r for r in got if r[0] in ("None", str(-(1 << 63)))]
+    assert sum(r[1] for r in lows) == 1  # one of the two lowest loses the line that both have
+    fives = [r for r in got if r[0] == "5"]
+    assert sorted(r[1] for r in fives if r[2] != "x\nother text" and r[2] != "other text") in ([1, 1], [2, 2]) and sum("x" in r[2].split("\n") for r in fives) in (1, 2)

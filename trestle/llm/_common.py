@@ -16,6 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 LOWER_TABLE = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 
 PACKAGE_ROOT = str(Path(__file__).resolve().parents[2])
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own_scratch: dict[str, str] = {}
 
 
@@ -34,9 +35,17 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts lineage, survives lost executors, keeps columns prunable."""
+    """Write a table to the shared folder and read it again: cuts lineage, survives lost executors, keeps columns prunable.
+
+    Once it is written, Spark drops the shuffle files that led to it.
+    """
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before) if before is not None else spark.conf.unset(_CLEAN_UP)
     out = spark.read.schema(df.schema).parquet(path)
     out._trestle_path = path  # for discard()
     return out

@@ -4,21 +4,20 @@ A line is the set of its words (runs without white space, unchanged). A line is
 order of document id and line number, has a Jaccard similarity of ``threshold`` or more; lines are judged on the input.
 
 1. Word counts of all lines go into a count-min row of ``2**count_bits`` counters, summed over tasks. Ordering words by
-   estimated count, then by hash, is one total order for all lines, rarest first, whatever the estimates' errors.
-2. Lines of one word set are one set, kept with its first line; copies go no further. Sets are numbered in the order of
-   their first lines.
+   estimated count, then by digest, is one total order for all lines, rarest first, whatever the estimates' errors.
+2. Lines of one word set are one set, kept with its first line; the others are removed and go no further. Sets are told
+   apart by a cryptographic digest of their words. Copies within a task are found before the shuffle.
 3. Each set is indexed under the words of its prefix: two sets of the wanted similarity share one. Words that occur once
    are left out. Pairs that meet under a word are held to the length filter, the positional filter and a parity-bitmap
    bound on the symmetric difference, all of which only turn away pairs that cannot be similar.
-4. The words of the sets that are left in a pair are fetched, by a Bloom filter that goes to the texts, and verified. In a
-   first round a set meets the first set under each of its rarest words; only sets that this does not settle meet all
-   others, so a group of near copies is never paired up.
-
-Words are 64-bit hashes, told from each other in all steps by all 64 bits; 32 of them index a prefix.
-
-Defined cases: null texts have no lines; lines without words are always kept; a null id is below all others; rows of one
-id are told apart by their text, and lines of identical rows count as the same line; an empty table gives an empty result;
-other columns are not read.
+4. The lines of the sets that are left in a pair are fetched, by a Bloom filter that goes to the texts, and their words
+   compared. In a first round a set meets the first set under each of its rarest words. Sets that this settles ask no
+   more: they are taken out of the asking side before the join, so a group of near copies is never paired up.
+
+Defined cases: null texts have no lines; lines without words are always kept; ids are integers, and a null id counts as the
+least 64-bit integer in the order and comes back null; rows of one id are told apart by a hash of their text, and the lines
+of identical rows count as the same line, so they keep or lose it together; a very long text or line is worked on whole; an
+empty table gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,275 +31,384 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trestle.llm._common import materialize, partitions
-from trestle.llm.words import Words, chunks, mix
+from trestle.llm._common import discard, materialize
+from trestle.llm.words import Vocabulary, digest_pairs, text_chunks
 
 NULL_ID, _ODD = -(1 << 63), 0xD6E8FEB86659FD93
+#: What tells a line from others, in order.
+PLACE = ("id", "text_key", "line_no")
+
 
 class LineSets:
-    """The distinct words of every line that has words, by line, and within a line by rising count and hash."""
-
-    def __init__(self, words: Words, counts: np.ndarray | None):
-        first, line = words.lines()
-        n = len(first)
-        self.text, self.line_no = words.text[first], words.line_no[first]
-        h = words.hash
-        rank = np.zeros(len(h), np.int64) if counts is None else np.minimum(counts[(h & np.uint64(len(counts) - 1)).astype(np.int64)], (1 << 20) - 1).astype(np.int64)
+    """The distinct words of some lines, by line, and within a line by rising count and digest."""
+
+    def __init__(self, vocabulary: Vocabulary, lists: list[list[bytes]], counts: np.ndarray):
+        n, codes = len(lists), vocabulary.codes(lists)
+        halves = vocabulary.digests()
+        line = np.repeat(np.arange(n), [len(x) for x in lists])
+        h = halves[codes, 0]
+        rank = np.minimum(counts[(h & np.uint64(len(counts) - 1)).astype(np.int64)], (1 << 20) - 1).astype(np.int64)
         order = None
         if n <= 1 << 20:
             packed = (line.astype(np.uint64) << np.uint64(44)) | (rank.astype(np.uint64) << np.uint64(24)) | (h >> np.uint64(40))
             order = np.argsort(packed)
-            p, g = packed[order], h[order]
-            if ((p[1:] == p[:-1]) & (g[1:] != g[:-1])).any():  # two words with equal leading bits: all bits have to decide
+            p, c = packed[order], codes[order]
+            if ((p[1:] == p[:-1]) & (c[1:] != c[:-1])).any():  # two words with equal leading bits: all bits have to decide
                 order = None
         if order is None:
-            order = np.lexsort((h, rank, line))
-        h, line, rank = h[order], line[order], rank[order]
-        kept = np.ones(len(h), bool)
-        kept[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
-        self.hash, self.line, self.rank = h[kept], line[kept], rank[kept]
-        self.size = np.bincount(self.line, minlength=n) if n else np.zeros(0, np.int64)
-        self.start = np.concatenate(([0], np.cumsum(self.size)))[:-1] if n else np.zeros(0, np.int64)
+            order = np.lexsort((halves[codes, 1], h, rank, line))
+        codes, line, rank = codes[order], line[order], rank[order]
+        kept = np.ones(len(codes), bool)
+        kept[1:] = (codes[1:] != codes[:-1]) | (line[1:] != line[:-1])
+        codes, self.line, self.rank = codes[kept], line[kept], rank[kept]
+        self.hash = halves[codes, 0]
+        self.size = np.bincount(self.line, minlength=n)
+        self.start = np.cumsum(self.size) - self.size
+        data, cuts = halves[codes].tobytes(), [0, *(16 * np.cumsum(self.size)).tolist()]
+        #: Of every line, the digest of its words' digests.
+        self.digest = digest_pairs(data[i:j] for i, j in zip(cuts, cuts[1:], strict=False))
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("binary").alias("text"))
+    """id (never null), text_key and text (bytes)."""
+    number = F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID))
+    return docs.select(number.alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("binary").alias("text"))
+
+
+def _added_up(partial: DataFrame, blocks: int, combine) -> dict[int, bytes]:
+    """Arrays that tasks send in compressed blocks (block, data), combined block by block; the driver gets one array in all."""
+
+    def add(table: pa.Table) -> pa.Table:
+        unpack = zstandard.ZstdDecompressor().decompress
+        total = combine(unpack(x) for x in table.column("data").to_pylist())
+        return pa.table({"block": table.column("block")[:1], "data": pa.array([total.tobytes()], pa.binary())})
+
+    return dict(partial.groupBy("block").applyInArrow(add, "block int, data binary").collect())
+
+
+def _in_blocks(values: np.ndarray, blocks: int) -> pa.RecordBatch:
+    pack = zstandard.ZstdCompressor(level=1).compress
+    return pa.record_batch([pa.array(range(blocks), pa.int32()), pa.array([pack(x.tobytes()) for x in values.reshape(blocks, -1)], pa.binary())], names=["block", "data"])
 
 
 def word_counts(rows: DataFrame, count_bits: int) -> np.ndarray:
-    """Counters of words over all texts: the place of a word is the low bits of its hash."""
-    blocks, size = 64, (1 << count_bits) // 64
+    """Counters of words over all texts: the place of a word is the low bits of its digest."""
+    blocks = 64
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, mask = np.zeros(1 << count_bits, np.int32), np.uint64((1 << count_bits) - 1)
-        places: list[np.ndarray] = []
+        total, vocabulary = np.zeros(1 << count_bits, np.int64), Vocabulary()
+        held: list[np.ndarray] = []
 
         def flush() -> None:
-            if places:
-                total[:] += np.bincount(np.concatenate(places), minlength=len(total)).astype(np.int32)
-                places.clear()
+            if held:
+                uses = np.bincount(np.concatenate(held), minlength=len(vocabulary))
+                np.add.at(total, (vocabulary.digests()[:, 0] & np.uint64(len(total) - 1)).astype(np.int64), uses)
+                held.clear()
+            vocabulary.trim()
 
         for b in batches:
-            for _, words in chunks(b.column("text")):
-                places.append((words.hash & mask).astype(np.uint32))
-                if sum(map(len, places)) > len(total):
+            for _, texts in text_chunks(b.column("text")):
+                held.append(vocabulary.codes([t.split() for t in texts]))
+                if sum(map(len, held)) > 1 << 20:
                     flush()
         flush()
-        pack = zstandard.ZstdCompressor(level=1).compress
-        yield pa.record_batch([pa.array(range(blocks), pa.int32()), pa.array([pack(x.tobytes()) for x in total.reshape(blocks, size)], pa.binary())], names=["block", "data"])
-
-    def add(table: pa.Table) -> pa.Table:
-        unpack = zstandard.ZstdDecompressor().decompress
-        total = np.zeros(size, np.int64)
-        for x in table.column("data").to_pylist():
-            total += np.frombuffer(unpack(x), np.int32)
-        return pa.table({"block": table.column("block")[:1], "data": pa.array([np.minimum(total, (1 << 32) - 1).astype("<u4").tobytes()], pa.binary())})
-
-    summed = rows.select("text").mapInArrow(count, "block int, data binary").groupBy("block").applyInArrow(add, "block int, data binary")
-    out = np.zeros((blocks, size), "<u4")
-    for i, data in summed.collect():  # 4 * 2**count_bits bytes in all, whatever the input
-        out[i] = np.frombuffer(data, "<u4")
-    return out.reshape(-1)
+        yield _in_blocks(np.minimum(total, (1 << 32) - 1).astype("<u4"), blocks)
+
+    def add(parts: Iterator[bytes]) -> np.ndarray:
+        total = np.zeros((1 << count_bits) // blocks, np.int64)
+        for x in parts:
+            total += np.frombuffer(x, "<u4")
+        return np.minimum(total, (1 << 32) - 1).astype("<u4")
+
+    found = _added_up(rows.select("text").mapInArrow(count, "block int, data binary"), blocks, add)  # 4 * 2**count_bits bytes in all
+    return np.concatenate([np.frombuffer(found[i], "<u4") for i in range(blocks)]) if found else np.zeros(1 << count_bits, "<u4")
+
+
+#: A set that so many lines of a batch share is remembered by the task, which then holds back its later copies; so many sets at most.
+MANY, HELD_SETS = 16, 65_536
+
+
+class _Copies:
+    """Finds lines of a task that repeat the word set of a line before them. What it does not notice, the shuffle finds."""
+
+    def __init__(self) -> None:
+        self.known: dict[tuple[int, int], tuple] = {}
+
+    def roles(self, s1: np.ndarray, s2: np.ndarray, place: list[np.ndarray]) -> np.ndarray:
+        """0: may be the first line of its set, 1: a copy of an earlier line, 2: the same line again."""
+        order = np.lexsort((*reversed(place), s2, s1))
+        a, b = s1[order], s2[order]
+        first = np.ones(len(order), bool)
+        first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        starts = np.flatnonzero(first)
+        group = np.cumsum(first) - 1
+        same = np.logical_and.reduce([p[order] == p[order][starts][group] for p in place])
+        out = np.where(first, 0, np.where(same, 2, 1))
+        if self.known:
+            for g in np.flatnonzero(np.isin(a[starts], np.fromiter((k[0] for k in self.known), np.uint64, len(self.known)))).tolist():
+                i = starts[g]
+                told = self.known.get((int(a[i]), int(b[i])))
+                if told and told < tuple(int(p[order[i]]) for p in place):
+                    out[i] = 1
+        sizes = np.diff(np.append(starts, len(order)))
+        for i in starts[sizes >= MANY].tolist():
+            key, here = (int(a[i]), int(b[i])), tuple(int(p[order[i]]) for p in place)
+            if len(self.known) >= HELD_SETS:
+                self.known.clear()
+            self.known[key] = min(self.known.get(key, here), here)
+        roles = np.empty(len(order), np.int8)
+        roles[order] = out
+        return roles
 
 
 def lines_of(rows: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
-    """One row per line with words: doc_id, text_key, line_no, s1 and s2 (128 bits of the word set), size, bitmap, and prefix, less the ``skip`` words at its start that occur once."""
+    """One row per line with words: id, text_key, line_no, copy (is it known to repeat an earlier one), s1 and s2 (digest of the word set), size, bitmap, and prefix, less the ``skip`` words at its start that occur once."""
     shared = rows.sparkSession.sparkContext.broadcast(counts)
+    names = ("id", "text_key", "line_no", "copy", "s1", "s2", "size", "bitmap", "skip", "prefix")
+
+    def of_texts(vocabulary: Vocabulary, texts: list[bytes]) -> dict[str, np.ndarray] | None:
+        lists, text, line_no = [], [], []
+        for i, t in enumerate(texts):
+            for n, line in enumerate(t.split(b"\n")):
+                if words := line.split():
+                    lists.append(words)
+                    text.append(i)
+                    line_no.append(n)
+        if not lists:
+            return None
+        vocabulary.trim()
+        s = LineSets(vocabulary, lists, shared.value)
+        length = s.size - np.ceil(threshold * s.size - 1e-9).astype(np.int64) + 1
+        within = np.arange(len(s.hash)) - s.start[s.line] < length[s.line]
+        once = within & (s.rank <= 1)
+        listed = within & ~once
+        return {
+            "text": np.array(text), "line_no": np.array(line_no, np.int32), "s1": s.digest[:, 0], "s2": s.digest[:, 1], "size": s.size.astype(np.int32),
+            "bitmap": np.bitwise_xor.reduceat(np.uint64(1) << (s.hash >> np.uint64(58)), s.start).view(np.int64), "skip": np.bincount(s.line[once], minlength=len(s.size)).astype(np.int32),
+            "listed": np.bincount(s.line[listed], minlength=len(s.size)), "words": (s.hash[listed] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32),
+        }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, copies = Vocabulary(), _Copies()
         for b in batches:
-            for row, words in chunks(b.column("text")):
-                s = LineSets(words, shared.value)
-                if not len(s.size):
-                    continue
-                sums = [np.add.reduceat(mix(s.hash + np.uint64(k)), s.start).view(np.int64) for k in (1, 2)]
-                bitmap = np.bitwise_xor.reduceat(np.uint64(1) << (s.hash >> np.uint64(58)), s.start).view(np.int64)
-                length = s.size - np.ceil(threshold * s.size - 1e-9).astype(np.int64) + 1
-                place = np.arange(len(s.hash)) - s.start[s.line]
-                within = place < length[s.line]
-                once = within & (s.rank <= 1)
-                skip = np.bincount(s.line[once], minlength=len(s.size))
-                listed = within & ~once
-                ends = np.concatenate(([0], np.cumsum(np.bincount(s.line[listed], minlength=len(s.size))))).astype(np.int32)
-                prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array((s.hash[listed] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
-                at = pa.array(s.text + row)
-                columns = {"doc_id": b.column("doc_id").take(at), "text_key": b.column("text_key").take(at), "line_no": pa.array(s.line_no.astype(np.int32)), "s1": pa.array(sums[0]), "s2": pa.array(sums[1])}
-                columns |= {"size": pa.array(s.size.astype(np.int32)), "bitmap": pa.array(bitmap), "skip": pa.array(skip.astype(np.int32)), "prefix": prefix}
-                yield pa.record_batch(list(columns.values()), names=list(columns))
-
-    return rows.mapInArrow(run, "doc_id bigint, text_key bigint, line_no int, s1 bigint, s2 bigint, size int, bitmap bigint, skip int, prefix array<int>")
+            found = []
+            for row, texts in text_chunks(b.column("text")):
+                if part := of_texts(vocabulary, texts):
+                    part["text"] += row
+                    found.append(part)
+            if not found:
+                continue
+            x = {k: np.concatenate([p[k] for p in found]) for k in found[0]}
+            ids, keys = (b.column(c).to_numpy(zero_copy_only=False)[x["text"]] for c in ("id", "text_key"))
+            roles = copies.roles(x["s1"], x["s2"], [ids, keys, x["line_no"]])
+            alone = roles == 1  # copies need no group: they are spread by a digest of their place
+            x["s1"][alone] = _line_keys(ids, keys, x["line_no"])[alone]
+            x["listed"] = np.where(alone, 0, x["listed"])
+            words = x["words"][np.repeat(~alone, np.concatenate([p["listed"] for p in found]))]
+            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(x["listed"]))).astype(np.int32)), pa.array(words))
+            columns = [pa.array(ids), pa.array(keys), pa.array(x["line_no"]), pa.array(alone), pa.array(x["s1"].view(np.int64)), pa.array(x["s2"].view(np.int64)), pa.array(x["size"]), pa.array(x["bitmap"]), pa.array(x["skip"]), prefix]
+            yield pa.record_batch(columns, names=list(names)).filter(pa.array(roles < 2))
+
+    return rows.mapInArrow(run, "id bigint, text_key bigint, line_no int, copy boolean, s1 bigint, s2 bigint, size int, bitmap bigint, skip int, prefix array<int>")
 
 
 def numbered_sets(lines: DataFrame) -> DataFrame:
-    """One row per word set: s1, s2, first (doc_id, text_key, line_no), id, which rises with first, size, bitmap, skip and prefix."""
-    names = ("doc_id", "text_key", "line_no", "size", "bitmap", "skip", "prefix")
-    firsts = lines.groupBy("s1", "s2").agg(F.min(F.struct(*names)).alias("f")).select("s1", "s2", "f.*")
-    order = ("doc_id", "text_key", "line_no")
-    ranged = firsts.repartitionByRange(partitions(lines.sparkSession), *order).sortWithinPartitions(*order)
-    return ranged.withColumn("id", F.monotonically_increasing_id())
+    """Lines with their place: copy, or else the first line of a set, which has a number ``set`` with no meaning, size, bitmap, skip and prefix."""
+    place = F.struct(*PLACE)
+    upto = Window.partitionBy("s1", "s2").orderBy(*PLACE)
+    told = lines.withColumns({"nth": F.row_number().over(upto), "first": F.first(place).over(upto)})
+    told = told.withColumn("copy", F.col("copy") | (place > F.col("first"))).where("copy or nth = 1")
+    return told.select(*PLACE, "copy", "size", "bitmap", "skip", F.when(~F.col("copy"), F.col("prefix")).alias("prefix"), F.monotonically_increasing_id().alias("set"))
 
 
 #: Words of a prefix that are looked at in the first round.
 HEAD_WORDS = 3
-#: Added to the places of a settled set, so that both sides of the index have the same columns.
-SETTLED = 1 << 30
 
 
 def _index(sets: DataFrame, words: int | None = None) -> DataFrame:
-    """word, id, size, bitmap and pos: the words of each set's prefix, all or the first ones."""
+    """word, set, id, bitmap and shape (size and place of the word in the set): the words of each set's prefix, all or the first ones."""
     prefix = F.col("prefix") if words is None else F.slice("prefix", 1, words)
-    rows = sets.select("id", "size", "bitmap", "skip", F.posexplode(prefix).alias("at", "word"))
-    return rows.select("word", "id", "size", "bitmap", (F.col("at") + F.col("skip")).alias("pos"))
+    rows = sets.select("set", "id", "size", "bitmap", "skip", F.posexplode(prefix).alias("at", "word"))
+    shape = F.shiftleft(F.col("size").cast("bigint"), 32).bitwiseOR((F.col("at") + F.col("skip")).cast("bigint"))
+    return rows.select("word", "set", "id", "bitmap", shape.alias("shape"))
 
 
 def _may_be_similar(x: str, y: str, threshold: float) -> Column:
     """The length, positional and bitmap filters on two index entries of one word, of columns x + name and y + name."""
-    size = F.col(f"{x}size") + F.col(f"{y}size")
-    length = F.least(f"{x}size", f"{y}size") >= threshold * F.greatest(f"{x}size", f"{y}size") - 1e-9
-    left = lambda n: F.col(f"{n}size") - F.col(f"{n}pos").bitwiseAND(SETTLED - 1)
-    place = F.least(left(x), left(y)) >= threshold / (1 + threshold) * size - 1e-9
-    apart = F.bit_count(F.col(f"{x}bitmap").bitwiseXOR(F.col(f"{y}bitmap"))) <= (1 - threshold) / (1 + threshold) * size + 1e-9
+    size = lambda n: F.shiftright(f"{n}shape", 32)
+    left = lambda n: size(n) - F.col(f"{n}shape").bitwiseAND((1 << 32) - 1)
+    both = size(x) + size(y)
+    length = F.least(size(x), size(y)) >= threshold * F.greatest(size(x), size(y)) - 1e-9
+    place = F.least(left(x), left(y)) >= threshold / (1 + threshold) * both - 1e-9
+    apart = F.bit_count(F.col(f"{x}bitmap").bitwiseXOR(F.col(f"{y}bitmap"))) <= (1 - threshold) / (1 + threshold) * both + 1e-9
     return length & place & apart
 
 
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.select(F.least("x_set", "y_set").alias("x"), F.greatest("x_set", "y_set").alias("y")).distinct()
+
+
+def _side(index: DataFrame, name: str) -> DataFrame:
+    return index.select("word", *(F.col(c).alias(f"{name}_{c}") for c in ("set", "id", "bitmap", "shape")))
+
+
 def leader_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (x, y) of a set with the first set under each of its rarest prefix words: a few for each set, however many share a word."""
-    entry = F.struct("id", "size", "bitmap", "pos")
-    led = _index(sets, HEAD_WORDS).withColumn("y", F.min(entry).over(Window.partitionBy("word")))
-    return led.where(F.col("id") > F.col("y.id")).where(_may_be_similar("", "y.", threshold)).select(F.col("id").alias("x"), F.col("y.id").alias("y")).distinct()
+    """Pairs (x, y) of a set with a set of the first document under each of its rarest prefix words: a few for each set, however many share a word."""
+    index = _index(sets, HEAD_WORDS)
+    led = index.groupBy("word").agg(*(F.min_by(c, "id").alias(f"y_{c}") for c in ("set", "bitmap", "shape")), F.min("id").alias("y_id"))
+    return _pairs(_side(index, "x").join(led, "word").where("x_set <> y_set").where(_may_be_similar("x_", "y_", threshold)))
 
 
 def candidate_pairs(sets: DataFrame, settled: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of ids, x of a set that is not settled (id) and y of a set before it, that share a prefix word and pass the filters.
+    """Pairs of sets, one of them not settled (set) and not before the other, that share a prefix word and pass the filters."""
+    asking = sets.join(settled.select("set"), "set", "left_anti")
+    met = _side(_index(asking), "x").join(_side(_index(sets), "y"), "word")
+    return _pairs(met.where("x_id >= y_id and x_set <> y_set").where(_may_be_similar("x_", "y_", threshold)))
 
-    Both sides are one index, so it is shuffled once; whether x asks is part of the condition on the pair.
-    """
-    told = sets.join(settled.select("id", F.lit(SETTLED).alias("done")), "id", "left").withColumn("skip", F.col("skip") + F.coalesce("done", F.lit(0)))
-    index = _index(told.where("id is not null"))  # stated, so that the planner's own conditions leave both sides alike
-    side = lambda n: index.select("word", *(F.col(c).alias(f"{n}_{c}") for c in ("id", "size", "bitmap", "pos")))
-    later = F.when(F.col("x_pos") >= SETTLED, F.lit(-1)).otherwise(F.col("x_id")) > F.col("y_id")
-    met = side("x").join(side("y"), "word").where(later & _may_be_similar("x_", "y_", threshold))
-    return met.select(F.col("x_id").alias("x"), F.col("y_id").alias("y")).distinct()
 
-
-#: Bits of the filter that says which lines' words to fetch: about 16 for each line, at least and at most so many. It is sent to every task.
+#: Bits of the filter that says which lines to fetch: about 16 for each key, at least and at most so many. It is sent to every task; a full one only lets more lines pass.
 FILTER_BITS = (1 << 20, 1 << 30)
 
 
-def _line_keys(doc_id: np.ndarray, text_key: np.ndarray, line_no: np.ndarray) -> np.ndarray:
+def _line_keys(ids: np.ndarray, text_keys: np.ndarray, line_no: np.ndarray | int) -> np.ndarray:
+    """64 bits of a line's place, or of a document's with line -1."""
+
+    def mix(x: np.ndarray) -> np.ndarray:
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
     with np.errstate(over="ignore"):
-        return mix(mix(doc_id.astype(np.int64).view(np.uint64)) + text_key.astype(np.int64).view(np.uint64) * np.uint64(_ODD) + line_no.astype(np.uint64))
+        lines = np.broadcast_to(np.asarray(line_no, np.int64), ids.shape).view(np.uint64)
+        return mix(mix(ids.astype(np.int64).view(np.uint64)) + text_keys.astype(np.int64).view(np.uint64) * np.uint64(_ODD) + lines)
 
 
 def _filter_places(keys: np.ndarray, bits: int) -> list[np.ndarray]:
     """Four places of each key in a filter of so many bits (a power of two)."""
-    return [((keys >> np.uint64(s)) ^ (keys * np.uint64(_ODD + 2 * s))) & np.uint64(bits - 1) for s in (0, 11, 23, 31)]
+    return [(((keys >> np.uint64(s)) ^ (keys * np.uint64(_ODD + 2 * s))) & np.uint64(bits - 1)).astype(np.int64) for s in (0, 11, 23, 31)]
+
+
+def _passes(told: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    out = np.ones(len(keys), bool)
+    for places in _filter_places(keys, 8 * len(told)):
+        out &= (told[places >> 3] >> (places & 7).astype(np.uint8)) & 1 == 1
+    return out
 
 
 def line_filter(lines: DataFrame) -> np.ndarray:
-    """A Bloom filter of lines (doc_id, text_key, line_no), as bytes: partial filters of the tasks, joined block by block."""
-    n, bits = lines.count(), FILTER_BITS[0]
+    """A Bloom filter of lines (id, text_key, line_no) and of their documents, as bytes: partial filters of the tasks, joined block by block."""
+    n, bits, blocks = 2 * lines.count(), FILTER_BITS[0], 64
     while bits < min(16 * n, FILTER_BITS[1]):
         bits *= 2
-    blocks = 64
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(bits, bool)
+        seen = np.zeros(bits // 8, np.uint8)
         for b in batches:
-            keys = _line_keys(*(b.column(c).fill_null(NULL_ID if c == "doc_id" else 0).to_numpy(zero_copy_only=False) for c in ("doc_id", "text_key", "line_no")))
-            for places in _filter_places(keys, bits):
-                seen[places.astype(np.int64)] = True
-        pack = zstandard.ZstdCompressor(level=1).compress
-        rows = np.packbits(seen).reshape(blocks, -1)
-        yield pa.record_batch([pa.array(range(blocks), pa.int32()), pa.array([pack(x.tobytes()) for x in rows], pa.binary())], names=["block", "data"])
-
-    def join(table: pa.Table) -> pa.Table:
-        unpack = zstandard.ZstdDecompressor().decompress
-        total = np.bitwise_or.reduce([np.frombuffer(unpack(x), np.uint8) for x in table.column("data").to_pylist()])
-        return pa.table({"block": table.column("block")[:1], "data": pa.array([total.tobytes()], pa.binary())})
-
-    joined = lines.select("doc_id", "text_key", "line_no").mapInArrow(part, "block int, data binary").groupBy("block").applyInArrow(join, "block int, data binary")
-    found = dict(joined.collect())  # bits / 8 bytes in all
+            if b.num_rows:
+                ids, keys, line_no = (b.column(c).to_numpy(zero_copy_only=False) for c in PLACE)
+                places = np.unique(np.concatenate(_filter_places(np.concatenate([_line_keys(ids, keys, line_no), _line_keys(ids, keys, -1)]), bits)))
+                at, first = np.unique(places >> 3, return_index=True)
+                seen[at] |= np.bitwise_or.reduceat(np.uint8(1) << (places & 7).astype(np.uint8), first)
+        yield _in_blocks(seen, blocks)
+
+    def join(parts: Iterator[bytes]) -> np.ndarray:
+        total = np.zeros(bits // 8 // blocks, np.uint8)
+        for x in parts:
+            total |= np.frombuffer(x, np.uint8)
+        return total
+
+    found = _added_up(lines.select(*PLACE).mapInArrow(part, "block int, data binary"), blocks, join)  # bits / 8 bytes in all
     return np.concatenate([np.frombuffer(found[i], np.uint8) for i in range(blocks)]) if found else np.zeros(bits // 8, np.uint8)
 
 
-def _words_of_lines(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id, text_key, line_no and words (64-bit hashes) of the lines wanted (doc_id, text_key, line_no) and of a few others.
+def _texts_of_lines(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, text_key, line_no and line (bytes) of the lines wanted (id, text_key, line_no) and of a few others.
 
-    Texts stay where they are: a filter of the lines wanted goes to them.
+    Texts stay where they are: a filter of the documents and lines wanted goes to them.
     """
     shared = rows.sparkSession.sparkContext.broadcast(line_filter(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told = shared.value
-        bits = 8 * len(told)
         for b in batches:
-            ids, keys = (b.column(c).fill_null(NULL_ID).to_numpy(zero_copy_only=False) for c in ("doc_id", "text_key"))
-            for row, words in chunks(b.column("text")):
-                first, line = words.lines()
-                at = words.text[first] + row
-                hit = np.ones(len(at), bool)
-                for places in _filter_places(_line_keys(ids[at], keys[at], words.line_no[first]), bits):
-                    places = places.astype(np.int64)
-                    hit &= (told[places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & 1 == 1
-                if not hit.any():
-                    continue
-                s = LineSets(words.only(hit[line]), None)
-                take = pa.array(s.text + row)
-                ends = np.concatenate(([0], np.cumsum(s.size))).astype(np.int32)
-                found = pa.ListArray.from_arrays(pa.array(ends), pa.array(s.hash.view(np.int64)))
-                yield pa.record_batch([b.column("doc_id").take(take), b.column("text_key").take(take), pa.array(s.line_no.astype(np.int32)), found], names=["doc_id", "text_key", "line_no", "words"])
-
-    return rows.mapInArrow(run, "doc_id bigint, text_key bigint, line_no int, words array<bigint>")
-
-
-def _similar(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (x, y) whose word sets have the wanted similarity."""
-    side = lambda n: words.select(F.col("id").alias(n), F.col("words").alias(f"{n}_words"))
-    shared = F.size(F.array_intersect("x_words", "y_words"))
-    met = pairs.join(side("x"), "x").join(side("y"), "y")
-    return met.where(shared >= threshold * (F.size("x_words") + F.size("y_words") - shared) - 1e-9).select("x", "y")
+            ids, keys = (b.column(c).to_numpy(zero_copy_only=False) for c in ("id", "text_key"))
+            hit = np.flatnonzero(_passes(told, _line_keys(ids, keys, -1)))
+            if not len(hit):
+                continue
+            lists = [(b.column("text")[i].as_py() or b"").split(b"\n") for i in hit.tolist()]
+            sizes = np.array([len(x) for x in lists])
+            at = np.repeat(hit, sizes)
+            line_no = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            mine = np.flatnonzero(_passes(told, _line_keys(ids[at], keys[at], line_no)))
+            flat = [x for lines in lists for x in lines]
+            yield pa.record_batch([pa.array(ids[at[mine]]), pa.array(keys[at[mine]]), pa.array(line_no[mine].astype(np.int32)), pa.array([flat[i] for i in mine.tolist()], pa.binary())], names=[*PLACE, "line"])
+
+    return rows.mapInArrow(run, "id bigint, text_key bigint, line_no int, line binary")
+
+
+def _later_of_similar(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+    """Of the pairs (x, y) whose lines have words of the wanted similarity, the set of the later line."""
+    place = F.struct(*PLACE)
+    side = lambda n: lines.select(F.col("set").alias(n), place.alias(f"{n}_place"), F.col("line").alias(f"{n}_line"))
+    met = pairs.join(side("x"), "x").join(side("y"), "y").where("x_place <> y_place")
+    met = met.select(F.when(F.col("x_place") > F.col("y_place"), F.col("x")).otherwise(F.col("y")).alias("set"), "x_line", "y_line")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = ([set(t.split()) for t in b.column(c).to_pylist()] for c in ("x_line", "y_line"))
+            shared = [len(a & o) for a, o in zip(x, y, strict=True)]
+            close = [n >= threshold * (len(a) + len(o) - n) - 1e-9 for n, a, o in zip(shared, x, y, strict=True)]
+            yield pa.record_batch([b.column("set").filter(pa.array(close, pa.bool_()))], names=["set"])
+
+    return met.mapInArrow(run, "set bigint").distinct()
 
 
 def _verified(rows: DataFrame, sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """The ids x of pairs (x, y) that are similar."""
+    """The sets of pairs (x, y) whose line is similar to the other's, which is before it."""
     pairs = materialize(pairs, "pairs")
-    ends = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
-    involved = materialize(sets.select("id", "doc_id", "text_key", "line_no").join(ends, "id"), "involved")
-    found = _words_of_lines(rows, involved).select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), F.col("line_no").alias("l"), "words")
-    same = involved.doc_id.eqNullSafe(found.d) & (involved.text_key == found.k) & (involved.line_no == found.l)
-    words = materialize(involved.join(found, same).select("id", "words"), "words")  # a repeated row gives its words again, which does no harm
-    return materialize(_similar(pairs, words, threshold).select("x").distinct(), "late")
+    ends = pairs.select(F.col("x").alias("set")).union(pairs.select("y")).distinct()
+    involved = materialize(sets.select("set", *PLACE).join(ends, "set"), "involved")
+    lines = materialize(involved.join(_texts_of_lines(rows, involved), list(PLACE)).dropDuplicates(["set"]), "words")  # a repeated row gives its lines again
+    out = materialize(_later_of_similar(pairs, lines, threshold), "late")
+    for table in (pairs, involved, lines):
+        discard(table)
+    return out
 
 
 def late_sets(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Ids (x) of the sets that are similar to one before them.
+    """The sets (set) that are similar to one before them.
 
     Round one settles most sets of a group of near copies, by its first set. Only what is left asks the whole index.
     """
     first = _verified(rows, sets, leader_pairs(sets, threshold), threshold)
-    return first.union(_verified(rows, sets, candidate_pairs(sets, first.select(F.col("x").alias("id")), threshold), threshold))
+    return first.union(_verified(rows, sets, candidate_pairs(sets, first, threshold), threshold)).distinct()
 
 
 def removed_lines(docs: DataFrame, threshold: float = 0.8, count_bits: int = 22, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_key and line_no of every line that resembles an earlier one."""
+    """id (a null one as the least integer), text_key and line_no of every line that resembles an earlier one."""
     rows = _rows(docs, id_col, text_col)
-    lines = materialize(lines_of(rows, word_counts(rows, count_bits), threshold), "lines")
-    sets = materialize(numbered_sets(lines), "sets")
-    late = late_sets(rows, sets, threshold).select(F.col("x").alias("id"), F.lit(True).alias("late"))
-    place = ("doc_id", "text_key", "line_no")
-    told = sets.select("s1", "s2", "id", F.struct(*place).alias("first")).join(late, "id", "left").drop("id")
-    return lines.select("s1", "s2", *place).join(told, ["s1", "s2"]).where(F.col("late") | (F.struct(*place) != F.col("first"))).select(*place).distinct()
+    lines = materialize(numbered_sets(lines_of(rows, word_counts(rows, count_bits), threshold)), "lines")
+    sets = lines.where("not copy")
+    late = sets.join(late_sets(rows, sets, threshold), "set")
+    return lines.where("copy").select(*PLACE).union(late.select(*PLACE))
 
 
 def line_dedup(docs: DataFrame, threshold: float = 0.8, count_bits: int = 22, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed and kept_text (the other lines, unchanged)."""
-    gone = removed_lines(docs, threshold, count_bits, id_col, text_col).groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("gone"))
-    named = gone.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "gone")
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    joined = texts.join(named.hint("shuffle_hash"), texts.doc_id.eqNullSafe(named.d) & (texts.text_key == named.k), "left")
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    some = F.coalesce("gone", F.array().cast("array<int>"))
-    kept = F.when(F.size(some) == 0, F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(some, i)), "\n"))
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
-    return joined.select("doc_id", n.cast("bigint").alias("n_lines"), F.size(some).cast("bigint").alias("n_removed"), kept.alias("kept_text"))
+    gone = removed_lines(docs, threshold, count_bits, id_col, text_col).groupBy("id", "text_key").agg(F.collect_set("line_no").alias("gone"))
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = texts.withColumns({"id": F.coalesce("doc_id", F.lit(NULL_ID)), "text_key": F.xxhash64("text")})
+    joined = texts.join(gone.hint("shuffle_hash"), ["id", "text_key"], "left").select("doc_id", "text", "gone")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, removed, kept = [], [], []
+            for text, gone in zip(b.column("text").to_pylist(), b.column("gone").to_pylist(), strict=True):
+                lines = [] if text is None else text.split("\n")
+                out = set(gone or ())
+                n.append(len(lines))
+                removed.append(len(out))
+                kept.append("\n".join(x for i, x in enumerate(lines) if i not in out) if out else text or "")
+            yield pa.record_batch([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_lines", "n_removed", "kept_text"])
+
+    return joined.mapInArrow(cut, "doc_id bigint, n_lines bigint, n_removed bigint, kept_text string")

@@ -3,7 +3,7 @@
 A window is ``window`` consecutive words of one document. Every word covered by a window that also starts in a document
 with a smaller id is removed; windows are judged on the input, not on what is left.
 
-Documents are dealt into chunks by a hash of their id, one shuffle that all passes share:
+Documents are dealt into chunks by a hash of their id and text, one shuffle that all passes share:
 
 1. Every chunk sketches its windows: ``depth`` rows of counters, cut into slices by window hash. Only counters in use are
    sent, sorted and delta-coded, one packed array for each chunk and slice, so a sketch is as wide as the corpus needs
@@ -16,10 +16,13 @@ Documents are dealt into chunks by a hash of their id, one shuffle that all pass
    with a smaller id, in another chunk, have this window?
 5. Every chunk marks and removes words.
 
-Windows are told apart by 128 bits of hash.
+Within a chunk windows are told apart by their words, between chunks by a cryptographic digest (128 bits of BLAKE2b) of
+their words; the hashes of the sketch only choose which windows get that far.
 
-Defined cases: null and empty texts have no words; texts shorter than a window lose nothing; a null id is below all
-others; rows of one id never remove each other's words; an empty table gives an empty result; other columns are not read.
+Defined cases: null and empty texts have no words; texts shorter than a window lose nothing; ids are integers, and a null
+id counts as the least 64-bit integer in comparisons and comes back null; rows of one id, repeated rows too, never remove
+each other's words; a very long text is one document of its chunk and costs a few dozen bytes a word there; an empty table
+gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trestle.llm._common import partitions
-from trestle.llm.words import chunks
+from trestle.llm.words import Vocabulary, digest_pairs, text_chunks
 
 NULL_ID = -(1 << 63)
 DEPTH, COUNTERS_A_WINDOW = 2, 4
@@ -64,28 +67,28 @@ class _Chunk:
 
     def __init__(self, table: pa.Table, window: int):
         self.window = window
-        self.ids = table.column("id").fill_null(NULL_ID).to_numpy()
-        self.texts = table.column("text").combine_chunks().fill_null(b"")
-        hashes, doc = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for row, words in chunks(self.texts):
-            hashes.append(words.hash)
-            doc.append(words.text + row)
-        hashes, self.doc = np.concatenate(hashes), np.concatenate(doc)
-        sizes = np.bincount(self.doc, minlength=len(self.ids))
-        ends, total = np.cumsum(sizes), len(hashes)
-        #: Of every word: its document, and whether a window starts there.
+        ids = table.column("id").combine_chunks()
+        self.null, self.ids = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(NULL_ID).to_numpy(zero_copy_only=False)
+        self.texts = table.column("text").combine_chunks()
+        self.vocabulary, codes, sizes = Vocabulary(), [np.zeros(0, np.int32)], []
+        for _, texts in text_chunks(self.texts):
+            lists = [t.split() for t in texts]
+            codes.append(self.vocabulary.codes(lists))
+            sizes += map(len, lists)
+        self.codes, self.sizes = np.concatenate(codes), np.array(sizes, np.int64)
+        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        ends, total = np.cumsum(self.sizes), len(self.codes)
         n = max(0, total - window + 1)
-        starts = np.arange(n) + window <= ends[self.doc[:n]] if n else np.zeros(0, bool)
-        self.at = np.nonzero(starts)[0]
-        self.h1, self.h2 = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-        other = hashes ^ (hashes >> np.uint64(29))
-        with np.errstate(over="ignore"):
+        #: Places of the words at which a window starts.
+        self.at = np.flatnonzero(np.arange(n) + window <= ends[self.doc[:n]]) if n else np.zeros(0, np.int64)
+        h1, h2 = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        if n:
+            halves = self.vocabulary.digests()
+            a, b = halves[self.codes, 0], halves[self.codes, 1]
             for j in range(window):
-                self.h1 = self.h1 * np.uint64(_M1) + hashes[j : j + n]
-                self.h2 = self.h2 * np.uint64(_M2) + other[j : j + n] * np.uint64(_M1)
-            self.h1 ^= self.h1 >> np.uint64(32)
-            self.h2 ^= self.h2 >> np.uint64(31)
-        self.h1, self.h2, self.sizes = self.h1[self.at], self.h2[self.at], sizes
+                h1 = h1 * np.uint64(_M1) + a[j : j + n]
+                h2 = h2 * np.uint64(_M2) + b[j : j + n]
+        self.h1, self.h2 = (h1 ^ (h1 >> np.uint64(32)))[self.at], (h2 ^ (h2 >> np.uint64(31)))[self.at]
 
     def counters(self, slices: int, width: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each row of the sketch: distinct counters in use (slice * width + place), each window's index in them, windows at each."""
@@ -93,19 +96,39 @@ class _Chunk:
         rows = [(self.h1 >> np.uint64(7 + 16 * i)) % np.uint64(width) for i in range(DEPTH)]
         return [np.unique(part * np.uint64(width) + r, return_inverse=True, return_counts=True) for r in rows]
 
-    def candidates(self, flags: list[np.ndarray], counters: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Windows whose counters are all flagged: h1 and h2 of the distinct ones in order, their least id, and of every word-window its index (-1: none)."""
-        kept = np.logical_and.reduce([f[inverse] for f, (_, inverse, _) in zip(flags, counters, strict=True)])
-        h1, h2, ids = self.h1[kept], self.h2[kept], self.ids[self.doc[self.at[kept]]]
-        order = np.lexsort((h2, h1))
+    def _same_windows(self, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of some windows: the number of each one's group of windows with the same words, and the index in kept of one member of every group."""
+        at = self.at[kept]
+        order = np.lexsort((self.h2[kept], self.h1[kept]))
+        h1, h2 = self.h1[kept][order], self.h2[kept][order]
         first = np.ones(len(order), bool)
-        first[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
-        least = np.minimum.reduceat(ids[order], np.nonzero(first)[0]) if len(order) else ids
+        first[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+        group = np.empty(len(order), np.int64)
+        group[order] = np.cumsum(first) - 1
+        one = order[first]
+        model = at[one][group]
+        if all((self.codes[at + j] == self.codes[model + j]).all() for j in range(self.window)):
+            return group, one
+        # windows with other words have one hash: the words themselves decide
+        _, one, group = np.unique(self.codes[at[:, None] + np.arange(self.window)], axis=0, return_index=True, return_inverse=True)
+        return group.reshape(-1), one
+
+    def candidates(self, flags: list[np.ndarray], counters: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Windows whose counters are all flagged: the digests of the distinct ones in order, their least id, and of every window its index (-1: none)."""
+        kept = np.flatnonzero(np.logical_and.reduce([f[inverse] for f, (_, inverse, _) in zip(flags, counters, strict=True)]))
         index = np.full(len(self.at), -1)
-        inner = np.empty(len(order), np.int64)
-        inner[order] = np.cumsum(first) - 1
-        index[kept] = inner
-        return h1[order][first], h2[order][first], least, index
+        if not len(kept):
+            return np.zeros((0, 2), np.uint64), np.zeros(0, np.int64), index
+        group, one = self._same_windows(kept)
+        word = self.vocabulary.words().__getitem__
+        found = digest_pairs(b" ".join(map(word, self.codes[i : i + self.window].tolist())) for i in self.at[kept[one]].tolist())
+        order = np.lexsort((found[:, 1], found[:, 0]))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        index[kept] = place[group]
+        least = np.full(len(order), np.iinfo(np.int64).max)
+        np.minimum.at(least, index[kept], self.ids[self.doc[self.at[kept]]])
+        return found[order], least, index
 
 
 def _bounds(values: np.ndarray, edges: np.ndarray) -> list[tuple[int, int, int]]:
@@ -127,7 +150,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     width = min(max(1 << 22, counters // 4096), 1 << 28)
     slices = -(-counters // width)
     chunks = max(1, min(size >> 20, 4 * partitions(spark)), size >> 25)
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int")).repartition(partitions(spark), "chunk")
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int")).repartition(partitions(spark), "chunk")
     edges = np.arange(slices, dtype=np.uint64) * np.uint64(width)
 
     def sketch(key: tuple, table: pa.Table) -> pa.Table:
@@ -177,7 +200,8 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     hash_edges = _edges(slices, 1 << 64)
 
     def candidates(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        h1, h2, least, _ = _flagged(_Chunk(table, window), _answers(answers))
+        found, least, _ = _flagged(_Chunk(table, window), _answers(answers))
+        h1, h2 = found[:, 0].copy(), found[:, 1].copy()
         where = _bounds(h1, hash_edges)
         data = [_pack(h1[a:b].tobytes(), h2[a:b].tobytes(), _planes(least[a:b].astype("<i8"))) for _, a, b in where]
         return pa.table({"part": pa.array([p for p, _, _ in where], pa.int32()), "chunk": pa.array([key[0].as_py()] * len(where), pa.int32()), "n": pa.array([b - a for _, a, b in where], pa.int32()), "data": pa.array(data, pa.binary())})
@@ -200,9 +224,9 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
 
     def remove(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         chunk, told = _Chunk(table, window), _answers(answers)
-        h1, _, least, index = _flagged(chunk, told)
-        beaten = np.zeros(len(h1), bool)
-        for p, a, b in _bounds(h1, hash_edges):
+        found, least, index = _flagged(chunk, told)
+        beaten = np.zeros(len(found), bool)
+        for p, a, b in _bounds(found[:, 0].copy(), hash_edges):
             beaten[a:b] = np.unpackbits(np.frombuffer(_unpack(told[1, p], 1)[0], np.uint8), count=b - a).astype(bool)
         some = np.nonzero(index >= 0)[0]
         own = chunk.ids[chunk.doc[chunk.at[some]]]
@@ -212,8 +236,8 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
         np.add.at(change, repeated + window, -1)
         gone = np.cumsum(change[:-1]) > 0
         spans, removed, kept, at = [], [], [], 0
-        for text in chunk.texts.to_pylist():
-            words = text.split()
+        for text in chunk.texts:
+            words = (text.as_py() or b"").split()
             mine = gone[at : at + len(words)]
             at += len(words)
             cuts = np.nonzero(np.diff(np.concatenate(([False], mine, [False])).astype(np.int8)))[0].tolist()
@@ -225,7 +249,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
                 last = j
             kept.append(b" ".join(left + words[last:] if cuts else words))
         return pa.table({
-            "doc_id": pa.array(chunk.ids, pa.int64(), mask=chunk.ids == NULL_ID),
+            "doc_id": pa.array(chunk.ids, pa.int64(), mask=chunk.null),
             "n_words": pa.array(chunk.sizes, pa.int64()),
             "removed": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))),
             "n_removed": pa.array(removed, pa.int64()),

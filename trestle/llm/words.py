@@ -1,81 +1,71 @@
-"""Words of many texts at once: places and 64-bit hashes by array operations, without a Python object for each word."""
+"""Words of texts as codes and digests: a dictionary tells words apart exactly, and each distinct word is hashed once."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that are worked on at once, unless a single text is longer.
-CHUNK = 1 << 18
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
-_P = 0x9E3779B97F4A7C15
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1), mod 2 ** 64."""
-    key = str(base)
-    if key not in _powers or len(_powers[key]) < n:
-        x = np.full(max(n, CHUNK), base, np.uint64)
-        x[0] = 1
-        _powers[key] = np.cumprod(x)
-    return _powers[key][:n]
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class Words:
-    """The words of some texts laid end to end: their hash, and the text and line that each stands in."""
-
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        n, filled = len(data), offsets[:-1][np.diff(offsets) > 0]
-        blank, first = _BLANK[data], np.zeros(n + 1, bool)
-        first[filled] = True
-        first[n] = True
-        inside = ~blank
-        starts, ends = inside.copy(), inside.copy()
-        if n:
-            starts[1:] &= blank[:-1] | first[1:n]
-            ends[:-1] &= blank[1:] | first[1:n]
-        starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-        # the sum of (byte + 1) * P ** place over a word, brought back to place 0: equal words have equal sums wherever they stand
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_P, n), out=sums[1:])
-        self.hash = mix((sums[ends] - sums[starts]) * _power(pow(_P, -1, 1 << 64), n)[starts])
-        lines = np.concatenate(([0], np.cumsum(data == 10)))
-        self.text = np.searchsorted(offsets, starts, "right") - 1
-        self.line_no = lines[starts] - lines[offsets[self.text]]
-        self.line = lines[starts] + self.text  # rises over all texts
-
-
-    def lines(self) -> tuple[np.ndarray, np.ndarray]:
-        """For the lines that have words: the index of each one's first word, and of each word its line's place among them."""
-        new = np.ones(len(self.line), bool)
-        new[1:] = self.line[1:] != self.line[:-1]
-        return np.flatnonzero(new), np.cumsum(new) - 1
-
-    def only(self, kept: np.ndarray) -> Words:
-        """The words that a mask keeps."""
-        out = object.__new__(Words)
-        out.hash, out.text, out.line_no, out.line = self.hash[kept], self.text[kept], self.line_no[kept], self.line[kept]
-        return out
-
-
-def chunks(column: pa.Array) -> Iterator[tuple[int, Words]]:
-    """Words of a binary column, some texts at a time, with the row of the first."""
-    column = column.fill_null(b"") if column.null_count else column
-    _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    i = 0
-    while i < len(column):
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, "right")) - 1)
-        yield i, Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-        i = j
+#: Bytes of text that are worked on at once, unless a single text is longer, and distinct words that a task remembers.
+CHUNK, REMEMBERED = 1 << 18, 300_000
+
+
+def digest(data: bytes) -> bytes:
+    """128 bits of BLAKE2b."""
+    return blake2b(data, digest_size=16).digest()
+
+
+def digest_pairs(items: Iterable[bytes]) -> np.ndarray:
+    """The digests of some byte strings, as rows of two unsigned 64-bit integers."""
+    return np.frombuffer(b"".join(map(digest, items)), "<u8").reshape(-1, 2)
+
+
+class Vocabulary(dict):
+    """Codes of words in order of first sight: two words have one code exactly if they are equal."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self._digests = np.zeros((0, 2), np.uint64)
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = code = len(self)
+        return code
+
+    def codes(self, lists: Sequence[Sequence[bytes]]) -> np.ndarray:
+        """The codes of the words of all lists, end to end."""
+        return np.fromiter(map(self.__getitem__, chain.from_iterable(lists)), np.int32, sum(map(len, lists)))
+
+    def digests(self) -> np.ndarray:
+        """By code: two independent 64-bit halves of the word's digest."""
+        known = len(self._digests)
+        if known < len(self):
+            new = list(self)[known:] if known else self
+            self._digests = np.concatenate([self._digests, digest_pairs(new)])
+        return self._digests
+
+    def words(self) -> list[bytes]:
+        """By code: the word."""
+        return list(self)
+
+    def trim(self) -> None:
+        """Forget all words once there are very many; codes given before mean nothing from then on."""
+        if len(self) > REMEMBERED:
+            self.clear()
+            self._digests = np.zeros((0, 2), np.uint64)
+
+
+def text_chunks(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """Texts of a binary column, CHUNK bytes or one text at a time, with the row of the first. A null is an empty text."""
+    first, size, texts = 0, 0, []
+    for i, x in enumerate(column):
+        text = x.as_py() or b""
+        if texts and size + len(text) > CHUNK:
+            yield first, texts
+            first, size, texts = i, 0, []
+        size += len(text)
+        texts.append(text)
+    if texts:
+        yield first, texts
