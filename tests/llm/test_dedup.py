@@ -245,16 +245,39 @@ def test_words_that_look_alike_to_sums_are_told_apart(spark):
     assert [r["n_removed"] for r in LD.line_dedup(table(spark, rows[2:]), 0.8).collect()] == [0] * 2
 
 
-def test_windows_of_one_hash_are_told_apart_by_their_words(spark, monkeypatch):
+def test_windows_of_one_hash_are_told_apart_by_their_words():
     import numpy as np
     import pyarrow as pa
 
-    texts = [words(40, 1) + " " + words(20, 2), words(20, 3) + " " + words(40, 1)]
-    chunk = SD._Chunk(pa.table({"id": pa.array([1, 2]), "text": pa.array([t.encode() for t in texts], pa.binary())}), 13)
+    texts = [words(40, 1) + "  \n" + words(20, 2), words(20, 3) + "\t" + words(40, 1)]
+    chunk = SD._Chunk(pa.table({"id": pa.array([2, 1]), "text": pa.array([t.encode() for t in texts], pa.binary())}), 13)
     chunk.h1[:], chunk.h2[:] = 7, 7
-    group, one = chunk._same_windows(np.arange(len(chunk.at)))
+    counters = chunk.counters(1, 16)
+    found, least, index = chunk.candidates([n > 1 for _, _, n in counters], counters)
     windows = [tuple(texts[d].split()[i : i + 13]) for d in (0, 1) for i in range(48)]
-    assert len(one) == len(set(windows)) == len({(g, w) for g, w in zip(group.tolist(), windows, strict=True)})
+    assert len(found) == len(set(windows)) == len({(g, w) for g, w in zip(index.tolist(), windows, strict=True)})
+    assert [int(least[i]) for i in index] == [1 if i >= 48 or windows[i] in windows[48:] else 2 for i in range(96)] and np.unique(index).tolist() == list(range(len(found)))
+
+
+@pytest.mark.parametrize("long", [1 << 20, 64])
+def test_words_and_hashes(monkeypatch, long):
+    import numpy as np
+    import pyarrow as pa
+
+    from trestle.llm import words as WD
+
+    monkeypatch.setattr(WD, "LONG", long)
+    texts = [words(50, 1), "", " a\n\n b a ", "x" * 200 + " y", "é\x1c ü\r\na", None, words(50, 1), "x" * 200]
+    column = pa.array([t and t.encode() for t in texts], pa.binary())
+    known, places = {}, []
+    for row, w in WD.chunks(column, key=12345):
+        for h, t, n, i, j in zip(w.hash.tolist(), (w.text + row).tolist(), w.line_no.tolist(), w.starts.tolist(), w.ends.tolist(), strict=True):
+            assert known.setdefault(w.data[i:j].tobytes(), h) == h
+            places.append((t, n, w.data[i:j].tobytes()))
+        text, at = w.spelled(np.arange(len(w.hash)))
+        assert text.split() == [p[2] for p in places] and len(at) == len(places) + 1
+    assert places == [(t, n, x) for t, text in enumerate(texts) for n, line in enumerate((text or "").encode().split(b"\n")) for x in line.split()]
+    assert len(set(known.values())) == len(known)
 
 
 def test_copies_that_a_task_remembers(spark):

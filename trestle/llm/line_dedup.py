@@ -11,7 +11,7 @@ order of document id and line number, has a Jaccard similarity of ``threshold``
    are left out. Pairs that meet under a word are held to the length filter, the positional filter and a parity-bitmap
    bound on the symmetric difference, all of which only turn away pairs that cannot be similar.
 4. The lines of the sets that are left in a pair are fetched, by a Bloom filter that goes to the texts, and their words
-   compared. In a first round a set meets the first set under each of its rarest words. Sets that this settles ask no
+   compared. In a first round a set meets a few leaders, first sets under its rarest words. Sets that this settles ask no
    more: they are taken out of the asking side before the join, so a group of near copies is never paired up.
 
 Defined cases: null texts have no lines; lines without words are always kept; ids are integers, and a null id counts as the
@@ -22,6 +22,7 @@ empty table gives an empty result; other columns are not read, whatever their na
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trestle.llm._common import discard, materialize
-from trestle.llm.words import Vocabulary, digest_pairs, text_chunks
+from trestle.llm.words import Words, chunks, digest_pairs, mix
 
 NULL_ID, _ODD = -(1 << 63), 0xD6E8FEB86659FD93
 #: What tells a line from others, in order.
@@ -40,33 +41,33 @@ PLACE = ("id", "text_key", "line_no")
 
 
 class LineSets:
-    """The distinct words of some lines, by line, and within a line by rising count and digest."""
+    """The distinct words of every line that has words, by line, and within a line by rising count and hash."""
 
-    def __init__(self, vocabulary: Vocabulary, lists: list[list[bytes]], counts: np.ndarray):
-        n, codes = len(lists), vocabulary.codes(lists)
-        halves = vocabulary.digests()
-        line = np.repeat(np.arange(n), [len(x) for x in lists])
-        h = halves[codes, 0]
+    def __init__(self, words: Words, counts: np.ndarray):
+        first, line = words.lines()
+        n = len(first)
+        self.text, self.line_no = words.text[first], words.line_no[first]
+        h = words.hash
         rank = np.minimum(counts[(h & np.uint64(len(counts) - 1)).astype(np.int64)], (1 << 20) - 1).astype(np.int64)
         order = None
         if n <= 1 << 20:
             packed = (line.astype(np.uint64) << np.uint64(44)) | (rank.astype(np.uint64) << np.uint64(24)) | (h >> np.uint64(40))
             order = np.argsort(packed)
-            p, c = packed[order], codes[order]
-            if ((p[1:] == p[:-1]) & (c[1:] != c[:-1])).any():  # two words with equal leading bits: all bits have to decide
+            p, g = packed[order], h[order]
+            if ((p[1:] == p[:-1]) & (g[1:] != g[:-1])).any():  # two words with equal leading bits: all bits have to decide
                 order = None
         if order is None:
-            order = np.lexsort((halves[codes, 1], h, rank, line))
-        codes, line, rank = codes[order], line[order], rank[order]
-        kept = np.ones(len(codes), bool)
-        kept[1:] = (codes[1:] != codes[:-1]) | (line[1:] != line[:-1])
-        codes, self.line, self.rank = codes[kept], line[kept], rank[kept]
-        self.hash = halves[codes, 0]
-        self.size = np.bincount(self.line, minlength=n)
+            order = np.lexsort((h, rank, line))
+        h, line, rank = h[order], line[order], rank[order]
+        kept = np.ones(len(h), bool)
+        kept[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
+        self.hash, self.line, self.rank = h[kept], line[kept], rank[kept]
+        self.size = np.bincount(self.line, minlength=n) if n else np.zeros(0, np.int64)
         self.start = np.cumsum(self.size) - self.size
-        data, cuts = halves[codes].tobytes(), [0, *(16 * np.cumsum(self.size)).tolist()]
-        #: Of every line, the digest of its words' digests.
-        self.digest = digest_pairs(data[i:j] for i, j in zip(cuts, cuts[1:], strict=False))
+        text, at = words.spelled(order[kept])
+        cuts = at[np.append(self.start, len(self.hash))].tolist()
+        #: Of every line, the digest of its words.
+        self.digest = digest_pairs(text[i:j] for i, j in zip(cuts, cuts[1:], strict=False))
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -91,25 +92,23 @@ def _in_blocks(values: np.ndarray, blocks: int) -> pa.RecordBatch:
     return pa.record_batch([pa.array(range(blocks), pa.int32()), pa.array([pack(x.tobytes()) for x in values.reshape(blocks, -1)], pa.binary())], names=["block", "data"])
 
 
-def word_counts(rows: DataFrame, count_bits: int) -> np.ndarray:
-    """Counters of words over all texts: the place of a word is the low bits of its digest."""
+def word_counts(rows: DataFrame, count_bits: int, key: int) -> np.ndarray:
+    """Counters of words over all texts: the place of a word is the low bits of its hash."""
     blocks = 64
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, vocabulary = np.zeros(1 << count_bits, np.int64), Vocabulary()
+        total, mask = np.zeros(1 << count_bits, np.int64), np.uint64((1 << count_bits) - 1)
         held: list[np.ndarray] = []
 
         def flush() -> None:
             if held:
-                uses = np.bincount(np.concatenate(held), minlength=len(vocabulary))
-                np.add.at(total, (vocabulary.digests()[:, 0] & np.uint64(len(total) - 1)).astype(np.int64), uses)
+                total[:] += np.bincount(np.concatenate(held), minlength=len(total))
                 held.clear()
-            vocabulary.trim()
 
         for b in batches:
-            for _, texts in text_chunks(b.column("text")):
-                held.append(vocabulary.codes([t.split() for t in texts]))
-                if sum(map(len, held)) > 1 << 20:
+            for _, words in chunks(b.column("text"), key):
+                held.append((words.hash & mask).astype(np.uint32))
+                if sum(map(len, held)) > len(total):
                     flush()
         flush()
         yield _in_blocks(np.minimum(total, (1 << 32) - 1).astype("<u4"), blocks)
@@ -161,41 +160,31 @@ class _Copies:
         return roles
 
 
-def lines_of(rows: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
+def lines_of(rows: DataFrame, counts: np.ndarray, threshold: float, key: int) -> DataFrame:
     """One row per line with words: id, text_key, line_no, copy (is it known to repeat an earlier one), s1 and s2 (digest of the word set), size, bitmap, and prefix, less the ``skip`` words at its start that occur once."""
     shared = rows.sparkSession.sparkContext.broadcast(counts)
     names = ("id", "text_key", "line_no", "copy", "s1", "s2", "size", "bitmap", "skip", "prefix")
 
-    def of_texts(vocabulary: Vocabulary, texts: list[bytes]) -> dict[str, np.ndarray] | None:
-        lists, text, line_no = [], [], []
-        for i, t in enumerate(texts):
-            for n, line in enumerate(t.split(b"\n")):
-                if words := line.split():
-                    lists.append(words)
-                    text.append(i)
-                    line_no.append(n)
-        if not lists:
-            return None
-        vocabulary.trim()
-        s = LineSets(vocabulary, lists, shared.value)
+    def of_texts(words: Words) -> dict[str, np.ndarray]:
+        s = LineSets(words, shared.value)
         length = s.size - np.ceil(threshold * s.size - 1e-9).astype(np.int64) + 1
         within = np.arange(len(s.hash)) - s.start[s.line] < length[s.line]
         once = within & (s.rank <= 1)
         listed = within & ~once
         return {
-            "text": np.array(text), "line_no": np.array(line_no, np.int32), "s1": s.digest[:, 0], "s2": s.digest[:, 1], "size": s.size.astype(np.int32),
+            "text": s.text, "line_no": s.line_no.astype(np.int32), "s1": s.digest[:, 0], "s2": s.digest[:, 1], "size": s.size.astype(np.int32),
             "bitmap": np.bitwise_xor.reduceat(np.uint64(1) << (s.hash >> np.uint64(58)), s.start).view(np.int64), "skip": np.bincount(s.line[once], minlength=len(s.size)).astype(np.int32),
             "listed": np.bincount(s.line[listed], minlength=len(s.size)), "words": (s.hash[listed] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32),
         }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, copies = Vocabulary(), _Copies()
+        copies = _Copies()
         for b in batches:
             found = []
-            for row, texts in text_chunks(b.column("text")):
-                if part := of_texts(vocabulary, texts):
-                    part["text"] += row
-                    found.append(part)
+            for row, words in chunks(b.column("text"), key):
+                if len(words.hash):
+                    found.append(of_texts(words))
+                    found[-1]["text"] += row
             if not found:
                 continue
             x = {k: np.concatenate([p[k] for p in found]) for k in found[0]}
@@ -204,8 +193,8 @@ def lines_of(rows: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame
             alone = roles == 1  # copies need no group: they are spread by a digest of their place
             x["s1"][alone] = _line_keys(ids, keys, x["line_no"])[alone]
             x["listed"] = np.where(alone, 0, x["listed"])
-            words = x["words"][np.repeat(~alone, np.concatenate([p["listed"] for p in found]))]
-            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(x["listed"]))).astype(np.int32)), pa.array(words))
+            listed = x["words"][np.repeat(~alone, np.concatenate([p["listed"] for p in found]))]
+            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(x["listed"]))).astype(np.int32)), pa.array(listed))
             columns = [pa.array(ids), pa.array(keys), pa.array(x["line_no"]), pa.array(alone), pa.array(x["s1"].view(np.int64)), pa.array(x["s2"].view(np.int64)), pa.array(x["size"]), pa.array(x["bitmap"]), pa.array(x["skip"]), prefix]
             yield pa.record_batch(columns, names=list(names)).filter(pa.array(roles < 2))
 
@@ -252,11 +241,15 @@ def _side(index: DataFrame, name: str) -> DataFrame:
     return index.select("word", *(F.col(c).alias(f"{name}_{c}") for c in ("set", "id", "bitmap", "shape")))
 
 
+#: Leaders under a word in the first round: the first set of each of so many classes of sets.
+LEADERS = 8
+
+
 def leader_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (x, y) of a set with a set of the first document under each of its rarest prefix words: a few for each set, however many share a word."""
+    """Pairs (x, y) of a set with the leaders under each of its rarest prefix words: a few for each set, however many share a word."""
     index = _index(sets, HEAD_WORDS)
-    led = index.groupBy("word").agg(*(F.min_by(c, "id").alias(f"y_{c}") for c in ("set", "bitmap", "shape")), F.min("id").alias("y_id"))
-    return _pairs(_side(index, "x").join(led, "word").where("x_set <> y_set").where(_may_be_similar("x_", "y_", threshold)))
+    led = index.groupBy("word", F.pmod(F.xxhash64("set"), F.lit(LEADERS)).alias("class")).agg(*(F.min_by(c, "id").alias(f"y_{c}") for c in ("set", "bitmap", "shape")), F.min("id").alias("y_id"))
+    return _pairs(_side(index, "x").join(led, "word").where("x_id >= y_id and x_set <> y_set").where(_may_be_similar("x_", "y_", threshold)))
 
 
 def candidate_pairs(sets: DataFrame, settled: DataFrame, threshold: float) -> DataFrame:
@@ -272,12 +265,6 @@ FILTER_BITS = (1 << 20, 1 << 30)
 
 def _line_keys(ids: np.ndarray, text_keys: np.ndarray, line_no: np.ndarray | int) -> np.ndarray:
     """64 bits of a line's place, or of a document's with line -1."""
-
-    def mix(x: np.ndarray) -> np.ndarray:
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
-
     with np.errstate(over="ignore"):
         lines = np.broadcast_to(np.asarray(line_no, np.int64), ids.shape).view(np.uint64)
         return mix(mix(ids.astype(np.int64).view(np.uint64)) + text_keys.astype(np.int64).view(np.uint64) * np.uint64(_ODD) + lines)
@@ -302,20 +289,20 @@ def line_filter(lines: DataFrame) -> np.ndarray:
         bits *= 2
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(bits // 8, np.uint8)
-        for b in batches:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for b in batches:  # only the places in use are sent
             if b.num_rows:
                 ids, keys, line_no = (b.column(c).to_numpy(zero_copy_only=False) for c in PLACE)
                 places = np.unique(np.concatenate(_filter_places(np.concatenate([_line_keys(ids, keys, line_no), _line_keys(ids, keys, -1)]), bits)))
-                at, first = np.unique(places >> 3, return_index=True)
-                seen[at] |= np.bitwise_or.reduceat(np.uint8(1) << (places & 7).astype(np.uint8), first)
-        yield _in_blocks(seen, blocks)
+                cuts = np.searchsorted(places, np.arange(blocks + 1) * (bits // blocks))
+                data = [pack((places[i:j] - k * (bits // blocks)).astype("<u4").tobytes()) for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False))]
+                yield pa.record_batch([pa.array(range(blocks), pa.int32()), pa.array(data, pa.binary())], names=["block", "data"])
 
     def join(parts: Iterator[bytes]) -> np.ndarray:
-        total = np.zeros(bits // 8 // blocks, np.uint8)
+        total = np.zeros(bits // blocks, bool)
         for x in parts:
-            total |= np.frombuffer(x, np.uint8)
-        return total
+            total[np.frombuffer(x, "<u4")] = True
+        return np.packbits(total, bitorder="little")
 
     found = _added_up(lines.select(*PLACE).mapInArrow(part, "block int, data binary"), blocks, join)  # bits / 8 bytes in all
     return np.concatenate([np.frombuffer(found[i], np.uint8) for i in range(blocks)]) if found else np.zeros(bits // 8, np.uint8)
@@ -386,8 +373,8 @@ def late_sets(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 def removed_lines(docs: DataFrame, threshold: float = 0.8, count_bits: int = 22, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id (a null one as the least integer), text_key and line_no of every line that resembles an earlier one."""
-    rows = _rows(docs, id_col, text_col)
-    lines = materialize(numbered_sets(lines_of(rows, word_counts(rows, count_bits), threshold)), "lines")
+    rows, key = _rows(docs, id_col, text_col), secrets.randbits(62)  # the key of the words' hashes
+    lines = materialize(numbered_sets(lines_of(rows, word_counts(rows, count_bits, key), threshold, key)), "lines")
     sets = lines.where("not copy")
     late = sets.join(late_sets(rows, sets, threshold), "set")
     return lines.where("copy").select(*PLACE).union(late.select(*PLACE))

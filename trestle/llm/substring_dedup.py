@@ -27,6 +27,8 @@ gives an empty result; other columns are not read, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trestle.llm._common import partitions
-from trestle.llm.words import Vocabulary, digest_pairs, text_chunks
+from trestle.llm.words import chunks, digest_pairs
 
 NULL_ID = -(1 << 63)
 DEPTH, COUNTERS_A_WINDOW = 2, 4
@@ -69,25 +71,23 @@ class _Chunk:
         self.window = window
         ids = table.column("id").combine_chunks()
         self.null, self.ids = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(NULL_ID).to_numpy(zero_copy_only=False)
-        self.texts = table.column("text").combine_chunks()
-        self.vocabulary, codes, sizes = Vocabulary(), [np.zeros(0, np.int32)], []
-        for _, texts in text_chunks(self.texts):
-            lists = [t.split() for t in texts]
-            codes.append(self.vocabulary.codes(lists))
-            sizes += map(len, lists)
-        self.codes, self.sizes = np.concatenate(codes), np.array(sizes, np.int64)
-        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        ends, total = np.cumsum(self.sizes), len(self.codes)
+        self.texts = table.column("text").combine_chunks().fill_null(b"")
+        hashes, doc = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for row, words in chunks(self.texts):
+            hashes.append(words.hash)
+            doc.append(words.text + row)
+        hashes, self.doc = np.concatenate(hashes), np.concatenate(doc)
+        self.sizes = np.bincount(self.doc, minlength=len(self.ids))
+        #: Of every document, the place of its first word.
+        self.first = np.cumsum(self.sizes) - self.sizes
+        total = len(hashes)
         n = max(0, total - window + 1)
         #: Places of the words at which a window starts.
-        self.at = np.flatnonzero(np.arange(n) + window <= ends[self.doc[:n]]) if n else np.zeros(0, np.int64)
-        h1, h2 = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-        if n:
-            halves = self.vocabulary.digests()
-            a, b = halves[self.codes, 0], halves[self.codes, 1]
-            for j in range(window):
-                h1 = h1 * np.uint64(_M1) + a[j : j + n]
-                h2 = h2 * np.uint64(_M2) + b[j : j + n]
+        self.at = np.flatnonzero(np.arange(n) + window <= (self.first + self.sizes)[self.doc[:n]]) if n else np.zeros(0, np.int64)
+        h1, h2, other = np.zeros(n, np.uint64), np.zeros(n, np.uint64), hashes ^ (hashes >> np.uint64(29))
+        for j in range(window):
+            h1 = h1 * np.uint64(_M1) + hashes[j : j + n]
+            h2 = h2 * np.uint64(_M2) + other[j : j + n] * np.uint64(_M1)
         self.h1, self.h2 = (h1 ^ (h1 >> np.uint64(32)))[self.at], (h2 ^ (h2 >> np.uint64(31)))[self.at]
 
     def counters(self, slices: int, width: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -96,32 +96,24 @@ class _Chunk:
         rows = [(self.h1 >> np.uint64(7 + 16 * i)) % np.uint64(width) for i in range(DEPTH)]
         return [np.unique(part * np.uint64(width) + r, return_inverse=True, return_counts=True) for r in rows]
 
-    def _same_windows(self, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of some windows: the number of each one's group of windows with the same words, and the index in kept of one member of every group."""
-        at = self.at[kept]
-        order = np.lexsort((self.h2[kept], self.h1[kept]))
-        h1, h2 = self.h1[kept][order], self.h2[kept][order]
-        first = np.ones(len(order), bool)
-        first[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-        group = np.empty(len(order), np.int64)
-        group[order] = np.cumsum(first) - 1
-        one = order[first]
-        model = at[one][group]
-        if all((self.codes[at + j] == self.codes[model + j]).all() for j in range(self.window)):
-            return group, one
-        # windows with other words have one hash: the words themselves decide
-        _, one, group = np.unique(self.codes[at[:, None] + np.arange(self.window)], axis=0, return_index=True, return_inverse=True)
-        return group.reshape(-1), one
+    def _spelled(self, at: np.ndarray) -> Iterator[bytes]:
+        """The words of the windows at some ascending places, joined by one space."""
+        docs = self.doc[at]
+        for d, i, j in _bounds(docs, np.unique(docs)):
+            words = self.texts[int(docs[i])].as_py().split()
+            text, ends = b" ".join(words), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+            last = at[i:j] - self.first[docs[i]] + self.window - 1
+            starts = np.concatenate(([0], ends + 1))[last - self.window + 1]
+            yield from (text[a:z] for a, z in zip(starts.tolist(), ends[last].tolist(), strict=True))
 
     def candidates(self, flags: list[np.ndarray], counters: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Windows whose counters are all flagged: the digests of the distinct ones in order, their least id, and of every window its index (-1: none)."""
         kept = np.flatnonzero(np.logical_and.reduce([f[inverse] for f, (_, inverse, _) in zip(flags, counters, strict=True)]))
-        index = np.full(len(self.at), -1)
+        index, numbers = np.full(len(self.at), -1), {}
         if not len(kept):
             return np.zeros((0, 2), np.uint64), np.zeros(0, np.int64), index
-        group, one = self._same_windows(kept)
-        word = self.vocabulary.words().__getitem__
-        found = digest_pairs(b" ".join(map(word, self.codes[i : i + self.window].tolist())) for i in self.at[kept[one]].tolist())
+        group = np.fromiter((numbers.setdefault(w, len(numbers)) for w in self._spelled(self.at[kept])), np.int64, len(kept))
+        found = digest_pairs(numbers)
         order = np.lexsort((found[:, 1], found[:, 0]))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
@@ -149,8 +141,8 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     counters = max(1024, COUNTERS_A_WINDOW * size // 6)  # a word and its space take about six bytes
     width = min(max(1 << 22, counters // 4096), 1 << 28)
     slices = -(-counters // width)
-    chunks = max(1, min(size >> 20, 4 * partitions(spark)), size >> 25)
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int")).repartition(partitions(spark), "chunk")
+    n_chunks = max(1, min(size >> 20, 4 * partitions(spark)), size >> 25)
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(n_chunks)).cast("int")).repartition(partitions(spark), "chunk")
     edges = np.arange(slices, dtype=np.uint64) * np.uint64(width)
 
     def sketch(key: tuple, table: pa.Table) -> pa.Table:
@@ -237,7 +229,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
         gone = np.cumsum(change[:-1]) > 0
         spans, removed, kept, at = [], [], [], 0
         for text in chunk.texts:
-            words = (text.as_py() or b"").split()
+            words = text.as_py().split()
             mine = gone[at : at + len(words)]
             at += len(words)
             cuts = np.nonzero(np.diff(np.concatenate(([False], mine, [False])).astype(np.int8)))[0].tolist()

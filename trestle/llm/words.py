@@ -1,16 +1,24 @@
-"""Words of texts as codes and digests: a dictionary tells words apart exactly, and each distinct word is hashed once."""
+"""Words of many texts at once: places and 64-bit hashes by array operations, without a Python object for each word.
+
+A word's hash holds two polynomials in its bytes, modulo two primes near 2**31, at bases drawn from a key: two different words
+of up to n bytes have one hash with a probability of at most (n / 2**31)**2 over the keys. Hashes choose what to compare;
+before anything is removed, the words themselves or a cryptographic digest of them decide.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator
 from hashlib import blake2b
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that are worked on at once, unless a single text is longer, and distinct words that a task remembers.
-CHUNK, REMEMBERED = 1 << 18, 300_000
+#: Bytes of text that are worked on at once, unless a single text is longer; words of more than LONG bytes are hashed by BLAKE2b.
+CHUNK, LONG = 1 << 18, 1 << 20
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_PRIMES = ((1 << 31) - 1, (1 << 31) - 19)
+_powers: dict[tuple[int, int], np.ndarray] = {}
 
 
 def digest(data: bytes) -> bytes:
@@ -23,49 +31,90 @@ def digest_pairs(items: Iterable[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(map(digest, items)), "<u8").reshape(-1, 2)
 
 
-class Vocabulary(dict):
-    """Codes of words in order of first sight: two words have one code exactly if they are equal."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self._digests = np.zeros((0, 2), np.uint64)
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = code = len(self)
-        return code
-
-    def codes(self, lists: Sequence[Sequence[bytes]]) -> np.ndarray:
-        """The codes of the words of all lists, end to end."""
-        return np.fromiter(map(self.__getitem__, chain.from_iterable(lists)), np.int32, sum(map(len, lists)))
-
-    def digests(self) -> np.ndarray:
-        """By code: two independent 64-bit halves of the word's digest."""
-        known = len(self._digests)
-        if known < len(self):
-            new = list(self)[known:] if known else self
-            self._digests = np.concatenate([self._digests, digest_pairs(new)])
-        return self._digests
-
-    def words(self) -> list[bytes]:
-        """By code: the word."""
-        return list(self)
-
-    def trim(self) -> None:
-        """Forget all words once there are very many; codes given before mean nothing from then on."""
-        if len(self) > REMEMBERED:
-            self.clear()
-            self._digests = np.zeros((0, 2), np.uint64)
-
-
-def text_chunks(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
-    """Texts of a binary column, CHUNK bytes or one text at a time, with the row of the first. A null is an empty text."""
-    first, size, texts = 0, 0, []
-    for i, x in enumerate(column):
-        text = x.as_py() or b""
-        if texts and size + len(text) > CHUNK:
-            yield first, texts
-            first, size, texts = i, 0, []
-        size += len(text)
-        texts.append(text)
-    if texts:
-        yield first, texts
+def _power(base: int, prime: int, n: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1), modulo the prime."""
+    known = _powers.get((base, prime))
+    if known is None or len(known) < n:
+        if len(_powers) > 64:
+            _powers.clear()
+        known = np.ones(1, np.uint64)
+        while len(known) < n:
+            known = np.concatenate([known, known * np.uint64(pow(base, len(known), prime)) % np.uint64(prime)])
+        _powers[base, prime] = known
+    return known[:n]
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int) -> np.ndarray:
+    """The hashes of words that lie in fewer than 2 * LONG bytes."""
+    first, last = int(starts[0]), int(ends[-1])
+    plain = data[first:last].astype(np.uint64) + np.uint64(1)
+    cuts = np.empty(2 * len(starts), np.int64)
+    cuts[::2], cuts[1::2] = starts - first, ends - first
+    out = np.zeros(len(starts), np.uint64)
+    for i, prime in enumerate(_PRIMES):
+        base = (1 << 20) + (key >> (31 * i)) % (prime - (1 << 21))
+        terms = np.append(plain * _power(base, prime, len(plain)), np.uint64(0))
+        sums = np.add.reduceat(terms, cuts)[::2] % np.uint64(prime)
+        out |= (sums * _power(pow(base, -1, prime), prime, len(plain))[cuts[::2]] % np.uint64(prime)) << np.uint64(31 * i)
+    return mix(out)
+
+
+class Words:
+    """The words of some texts laid end to end: their hash, their bytes' start and end, and the text and line that each stands in."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, key: int = 0):
+        n, filled = len(data), offsets[:-1][np.diff(offsets) > 0]
+        blank, first = _BLANK[data], np.zeros(n + 1, bool)
+        first[filled] = True
+        first[n] = True
+        starts, ends = ~blank, ~blank
+        if n:
+            starts[1:] &= blank[:-1] | first[1:n]
+            ends[:-1] &= blank[1:] | first[1:n]
+        self.data, self.starts, self.ends = data, np.flatnonzero(starts), np.flatnonzero(ends) + 1
+        self.hash = np.zeros(len(self.starts), np.uint64)
+        i = 0
+        while i < len(self.starts):
+            j = i + max(1, int(np.searchsorted(self.ends[i:], self.starts[i] + LONG, "right")))
+            if self.ends[j - 1] - self.starts[i] > LONG:  # one very long word
+                self.hash[i] = int.from_bytes(digest(data[self.starts[i] : self.ends[i]].tobytes())[:8], "little")
+            else:
+                self.hash[i:j] = _hashes(data, self.starts[i:j], self.ends[i:j], key)
+            i = j
+        lines = np.concatenate(([0], np.cumsum(data == 10)))
+        self.text = np.searchsorted(offsets, self.starts, "right") - 1
+        self.line_no = lines[self.starts] - lines[offsets[self.text]]
+        self.line = lines[self.starts] + self.text  # rises over all texts
+
+    def lines(self) -> tuple[np.ndarray, np.ndarray]:
+        """For the lines that have words: the index of each one's first word, and of each word its line's place among them."""
+        new = np.ones(len(self.line), bool)
+        new[1:] = self.line[1:] != self.line[:-1]
+        return np.flatnonzero(new), np.cumsum(new) - 1
+
+    def spelled(self, which: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """Some words, in the given order, with a space after each, and where each begins in that (and the end of all)."""
+        sizes = self.ends[which] - self.starts[which] + 1
+        at = np.concatenate(([0], np.cumsum(sizes)))
+        out = np.append(self.data, np.uint8(32))[np.repeat(self.starts[which] - at[:-1], sizes) + np.arange(at[-1])]
+        out[at[1:] - 1] = 32
+        return out.tobytes(), at
+
+
+def chunks(column: pa.Array, key: int = 0) -> Iterator[tuple[int, Words]]:
+    """Words of a binary column, some texts at a time, with the row of the first. A null is an empty text."""
+    column = column.fill_null(b"") if column.null_count else column
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    i = 0
+    while i < len(column):
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, "right")) - 1)
+        yield i, Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], key)
+        i = j
