@@ -234,7 +234,7 @@ def _may_be_similar(x: str, y: str, threshold: float) -> Column:
 
 
 def _pairs(met: DataFrame) -> DataFrame:
-    return met.select(F.least("x_set", "y_set").alias("x"), F.greatest("x_set", "y_set").alias("y")).distinct()
+    return met.select(F.col("x_set").alias("x"), F.col("y_set").alias("y")).distinct()
 
 
 def _side(index: DataFrame, name: str) -> DataFrame:
@@ -253,7 +253,7 @@ def leader_pairs(sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def candidate_pairs(sets: DataFrame, settled: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of sets, one of them not settled (set) and not before the other, that share a prefix word and pass the filters."""
+    """Pairs (x, y) of sets that share a prefix word and pass the filters, x not settled (set) and in no document before y's."""
     asking = sets.join(settled.select("set"), "set", "left_anti")
     met = _side(_index(asking), "x").join(_side(_index(sets), "y"), "word")
     return _pairs(met.where("x_id >= y_id and x_set <> y_set").where(_may_be_similar("x_", "y_", threshold)))
@@ -350,22 +350,32 @@ def _later_of_similar(pairs: DataFrame, lines: DataFrame, threshold: float) -> D
     return met.mapInArrow(run, "set bigint").distinct()
 
 
+#: Partners of a set that are compared before the others.
+FEW = 8
+
+
 def _verified(rows: DataFrame, sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """The sets of pairs (x, y) whose line is similar to the other's, which is before it."""
+    """The sets of pairs (x, y) whose line is similar to the other's, which is before it.
+
+    Each x is compared with a few of its partners first, and with the others only if that does not settle it.
+    """
     pairs = materialize(pairs, "pairs")
     ends = pairs.select(F.col("x").alias("set")).union(pairs.select("y")).distinct()
     involved = materialize(sets.select("set", *PLACE).join(ends, "set"), "involved")
     lines = materialize(involved.join(_texts_of_lines(rows, involved), list(PLACE)).dropDuplicates(["set"]), "words")  # a repeated row gives its lines again
-    out = materialize(_later_of_similar(pairs, lines, threshold), "late")
+    few = pairs.groupBy("x", F.pmod(F.xxhash64("y"), F.lit(FEW)).alias("class")).agg(F.min("y").alias("y")).drop("class")
+    first = materialize(_later_of_similar(few, lines, threshold), "late")
+    others = pairs.join(few, ["x", "y"], "left_anti").join(first.withColumnRenamed("set", "x"), "x", "left_anti")
+    second = materialize(_later_of_similar(others, lines, threshold), "late")
     for table in (pairs, involved, lines):
         discard(table)
-    return out
+    return first.union(second).distinct()
 
 
 def late_sets(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The sets (set) that are similar to one before them.
 
-    Round one settles most sets of a group of near copies, by its first set. Only what is left asks the whole index.
+    Round one settles most sets of a group of near copies, by leaders. Only what is left asks the whole index.
     """
     first = _verified(rows, sets, leader_pairs(sets, threshold), threshold)
     return first.union(_verified(rows, sets, candidate_pairs(sets, first, threshold), threshold)).distinct()
