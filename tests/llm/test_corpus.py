@@ -270,6 +270,15 @@ def test_decontamination(spark, docs, block_bytes):
     assert clean.count() == sum(1 for e in expected if not e[2])
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 25, 40])
+def test_decontamination_leaves_columns_alone(spark, block_bytes):
+    bench = spark.createDataFrame([(1, words(12, 1)), (2, words(12, 2)), (3, words(12, 3))], "item_id bigint, text string")
+    rows = [(1, words(12, 1), 77, "mine", ["a"]), (2, "clean text", 78, None, None), (3, None, 79, "x", []), (4, words(12, 3).upper() * 2, 80, "y", ["b"])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_words int, spans string, items array<string>")
+    clean = DC.decontaminate(docs, bench, block_bytes=block_bytes)
+    assert clean.schema == docs.schema and sorted(map(tuple, clean.collect())) == [(2, "clean text", 78, None, None), (3, None, 79, "x", [])]
+
+
 def test_decontamination_of_nothing(spark, docs, no_docs):
     bench = spark.createDataFrame([], "item_id bigint, text string")
     assert DC.find_contamination(no_docs, bench).count() == 0

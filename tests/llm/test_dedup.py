@@ -1,6 +1,7 @@
 """Exact, near, substring and line dedup against brute force."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import defaultdict
@@ -154,6 +155,48 @@ def test_copies_among_boilerplate_are_found(spark):
     assert all(c == i % n or c == i for i, c in got.items())  # and none between pages
 
 
+def similar_pairs(texts, k=5, similarity=0.8):
+    """All pairs of texts (by id) whose sets of k-word shingles have the similarity, by an index of shingles."""
+    sets, by = {}, defaultdict(list)
+    for i, t in texts.items():
+        w = WORD.findall(t)
+        sets[i] = {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()
+        for x in sets[i]:
+            by[x].append(i)
+    seen = {p for v in by.values() for p in itertools.combinations(v, 2)}
+    return {(a, b) for a, b in seen if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])}
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_of_near_copies(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    rows = {r["doc_id"]: norm(r["text"]) for r in docs.select("doc_id", "text").collect()}
+    firsts = {}
+    for i in sorted(rows):
+        firsts.setdefault(rows[i], i)
+    expected = similar_pairs({i: t for t, i in firsts.items()})
+    got = {r["doc_id"]: r["component_id"] for r in S.near_copy_groups(docs).collect()}
+    found = sum(got[a] == got[b] for a, b in expected)
+    assert found >= (0.9 * len(expected) if len(expected) > 10 else 0.8 * len(expected))
+    # nothing is grouped that no chain of similar pairs and copies links
+    parent = {i: firsts[t] for i, t in rows.items()}
+    root = dict(zip(firsts.values(), plain_roots(list(firsts.values()), expected), strict=True))
+    assert all(root[parent[i]] == root[parent[c]] for i, c in got.items())
+
+
+def plain_roots(items, pairs):
+    parent = {i: i for i in items}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        parent[find(a)] = find(b)
+    return [find(i) for i in items]
+
+
 def test_simhash_of_nothing(no_docs):
     assert S.simhash_groups(no_docs).count() == 0
     assert S.simhash_dedup(no_docs).count() == 0

@@ -6,11 +6,13 @@ buckets of patterns by the hash of their last block, and a direct comparison of
 
 Documents are streamed through the matchers where they are read: no shuffle, and no group of any kind. The benchmark is
 a stated query set. Its tables are sent to every task only up to ``block_bytes`` of text; a larger one is dealt into as
-many blocks of at most about that size as needed, and documents pass through the blocks one after the other.
+many blocks of at most about that size as needed, and documents pass through one block after the other, written between.
 
 Defined cases: null and wordless texts have no words and no hits; benchmark rows without words match nothing; a null
 item id is written as an empty string; rows that share an item id are one item; an empty benchmark hits nothing; an
-empty table gives an empty result; carried columns whose names clash with a result column give way to it.
+empty table gives an empty result; repeated rows are each searched; a very long text is searched whole, in one task, in time
+linear in its words; carried columns of find_contamination() whose names clash with a result column give way to it, while
+decontaminate() gives all columns back as they were.
 """
 
 from __future__ import annotations
@@ -19,13 +21,18 @@ import math
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trestle.llm._common import materialize
+
 #: Bytes that are part of a word keep their value, A-Z becomes a-z, and all other ASCII becomes a space.
 _WORD_TABLE = bytes((c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20) for c in range(256))
 BLOCK_BYTES = 32 << 20
 RESULT = {"n_words": "bigint", "spans": "array<struct<start:int,stop:int>>", "items": "array<string>"}
+#: The same columns while documents pass through, under names of their own.
+_INNER = {f"__decontaminate_{k}": v for k, v in RESULT.items()}
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
 
@@ -87,17 +94,17 @@ def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _searched(docs: DataFrame, text_col: str, patterns: list[tuple[str, bytes]], window: int) -> DataFrame:
-    """docs with n_words, spans and items; what is there already from earlier blocks is added to."""
+def _searched(docs: DataFrame, text_col: str, patterns: list[tuple[str, bytes]], window: int) -> tuple[DataFrame, Broadcast]:
+    """docs with the inner columns, and the broadcast that they need; what is there already from earlier blocks is added to."""
     shared = docs.sparkSession.sparkContext.broadcast(patterns)
-    kept = [c for c in docs.columns if c not in RESULT]
-    before = "spans" in docs.columns and "items" in docs.columns and docs.schema["spans"].dataType.simpleString() == RESULT["spans"]
+    kept, (_, spans_col, items_col) = [c for c in docs.columns if c not in _INNER], _INNER
+    before = spans_col in docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = matchers(shared.value, window)
         for b in batches:
             texts = b.column(text_col).cast(pa.binary()).to_pylist()
-            olds = zip(b.column("spans").to_pylist(), b.column("items").to_pylist(), strict=True) if before else [([], [])] * len(texts)
+            olds = zip(b.column(spans_col).to_pylist(), b.column(items_col).to_pylist(), strict=True) if before else [([], [])] * len(texts)
             sizes, spans, names = [], [], []
             for text, (old_spans, old_items) in zip(texts, olds, strict=True):
                 words = words_of(text or b"")
@@ -111,10 +118,24 @@ def _searched(docs: DataFrame, text_col: str, patterns: list[tuple[str, bytes]],
                 spans.append([{"start": s, "stop": e} for s, e in merged(where)])
                 names.append(sorted(hit))
             columns = [b.column(c) for c in kept] + [pa.array(sizes, pa.int64()), pa.array(spans, _SPANS), pa.array(names, pa.list_(pa.string()))]
-            yield pa.record_batch(columns, names=[*kept, *RESULT])
+            yield pa.record_batch(columns, names=[*kept, *_INNER])
+
+    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept] + [f"`{k}` {v}" for k, v in _INNER.items()]
+    return docs.mapInArrow(run, ", ".join(fields)), shared
 
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept] + [f"{k} {v}" for k, v in RESULT.items()]
-    return docs.mapInArrow(run, ", ".join(fields))
+
+def _found(docs: DataFrame, benchmark: DataFrame, window: int, text_col: str, item_id_col: str, item_text_col: str, block_bytes: int) -> DataFrame:
+    """docs with the inner columns. Beyond one block of the benchmark, documents are written after each block, so a worker holds one block at a time."""
+    items = benchmark.select(F.coalesce(F.col(item_id_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).cast("binary").alias("text")).where("text is not null")
+    total = items.agg(F.sum(F.length("text") + 16)).first()[0] or 0
+    blocks = max(1, math.ceil(total / block_bytes))
+    for i in range(blocks):
+        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == i)
+        docs, shared = _searched(docs, text_col, [(r[0], bytes(r[1])) for r in part.collect()], window)
+        if blocks > 1:
+            docs = materialize(docs, "searched")
+            shared.unpersist()
+    return docs
 
 
 def find_contamination(
@@ -129,18 +150,13 @@ def find_contamination(
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """One row per document: its id, carried columns, n_words, spans (word ranges covered by occurrences, merged and ascending) and items (ids found)."""
-    items = benchmark.select(F.coalesce(F.col(item_id_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).cast("binary").alias("text")).where("text is not null")
-    total = items.agg(F.sum(F.length("text") + 16)).first()[0] or 0
-    blocks = max(1, math.ceil(total / block_bytes))
     names = dict.fromkeys([id_col, text_col, *(c for c in carry if c not in RESULT)])
-    out = docs.select(*names)
-    for i in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == i)
-        out = _searched(out, text_col, [(r[0], bytes(r[1])) for r in part.collect()], window)
-    return out if text_col in carry else out.drop(text_col)
+    out = _found(docs.select(*names), benchmark, window, text_col, item_id_col, item_text_col, block_bytes)
+    out = out if text_col in carry else out.drop(text_col)
+    return out.withColumnsRenamed(dict(zip(_INNER, RESULT, strict=True)))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents in which no benchmark window occurs, with their columns."""
-    found = find_contamination(docs, benchmark, window, id_col, text_col, carry=docs.columns)
-    return found.where(F.size("spans") == 0).select(*(c for c in docs.columns))
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents in which no benchmark window occurs, with their columns unchanged, whatever their names."""
+    found = _found(docs, benchmark, window, text_col, "item_id", "text", block_bytes)
+    return found.where(F.size(list(_INNER)[1]) == 0).select(*docs.columns)

@@ -15,8 +15,8 @@ near_copy_groups() uses the same signatures on a longer fingerprint, for links b
 Copies share a fingerprint and are one node, so no group of copies is ever expanded.
 
 Defined cases: null and wordless texts have fingerprint zero, linked like any other; a null id never names a component
-unless a component has no other id; repeated rows are each returned; an empty table gives an empty result; other columns
-are not read.
+unless a component has no other id; repeated rows are each returned; a very long text is read whole, in one task, in time
+linear in its words; an empty table gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -108,6 +108,12 @@ def _variants(fps: DataFrame, max_distance: int, kept: tuple[str, ...] = ("fp",)
     return fps.select(*kept, F.inline(F.array(*keys)))
 
 
+def _shared(variants: DataFrame, key: list[str]) -> DataFrame:
+    """The rows whose key others share, with n, their number: counted by partial sums, so no task gathers a hot key."""
+    counts = materialize(variants.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1"), "counts")
+    return variants.join(counts, key)
+
+
 def links(fps: DataFrame, max_distance: int = 2, hot_limit: int = HOT_LIMIT) -> DataFrame:
     """Links between distinct fingerprints (column fp) at up to max_distance bits: a and b.
 
@@ -116,8 +122,7 @@ def links(fps: DataFrame, max_distance: int = 2, hot_limit: int = HOT_LIMIT) ->
     key = ["slot", "rest"]
     close = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= max_distance
     hubs = max_distance <= 2
-    counted = _variants(fps, max_distance).withColumn("n", F.count("*").over(Window.partitionBy(*key)))  # most variants are alone and go no further
-    kept = materialize(counted.where("n > 1"), "variants")
+    kept = materialize(_shared(_variants(fps, max_distance), key), "variants")  # most variants are alone and go no further
     cold = kept.where(F.col("n") <= hot_limit) if hubs else kept
     other = cold.select(*key, F.col("fp").alias("b"))
     pairs = cold.select(*key, F.col("fp").alias("a")).join(other, key).where("a < b").where(close("a", "b")).select("a", "b")
@@ -147,32 +152,43 @@ def simhash_groups(docs: DataFrame, shingle_words: int = 3, max_distance: int =
 
 
 def _lanes(docs: DataFrame, id_col: str, text_col: str, feature_words: int, lanes: int) -> DataFrame:
-    """doc_id, text_key, node (a hash of the text with A-Z lower-cased: copies are one node) and lanes."""
+    """doc_id, text_key, digest (128 bits of SHA-256 of the text with A-Z lower-cased: copies are one node) and lanes."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.xxhash64(ascii_lower(text), F.length(text)).alias("node"), text.alias("text"))
+    digest = F.unhex(F.substring(F.sha2(ascii_lower(text), 256), 1, 32))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), digest.alias("digest"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [lanes_of(x, feature_words, lanes) for x in b.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.record_batch([b.column("doc_id"), b.column("text_key"), b.column("node"), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "text_key", "node", "lanes"])
+            yield pa.record_batch([b.column("doc_id"), b.column("text_key"), b.column("digest"), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "text_key", "digest", "lanes"])
+
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_key bigint, digest binary, lanes array<bigint>")
+
+
+#: Nodes under a hot variant or shingle that all others there meet: the least one of each of so many classes.
+LEADERS = 4
+
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_key bigint, node bigint, lanes array<bigint>")
+def _leaders(rows: DataFrame, key: list[str], names: tuple[str, ...] = ("node",)) -> DataFrame:
+    """key and the leaders' columns, as o_ + name."""
+    least = rows.groupBy(*key, F.pmod(F.xxhash64("node"), F.lit(LEADERS)).alias("class")).agg(F.min(F.struct(*names)).alias("o"))
+    return least.select(*key, *(F.col(f"o.{c}").alias(f"o_{c}") for c in names))
 
 
 def lane_candidates(nodes: DataFrame, hot_limit: int = HOT_TEXTS) -> DataFrame:
     """Pairs a < b of nodes (node, lanes) that share a one-bit-wiped segment of a lane, and a row a = b for each hot node.
 
-    Under a variant of up to hot_limit nodes all are paired. Nodes under a larger one are hot: here they only meet the least
-    one and the one before, which settles groups of near copies; hot_links() compares what is left.
+    Under a variant of up to hot_limit nodes all are paired. Nodes under a larger one are hot: here they only meet a few
+    leaders, which settles groups of near copies; hot_links() compares what is left.
     """
+    key = ["variant"]
     lane = nodes.select("node", F.posexplode("lanes").alias("lane", "fp"))
-    key = Window.partitionBy("lane", "slot", "rest").orderBy("node")
-    whole = key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    shared = _variants(lane, 2, ("node", "lane")).withColumn("n", F.count("*").over(whole)).where("n > 1")  # most variants are alone and go no further
-    before = F.collect_list("node").over(key.rowsBetween(-hot_limit, -1))
-    met = shared.select("node", "n", before.alias("before"), F.min("node").over(whole).alias("least"), F.lag("node").over(key).alias("last"))
-    others = F.when(F.col("n") <= hot_limit, F.col("before")).otherwise(F.array("least", "last", "node"))
-    return met.select(F.explode(others).alias("a"), F.col("node").alias("b")).where("a <= b").distinct()
+    hashed = _variants(lane, 2, ("node", "lane")).select(F.xxhash64("lane", "slot", "rest").alias("variant"), "node")  # two of one hash are compared for nothing, no more
+    shared = materialize(_shared(hashed, key), "variants")  # most variants are alone and go no further
+    cold, hot = shared.where(F.col("n") <= hot_limit), shared.where(F.col("n") > hot_limit)
+    met = cold.select(*key, F.col("node").alias("a")).join(cold.select(*key, F.col("node").alias("b")), key).where("a < b").select("a", "b")
+    led = hot.join(_leaders(hot, key), key).where("o_node < node").select(F.col("o_node").alias("a"), F.col("node").alias("b"))
+    return met.union(led).union(hot.select(F.col("node").alias("a"), F.col("node").alias("b"))).distinct()
 
 
 def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -191,8 +207,8 @@ def hot_links(hot: DataFrame, sets: DataFrame, roots: DataFrame, similarity: flo
     """Components (node, root) of roots and of all links between hot nodes, exactly.
 
     Shingles are ordered from rare to frequent. Two sets that are similar enough share one within the prefix of each, and
-    at its first such place there is enough left of both. Each set first meets the least one and the one before it under its
-    shingles; then sets that are still in different components are paired. Members of one component never are.
+    at its first such place there is enough left of both. Each set first meets a few leaders under its shingles; then sets
+    that are still in different components are paired. Members of one component never are.
     """
     filled = F.when(F.size("shingles") > 0, F.col("shingles")).otherwise(F.array(F.lit(0).cast("bigint")))  # texts without words are alike
     words = hot.join(sets, "node").select("node", F.size(filled).alias("size"), F.explode(filled).alias("s"))
@@ -201,9 +217,8 @@ def hot_links(hot: DataFrame, sets: DataFrame, roots: DataFrame, similarity: flo
     prefix = materialize(ranked.where("n > 1").where(left >= similarity * F.col("size") - slack).select("node", "size", "s", "place"), "prefix")
     both = similarity / (1 + similarity)
 
-    key = Window.partitionBy("s").orderBy("node")
-    rows = _rooted(prefix.select("node", "s"), roots).withColumns({"first": F.min(F.struct("node", "root")).over(Window.partitionBy("s")), "last": F.lag(F.struct("node", "root")).over(key)})
-    met = rows.select(F.explode(F.array("first", "last")).alias("o"), "node", "root").where("o.node < node and o.root <> root").select(F.col("o.node").alias("a"), F.col("node").alias("b")).distinct()
+    rows = materialize(_rooted(prefix.select("node", "s"), roots), "rooted")
+    met = rows.join(_leaders(rows, ["s"], ("node", "root")), "s").where("o_node < node and o_root <> root").select(F.col("o_node").alias("a"), F.col("node").alias("b")).distinct()
     star = lambda r: r.select(F.col("node").alias("a"), F.col("root").alias("b"))
     roots = connected_components(star(roots).union(_verified(met, sets, similarity)))
 
@@ -231,7 +246,7 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str
     return rows.mapInArrow(run, "node bigint, shingles array<bigint>").dropDuplicates(["node"])
 
 
-def near_copy_groups(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, feature_words: int = 2, lanes: int = 4, hot_limit: int = HOT_TEXTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_copy_groups(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, feature_words: int = 2, lanes: int = 6, hot_limit: int = HOT_TEXTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_key and component_id, the smallest id of the near copies' group; one row per input row.
 
     A longer fingerprint of ``lanes`` times 64 bits over shingles of ``feature_words`` words stands in for max_distance: two
@@ -241,8 +256,8 @@ def near_copy_groups(docs: DataFrame, shingle_words: int = 5, similarity: float
     all with all. Copies (A-Z lower-cased) are always one group.
     """
     rows = materialize(_lanes(docs, id_col, text_col, feature_words, lanes), "lanes")
-    nodes = rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_key", "lanes")).alias("first"), F.min("doc_id").alias("least_id"))
-    nodes = materialize(nodes.select("node", "least_id", "first.doc_id", "first.text_key", "first.lanes"), "nodes")
+    nodes = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "text_key", "lanes")).alias("first"), F.min("doc_id").alias("least_id"))
+    nodes = materialize(nodes.select("digest", F.monotonically_increasing_id().alias("node"), "least_id", "first.doc_id", "first.text_key", "first.lanes"), "nodes")
     found = materialize(lane_candidates(nodes.select("node", "lanes").repartition(partitions(docs.sparkSession), "node"), hot_limit), "candidates")
     ends = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
     sets = materialize(_shingle_sets(docs, nodes.join(ends, "node"), id_col, text_col, shingle_words), "shingles")
@@ -250,10 +265,10 @@ def near_copy_groups(docs: DataFrame, shingle_words: int = 5, similarity: float
     hot = found.where("a = b").select(F.col("a").alias("node"))
     if not hot.isEmpty():
         roots = hot_links(hot, sets, roots, similarity)
-    rooted = nodes.select("node", "least_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = nodes.select("digest", "node", "least_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = materialize(rooted.select("node", "root").join(named, "root").select("node", "component_id"), "classes")
-    return rows.select("doc_id", "text_key", "node").join(classes, "node").select("doc_id", "text_key", "component_id")
+    classes = materialize(rooted.select("digest", "root").join(named, "root").select("digest", "component_id"), "classes")
+    return rows.select("doc_id", "text_key", "digest").join(classes, "digest").select("doc_id", "text_key", "component_id")
 
 
 def simhash_dedup(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
