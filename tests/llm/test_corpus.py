@@ -80,6 +80,63 @@ def test_mixed_documents_hold_the_taken_words(spark):
     assert {k: v for k, v in taken.items() if v and k not in (8, None)} == {k: v for k, v in found.items() if k not in (8, None)}
 
 
+def plain_mix(rows, block_words, seed=42, shard_blocks=1024):
+    """Words taken of each row, by a plain walk: words laid end to end in the operator's order, drawn slots through its permutations."""
+    import collections
+
+    plan = collections.defaultdict(list)
+    for r in rows:
+        plan[r["source"]].append(r)
+    sources = sorted(plan, key=lambda s: (s is None, s or ""))
+    sizes = [sum(r["size"] for r in plan[s]) for s in sources]
+    goals = M.targets(sizes, M.cyclic_weights(sources), 1.5, 2)
+    blocks = [-(-n // block_words) for n in sizes]
+    quotas = [min(round(t / (n / b)), 2 * b) if n else 0 for t, n, b in zip(goals, sizes, blocks, strict=True)]
+    shards = M.draw_shards(np.array(quotas, np.int64), shard_blocks, seed)
+    taken = collections.Counter()
+    for no, s in enumerate(sources):
+        owner = [None] * (blocks[no] * block_words)
+        for r in plan[s]:
+            owner[r["start"] : r["start"] + r["size"]] = [(s, r["start"])] * r["size"]
+        for j in range(int(shards[:, no].sum()) if len(shards) else 0):
+            again, at = divmod(j, blocks[no])
+            block = int(M.permute(np.array([at]), blocks[no], seed * 1_000_003 + no * 1009 + again)[0])
+            taken.update(x for x in owner[block * block_words : (block + 1) * block_words] if x)
+    return taken
+
+
+def test_taken_words_are_those_of_the_drawn_slots(spark):
+    mix = M.mix_sources(mixed_rows(spark), block_words=16, shard_blocks=32)
+    rows = mix.docs.collect()
+    for s in {r["source"] for r in rows}:  # words are laid end to end without gaps or overlaps
+        at = 0
+        for r in sorted((r for r in rows if r["source"] == s), key=lambda r: (r["start"], r["size"])):
+            assert r["start"] == at
+            at += r["size"]
+    expected = plain_mix(rows, 16, shard_blocks=32)
+    starts = {(r["doc_id"], r["text_key"], r["source"], r["nth"]): r["start"] for r in rows}
+    got = Counter()
+    for r in M.taken_words(mix).collect():
+        got[r["doc_id"], r["text_key"], r["source"]] += r["taken"]
+    want = Counter()
+    for (i, k, s, n), at in starts.items():
+        want[i, k, s] += expected[s, at] if next(r["size"] for r in rows if (r["doc_id"], r["text_key"], r["source"], r["nth"]) == (i, k, s, n)) else 0
+    assert +got == +want
+
+
+def test_repeated_rows_have_their_own_words(spark):
+    text = words(32, 1)
+    docs = table(spark, [(1, text, "a")] * 4 + [(1, text, "b"), (None, text, None), (None, text, None)] + [(9 + i, words(40, i), "b") for i in range(10)])
+    mix = M.mix_sources(docs, block_words=8)
+    taken = Counter()
+    for r in M.taken_words(mix).collect():
+        taken[r["doc_id"], r["source"]] += r["taken"]
+    found = Counter()
+    for r in M.mixed_documents(docs, mix).collect():
+        found[r["doc_id"], r["source"]] += len(r["text"].split())
+    assert found == +taken
+
+
 def test_mix_of_nothing(no_docs):
     mix = M.mix_sources(no_docs)
     assert M.taken_words(mix).count() == 0 and M.mixed_documents(no_docs, mix).count() == 0

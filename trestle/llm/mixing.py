@@ -14,8 +14,10 @@ Sources and their weights are a driver-side list, as they are a setting of the m
 ``max_sources``. Everything that grows with documents stays in tables.
 
 Defined cases: null texts have no words, are never taken and keep their row; a null source is a source of its own, last in
-order; a source without words has target zero; repeated rows count each; an empty table gives empty results; other columns
-are not read.
+order; a source without words has target zero; repeated rows count each and have each their own words in the mix; a very long
+text is many blocks and is cut where it is read; an empty table gives empty results; other columns are not read, whatever
+their names. More than ``max_sources`` sources are an error, as they could not be a setting of a mix. A mix of more than
+``max_shards`` times ``shard_blocks`` blocks has larger shards instead of more of them.
 """
 
 from __future__ import annotations
@@ -28,9 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trestle.llm._common import WORD, materialize
+from trestle.llm._common import WORD, materialize, partitions
 
 BUCKETS = 4096
+#: Slots of a source in a shard that are laid out together.
+SLOTS = 1024
 
 
 def cyclic_weights(sources: Sequence[str | None], cycle: Sequence[float] = (3, 1, 2)) -> list[float]:
@@ -94,16 +98,17 @@ def permute(index: np.ndarray, n: int, key: int, rounds: int = 4) -> np.ndarray:
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, text_key, source, size (words) and start, the number of words before it in its source."""
+    """doc_id, text_key, source, nth (of the rows that agree in those), size (words) and start, the number of words before it in its source."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(WORD)).cast("bigint").alias("size"))
     rows = materialize(rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(BUCKETS)).cast("int")), "sized")
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n")).select("source", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("source", "bucket").orderBy("doc_id", "text_key").rowsBetween(Window.unboundedPreceding, -1)
-    offset = rows.withColumn("offset", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    again = Window.partitionBy("source", "bucket", "doc_id", "text_key").orderBy("size")
+    offset = rows.withColumn("offset", F.coalesce(F.sum("size").over(within), F.lit(0))).withColumn("nth", F.row_number().over(again.orderBy("offset", "size")))
     same = offset.source.eqNullSafe(bases.source) & (offset.bucket == bases.bucket)
-    return offset.join(bases, same).select("doc_id", "text_key", offset.source, "size", (F.col("base") + F.col("offset")).alias("start"))
+    return offset.join(bases, same).select("doc_id", "text_key", offset.source, "nth", "size", (F.col("base") + F.col("offset")).alias("start"))
 
 
 class Mix:
@@ -132,26 +137,32 @@ class Mix:
 
         if not len(counts):
             return spark.createDataFrame([], "shard bigint, source_no bigint, block bigint, slot int")
-        table = spark.createDataFrame(counts)
-        each = table.select("shard", "source_no", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("j"))
+        stop = F.col("first") + F.col("n")
+        parts = spark.createDataFrame(counts).select("shard", "source_no", stop.alias("stop"), F.explode(F.sequence("first", stop - 1, F.lit(SLOTS))).alias("at"))
+        spread = parts.repartition(partitions(spark), "source_no", "at")  # a few bytes for every SLOTS slots
+        each = spread.select("shard", "source_no", F.explode(F.sequence("at", F.least(F.col("at") + SLOTS, "stop") - 1)).alias("j"))
         placed = each.mapInPandas(place, "shard bigint, source_no bigint, block bigint, j bigint")
         order = Window.partitionBy("shard").orderBy(F.xxhash64("shard", "source_no", "j", F.lit(seed)), "source_no", "j")
         return placed.withColumn("slot", F.row_number().over(order) - 1).drop("j")
 
+    def numbers(self) -> DataFrame:
+        """name and source_no of every source: a row for each of at most max_sources."""
+        return self.docs.sparkSession.createDataFrame(self.plan[["source", "source_no"]].astype({"source": object}).values.tolist(), "name string, source_no bigint")
+
     def pieces(self) -> DataFrame:
-        """source_no, block, and the piece of a document that lies in it: doc_id, text_key, doc_start, first (word of the document) and n."""
-        spark, b = self.docs.sparkSession, self.block_words
-        numbers = spark.createDataFrame(self.plan[["source", "source_no"]].astype({"source": object}).values.tolist(), "source string, source_no bigint")
+        """source_no, block, and the piece of a document that lies in it: doc_id, text_key, nth, doc_start, first (word of the document) and n."""
+        b = self.block_words
+        numbers = self.numbers()
         rows = self.docs.where("size > 0").withColumn("source", F.col("source").cast("string"))
-        rows = rows.join(F.broadcast(numbers), rows.source.eqNullSafe(numbers.source)).drop("source")
+        rows = rows.join(F.broadcast(numbers), rows.source.eqNullSafe(numbers.name)).drop("source", "name")
         each = rows.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b))))
         first = F.greatest(F.lit(0), F.col("block") * b - F.col("start"))
         last = F.least("size", (F.col("block") + 1) * b - F.col("start"))
-        return each.select("source_no", "block", "doc_id", "text_key", F.col("start").alias("doc_start"), first.alias("first"), (last - first).alias("n"))
+        return each.select("source_no", "block", "doc_id", "text_key", "nth", F.col("start").alias("doc_start"), first.alias("first"), (last - first).alias("n"))
 
     def blocks(self) -> DataFrame:
-        """The mix: shard, slot, source_no, block and pieces (array of doc_id, text_key, doc_start, first, n), at most block_words pieces."""
-        piece = F.struct("doc_start", "first", "n", "doc_id", "text_key")
+        """The mix: shard, slot, source_no, block and pieces (array of doc_start, first, n, doc_id, text_key, nth), at most block_words pieces."""
+        piece = F.struct("doc_start", "first", "n", "doc_id", "text_key", "nth")
         packed = self.pieces().groupBy("source_no", "block").agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
         return self.slots().join(packed, ["source_no", "block"])
 
@@ -201,28 +212,34 @@ def taken_words(mix: Mix) -> DataFrame:
     return joined.select("doc_id", "text_key", "source", "size", "source_size", "target", taken.alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+def mixed_documents(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str | None = "n_chars") -> DataFrame:
     """The mix by document: a row for each time that words of a document are taken, with those words' stretches of the text and the document's columns.
 
-    A document whose blocks are all taken comes back unchanged. Row n of a document holds the blocks drawn n times or more;
+    Of rows that agree in id, text and source each has its own words in the mix. A document whose blocks are all taken comes
+    back unchanged. Row n of a document holds the blocks drawn n times or more;
     stretches that do not touch are joined by a line end. The length column, if there is one, is counted anew.
     """
     import re
 
     import pyarrow as pa
 
-    each = mix.blocks().select(F.inline("pieces"))
-    times = each.groupBy("doc_id", "text_key", "doc_start", "first", "n").agg(F.count("*").alias("times"))
+    each = mix.blocks().select("source_no", F.inline("pieces"))
+    times = each.groupBy("source_no", "doc_id", "text_key", "nth", "first", "n").agg(F.count("*").alias("times"))
     turns = times.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    taken = turns.groupBy("doc_id", "text_key", "doc_start", "turn").agg(F.sort_array(F.collect_list(F.struct(F.col("first").cast("int").alias("first"), F.col("n").cast("int").alias("n")))).alias("mix_spans"))
-    named = taken.select(F.col("doc_id").alias("mix_id"), F.col("text_key").alias("mix_key"), "mix_spans")
-    joined = docs.join(named, docs[id_col].eqNullSafe(named.mix_id) & (F.xxhash64(docs[text_col]) == named.mix_key)).select(*(docs[c] for c in docs.columns), "mix_spans")
+    span = F.struct(F.col("first").cast("int").alias("first"), F.col("n").cast("int").alias("n"))
+    taken = turns.groupBy("source_no", "doc_id", "text_key", "nth", "turn").agg(F.sort_array(F.collect_list(span)).alias("__mix_spans"))
+    named = taken.join(F.broadcast(mix.numbers()), "source_no")
+    named = named.select(F.col("doc_id").alias("__mix_id"), F.col("text_key").alias("__mix_key"), F.col("name").alias("__mix_source"), F.col("nth").alias("__mix_nth"), "__mix_spans")
+    own = {"__id": F.col(id_col), "__key": F.xxhash64(text_col), "__source": F.col(source_col).cast("string")}
+    rows = docs.withColumns(own).withColumn("__nth", F.row_number().over(Window.partitionBy(*own).orderBy(F.lit(0))))
+    same = rows["__id"].eqNullSafe(named["__mix_id"]) & (rows["__key"] == named["__mix_key"]) & rows["__source"].eqNullSafe(named["__mix_source"]) & (rows["__nth"] == named["__mix_nth"])
+    joined = rows.join(named, same).select(*(rows[c] for c in docs.columns), "__mix_spans")
     word, names = re.compile(WORD), docs.columns
 
     def cut(batches):
         for b in batches:
             out = []
-            for text, spans in zip(b.column(text_col).to_pylist(), b.column("mix_spans").to_pylist(), strict=True):
+            for text, spans in zip(b.column(text_col).to_pylist(), b.column("__mix_spans").to_pylist(), strict=True):
                 runs: list[list[int]] = []
                 for s in spans:
                     if runs and runs[-1][1] == s["first"]:
