@@ -5,6 +5,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from trestle.operators import history
+from trestle.sources import stores as ST
 from trestle.sources import tables as S
 from trestle.sources.xlsx import XlsxSource, read_xlsx
 from trestle.streaming import runs
@@ -43,20 +44,49 @@ def test_uploads_and_csv(spark, tmp_path):
     assert [r["name"] for r in up] == ["x.csv"] and len(up[0]["sha256"]) == 64
     cells = S.read_cells(spark, str(tmp_path / "in" / "x.csv")).orderBy("row_idx", "col_idx").collect()
     assert [(r["row_idx"], r["col_idx"], r["value"]) for r in cells] == [(0, 0, "Имя"), (0, 1, "Кол, шт"), (1, 0, "песок"), (1, 1, "5")]
+    (tmp_path / "in" / "z.csv").write_text('"a;b";"с ""кавычкой"""\n"две\nстроки";;3\n', encoding="utf-8")
+    cells = S.read_cells(spark, str(tmp_path / "in" / "z.csv"), ";").orderBy("row_idx", "col_idx").collect()
+    assert [(r["row_idx"], r["col_idx"], r["value"]) for r in cells] == [(0, 0, "a;b"), (0, 1, 'с "кавычкой"'), (1, 0, "две\nстроки"), (1, 2, "3")]
 
 
 def test_material_json_round_trip(spark, tmp_path):
     (tmp_path / "m.json").write_text('[{"id": "a", "need": 2.0}, {"id": "b", "status": "archived", "revision": 3}]')
     got = S.read_materials(spark, str(tmp_path / "m.json"))
     assert [(r["id"], r["status"], r["revision"]) for r in got.orderBy("id").collect()] == [("a", "active", 1), ("b", "archived", 3)]
-    S.write_json(got, str(tmp_path / "out"))
+    S.write_json(got.drop("_corrupt"), str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 2
 
 
 def test_page_text(spark):
     rows = [("d", 1, 0, "Первая  строка текста", True), ("d", 1, 1, "и ещё", False), ("d", 2, 0, "мало", True)]
     got = S.page_text(spark.createDataFrame(rows, "doc string, page int, pos int, text string, line_end boolean")).collect()
-    assert [(r["page"], r["text"], r["truncated"]) for r in got] == [(1, "Первая строка текста\nи ещё", False)]
+    assert [(r["page"], r["text"], r["truncated"]) for r in got] == [(1, "Первая строка текста\nи ещё", False), (2, "мало", False)]
+    short = S.page_text(spark.createDataFrame(rows, "doc string, page int, pos int, text string, line_end boolean"), max_chars=6, min_visible=20).collect()
+    assert [(r["page"], r["text"], r["truncated"]) for r in short] == [(1, "Первая", True)]
+
+
+def test_stores(spark, tmp_path):
+    (tmp_path / "c.json").write_text('[{"id": "1", "start": "2026-01-02", "safety_days": "x"}, {"id": "2", "start": "2026-01-02", "end": "2026-02-01", "safety_days": "3"}]')
+    got = ST.read_contexts(spark, str(tmp_path / "c.json")).orderBy("id").collect()
+    assert [(r["safety_days"], str(r["end"])) for r in got] == [(0, "2026-01-02"), (3, "2026-02-01")]
+    (tmp_path / "p.json").write_text('[{"id": "1"}, {"id": "2", "parent_id": "1", "status": "archived"}]')
+    assert [(r["node_type"], r["status"]) for r in ST.read_projects(spark, str(tmp_path / "p.json")).orderBy("id").collect()] == [("root", "active"), ("linked", "archived")]
+    (tmp_path / "r.json").write_text('[{"document": "d"}]')
+    assert [(r["status"], r["project_ids"]) for r in ST.read_register(spark, str(tmp_path / "r.json")).collect()] == [("received", [])]
+    (tmp_path / "h.json").write_text('[{"id": "1", "action": "create"}')
+    rows = ST.read_history(spark, str(tmp_path / "h.json"))
+    assert ST.broken(rows.cache()).count() == 1 and ST.sound(rows).count() == 0
+
+
+def test_changes_of_stores(spark):
+    at = F.lit("2026-01-01 00:00:00").cast("timestamp")
+    rows = spark.createDataFrame([(3, "update", 1), (1, "update", 1), (1, "update", 1), (2, "archive", 2)], "key int, action string, at int")
+    assert {(r["action"], tuple(r["ids"]), r["n"]) for r in ST.change_events(rows, "key", "action", "at").collect()} == {("update", (1, 3), 2), ("archive", (2,), 1)}
+    m = spark.createDataFrame([("a", None, None), ("b", "archived", 4)], "id string, status string, revision int")
+    got = {r["id"]: (r["status"], r["revision"], r["archive_reason"]) for r in ST.archive_all(m, at).collect()}
+    assert got == {"a": ("archived", 2, "reset"), "b": ("archived", 4, None)}
+    saved = spark.createDataFrame([("a", None, None)], "id string, created_at timestamp, updated_at timestamp")
+    assert ST.stamped(saved, at).where("created_at = updated_at").count() == 1
 
 
 def test_debounce(spark):

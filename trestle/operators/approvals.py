@@ -10,7 +10,8 @@ from trestle.functions import lexicon as L
 from trestle.functions import text as T
 from trestle.operators.quantity import hits
 
-MAX_APPROVALS, NEAR_CHARS = 80, 140
+#: Characters within which the same approval on one page is a repeat.
+NEAR_CHARS = 140
 
 
 def first_matching(text: Column, rules, default: Column | None = None) -> Column:
@@ -42,8 +43,8 @@ def priority(intent_: Column) -> Column:
     return F.when(intent_ == "prerequisite", "high").when(intent_ == "informational", "low").otherwise("medium")
 
 
-def extract_approvals(pages: DataFrame, limit: int = MAX_APPROVALS) -> DataFrame:
-    """One row per distinct approval of a document: doc, page, index, matched, context, type, intent, priority, organization, signature; the first ``limit``."""
+def extract_approvals(pages: DataFrame, limit: int | None = None) -> DataFrame:
+    """One row per distinct approval of a document: doc, page, index, matched, context, type, intent, priority, organization, signature; all, or the first ``limit``."""
     rows = pages.select("doc", "page", "text", F.explode(hits(F.col("text"), L.APPROVAL_ACTION)).alias("h")).select("doc", "page", "text", F.col("h.index").alias("index"), F.col("h.raw").alias("matched"))
     start = F.greatest(F.col("index") - 190, F.lit(0))
     wide = T.collapse(F.substring("text", start + 1, F.least(F.col("index") + F.length("matched") + 250, F.length("text")) - start))
@@ -51,8 +52,10 @@ def extract_approvals(pages: DataFrame, limit: int = MAX_APPROVALS) -> DataFrame
     rows = rows.where((F.length("context") >= 20) & ~is_stamp(F.col("wide"))).withColumn("intent", intent(F.col("context"))).where("intent <> 'informational'")
     rows = rows.withColumns({"type": approval_type(F.col("context")), "organization": organization(F.col("context")), "priority": priority(F.col("intent")), "signature": T.signature(F.col("context")), "key": F.substring(T.normalize_intake("context"), 1, 160)})
     first = rows.groupBy("doc", "page", "type", "intent", "key").agg(F.min(F.struct("index", "matched", "context", "organization", "priority", "signature")).alias("f")).select("doc", "page", "type", "intent", "f.*")
+    if limit is None:
+        return first
     w = Window.partitionBy("doc").orderBy("page", "index")
-    return first.withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit)
+    return first.withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit).drop("n")
 
 
 def group_approvals(found: DataFrame, near: int = NEAR_CHARS) -> DataFrame:
@@ -61,7 +64,7 @@ def group_approvals(found: DataFrame, near: int = NEAR_CHARS) -> DataFrame:
     A fold in order of reading over the at most 80 approvals of a document: the first group that fits takes a row, else it founds one.
     """
     key = ["doc", "type", "organization", "intent"]
-    packed = found.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("n", "page", "index", "signature", "context"))).alias("rows"))
+    packed = found.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.lit(0).alias("n"), "page", "index", "signature", "context"))).alias("rows"))
     group = "array<struct<n:int,page:bigint,index:int,signature:string,context:string,pages:array<bigint>,count:int>>"
 
     def fits(g: Column, x: Column) -> Column:

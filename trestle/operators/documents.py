@@ -15,7 +15,8 @@ from trestle.functions import lexicon as L
 from trestle.functions import text as T
 from trestle.functions.parse import mapping, material_unit
 
-LEAD_CHARS, MAX_MATERIALS = 2000, 100
+#: Characters at the start of a text that count as its lead.
+LEAD_CHARS = 2000
 
 
 def phrase_scores(text: Column, kinds: Mapping[str, Sequence[tuple[str, int]]], normalize=T.normalize_plain) -> Column:
@@ -28,24 +29,26 @@ def phrase_scores(text: Column, kinds: Mapping[str, Sequence[tuple[str, int]]],
     return F.array_sort(F.array(*out), lambda a, b: F.when(a["negative"] != b["negative"], F.signum(a["negative"] - b["negative"])).otherwise(F.signum(a["ord"] - b["ord"])).cast("int"))
 
 
-def classify_documents(pages: DataFrame, kinds: Mapping[str, Sequence[tuple[str, int]]] = L.DOCUMENT_KINDS, cover: str | None = L.COVER_PATTERN) -> DataFrame:
-    """doc, kind, confidence, score, second_score and phrases (at most 8). A cover phrase on the first three pages decides; else the best score from 4 on."""
+def classify_documents(pages: DataFrame, kinds: Mapping[str, Sequence[tuple[str, int]]] = L.DOCUMENT_KINDS, cover: str | None = L.COVER_PATTERN, max_phrases: int | None = None) -> DataFrame:
+    """doc, kind, confidence, score, second_score and phrases (all, or the first max_phrases). A cover phrase on the first three pages decides; else the best score from 4 on."""
     norm = pages.withColumn("t", T.normalize_plain("text"))
     front = F.regexp_like("t", F.lit(cover)) & (F.col("page") <= 3) if cover else F.lit(False)
     docs = norm.groupBy("doc").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "t"))), lambda x: x["t"]), " ").alias("t"), F.bool_or(front).alias("cover"))
     out = docs.withColumn("ranked", phrase_scores(F.col("t"), kinds))
     best, second = -F.get("ranked", F.lit(0))["negative"], F.coalesce(-F.get("ranked", F.lit(1))["negative"], F.lit(0))
     known = best >= 4
+    named = F.get("ranked", F.lit(0))["phrases"]
+    shown = named if max_phrases is None else F.slice(named, 1, max_phrases)
     sure = F.when(F.trim("t") == "", "none").when(F.col("cover"), "high").when(~known, "low").when((best >= 12) & (best >= second * 1.5), "high").when(best >= 7, "medium").otherwise("low")
     kind = F.when(F.col("cover"), "working-documents").when(known, F.get("ranked", F.lit(0))["kind"]).otherwise("unknown")
-    phrases = F.when(known & ~F.col("cover"), F.slice(F.get("ranked", F.lit(0))["phrases"], 1, 8)).otherwise(F.array().cast("array<string>"))
+    phrases = F.when(known & ~F.col("cover"), shown).otherwise(F.array().cast("array<string>"))
     return out.select("doc", kind.alias("kind"), sure.alias("confidence"), best.alias("score"), second.alias("second_score"), phrases.alias("phrases"))
 
 
-def signal_scores(name: Column, text: Column, signals: Mapping[str, Mapping[str, Sequence[str]]] = L.SIGNALS) -> Column:
+def signal_scores(name: Column, text: Column, signals: Mapping[str, Mapping[str, Sequence[str]]] = L.SIGNALS, lead_chars: int = LEAD_CHARS) -> Column:
     """Array of (negative score, ord, kind, file, body, lead, strong_file, strong_lead), best first."""
     file, body = T.normalize_intake(name), T.normalize_intake(text)
-    lead = F.substring(body, 1, LEAD_CHARS)
+    lead = F.substring(body, 1, lead_chars)
     out = []
     for i, (kind, s) in enumerate(signals.items()):
         n = {(w, p): T.patterns_matched(t, s[p]) for w, t in (("file", file), ("body", body), ("lead", lead)) for p in ("strong", "weak")}
@@ -64,9 +67,9 @@ def classify_signals(rows: DataFrame, name: str, text: str, signals: Mapping[str
     return out.withColumns({"signal_kind": F.when(some, best["kind"]), "signal_confidence": F.when(some, F.when(sure, "high").otherwise("medium")), "signal_score": score, "strong_file": some & best["strong_file"]}).drop("ranked_")
 
 
-def fuse_kinds(signal_kind: Column, signal_confidence: Column, text_kind: Column, text_confidence: Column) -> dict[str, Column]:
-    """kind, confidence and conflict of a text document from its signals and its phrase score (mapped to intake kinds)."""
-    known = mapping(L.INTAKE_KIND)[text_kind]
+def fuse_kinds(signal_kind: Column, signal_confidence: Column, text_kind: Column, text_confidence: Column, kinds: Mapping[str, str] = L.INTAKE_KIND) -> dict[str, Column]:
+    """kind, confidence and conflict of a text document from its signals and its phrase score. kinds: intake kinds of the phrase kinds."""
+    known = mapping(kinds)[text_kind]
     both, agree = signal_kind.isNotNull() & known.isNotNull(), signal_kind == known
     high = (signal_confidence == "high") | (text_confidence == "high")
     kind = F.when(both & ~agree, F.when(signal_confidence == "high", signal_kind).otherwise(known)).otherwise(F.coalesce(signal_kind, known, F.lit("other")))
@@ -100,12 +103,14 @@ def is_material_name(name: Column) -> Column:
     return fine & (F.regexp_like(t, F.lit("|".join(L.MATERIAL_STEMS))) | F.regexp_like(T.collapse(name), F.lit(L.MODEL_CODE)))
 
 
-def extract_materials(pages: DataFrame, limit: int = MAX_MATERIALS) -> DataFrame:
-    """Material rows of page text: doc, page, name, quantity, unit; each once for a page, the first ``limit`` of a document, in order of reading."""
+def extract_materials(pages: DataFrame, limit: int | None = None) -> DataFrame:
+    """Material rows of page text: doc, page, line_no, name, quantity, unit; each once for a page; all of a document, or the first ``limit`` in order of reading."""
     lines = pages.where(is_material_page(F.col("text"))).select("doc", "page", F.posexplode(F.split("text", r"\r?\n")).alias("line_no", "line"))
     part = lambda i: F.regexp_extract(F.trim("line"), L.MATERIAL_ROW, i)
     rows = lines.where(part(1) != "").select("doc", "page", "line_no", T.material_name(part(1)).alias("name"), F.replace(part(3), F.lit(","), F.lit(".")).cast("double").alias("quantity"), material_unit(part(2)).alias("unit"))
     rows = rows.where((F.length("name") >= 3) & is_material_name(F.col("name")) & (F.col("quantity") > 0))
     first = rows.groupBy("doc", "page", F.lower("name").alias("k"), "quantity", "unit").agg(F.min(F.struct("line_no", "name")).alias("f"))
-    w = Window.partitionBy("doc").orderBy("page", "f.line_no")
-    return first.withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit).select("doc", "page", F.col("f.line_no").alias("line_no"), F.col("f.name").alias("name"), "quantity", "unit")
+    if limit is not None:
+        w = Window.partitionBy("doc").orderBy("page", "f.line_no")
+        first = first.withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit)
+    return first.select("doc", "page", F.col("f.line_no").alias("line_no"), F.col("f.name").alias("name"), "quantity", "unit")

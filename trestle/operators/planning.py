@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trestle.functions.parse import ceil_to_step
+from trestle.operators import control, works
 
 SCALED, FIXED = ("per-length", "per-item"), ("fixed-per-work", "crew-fixed", "equipment-fixed")
 
@@ -68,5 +69,40 @@ def resolve_work(taxonomy_work: Column, matched_work: Column, named_work: Column
     return F.coalesce(taxonomy_work, matched_work, named_work), source
 
 
+def report(contexts: DataFrame, state: DataFrame, resources: DataFrame, rules: DataFrame) -> DataFrame:
+    """The plan of every context: its quantity, its materials' deficits, the audit of its work, its rules, the risk level and advice.
+
+    contexts: context_id, project, object, work, ord, work_id, family_id, variant_id, manual_quantity and document_quantity.
+    state: see control.material_state(). resources: work_id and the columns of works.audit(). rules: see rules_for_contexts().
+    A context without a work has no audit and no rules. Everything meets by equal keys.
+    """
+    met = control.context_materials(state, contexts.select("project", "object", "work", "ord")).withColumnRenamed("context_ord", "ord_")
+    met = met.join(contexts.select("context_id", F.col("ord").alias("ord_")), "ord_")
+    short = met.groupBy("context_id").agg(F.count("*").alias("materials"), F.count_if(F.col("deficit") > 0).alias("deficits"), F.sum("deficit").alias("deficit"))
+    planned = quantity_cascade(contexts, met.select("context_id", "ord", "need"))
+    wanted = contexts.select("context_id", "work_id").join(resources, "work_id").drop("work_id")
+    audited = works.audit(wanted, met.select("context_id", "name"), "context_id").select("context_id", "missing_required", "missing_typical")
+    done = calculate(rules_for_contexts(planned.select("context_id", "work_id", "family_id", "variant_id", "work_quantity"), rules))
+    calculated = done.groupBy("context_id").agg(F.count("*").alias("rules"), F.count_if(F.col("error").isNull()).alias("calculated"))
+    out = planned.join(short, "context_id", "left").join(audited, "context_id", "left").join(calculated, "context_id", "left")
+    out = out.fillna(0, ["materials", "deficits", "deficit", "missing_required", "missing_typical", "rules", "calculated"])
+    facts = F.col("deficits"), F.col("missing_required"), F.col("missing_typical"), F.col("calculated") > 0
+    return out.withColumn("level", risk_level(*facts)).withColumn("advice", recommendations(*facts))
+
+
+def resolve_works(names: DataFrame, name: str, catalogue: DataFrame, taxonomy_works: DataFrame, taxonomy) -> DataFrame:
+    """name, work_id and source of every distinct name: by taxonomy (family and variant to taxonomy_works), else by the matcher, else by containment.
+
+    catalogue: work_id, ord, names. taxonomy_works: family, variant, work_id.
+    """
+    rows = names.select(F.col(name).alias("name")).distinct()
+    told = works.classify_taxonomy(rows, "name", taxonomy).select("name", "family", "variant").join(taxonomy_works.withColumnRenamed("work_id", "t_"), ["family", "variant"], "left").select("name", "t_")
+    matched = works.match_works(rows, "name", catalogue).select("name", F.col("work_id").alias("m_"))
+    named = works.first_named(rows, "name", catalogue).select(F.col("text").alias("name"), F.col("work_id").alias("n_"))
+    out = told.join(matched, "name", "left").join(named, "name", "left")
+    work, source = resolve_work(F.col("t_"), F.col("m_"), F.col("n_"))
+    return out.select("name", work.alias("work_id"), source.alias("source"))
+
+
 def latest(rows: DataFrame, key: str, order: Column) -> DataFrame:
     return rows.withColumn("place_", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("place_ = 1").drop("place_")

@@ -33,6 +33,30 @@ def label_revisions(rows: DataFrame, document: str, order: list[str]) -> DataFra
     return out.withColumn("previous_label", F.when(F.col("revision_no") > 1, F.concat(F.lit("R"), (F.col("revision_no") - 1).cast("string"))))
 
 
+def register(arrivals: DataFrame, revisions: DataFrame) -> DataFrame:
+    """Arriving files with what becomes of them: error, or document, revision_no, revision_label, previous_revision and status 'received'.
+
+    arrivals: seq, document (null for a new one), title, label and sha256. revisions: document, revision, status and sha256.
+    A title or a document is required, and a file; content that the register has, or an earlier arrival with the same, is
+    refused whatever its document. A revision follows the document's current one; its label is R and its number if none is given.
+    """
+    titled = F.trim(F.coalesce("title", F.lit("")))
+    known = revisions.select("sha256").where("sha256 is not null").distinct().withColumn("known_", F.lit(True))
+    told = arrivals.join(known, "sha256", "left")
+    wrong = F.when(F.col("document").isNull() & (titled == ""), "TITLE_REQUIRED").when(F.col("sha256").isNull(), "FILE_REQUIRED").when(F.col("known_"), "DUPLICATE_CONTENT")
+    told = told.withColumn("error", wrong)
+    firsts = told.where("error is null").groupBy("sha256").agg(F.min("seq").alias("first_"))
+    told = told.join(firsts, "sha256", "left").withColumn("error", F.coalesce("error", F.when(F.col("seq") > F.col("first_"), "DUPLICATE_CONTENT")))
+    target = F.coalesce(F.col("document").cast("string"), F.concat(F.lit("new:"), F.lower(titled)))
+    told = told.withColumn("document", F.when(F.col("error").isNull(), target))
+    held = revisions.groupBy(F.col("document").cast("string").alias("document")).agg(F.count("*").alias("held_"), F.max(F.when(F.col("status") == "current", F.col("revision"))).alias("previous_revision"))
+    later = told.join(held, "document", "left").withColumn("nth_", F.row_number().over(Window.partitionBy("document").orderBy("seq")))
+    no = F.when(F.col("error").isNull(), F.coalesce("held_", F.lit(0)) + F.col("nth_"))
+    out = later.withColumn("revision_no", no).withColumn("revision_label", F.coalesce(F.when(F.trim("label") != "", F.trim("label")), F.concat(F.lit("R"), F.col("revision_no").cast("string"))))
+    fine = F.col("error").isNull()
+    return out.select("seq", "error", "document", "revision_no", F.when(fine, F.col("revision_label")).alias("revision_label"), F.when(fine, F.col("previous_revision")).alias("previous_revision"), F.when(fine, "received").alias("status"))
+
+
 def promote(rows: DataFrame, document: str, approved: Column, order: list[str]) -> DataFrame:
     """Adds status: of a document's approved revisions the latest is current and the earlier ones superseded; others keep received."""
     w = Window.partitionBy(document, "approved_").orderBy(*[F.col(c).desc() for c in order])

@@ -5,6 +5,9 @@ Cells come long: doc, sheet, row_idx, col_idx, value (string), rows and columns
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from typing import Any
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,21 +16,26 @@ from trestle.functions import lexicon as L
 from trestle.functions import text as T
 from trestle.functions.parse import duration_days, parse_date, parse_number, table_unit
 
-SCAN_ROWS, MAX_CANDIDATES, LONG_DAYS = 40, 500, 180
+#: Rows at the top of a sheet that tell its kind and hold its header, and days from which a schedule row is long.
+SCAN_ROWS, LONG_DAYS = 40, 180
 SHEET = ["doc", "sheet"]
 
 
-def table_text(cells: DataFrame) -> DataFrame:
-    """doc, sheet, text (names of document and sheet and the first 40 rows, normalised) and cells (their normalised values)."""
-    head = cells.where(F.col("row_idx") < SCAN_ROWS).withColumn("v", T.normalize_table("value"))
+def _head(cells: DataFrame, scan_rows: int | None) -> DataFrame:
+    return cells if scan_rows is None else cells.where(F.col("row_idx") < scan_rows)
+
+
+def table_text(cells: DataFrame, scan_rows: int | None = SCAN_ROWS) -> DataFrame:
+    """doc, sheet, text (names of document and sheet and the first rows, normalised) and cells (their normalised values). scan_rows None: all rows."""
+    head = _head(cells, scan_rows).withColumn("v", T.normalize_table("value"))
     filled = F.collect_list(F.when(F.col("v") != "", F.struct("row_idx", "col_idx", "v")))
     packed = head.groupBy(*SHEET).agg(F.transform(F.sort_array(filled), lambda x: x["v"]).alias("cells"))
     return packed.withColumn("text", T.normalize_table(F.concat_ws(" ", "doc", "sheet", F.array_join("cells", " "))))
 
 
-def classify_tables(cells: DataFrame) -> DataFrame:
+def classify_tables(cells: DataFrame, scan_rows: int | None = SCAN_ROWS) -> DataFrame:
     """doc, sheet, kind, confidence, evidence, generic_name (a bare name column counts) and automatic (its rows may count as work volume)."""
-    out = table_text(cells)
+    out = table_text(cells, scan_rows)
     for name, phrases in L.TABLE_PHRASES.items():
         out = out.withColumn(f"{name}_", T.phrases_found(F.col("text"), phrases, T.normalize_table))
     start, finish = F.arrays_overlap("cells", F.array(*map(F.lit, L.START_HEADERS))), F.arrays_overlap("cells", F.array(*map(F.lit, L.FINISH_HEADERS)))
@@ -54,9 +62,9 @@ def header_score(cell: Column, aliases: list[str]) -> Column:
     return F.when(cell == "", 0).otherwise(out)
 
 
-def header_rows(cells: DataFrame, kinds: DataFrame) -> DataFrame:
-    """doc, sheet, row_idx, score and for each role its column and score, for the first 40 rows; the first of equal columns counts."""
-    head = cells.where(F.col("row_idx") < SCAN_ROWS).join(kinds.select(*SHEET, "generic_name"), SHEET).withColumn("v", T.normalize_table("value"))
+def header_rows(cells: DataFrame, kinds: DataFrame, scan_rows: int | None = SCAN_ROWS) -> DataFrame:
+    """doc, sheet, row_idx, score and for each role its column and score, for the first rows; the first of equal columns counts."""
+    head = _head(cells, scan_rows).join(kinds.select(*SHEET, "generic_name"), SHEET).withColumn("v", T.normalize_table("value"))
     aggs = []
     for role, aliases in L.HEADER_ALIASES.items():
         score = header_score(F.col("v"), aliases)
@@ -68,9 +76,9 @@ def header_rows(cells: DataFrame, kinds: DataFrame) -> DataFrame:
     return rows.select(*SHEET, "row_idx", points.cast("int").alias("score"), *[F.col(f"{r}.col").alias(f"{r}_col") for r in L.HEADER_ALIASES])
 
 
-def find_headers(cells: DataFrame, kinds: DataFrame) -> DataFrame:
+def find_headers(cells: DataFrame, kinds: DataFrame, scan_rows: int | None = SCAN_ROWS) -> DataFrame:
     """The best complete header row of each sheet, the earliest of equals, with its confidence."""
-    rows = header_rows(cells, kinds).where("work_col is not null and unit_col is not null and quantity_col is not null")
+    rows = header_rows(cells, kinds, scan_rows).where("work_col is not null and unit_col is not null and quantity_col is not null")
     best = rows.groupBy(*SHEET).agg(F.min(F.struct((-F.col("score")).alias("negative"), "row_idx", *[f"{r}_col" for r in L.HEADER_ALIASES])).alias("h"))
     score = -F.col("h.negative")
     sure = F.when(score >= 14, "high").when(score >= 11, "medium").otherwise("low")
@@ -102,16 +110,18 @@ def schedule_review(start: Column, finish: Column) -> Column:
     return F.filter(reasons, lambda r: r.isNotNull())
 
 
-def analyze_sheets(cells: DataFrame, looks_like_work=None) -> DataFrame:
-    """Typed rows of every sheet with a header: work name, unit, quantity, dates, row type and review reasons; at most 500 a sheet, as sheets are read.
+def analyze_sheets(cells: DataFrame, looks_like_work=None, limit: int | None = None, scan_rows: int | None = SCAN_ROWS) -> DataFrame:
+    """Typed rows of every sheet with a header: work name, unit, quantity, dates, row type and review reasons; all of them, or the first ``limit`` of each sheet.
 
-    looks_like_work: Column -> Column, whether a work name is known to the taxonomy.
+    looks_like_work: Column -> Column, whether a work name is known to the taxonomy, as known_family() tells. Cells become
+    one row for each row of a sheet first, so sheets of any size are spread over tasks by their rows.
     """
-    kinds = classify_tables(cells)
-    heads = find_headers(cells, kinds).join(kinds, SHEET)
-    joined = cells.join(heads, SHEET).where(F.col("row_idx") > F.col("header_row"))
-    at = lambda role: F.max(F.when(F.col("col_idx") == F.col(f"{role}_col"), F.col("value"))).alias(f"{role}_raw")
-    rows = joined.groupBy(*SHEET, "row_idx", "kind", "automatic").agg(*[at(r) for r in L.HEADER_ALIASES])
+    kinds = classify_tables(cells, scan_rows)
+    heads = find_headers(cells, kinds, scan_rows).join(kinds, SHEET)
+    wide = cells.groupBy(*SHEET, "row_idx").agg(F.map_from_entries(F.collect_list(F.struct("col_idx", "value"))).alias("cells_"))
+    joined = wide.join(heads, SHEET).where(F.col("row_idx") > F.col("header_row"))
+    at = lambda role: F.try_element_at("cells_", F.col(f"{role}_col")).alias(f"{role}_raw")
+    rows = joined.select(*SHEET, "row_idx", "kind", "automatic", *[at(r) for r in L.HEADER_ALIASES])
     rows = rows.withColumns({"work_name": T.clean_work_name("work_raw"), "unit": table_unit("unit_raw"), "quantity": parse_number("quantity_raw"), "start": parse_date("start_date_raw"), "finish": parse_date("finish_date_raw")})
     rows = rows.where("length(work_name) >= 3 and unit <> '' and quantity > 0")
     known = looks_like_work(F.col("work_name")) if looks_like_work else F.lit(False)
@@ -120,8 +130,33 @@ def analyze_sheets(cells: DataFrame, looks_like_work=None) -> DataFrame:
     final = F.when(is_schedule & both & (F.col("base_") == "uncertain"), "work").when(is_schedule & neither & F.contains("work_name", F.lit(":")), "section").otherwise(F.col("base_"))
     reasons = F.when(is_schedule, schedule_review(F.col("start"), F.col("finish"))).otherwise(F.array().cast("array<string>"))
     out = out.withColumns({"row_type": final, "duration_days": duration_days(F.col("start"), F.col("finish")), "review": reasons, "automatic": F.col("automatic") & (final == "work") & (F.col("base_") == "work")})
+    out = out.drop("base_", "base__mark", *[f"{r}_raw" for r in L.HEADER_ALIASES])
+    if limit is None:
+        return out
     w = Window.partitionBy(*SHEET).orderBy("row_idx")
-    return out.withColumn("n_", F.row_number().over(w)).where(F.col("n_") <= MAX_CANDIDATES).drop("n_", "base_", "base__mark", *[f"{r}_raw" for r in L.HEADER_ALIASES])
+    return out.withColumn("n_", F.row_number().over(w)).where(F.col("n_") <= limit).drop("n_")
+
+
+def known_family(taxonomy: Mapping[str, Any] = L.TAXONOMY):
+    """For analyze_sheets(): does a work name have all roots of a family of the taxonomy?"""
+
+    def known(name: Column) -> Column:
+        there = T.roots(T.tokens_taxonomy(name))
+        has = lambda root: F.exists(there, lambda r: T.roots_match(r, F.lit(root)))
+        out = F.lit(False)
+        for spec in taxonomy.values():
+            test = F.lit(True)
+            for root in spec["required"]:
+                test = test & has(root)
+            out = out | test
+        return out
+
+    return known
+
+
+def split_by_type(rows: DataFrame) -> dict[str, DataFrame]:
+    """Analysed rows by what they become: works, materials, machinery, and rows to look at."""
+    return {name: rows.where(F.col("row_type") == kind) for name, kind in (("works", "work"), ("materials", "material"), ("machinery", "machinery"), ("uncertain", "uncertain"))}
 
 
 def row_type_counts(rows: DataFrame, by: list[str]) -> DataFrame:

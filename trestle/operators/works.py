@@ -126,6 +126,56 @@ def found_resources(expected: DataFrame, present: DataFrame, key: str, aliases:
     return out.withColumn("found", F.coalesce(hit, F.lit(False))).drop("there_")
 
 
+def audit_rows(materials: DataFrame) -> DataFrame:
+    """Materials as the audit reads them: quantity falls back to need, and rows without a name are left out."""
+    quantity = F.coalesce(*[F.col(c).cast("double") for c in ("quantity", "need") if c in materials.columns] or [F.lit(None).cast("double")])
+    return materials.withColumn("quantity", quantity).where(T.normalize_plain("name") != "")
+
+
+def _grams(text: Column, longest: int = 3) -> Column:
+    """The distinct pieces of one to three characters of a text: a text that contains another has the other's start among them."""
+    size = lambda n: F.greatest(F.length(text) - n, F.lit(-1))
+    pieces = [F.when(size(n) >= 0, F.transform(F.sequence(F.lit(1), size(n) + 1), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in range(1, longest + 1)]
+    return F.array_distinct(F.concat(*pieces))
+
+
+def match_resources(expected: DataFrame, present: DataFrame, key: str, order: str = "ord", names: str = "names", name: str = "name") -> DataFrame:
+    """Adds matched (the first present name, by order, that fits the resource or one of its names for the key; see texts_match) and found.
+
+    Names meet on what a fit must share, the start of a root or the start of the contained text, never all with all. Each
+    distinct name of a key is compared once.
+    """
+    mine = expected.select(key, F.col(name).alias("e_"), F.explode(F.array_union(F.array(name), F.col(names))).alias("alias_")).distinct().withColumn("a_", T.normalize_plain("alias_")).where("a_ <> ''")
+    theirs = present.groupBy(key, T.normalize_plain(name).alias("p_")).agg(F.min(F.struct(F.col(order).alias("o"), F.col(name).alias("n"))).alias("first_")).where("p_ <> ''")
+    start = lambda t: F.substring(t, 1, 3)
+    roots = lambda t: F.transform(T.roots(T.tokens_audit(t)), lambda r: F.concat(F.lit("r"), F.substring(r, 1, 4)))
+    tagged = lambda tag, c: F.transform(c, lambda x: F.concat(F.lit(tag), x))
+    mine = mine.withColumn("k_", F.explode(F.array_union(roots(F.col("a_")), F.array_union(tagged("a", F.array(start(F.col("a_")))), tagged("p", _grams(F.col("a_")))))))
+    theirs = theirs.withColumn("k_", F.explode(F.array_union(roots(F.col("p_")), F.array_union(tagged("p", F.array(start(F.col("p_")))), tagged("a", _grams(F.col("p_")))))))
+    met = mine.join(theirs, [key, "k_"]).select(key, "e_", "alias_", "p_", "first_").distinct().where(T.texts_match("alias_", F.col("p_")))
+    best = met.groupBy(key, F.col("e_").alias(name)).agg(F.min("first_").alias("best_"))
+    out = expected.join(best, [key, name], "left")
+    return out.withColumn("matched", F.col("best_.n")).withColumn("found", F.col("best_").isNotNull()).drop("best_")
+
+
+def engineering_audit(resources: DataFrame, present: DataFrame, key: str, order: str = "ord") -> DataFrame:
+    """One row per key: the counts of the completeness audit, matching by names and roots, and its severity.
+
+    resources: key, name, names, kind ('material', with required, or 'typical'). Counts: expected, found, missing, required,
+    found_required, missing_required, typical, found_typical, missing_typical and materials.
+    """
+    there = audit_rows(present)
+    seen = match_resources(resources, there, key, order)
+    material, required, typical, found = F.col("kind") == "material", (F.col("kind") == "material") & F.col("required"), F.col("kind") == "typical", F.col("found")
+    n = lambda test, name: F.count_if(test).alias(name)
+    sums = seen.groupBy(key).agg(
+        n(material, "expected"), n(material & found, "found"), n(material & ~found, "missing"), n(required, "required"), n(required & found, "found_required"), n(required & ~found, "missing_required"),
+        n(typical, "typical"), n(typical & found, "found_typical"), n(typical & ~found, "missing_typical"),
+    )
+    out = sums.join(there.groupBy(key).agg(F.count("*").alias("materials")), key, "left").withColumn("materials", F.coalesce("materials", F.lit(0)))
+    return out.withColumn("severity", audit_severity(F.col("missing_required"), F.col("missing_typical"), F.col("materials")))
+
+
 def audit_severity(required_missing: Column, typical_missing: Column, materials: Column) -> Column:
     return F.when(required_missing > 0, "critical").when((typical_missing > 0) | (materials == 0), "warning").otherwise("ok")
 
@@ -144,6 +194,11 @@ def audit(resources: DataFrame, present: DataFrame, key: str) -> DataFrame:
     return out.withColumn("severity", audit_severity(F.col("missing_required"), F.col("missing_typical"), F.col("materials")))
 
 
+def catalogue_summary(works: DataFrame) -> DataFrame:
+    """One row: works, distinct names and works without a name beside their own."""
+    return works.agg(F.count("*").alias("works"), F.sum(F.size(F.array_distinct("names"))).alias("names"), F.count_if(F.size("names") < 2).alias("single_named"))
+
+
 def category_summary(works: DataFrame) -> DataFrame:
     """Works and names of each category."""
     return works.groupBy("category").agg(F.count("*").alias("works"), F.sum(F.size("names")).alias("names"))

@@ -158,9 +158,39 @@ SQL["resource_missing_anti"] = """WITH e AS (SELECT DISTINCT p_type AS key, p_na
 SQL["quantity_cascade"] = f"""WITH {M}, {C}, n AS (SELECT c.ord AS id, max(need) AS largest FROM materials m JOIN contexts c ON lower(m.project) = c.kp AND lower(m.object) = c.ko AND lower(m.work) = c.kw GROUP BY 1),
     x AS (SELECT ord AS id, CASE WHEN ord % 4 = 0 THEN (ord % 50)::DOUBLE END AS man, CASE WHEN ord % 4 = 1 THEN ord::DOUBLE END AS doc FROM contexts)
     SELECT x.id AS context_id, CASE WHEN man > 0 THEN man WHEN doc IS NOT NULL THEN doc ELSE largest END AS work_quantity, CASE WHEN man > 0 THEN 'manual' WHEN doc IS NOT NULL THEN 'document' WHEN largest IS NOT NULL THEN 'estimate' ELSE 'none' END AS quantity_source FROM x LEFT JOIN n USING (id)"""
-SQL["plan_report"] = f"""WITH {M}, s AS (SELECT project, object, work, count(*) FILTER (WHERE deficit > 0) AS deficits, count(*) AS n, sum(deficit) AS deficit FROM state GROUP BY 1, 2, 3)
-    SELECT project, object, work, deficits, deficit, CASE WHEN deficits > 0 THEN 'high' WHEN n % 2 > 0 THEN 'medium' WHEN n > 5 THEN 'low' ELSE 'unknown' END AS level,
-    CASE WHEN deficits = 0 AND n % 2 = 0 AND n <= 5 THEN 'general' ELSE concat_ws(',', CASE WHEN deficits > 0 THEN 'materials' END, CASE WHEN n % 2 > 0 THEN 'audit-typical' END, CASE WHEN n > 5 THEN 'planning' END) END AS advice FROM s"""
+SQL["plan_report"] = f"""WITH {M}, {C}, met AS (SELECT c.ord AS id, c.kw, s.* EXCLUDE (ord) FROM state s JOIN contexts c ON lower(project) = kp AND lower(object) = ko AND lower(work) = kw),
+    short AS (SELECT id, count(*) AS materials, count(*) FILTER (WHERE deficit > 0) AS deficits, sum(deficit) AS deficit, max(need) AS largest FROM met GROUP BY 1),
+    res AS (SELECT 'w' || (p_partkey % 11) AS w, 'part ' || min(p_partkey) AS name, arg_min(p_size, p_partkey) AS size FROM part GROUP BY p_partkey % 11, p_type),
+    lack AS (SELECT c.ord AS id, count(*) FILTER (WHERE size % 4 = 0) AS required, count(*) FILTER (WHERE size % 2 <> 0) AS typical FROM contexts c JOIN res r ON r.w = c.kw
+        WHERE NOT EXISTS (SELECT 1 FROM state s WHERE lower(s.project) = c.kp AND lower(s.object) = c.ko AND lower(s.work) = c.kw AND (contains(s.name, r.name) OR contains(r.name, s.name))) GROUP BY 1),
+    rule AS (SELECT p_partkey % 11 AS w, p_partkey % 5 AS n FROM part WHERE p_partkey % 11 <> 3 GROUP BY ALL),
+    done AS (SELECT c.ord AS id, count(*) AS rules, count(*) FILTER (WHERE n IN (2, 3) OR (n IN (0, 1) AND largest IS NOT NULL)) AS calculated FROM contexts c JOIN rule ON c.kw = 'w' || w LEFT JOIN short ON short.id = c.ord GROUP BY 1),
+    o AS (SELECT c.ord AS context_id, c.kw AS work_id, largest AS work_quantity, CASE WHEN largest IS NULL THEN 'none' ELSE 'estimate' END AS quantity_source, coalesce(materials, 0) AS materials, coalesce(deficits, 0) AS deficits, coalesce(deficit, 0) AS deficit,
+        coalesce(required, 0) AS missing_required, coalesce(typical, 0) AS missing_typical, coalesce(rules, 0) AS rules, coalesce(calculated, 0) AS calculated
+        FROM contexts c LEFT JOIN short ON short.id = c.ord LEFT JOIN lack ON lack.id = c.ord LEFT JOIN done ON done.id = c.ord)
+    SELECT *, CASE WHEN deficits > 0 OR missing_required > 0 THEN 'high' WHEN missing_typical > 0 THEN 'medium' WHEN calculated > 0 THEN 'low' ELSE 'unknown' END AS level,
+    CASE WHEN deficits + missing_required + missing_typical + calculated = 0 THEN 'general' ELSE concat_ws(',', CASE WHEN deficits > 0 THEN 'materials' END, CASE WHEN missing_required > 0 THEN 'audit-required' END, CASE WHEN missing_typical > 0 THEN 'audit-typical' END, CASE WHEN calculated > 0 THEN 'planning' END) END AS advice FROM o"""
+_ra, _rh = stems(words(NORM["plain"]("e.name"), L.STOP_AUDIT, 2)), stems(words("h.t", L.STOP_AUDIT, 2))
+_matched = f"""e AS (SELECT p_brand AS key, p_name AS name, min(p_size) AS size FROM part GROUP BY 1, 2), h AS (SELECT p_brand AS key, upper(p_name) || ' ' || p_type AS name, lower(p_name || ' ' || p_type) AS t, p_partkey AS ord FROM part WHERE p_size > 25),
+    x AS (SELECT e.key, e.name, h.name AS matched, h.ord, lower(e.name) AS a, h.t, {_ra} AS ra, {_rh} AS rh FROM e JOIN h USING (key)),
+    y AS (SELECT *, len(list_filter(ra, lambda a: len(list_filter(rh, lambda b: {match('a', 'b')})) > 0)) AS n FROM x),
+    fit AS (SELECT key, name, arg_min(matched, ord) AS matched FROM y WHERE contains(a, t) OR contains(t, a) OR (n >= 1 AND n / least(len(ra), len(rh))::DOUBLE >= 0.5) GROUP BY 1, 2)"""
+SQL["audit_matched"] = f"WITH {_matched} SELECT key, name, matched, matched IS NOT NULL AS found FROM e LEFT JOIN fit USING (key, name)"
+SQL["audit_counts"] = f"""WITH {_matched}, f AS (SELECT e.*, matched IS NOT NULL AS found, size % 2 = 0 AS m, size % 4 = 0 AS r FROM e LEFT JOIN fit USING (key, name)),
+    c AS (SELECT key, count(*) FILTER (WHERE m) AS expected, count(*) FILTER (WHERE m AND found) AS found, count(*) FILTER (WHERE m AND NOT found) AS missing, count(*) FILTER (WHERE r) AS required, count(*) FILTER (WHERE r AND found) AS found_required,
+        count(*) FILTER (WHERE r AND NOT found) AS missing_required, count(*) FILTER (WHERE NOT m) AS typical, count(*) FILTER (WHERE NOT m AND found) AS found_typical, count(*) FILTER (WHERE NOT m AND NOT found) AS missing_typical FROM f GROUP BY 1),
+    n AS (SELECT key, count(*) AS materials FROM h GROUP BY 1)
+    SELECT c.*, coalesce(materials, 0) AS materials, CASE WHEN missing_required > 0 THEN 'critical' WHEN missing_typical > 0 OR materials IS NULL THEN 'warning' ELSE 'ok' END AS severity FROM c LEFT JOIN n USING (key)"""
+SQL["kb_summary"] = "WITH k AS (SELECT p_type, CASE WHEN min(p_name) = max(p_name) THEN 1 ELSE 2 END AS n FROM part GROUP BY 1) SELECT count(*) AS works, sum(n)::BIGINT AS names, 0::BIGINT AS single_named FROM k"
+SQL["register_revisions"] = f"""WITH {R}, h AS (SELECT o_orderkey AS k, sha256(CAST(floor(o_totalprice / 100) AS BIGINT)::VARCHAR) AS sha FROM orders), held AS (SELECT promoted.*, sha FROM promoted JOIN h ON k = revision WHERE received < DATE '1997-01-01'),
+    a AS (SELECT o_orderkey AS seq, CASE WHEN o_orderpriority <> '1-URGENT' THEN o_custkey END AS doc, CASE WHEN o_orderstatus <> 'P' THEN 'title ' || o_custkey END AS title, CASE WHEN o_orderpriority = '5-LOW' THEN 'draft' END AS label,
+        CASE WHEN o_orderkey % 50 <> 0 THEN sha END AS sha FROM orders JOIN h ON k = o_orderkey WHERE CAST(o_orderdate AS DATE) >= DATE '1997-01-01'),
+    e AS (SELECT *, CASE WHEN doc IS NULL AND title IS NULL THEN 'TITLE_REQUIRED' WHEN sha IS NULL THEN 'FILE_REQUIRED' WHEN sha IN (SELECT sha FROM held) THEN 'DUPLICATE_CONTENT' END AS err FROM a),
+    f AS (SELECT *, coalesce(err, CASE WHEN seq > min(CASE WHEN err IS NULL THEN seq END) OVER (PARTITION BY sha) THEN 'DUPLICATE_CONTENT' END) AS error FROM e),
+    g AS (SELECT *, CASE WHEN error IS NULL THEN coalesce(doc::VARCHAR, 'new:' || title) END AS document FROM f), n AS (SELECT document::VARCHAR AS document, count(*) AS held, max(CASE WHEN status = 'current' THEN revision END) AS previous FROM held GROUP BY 1),
+    o AS (SELECT g.*, previous, coalesce(held, 0) + row_number() OVER (PARTITION BY g.document ORDER BY seq) AS no FROM g LEFT JOIN n ON n.document = g.document)
+    SELECT seq, error, document, CASE WHEN error IS NULL THEN no END AS revision_no, CASE WHEN error IS NULL THEN coalesce(label, 'R' || no) END AS revision_label, CASE WHEN error IS NULL THEN previous END AS previous_revision, CASE WHEN error IS NULL THEN 'received' END AS status FROM o"""
+SQL["change_events"] = f"WITH {H}, x AS (SELECT DISTINCT action, CAST(ts AS DATE) AS day, key FROM changes) SELECT action, day, string_agg(key::VARCHAR, ',' ORDER BY key) AS ids, CAST(count(*) AS INTEGER) AS n FROM x GROUP BY 1, 2"
 
 # documents
 _kinds = {"notice": [("the", 1), ("of the", 3), ("and", 1)], "bericht": [("der", 1), ("und", 2), ("die", 1)], "rapport": [("le", 2), ("la", 1), ("des", 1)], "informe": [("que", 1), ("de la", 3), ("los", 2)]}
@@ -177,8 +207,7 @@ _signal = f"WITH d AS (SELECT doc_id, lower(source) AS f, {collapsed('translate(
 ) + "), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ord) AS place, lead(score) OVER (PARTITION BY doc_id ORDER BY score DESC, ord) AS second FROM s), found AS (SELECT doc_id, CASE WHEN score > 0 THEN kind END AS signal_kind, CASE WHEN score > 0 THEN CASE WHEN strong OR (score >= 12 AND score >= second + 5) THEN 'high' ELSE 'medium' END END AS signal_confidence, CAST(score AS INTEGER) AS signal_score FROM r WHERE place = 1)"
 SQL["doc_signals"] = _signal + " SELECT * FROM found"
 SQL["intake_summary"] = _signal + " SELECT coalesce(signal_kind, 'other') AS kind, count(*) AS documents, count(*) FILTER (WHERE coalesce(signal_confidence, 'low') <> 'high') AS to_review FROM found GROUP BY 1"
-SQL["doc_kind_fused"] = """WITH x AS (SELECT doc_id AS k, CASE WHEN doc_id % 3 <> 0 THEN ['schedule', 'estimate', 'project-documentation'][doc_id % 3 + 1] END AS s, CASE WHEN doc_id % 3 <> 0 THEN ['high', 'medium'][doc_id % 2 + 1] END AS sc,
-    CASE WHEN doc_id % 5 <> 0 THEN ['project-documentation', 'schedule', 'estimate', 'agreement'][doc_id % 4 + 1] END AS t, ['high', 'medium', 'low'][doc_id % 3 + 1] AS tc FROM documents)
+SQL["doc_kind_fused"] = f"""WITH g AS ({SQL["doc_signals"]}), k AS ({SQL["doc_kind_score"]}), x AS (SELECT g.doc_id AS k, signal_kind AS s, signal_confidence AS sc, CASE WHEN kind <> 'unknown' THEN kind END AS t, confidence AS tc FROM g JOIN k ON k.doc = g.doc_id)
     SELECT k AS doc_id, CASE WHEN s IS NOT NULL AND t IS NOT NULL AND s <> t THEN CASE WHEN sc = 'high' THEN s ELSE t END ELSE coalesce(s, t, 'other') END AS kind,
     CASE WHEN s = t THEN CASE WHEN sc = 'high' OR tc = 'high' THEN 'high' ELSE 'medium' END WHEN s IS NOT NULL AND t IS NOT NULL THEN 'medium' WHEN s IS NOT NULL THEN sc WHEN t IS NOT NULL THEN tc ELSE 'low' END AS confidence,
     coalesce(s <> t, false) AS conflict FROM x"""
@@ -195,7 +224,11 @@ SQL["row_type_counts"] = f"WITH {_book} SELECT doc, " + ", ".join(f"count(*) FIL
 SQL["sheet_rows"] = f"""WITH {_book} SELECT doc, row_idx, name AS work_name, 'шт' AS unit, floor(total)::DOUBLE AS quantity, start, finish, CASE WHEN base = 'uncertain' AND start IS NOT NULL AND finish IS NOT NULL THEN 'work' ELSE base END AS row_type,
     CASE WHEN finish >= start THEN CAST(finish - start + 1 AS INTEGER) END AS duration_days,
     CASE WHEN (start IS NULL) <> (finish IS NULL) THEN 'one-date' WHEN finish < start THEN 'order' WHEN finish - start + 1 > 180 THEN 'long' ELSE '' END AS review
-    FROM typed WHERE has_unit AND floor(total) > 0 QUALIFY row_number() OVER (PARTITION BY doc ORDER BY row_idx) <= 500"""
+    FROM typed WHERE has_unit AND floor(total) > 0"""
+SQL["intake_review_items"] = f"""WITH r AS ({SQL["sheet_rows"]}) SELECT doc, 'schedule' AS item, row_idx::VARCHAR AS place, review AS reason FROM r WHERE review <> ''
+    UNION ALL SELECT doc, 'uncertain', '', count(*)::VARCHAR FROM r WHERE row_type = 'uncertain' GROUP BY doc"""
+SQL["intake_package"] = f"""WITH r AS ({SQL["sheet_rows"]}), i AS ({SQL["intake_review_items"]}) SELECT (SELECT count(DISTINCT o_orderpriority) FROM orders) AS documents, count(*) FILTER (WHERE row_type = 'work') AS works,
+    count(*) FILTER (WHERE row_type = 'material') AS materials, count(*) FILTER (WHERE row_type = 'machinery') AS machinery, 0 AS commercial, 0 AS approvals, (SELECT count(*) FROM i) AS to_review FROM r"""
 SQL["uncertain_groups"] = f"""WITH {_book}, u AS (SELECT doc, name, row_number() OVER (PARTITION BY doc ORDER BY row_idx) AS n FROM typed WHERE base = 'uncertain')
     SELECT doc, count(*) AS n, string_agg(name, '; ' ORDER BY u.n) FILTER (WHERE u.n <= 3) AS examples FROM u GROUP BY 1"""
 
@@ -215,7 +248,7 @@ SQL["kb_categories"] = "SELECT p_brand AS category, count(DISTINCT p_type) AS wo
 SQL["work_named_first"] = """WITH k AS (SELECT p_type AS work_id, unnest([min(p_name), max(p_name)]) AS n FROM part GROUP BY 1), t AS (SELECT DISTINCT upper(p_name) AS text FROM part)
     SELECT text, min(work_id) AS work_id FROM t JOIN k ON contains(lower(text), lower(n)) OR contains(lower(n), lower(text)) GROUP BY 1"""
 SQL["work_resolved"] = "SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 't' || p_partkey WHEN p_partkey % 3 = 0 THEN 'm' || p_partkey WHEN p_partkey % 5 = 0 THEN 'n' || p_partkey END AS work_id, CASE WHEN p_partkey % 4 = 0 THEN 'taxonomy' WHEN p_partkey % 3 = 0 THEN 'matcher' WHEN p_partkey % 5 = 0 THEN 'name' ELSE 'unresolved' END AS source FROM part"
-SQL["volume_search"] = f"""WITH {_book}, c AS (SELECT * FROM typed WHERE has_unit AND floor(total) > 0 QUALIFY row_number() OVER (PARTITION BY doc ORDER BY row_idx) <= 500), x AS (SELECT doc, row_idx, row_number() OVER (ORDER BY doc, row_idx) AS place FROM c WHERE t = 0)
+SQL["volume_search"] = f"""WITH {_book}, c AS (SELECT * FROM typed WHERE has_unit AND floor(total) > 0), x AS (SELECT doc, row_idx, row_number() OVER (ORDER BY doc, row_idx) AS place FROM c WHERE t = 0)
     SELECT doc, row_idx, 100 AS score, CAST(place AS INTEGER) AS place, place = 1 AS chosen, 'high' AS confidence FROM x WHERE place <= 6"""
 SQL["file_facts"] = r"""WITH x AS (SELECT page_id, string_split(url, '/')[-1] AS n, length(html) * 400 AS s FROM pages)
     SELECT page_id, CASE WHEN contains(n, '.') THEN lower(string_split(n, '.')[-1]) ELSE '' END AS extension, n || '-' || s || '-' || page_id AS file_id,

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from trestle.functions import parse as P
 from trestle.functions import text as T
-from trestle.operators import approvals, ask, control, documents, history, planning, projects, quantity, registry, tables, works
+from trestle.operators import approvals, ask, control, documents, history, intake, planning, projects, quantity, registry, tables, works
 from trestle.plans import driver_tables as D
+from trestle.sources import stores
 from trestle.sources.tables import read_table
 from trestle.streaming.runs import debounced_runs
 
@@ -354,15 +355,76 @@ def quantity_cascade(spark, sf):
     return planning.quantity_cascade(planned, met).select("context_id", "work_quantity", "quantity_source")
 
 
+def _plan_contexts(spark, sf):
+    c, k = D.contexts(spark, sf), F.col("ord")
+    return c.select("*", k.alias("context_id"), T.normalize_key("work").alias("work_id"), F.lit(None).cast("string").alias("family_id"), F.lit(None).cast("string").alias("variant_id"), F.lit(None).cast("double").alias("manual_quantity"), F.lit(None).cast("double").alias("document_quantity"))
+
+
+def _plan_resources(spark, sf):
+    """A resource for each work and part type: the first part of that type, material or typical by its size."""
+    p = read_table(spark, sf, "part").groupBy(F.concat(F.lit("w"), F.col("p_partkey") % 11).alias("work_id"), "p_type").agg(F.min(F.struct("p_partkey", "p_size")).alias("p"))
+    name = F.concat(F.lit("part "), "p.p_partkey")
+    return p.select("work_id", name.alias("name"), F.array(name).alias("names"), F.when(F.col("p.p_size") % 2 == 0, "material").otherwise("typical").alias("kind"), (F.col("p.p_size") % 4 == 0).alias("required"))
+
+
+def _plan_rules(spark, sf):
+    p = read_table(spark, sf, "part").groupBy((F.col("p_partkey") % 11).alias("w"), (F.col("p_partkey") % 5).alias("n")).agg(F.min("p_size").cast("double").alias("size"))
+    kind = F.element_at(F.array(*map(F.lit, ["per-length", "per-item", "fixed-per-work", "crew-fixed", "other"])), (F.col("n") + 1).cast("int"))
+    return p.where("w <> 3").select(
+        F.concat_ws("-", "w", "n").alias("rule_id"), F.concat(F.lit("w"), "w").alias("work_id"), F.lit(None).cast("string").alias("family_id"), F.lit(None).cast("string").alias("variant_id"), kind.alias("calculation"),
+        (F.col("size") / 10).alias("rate"), "size", F.col("size").alias("quantity"), F.lit(5.0).alias("reserve_percent"), F.lit(1.0).alias("rounding"), F.col("n").alias("rule_ord"),
+    )
+
+
 @query
 def plan_report(spark, sf):
-    state = _state(spark, sf)
-    short = state.groupBy("project", "object", "work").agg(F.count_if(F.col("deficit") > 0).alias("deficits"), F.count("*").alias("materials"), F.sum("deficit").alias("deficit"))
-    lacking = F.col("materials") % 2
-    rules_ok = F.col("materials") > 5
-    level = planning.risk_level(F.col("deficits"), F.lit(0), lacking, rules_ok)
-    advice = planning.recommendations(F.col("deficits"), F.lit(0), lacking, rules_ok)
-    return short.select("project", "object", "work", "deficits", "deficit", level.alias("level"), F.array_join(advice, ",").alias("advice"))
+    made = planning.report(_plan_contexts(spark, sf), _state(spark, sf), _plan_resources(spark, sf), _plan_rules(spark, sf))
+    return made.select("context_id", "work_id", "work_quantity", "quantity_source", "materials", "deficits", "deficit", "missing_required", "missing_typical", "rules", "calculated", "level", F.array_join("advice", ",").alias("advice"))
+
+
+@query
+def audit_matched(spark, sf):
+    p = read_table(spark, sf, "part")
+    wanted = p.select(F.col("p_brand").alias("key"), F.col("p_name").alias("name")).distinct().withColumn("names", F.array("name"))
+    there = p.where("p_size > 25").select(F.col("p_brand").alias("key"), F.concat_ws(" ", F.upper("p_name"), "p_type").alias("name"), F.col("p_partkey").alias("ord"))
+    return works.match_resources(wanted, there, "key").select("key", "name", "matched", "found")
+
+
+@query
+def audit_counts(spark, sf):
+    p = read_table(spark, sf, "part")
+    size = F.min("p_size").alias("size")
+    wanted = p.groupBy(F.col("p_brand").alias("key"), F.col("p_name").alias("name")).agg(size).select("key", "name", F.array("name").alias("names"), F.when(F.col("size") % 2 == 0, "material").otherwise("typical").alias("kind"), (F.col("size") % 4 == 0).alias("required"))
+    there = p.where("p_size > 25").select(F.col("p_brand").alias("key"), F.concat_ws(" ", F.upper("p_name"), "p_type").alias("name"), F.col("p_partkey").alias("ord"), F.col("p_size").alias("need"))
+    return works.engineering_audit(wanted, there, "key")
+
+
+@query
+def kb_summary(spark, sf):
+    return works.catalogue_summary(_catalogue(spark, sf))
+
+
+def _register_arrivals(spark, sf):
+    o = read_table(spark, sf, "orders")
+    digest = F.sha2(F.floor(F.col("o_totalprice") / 100).cast("string"), 256)
+    held = D.revisions(spark, sf).join(o.select(F.col("o_orderkey").alias("revision"), digest.alias("sha256")), "revision")
+    old = registry.promote(held, "document", F.col("approved"), ["received", "revision"]).where("received < '1997-01-01'")
+    new = o.where(F.to_date("o_orderdate") >= "1997-01-01").select(
+        F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderpriority") != "1-URGENT", F.col("o_custkey")).alias("document"), F.when(F.col("o_orderstatus") != "P", F.concat(F.lit(" Title "), F.col("o_custkey"))).alias("title"),
+        F.when(F.col("o_orderpriority") == "5-LOW", "draft").alias("label"), F.when(F.col("o_orderkey") % 50 != 0, digest).alias("sha256"),
+    )
+    return new, old
+
+
+@query
+def register_revisions(spark, sf):
+    return registry.register(*_register_arrivals(spark, sf))
+
+
+@query
+def change_events(spark, sf):
+    rows = D.changes(spark, sf).withColumn("day", F.to_date("ts"))
+    return stores.change_events(rows, "key", "action", "day").select("action", F.col("at").alias("day"), F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"), "n")
 
 
 # --- documents, tables, quantities, approvals --------------------------------------------------------------------
@@ -398,12 +460,12 @@ def doc_signals(spark, sf):
 
 @query
 def doc_kind_fused(spark, sf):
-    docs = read_table(spark, sf, "documents")
-    kinds = ["working-documents", "schedule", "estimate", "agreement"]
-    pick = lambda n, of: F.element_at(F.array(*map(F.lit, of)), (n % len(of) + 1).cast("int"))
-    k = F.col("doc_id")
-    fused = documents.fuse_kinds(F.when(k % 3 != 0, pick(k, ["schedule", "estimate", "project-documentation"])), F.when(k % 3 != 0, pick(k, ["high", "medium"])), F.when(k % 5 != 0, pick(k, kinds)), pick(k, ["high", "medium", "low"]))
-    return docs.select("doc_id", *[c.alias(n) for n, c in fused.items()])
+    docs = read_table(spark, sf, "documents").select("doc_id", "source", "text")
+    signs = documents.classify_signals(docs, "source", "text", LATIN_SIGNALS).select("doc_id", "signal_kind", "signal_confidence")
+    told = documents.classify_documents(docs.select(F.col("doc_id").alias("doc"), F.lit(1).alias("page"), "text"), LATIN_KINDS, cover=None).select(F.col("doc").alias("doc_id"), "kind", "confidence")
+    both = signs.join(told, "doc_id")
+    fused = documents.fuse_kinds(F.col("signal_kind"), F.col("signal_confidence"), F.col("kind"), F.col("confidence"), {k: k for k in LATIN_KINDS})
+    return both.select("doc_id", *[c.alias(n) for n, c in fused.items()])
 
 
 PAGES = [
@@ -518,6 +580,21 @@ def intake_summary(spark, sf):
     return found.groupBy(F.coalesce("signal_kind", F.lit("other")).alias("kind")).agg(F.count("*").alias("documents"), F.count_if(F.coalesce("signal_confidence", F.lit("low")) != "high").alias("to_review"))
 
 
+@query
+def intake_review_items(spark, sf):
+    return intake.review_items(intake.analyze_books(D.schedule_cells(spark, sf)))
+
+
+@query
+def intake_package(spark, sf):
+    return intake.package_summary(intake.analyze_books(D.schedule_cells(spark, sf)))
+
+
+@query
+def intake_package_ru(spark, sf):
+    return intake.package_summary(intake.analyze_books(D.schedule_cells(spark, sf)), intake.analyze_pages(_pages(spark)))
+
+
 @query
 def debounced_runs_by_user(spark, sf):
     return debounced_runs(read_table(spark, sf, "events").select("ts", "user_id"), gap="10 minutes", by=["user_id"]).select("user_id", "first_event", "n_events")

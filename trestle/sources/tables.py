@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from trestle.functions.parse import content_hash, extension, file_id
 
@@ -22,8 +23,9 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def read_materials(spark: SparkSession, path: str) -> DataFrame:
-    """Materials from JSON, an array or one object a line; broken records are left out, missing status is active and missing revision 1."""
-    rows = spark.read.schema(MATERIAL).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+    """Materials from JSON, an array or one object a line; missing status is active and missing revision 1. Broken records come with what they hold in ``_corrupt``."""
+    schema = T.StructType([*MATERIAL.fields, T.StructField("_corrupt", T.StringType())])
+    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
     return rows.withColumn("status", F.coalesce("status", F.lit("active"))).withColumn("revision", F.coalesce("revision", F.lit(1)))
 
 
@@ -41,24 +43,24 @@ def read_uploads(spark: SparkSession, path: str) -> DataFrame:
     return out.dropDuplicates(["doc_id"])
 
 
-def read_cells(spark: SparkSession, path: str) -> DataFrame:
-    """Cells of CSV files, long: doc, sheet ('csv'), row_idx, col_idx, value. Rows without any value are left out before rows are numbered.
+def read_cells(spark: SparkSession, path: str, separator: str = ",", columns: int = 256) -> DataFrame:
+    """Filled cells of CSV files, long: doc, sheet ('csv'), row_idx, col_idx, value. Rows without any value are left out before rows are numbered.
 
-    A CSV file is one sheet and is numbered as a whole; files are spread over tasks.
+    Quoted cells may hold separators, line ends and doubled quotes, so a file is read as a whole by one task; files are
+    spread over tasks. columns: the widest row that is expected.
     """
-    lines = spark.read.option("wholetext", True).text(path).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("doc"), "value")
-    rows = lines.select("doc", F.posexplode(F.split("value", r"\r?\n")).alias("n", "line")).where("trim(line) <> ''")
-    cells = F.transform(F.split("line", ";|,(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"), lambda c: F.trim(F.regexp_replace(c, "^\"|\"$", "")))
-    from pyspark.sql.window import Window
+    names = [f"c{i}" for i in range(columns)]
+    reader = spark.read.schema(", ".join(f"{c} string" for c in names)).option("sep", separator).option("multiLine", True).option("quote", '"').option("escape", '"')
+    rows = reader.csv(path).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("doc"), F.monotonically_increasing_id().alias("n"), F.array(*[F.nullif(F.trim(c), F.lit("")) for c in names]).alias("cells"))
+    rows = rows.where(F.exists("cells", lambda c: c.isNotNull()))
+    numbered = rows.withColumn("row_idx", F.row_number().over(Window.partitionBy("doc").orderBy("n")) - 1)
+    return numbered.select("doc", "row_idx", F.posexplode("cells").alias("col_idx", "value")).where("value is not null").select("doc", F.lit("csv").alias("sheet"), "row_idx", "col_idx", "value")
 
-    numbered = rows.select("doc", (F.row_number().over(Window.partitionBy("doc").orderBy("n")) - 1).alias("row_idx"), cells.alias("cells"))
-    return numbered.select("doc", F.lit("csv").alias("sheet"), "row_idx", F.posexplode("cells").alias("col_idx", "value"))
 
-
-def page_text(items: DataFrame) -> DataFrame:
-    """Pages from text items (doc, page, pos, text, line_end): spaces collapsed, at most 20,000 characters kept, pages of under 20 visible characters left out."""
+def page_text(items: DataFrame, max_chars: int | None = None, min_visible: int = 1) -> DataFrame:
+    """Pages from text items (doc, page, pos, text, line_end), spaces collapsed: whole pages, or their first max_chars characters; pages of fewer visible characters than min_visible are left out."""
     part = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("line_end"), "\n").otherwise(" "))
     pages = items.groupBy("doc", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", part.alias("t")))), lambda x: x["t"]), "").alias("t"))
-    clean = F.trim(F.regexp_replace(F.regexp_replace("t", "[ \\t]+", " "), "\\n\\s*\\n+", "\n"))
-    out = pages.withColumn("t", clean).where(F.length(F.regexp_replace("t", r"(?U)\s+", "")) >= 20)
-    return out.select("doc", "page", F.substring("t", 1, 20000).alias("text"), F.length("t").alias("text_length"), (F.length("t") > 20000).alias("truncated"))
+    clean = F.btrim(F.regexp_replace(F.regexp_replace("t", "[ \\t]+", " "), "\\n\\s*\\n+", "\n"), F.lit(" \n"))
+    out = pages.withColumn("t", clean).where(F.length(F.regexp_replace("t", r"(?U)\s+", "")) >= min_visible)
+    return out.select("doc", "page", (F.col("t") if max_chars is None else F.substring("t", 1, max_chars)).alias("text"), F.length("t").alias("text_length"), (F.length("t") > max_chars if max_chars is not None else F.lit(False)).alias("truncated"))
