@@ -172,6 +172,42 @@ def test_conversations_come_back(spark, block):
     assert all(len(WORD.findall(r["formatted"])) < 100 * 2 + 60 + 100 for r in long)
 
 
+def plain_windows(turns, stride, history, block_turns):
+    """Texts of the windows of one conversation's turns (number, role, text), by a plain walk: (context, new) of each."""
+    blocks, out, recent = {}, [], []
+    for t in sorted(turns, key=lambda t: (t[0] is not None, t[0] or 0, t[1], t[2])):
+        blocks.setdefault(max(0, (t[0] or 0) // block_turns), []).append(t)
+    system = None
+    for b in sorted(blocks):
+        at, cuts = 0, {}
+        for i, (_, role, text) in enumerate(blocks[b]):
+            if b == 0 and i == 0 and role == "system":
+                system = (role, text)
+            cost = max(len(WORD.findall(text)), -(-len(text) // C.CHARS_A_TOKEN)) + 1
+            cuts.setdefault(at // stride, []).append((at, cost, role, text))
+            at += cost
+        for c in sorted(cuts):
+            mine, stop = cuts[c], cuts[c][-1][0] + cuts[c][-1][1]
+            out.append((([system] if system and out else []) + recent, [x[2:] for x in mine]))
+            recent = [x[2:] for i, x in enumerate(mine) if x[0] >= stop - history and not (system and len(out) == 1 and i == 0)]
+    return out
+
+
+@pytest.mark.parametrize("block", [1024, 4])
+def test_windows_are_those_of_a_plain_walk(spark, block):
+    wordless = [(7, i, "user", "") for i in range(300)] + [(8, i, "assistant", "x" * 900) for i in range(9)]
+    rows = conversation(60, 1) + conversation(9, 2) + wordless
+    windows = C.format_windows(chats(spark, rows), stride=100, history=60, block_turns=block).collect()
+    for c in {r[0] for r in rows}:
+        expected = plain_windows([(t, r, x or "") for conv, t, r, x in rows if conv == c], 100, 60, block)
+        mine = sorted((w for w in windows if w["conv_id"] == c), key=lambda w: w["window"])
+        esc = lambda x: re.sub(r"<(\\*)(/?turn)", r"<\\\1\2", x)
+        drawn = ["".join(f"<turn {r}>\n{esc(x)}</turn>\n" for r, x in [*early, *new]) for early, new in expected]
+        assert [w["formatted"] for w in mine] == drawn
+        assert [w["n_context"] for w in mine] == [len(early) for early, _ in expected]
+        assert c != 7 or all(w["n_turns"] <= 100 + 60 for w in mine)
+
+
 def test_no_conversations(spark):
     assert C.format_windows(chats(spark, [])).count() == 0
 

@@ -4,21 +4,23 @@ OP2 = r"""
 WITH r AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
     UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), b AS (
+    SELECT *, greatest(0, floor(coalesce(turn, 0) / 1024))::BIGINT AS block, greatest(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), ceil(length(text) / 8))::BIGINT + 1 AS tokens FROM r
 ), k AS (
-    SELECT *, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS tokens, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS seq FROM r
+    SELECT *, row_number() OVER (PARTITION BY conv_id, block ORDER BY turn NULLS FIRST, role, text) - 1 AS seq FROM b
 ), t AS (
-    SELECT *, coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k
+    SELECT *, coalesce(sum(tokens) OVER (PARTITION BY conv_id, block ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k
 ), w AS (
-    SELECT *, before // 512 AS win, seq = 0 AND role = 'system' AS sys, 16 + length(role) + length(regexp_replace(text, '<(\\*)(/?turn)', '<\\\1\2', 'g')) AS chars FROM t
+    SELECT *, before // 512 AS win, block = 0 AND seq = 0 AND role = 'system' AS sys, 16 + length(role) + length(regexp_replace(text, '<(\\*)(/?turn)', '<\\\1\2', 'g')) AS chars FROM t
 ), sp AS (
-    SELECT conv_id, win, max(before + tokens) AS stop, lead(win) OVER (PARTITION BY conv_id ORDER BY win) AS next FROM w GROUP BY conv_id, win
+    SELECT conv_id, block, win, max(before + tokens) AS stop, row_number() OVER (PARTITION BY conv_id ORDER BY block, win) AS nth, count(*) OVER (PARTITION BY conv_id) AS n FROM w GROUP BY conv_id, block, win
 ), again AS (
-    SELECT w.conv_id, w.chars FROM w JOIN sp USING (conv_id, win) WHERE next IS NOT NULL AND before >= stop - 128 AND NOT sys
-    UNION ALL SELECT w.conv_id, w.chars FROM w JOIN sp ON w.conv_id = sp.conv_id AND sp.win > w.win WHERE sys
+    SELECT w.conv_id, w.chars FROM w JOIN sp USING (conv_id, block, win) WHERE nth < n AND before >= stop - 128 AND NOT sys
+    UNION ALL SELECT w.conv_id, w.chars FROM w JOIN sp ON w.conv_id = sp.conv_id AND sp.nth > 1 WHERE sys
 ), extra AS (
     SELECT conv_id, sum(chars) AS chars FROM again GROUP BY conv_id
 ), a AS (
-    SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY seq) AS said, coalesce(string_agg(text, '' ORDER BY seq) FILTER (WHERE role = 'assistant'), '') AS loss, sum(chars) AS chars
+    SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY block, seq) AS said, coalesce(string_agg(text, '' ORDER BY block, seq) FILTER (WHERE role = 'assistant'), '') AS loss, sum(chars) AS chars
     FROM w GROUP BY conv_id
 )
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(a.chars + coalesce(extra.chars, 0) AS BIGINT) AS formatted_chars
