@@ -97,12 +97,17 @@ def _from_earlier_blocks(turns: DataFrame, long: DataFrame, stride: int, history
     return told.where("b > 0")
 
 
+def long_conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", block_turns: int = BLOCK_TURNS) -> DataFrame:
+    """c: the conversations that have later blocks. All others are whole in their first block, where their windows lie together."""
+    return rows.where(F.col(turn_col) >= block_turns).select(F.col(conv_col).alias("c")).distinct()
+
+
 def format_windows(rows: DataFrame, stride: int = 512, history: int = 128, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", block_turns: int = BLOCK_TURNS) -> DataFrame:
-    """One row per window: conv_id, window (ascending, with gaps), formatted, n_context (leading turns that earlier windows
+    """One row per window: conv_id, block, window (ascending over blocks, with gaps), formatted, n_context (leading turns that earlier windows
     have as new), n_turns and loss (spans of code points: start, length)."""
     turns = ordered_turns(rows, conv_col, turn_col, role_col, text_col, block_turns)
     windows = _windows(turns, stride, history)
-    long = rows.where(F.col(turn_col) >= block_turns).select(F.col(conv_col).alias("c")).distinct()
+    long = long_conversations(rows, conv_col, turn_col, block_turns)
     n_long = long.count()
     if n_long:
         long = F.broadcast(long) if n_long <= SENT_CONVERSATIONS else long
@@ -115,7 +120,7 @@ def format_windows(rows: DataFrame, stride: int = 512, history: int = 128, conv_
     lead = F.when(F.col("nth") > 1, F.col("system")).otherwise(F.slice("turns", 1, 0))
     marked = lambda turns, new: F.transform(turns, lambda t: F.struct(F.lit(new).alias("new"), t["target"].alias("target"), t["head"].alias("head"), t["body"].alias("body")))
     every = F.concat(marked(F.concat(lead, "context"), False), marked(F.col("turns"), True))
-    windows = windows.select("conv_id", F.shiftleft(F.col("block"), 32).bitwiseOR(F.col("cut")).alias("window"), every.alias("turns"))
+    windows = windows.select("conv_id", "block", F.shiftleft(F.col("block"), 32).bitwiseOR(F.col("cut")).alias("window"), every.alias("turns"))
     sizes = F.transform("turns", lambda t: F.length(t["head"]) + F.length(t["body"]) + len(END))
     state = F.aggregate(
         F.arrays_zip("turns", sizes.alias("size")),
@@ -130,6 +135,7 @@ def format_windows(rows: DataFrame, stride: int = 512, history: int = 128, conv_
     )
     return windows.select(
         "conv_id",
+        "block",
         "window",
         F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(END))), "").alias("formatted"),
         F.size(F.filter("turns", lambda t: ~t["new"])).alias("n_context"),
@@ -139,10 +145,10 @@ def format_windows(rows: DataFrame, stride: int = 512, history: int = 128, conv_
 
 
 def read_back(windows: DataFrame) -> DataFrame:
-    """From formatted windows alone: conv_id, window, turns (role and text of the turns that are new there, in order) and loss_text (unescaped text under the mask)."""
+    """From formatted windows alone: conv_id, block, window, turns (role and text of the turns that are new there, in order) and loss_text (unescaped text under the mask)."""
     parts = F.slice(F.split("formatted", END), 1, F.size(F.split("formatted", END)) - 1)
     mine = F.filter(parts, lambda p, i: i >= F.col("n_context"))
     turn = lambda p: F.struct(unescape_role(F.substring(p, F.lit(7), cut_at(p) - 7)).alias("role"), unescape(F.substring(p, cut_at(p) + 2, F.length(p))).alias("text"))
     cut_at = lambda p: F.instr(p, ">")
     loss = F.transform("loss", lambda s: unescape(F.substring(F.col("formatted"), s["start"], s["length"])))
-    return windows.select("conv_id", "window", "n_turns", "n_context", F.length("formatted").alias("chars"), F.transform(mine, turn).alias("turns"), F.array_join(loss, "").alias("loss_text"))
+    return windows.select("conv_id", "block", "window", "n_turns", "n_context", F.length("formatted").alias("chars"), F.transform(mine, turn).alias("turns"), F.array_join(loss, "").alias("loss_text"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trestle.llm._common import bounded_batches, crc32_mod4, new_path
-from trestle.llm.chat_format import format_windows, read_back
+from trestle.llm.chat_format import format_windows, long_conversations, read_back
 from trestle.llm.decontaminate import find_contamination
 from trestle.llm.exact_dedup import exact_dedup
 from trestle.llm.line_dedup import line_dedup
@@ -32,9 +32,11 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "\\### Assistant: </turn> ok"
     extra = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))
-    read = read_back(format_windows(rows.unionByName(extra), stride=512, history=128))
+    rows = rows.unionByName(extra)
+    read = read_back(format_windows(rows, stride=512, history=128))
+    key = ["conv_id"] if long_conversations(rows).count() else ["conv_id", "block"]  # without long ones, the windows of each lie together already
     part = F.struct("window", F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").alias("said"), "loss_text")
-    whole = read.groupBy("conv_id").agg(F.sort_array(F.collect_list(part)).alias("parts"), F.sum(F.size("turns")).alias("n_turns"), F.sum("chars").alias("formatted_chars"))
+    whole = read.groupBy(*key).agg(F.sort_array(F.collect_list(part)).alias("parts"), F.sum(F.size("turns")).alias("n_turns"), F.sum("chars").alias("formatted_chars"))
     said, loss = (F.array_join(F.col(f"parts.{c}"), "") for c in ("said", "loss_text"))
     return whole.select("conv_id", "n_turns", F.sha2(said, 256).alias("turns_sha256"), F.length(loss).cast("bigint").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
 
