@@ -170,7 +170,7 @@ LEADERS = 4
 
 
 def _leaders(rows: DataFrame, key: list[str], names: tuple[str, ...] = ("node",)) -> DataFrame:
-    """key and the leaders' columns, as o_ + name."""
+    """key and the leaders' columns, as o_ + name: in each class the row with the least names, in their order."""
     least = rows.groupBy(*key, F.pmod(F.xxhash64("node"), F.lit(LEADERS)).alias("class")).agg(F.min(F.struct(*names)).alias("o"))
     return least.select(*key, *(F.col(f"o.{c}").alias(f"o_{c}") for c in names))
 
@@ -207,8 +207,9 @@ def hot_links(hot: DataFrame, sets: DataFrame, roots: DataFrame, similarity: flo
     """Components (node, root) of roots and of all links between hot nodes, exactly.
 
     Shingles are ordered from rare to frequent. Two sets that are similar enough share one within the prefix of each, and
-    at its first such place there is enough left of both. Each set first meets a few leaders under its shingles; then sets
-    that are still in different components are paired. Members of one component never are.
+    at its first such place there is enough left of both. Each set first meets a few leaders under its shingles: the sets
+    with the fewest rarer shingles of their own, so the text that a group's members were made from is among them, and to it
+    they are closest. Then sets that are still in different components are paired. Members of one component never are.
     """
     filled = F.when(F.size("shingles") > 0, F.col("shingles")).otherwise(F.array(F.lit(0).cast("bigint")))  # texts without words are alike
     words = hot.join(sets, "node").select("node", F.size(filled).alias("size"), F.explode(filled).alias("s"))
@@ -217,8 +218,8 @@ def hot_links(hot: DataFrame, sets: DataFrame, roots: DataFrame, similarity: flo
     prefix = materialize(ranked.where("n > 1").where(left >= similarity * F.col("size") - slack).select("node", "size", "s", "place"), "prefix")
     both = similarity / (1 + similarity)
 
-    rows = materialize(_rooted(prefix.select("node", "s"), roots), "rooted")
-    met = rows.join(_leaders(rows, ["s"], ("node", "root")), "s").where("o_node < node and o_root <> root").select(F.col("o_node").alias("a"), F.col("node").alias("b")).distinct()
+    rows = materialize(_rooted(prefix.select("node", "s", "place"), roots), "rooted")
+    met = rows.join(_leaders(rows, ["s"], ("place", "node", "root")), "s").where("o_root <> root").select(F.least("o_node", "node").alias("a"), F.greatest("o_node", "node").alias("b")).distinct()
     star = lambda r: r.select(F.col("node").alias("a"), F.col("root").alias("b"))
     roots = connected_components(star(roots).union(_verified(met, sets, similarity)))
 
