@@ -223,13 +223,19 @@ def hot_links(hot: DataFrame, sets: DataFrame, roots: DataFrame, similarity: flo
     star = lambda r: r.select(F.col("node").alias("a"), F.col("root").alias("b"))
     roots = connected_components(star(roots).union(_verified(met, sets, similarity)))
 
-    probe = _rooted(prefix, roots)
+    # two sets may be similar if each has room for its share of the other; a component has room if one of its sets has
+    room = F.col("size") - F.col("place") - both * F.col("size")
+    probe = _rooted(prefix, roots).withColumn("room", room)
     index = probe.where(left >= 2 * both * F.col("size") - slack)  # the smaller set of a pair
-    named = lambda rows, x: rows.select("s", *[F.col(c).alias(f"{x}_{c}") for c in ("root", "node", "size", "place")])
-    apart = index.select("s", F.col("root").alias("a_root")).distinct().join(probe.select("s", F.col("root").alias("b_root")).distinct(), "s").where("a_root <> b_root")
-    enough = F.least(F.col("a_size") - F.col("a_place"), F.col("b_size") - F.col("b_place")) >= both * (F.col("a_size") + F.col("b_size")) - slack
+    fits = lambda x, y: (F.col(f"{x}_room") >= both * F.col(f"{y}_least") - slack) & (F.col(f"{y}_most") >= both * F.col(f"{x}_size") - slack)
+    named = lambda rows, x: rows.select("s", *[F.col(c).alias(f"{x}_{c}") for c in ("root", "node", "size", "room")])
+    parts = lambda rows, x: rows.groupBy("s", F.col("root").alias(f"{x}_root")).agg(F.max("room").alias(f"{x}_most"), F.min("size").alias(f"{x}_least"))
+    may = (F.col("a_most") >= both * F.col("b_least") - slack) & (F.col("b_most") >= both * F.col("a_least") - slack)
+    apart = parts(index, "a").join(parts(probe, "b"), "s").where("a_root <> b_root").where(may)
+    enough = (F.col("a_room") >= both * F.col("b_size") - slack) & (F.col("b_room") >= both * F.col("a_size") - slack)
     smaller = F.struct("a_size", "a_node") < F.struct("b_size", "b_node")
-    pairs = apart.join(named(index, "a"), ["s", "a_root"]).join(named(probe, "b"), ["s", "b_root"]).where(smaller & enough)
+    near = apart.join(named(index, "a"), ["s", "a_root"]).where(fits("a", "b"))
+    pairs = near.join(named(probe, "b"), ["s", "b_root"]).where(smaller & enough)
     return connected_components(star(roots).union(_verified(pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct(), sets, similarity)))
 
 
