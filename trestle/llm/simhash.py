@@ -143,7 +143,7 @@ def links(fps: DataFrame, max_distance: int = 2, hot_limit: int = HOT_LIMIT) ->
 def simhash_groups(docs: DataFrame, shingle_words: int = 3, max_distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_key, fingerprint (16 hex digits) and component_id, the smallest doc_id reachable over links; one row per input row."""
     rows = materialize(fingerprints(docs, shingle_words, id_col, text_col), "fingerprints")
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes")  # written, so that they are dealt out anew before each becomes many variants
     roots = connected_components(links(nodes.select("fp").repartition(partitions(docs.sparkSession), "fp"), max_distance))
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     named = rooted.select("root", "least_id").groupBy("root").agg(F.min("least_id").alias("component_id"))
