@@ -187,7 +187,8 @@ def lane_candidates(nodes: DataFrame, hot_limit: int = HOT_TEXTS) -> DataFrame:
     shared = materialize(_shared(hashed, key), "variants")  # most variants are alone and go no further
     cold, hot = shared.where(F.col("n") <= hot_limit), shared.where(F.col("n") > hot_limit)
     met = cold.select(*key, F.col("node").alias("a")).join(cold.select(*key, F.col("node").alias("b")), key).where("a < b").select("a", "b")
-    led = hot.join(_leaders(hot, key), key).where("o_node < node").select(F.col("o_node").alias("a"), F.col("node").alias("b"))
+    few = hot.groupBy("node", F.pmod("variant", F.lit(LEADERS)).alias("class")).agg(F.min("variant").alias("variant")).drop("class")  # equal segments share all their variants: a few stand for them
+    led = few.join(_leaders(few, key), key).where("o_node < node").select(F.col("o_node").alias("a"), F.col("node").alias("b"))
     return met.union(led).union(hot.select(F.col("node").alias("a"), F.col("node").alias("b"))).distinct()
 
 
