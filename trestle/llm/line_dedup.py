@@ -27,12 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trestle.llm._common import discard, materialize
+from trestle.llm.bloom import BLOCKS, added_up, bloom_filter, in_blocks, passes
 from trestle.llm.words import Words, chunks, digest_pairs, mix
 
 NULL_ID, _ODD = -(1 << 63), 0xD6E8FEB86659FD93
@@ -76,25 +76,8 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(number.alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("binary").alias("text"))
 
 
-def _added_up(partial: DataFrame, blocks: int, combine) -> dict[int, bytes]:
-    """Arrays that tasks send in compressed blocks (block, data), combined block by block; the driver gets one array in all."""
-
-    def add(table: pa.Table) -> pa.Table:
-        unpack = zstandard.ZstdDecompressor().decompress
-        total = combine(unpack(x) for x in table.column("data").to_pylist())
-        return pa.table({"block": table.column("block")[:1], "data": pa.array([total.tobytes()], pa.binary())})
-
-    return dict(partial.groupBy("block").applyInArrow(add, "block int, data binary").collect())
-
-
-def _in_blocks(values: np.ndarray, blocks: int) -> pa.RecordBatch:
-    pack = zstandard.ZstdCompressor(level=1).compress
-    return pa.record_batch([pa.array(range(blocks), pa.int32()), pa.array([pack(x.tobytes()) for x in values.reshape(blocks, -1)], pa.binary())], names=["block", "data"])
-
-
 def word_counts(rows: DataFrame, count_bits: int, key: int) -> np.ndarray:
     """Counters of words over all texts: the place of a word is the low bits of its hash."""
-    blocks = 64
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, mask = np.zeros(1 << count_bits, np.int64), np.uint64((1 << count_bits) - 1)
@@ -111,16 +94,16 @@ def word_counts(rows: DataFrame, count_bits: int, key: int) -> np.ndarray:
                 if sum(map(len, held)) > len(total):
                     flush()
         flush()
-        yield _in_blocks(np.minimum(total, (1 << 32) - 1).astype("<u4"), blocks)
+        yield in_blocks([x.tobytes() for x in np.minimum(total, (1 << 32) - 1).astype("<u4").reshape(BLOCKS, -1)])
 
     def add(parts: Iterator[bytes]) -> np.ndarray:
-        total = np.zeros((1 << count_bits) // blocks, np.int64)
+        total = np.zeros((1 << count_bits) // BLOCKS, np.int64)
         for x in parts:
             total += np.frombuffer(x, "<u4")
         return np.minimum(total, (1 << 32) - 1).astype("<u4")
 
-    found = _added_up(rows.select("text").mapInArrow(count, "block int, data binary"), blocks, add)  # 4 * 2**count_bits bytes in all
-    return np.concatenate([np.frombuffer(found[i], "<u4") for i in range(blocks)]) if found else np.zeros(1 << count_bits, "<u4")
+    found = added_up(rows.select("text").mapInArrow(count, "block int, data binary"), add)  # 4 * 2**count_bits bytes in all
+    return np.concatenate([np.frombuffer(found[i], "<u4") for i in range(BLOCKS)]) if found else np.zeros(1 << count_bits, "<u4")
 
 
 #: A set that so many lines of a batch share is remembered by the task, which then holds back its later copies; so many sets at most.
@@ -259,10 +242,6 @@ def candidate_pairs(sets: DataFrame, settled: DataFrame, threshold: float) -> Da
     return _pairs(met.where("x_id >= y_id and x_set <> y_set").where(_may_be_similar("x_", "y_", threshold)))
 
 
-#: Bits of the filter that says which lines to fetch: about 16 for each key, at least and at most so many. It is sent to every task; a full one only lets more lines pass.
-FILTER_BITS = (1 << 20, 1 << 30)
-
-
 def _line_keys(ids: np.ndarray, text_keys: np.ndarray, line_no: np.ndarray | int) -> np.ndarray:
     """64 bits of a line's place, or of a document's with line -1."""
     with np.errstate(over="ignore"):
@@ -270,42 +249,14 @@ def _line_keys(ids: np.ndarray, text_keys: np.ndarray, line_no: np.ndarray | int
         return mix(mix(ids.astype(np.int64).view(np.uint64)) + text_keys.astype(np.int64).view(np.uint64) * np.uint64(_ODD) + lines)
 
 
-def _filter_places(keys: np.ndarray, bits: int) -> list[np.ndarray]:
-    """Four places of each key in a filter of so many bits (a power of two)."""
-    return [(((keys >> np.uint64(s)) ^ (keys * np.uint64(_ODD + 2 * s))) & np.uint64(bits - 1)).astype(np.int64) for s in (0, 11, 23, 31)]
-
-
-def _passes(told: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    out = np.ones(len(keys), bool)
-    for places in _filter_places(keys, 8 * len(told)):
-        out &= (told[places >> 3] >> (places & 7).astype(np.uint8)) & 1 == 1
-    return out
-
-
 def line_filter(lines: DataFrame) -> np.ndarray:
-    """A Bloom filter of lines (id, text_key, line_no) and of their documents, as bytes: partial filters of the tasks, joined block by block."""
-    n, bits, blocks = 2 * lines.count(), FILTER_BITS[0], 64
-    while bits < min(16 * n, FILTER_BITS[1]):
-        bits *= 2
-
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1).compress
-        for b in batches:  # only the places in use are sent
-            if b.num_rows:
-                ids, keys, line_no = (b.column(c).to_numpy(zero_copy_only=False) for c in PLACE)
-                places = np.unique(np.concatenate(_filter_places(np.concatenate([_line_keys(ids, keys, line_no), _line_keys(ids, keys, -1)]), bits)))
-                cuts = np.searchsorted(places, np.arange(blocks + 1) * (bits // blocks))
-                data = [pack((places[i:j] - k * (bits // blocks)).astype("<u4").tobytes()) for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False))]
-                yield pa.record_batch([pa.array(range(blocks), pa.int32()), pa.array(data, pa.binary())], names=["block", "data"])
-
-    def join(parts: Iterator[bytes]) -> np.ndarray:
-        total = np.zeros(bits // blocks, bool)
-        for x in parts:
-            total[np.frombuffer(x, "<u4")] = True
-        return np.packbits(total, bitorder="little")
+    """A Bloom filter of lines (id, text_key, line_no) and of their documents."""
+
+    def keys_of(b: pa.RecordBatch) -> np.ndarray:
+        ids, keys, line_no = (b.column(c).to_numpy(zero_copy_only=False) for c in PLACE)
+        return np.concatenate([_line_keys(ids, keys, line_no), _line_keys(ids, keys, -1)])
 
-    found = _added_up(lines.select(*PLACE).mapInArrow(part, "block int, data binary"), blocks, join)  # bits / 8 bytes in all
-    return np.concatenate([np.frombuffer(found[i], np.uint8) for i in range(blocks)]) if found else np.zeros(bits // 8, np.uint8)
+    return bloom_filter(lines.select(*PLACE), 2 * lines.count(), keys_of)
 
 
 def _texts_of_lines(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -319,14 +270,14 @@ def _texts_of_lines(rows: DataFrame, wanted: DataFrame) -> DataFrame:
         told = shared.value
         for b in batches:
             ids, keys = (b.column(c).to_numpy(zero_copy_only=False) for c in ("id", "text_key"))
-            hit = np.flatnonzero(_passes(told, _line_keys(ids, keys, -1)))
+            hit = np.flatnonzero(passes(told, _line_keys(ids, keys, -1)))
             if not len(hit):
                 continue
             lists = [(b.column("text")[i].as_py() or b"").split(b"\n") for i in hit.tolist()]
             sizes = np.array([len(x) for x in lists])
             at = np.repeat(hit, sizes)
             line_no = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            mine = np.flatnonzero(_passes(told, _line_keys(ids[at], keys[at], line_no)))
+            mine = np.flatnonzero(passes(told, _line_keys(ids[at], keys[at], line_no)))
             flat = [x for lines in lists for x in lines]
             yield pa.record_batch([pa.array(ids[at[mine]]), pa.array(keys[at[mine]]), pa.array(line_no[mine].astype(np.int32)), pa.array([flat[i] for i in mine.tolist()], pa.binary())], names=[*PLACE, "line"])
 

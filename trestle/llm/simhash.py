@@ -1,9 +1,11 @@
 """SimHash near-dedup with deletion-variant signatures.
 
 Fingerprints are 64 bits, by bitwise majority over the XXH64 values of a document's word shingles. For links at up to
-``max_distance`` bits the fingerprint is cut into max_distance // 2 + 1 segments, so at least one segment differs by at
-most one bit. Every distinct fingerprint is indexed under each segment with each bit of it wiped in turn; two segments
-that differ by at most one bit share such a variant. An equality join on variants gives candidates, which are verified.
+``max_distance`` bits the fingerprint is cut into max_distance // 2 + 1 segments (two at least), so at least one segment
+differs by at most one bit. Every distinct fingerprint is indexed under each segment with each bit of it wiped in turn; two
+segments that differ by at most one bit share such a variant. An equality join on variants gives candidates, which are
+verified. Variants are first counted, by partial sums; a Bloom filter of those that occur twice or more goes to the
+fingerprints, so the many that are alone are not shuffled again.
 
 A variant that more than ``hot_limit`` distinct fingerprints share is not paired up. Fingerprints under such a variant
 are linked through hubs instead: at up to 2 bits, two fingerprints link exactly if they share a point within one bit of
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trestle.llm._common import LOWER_TABLE, ascii_lower, materialize, partitions
+from trestle.llm.bloom import bloom_filter, passes
 from trestle.llm.components import connected_components
 
 HOT_LIMIT = 64
@@ -97,21 +100,35 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _variants(fps: DataFrame, max_distance: int, kept: tuple[str, ...] = ("fp",)) -> DataFrame:
-    """key (segment, wiped bit and what is left of the segment) and the kept columns; as many rows for each fingerprint (fp) as it has bits."""
-    parts = max_distance // 2 + 1
+def _cuts(max_distance: int) -> list[tuple[int, int, int]]:
+    """Of each variant of a fingerprint: the shift and mask that leave its segment less one bit, and the number of the two, from bit 32 on."""
+    parts = max(max_distance // 2 + 1, 2)
     width = 64 // parts
-    cuts = [(p * width, width if p < parts - 1 else 64 - p * width) for p in range(parts)]
-    bits = [(shift, bit, ((1 << w) - 1) & ~(1 << bit)) for shift, w in cuts for bit in range(w)]
-    left = lambda shift, mask: F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit(_signed(mask)))
-    keys = [F.struct(F.lit(shift * 64 + bit).cast("smallint").alias("slot"), left(shift, mask).alias("rest")) for shift, bit, mask in bits]
-    return fps.select(*kept, F.inline(F.array(*keys)))
+    segments = [(p * width, width if p < parts - 1 else 64 - p * width) for p in range(parts)]
+    return [(shift, ((1 << w) - 1) & ~(1 << bit), (shift + bit) << 32) for shift, w in segments for bit in range(w)]
 
 
-def _shared(variants: DataFrame, key: list[str]) -> DataFrame:
-    """The rows whose key others share, with n, their number: counted by partial sums, so no task gathers a hot key."""
-    counts = materialize(variants.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1"), "counts")
-    return variants.join(counts, key)
+def _shared(fps: DataFrame, max_distance: int) -> DataFrame:
+    """variant, node and n for nodes (node, lane, fp): every variant of a lane that n > 1 nodes share. A variant is lane, slot and rest in one number.
+
+    Variants are counted by partial sums, so no task gathers a hot one.
+    """
+    cuts = _cuts(max_distance)
+    lane = F.shiftleft(F.col("lane").cast("bigint"), 38)
+    keys = [F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit(mask)).bitwiseOR(lane).bitwiseOR(F.lit(slot)) for shift, mask, slot in cuts]
+    counts = materialize(fps.select(F.explode(F.array(*keys)).alias("variant")).groupBy("variant").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+    told = fps.sparkSession.sparkContext.broadcast(bloom_filter(counts.select("variant"), counts.count(), lambda b: b.column("variant").to_numpy(zero_copy_only=False).view(np.uint64)))
+    shifts, masks, slots = (np.array(x, np.uint64) for x in zip(*cuts, strict=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node, lanes, fp = (b.column(c).to_numpy(zero_copy_only=False) for c in ("node", "lane", "fp"))
+            above = (lanes.astype(np.uint64) << np.uint64(38))[:, None] | slots
+            found = ((fp.view(np.uint64)[:, None] >> shifts & masks) | above).ravel()
+            at = np.flatnonzero(passes(told.value, found))
+            yield pa.record_batch([pa.array(found[at].view(np.int64)), pa.array(node[at // len(slots)])], names=["variant", "node"])
+
+    return fps.select("node", "lane", "fp").mapInArrow(run, "variant bigint, node bigint").join(counts, "variant")
 
 
 def links(fps: DataFrame, max_distance: int = 2, hot_limit: int = HOT_LIMIT) -> DataFrame:
@@ -119,10 +136,11 @@ def links(fps: DataFrame, max_distance: int = 2, hot_limit: int = HOT_LIMIT) ->
 
     Below hot variants a link may be given through a third fingerprint that is linked to both ends, so components are exact.
     """
-    key = ["slot", "rest"]
+    key = ["variant"]
     close = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= max_distance
     hubs = max_distance <= 2
-    kept = materialize(_shared(_variants(fps, max_distance), key), "variants")  # most variants are alone and go no further
+    nodes = fps.select(F.col("fp").alias("node"), F.lit(0).alias("lane"), "fp")
+    kept = materialize(_shared(nodes, max_distance).withColumnRenamed("node", "fp"), "variants")
     cold = kept.where(F.col("n") <= hot_limit) if hubs else kept
     other = cold.select(*key, F.col("fp").alias("b"))
     pairs = cold.select(*key, F.col("fp").alias("a")).join(other, key).where("a < b").where(close("a", "b")).select("a", "b")
@@ -183,8 +201,7 @@ def lane_candidates(nodes: DataFrame, hot_limit: int = HOT_TEXTS) -> DataFrame:
     """
     key = ["variant"]
     lane = nodes.select("node", F.posexplode("lanes").alias("lane", "fp"))
-    hashed = _variants(lane, 2, ("node", "lane")).select(F.xxhash64("lane", "slot", "rest").alias("variant"), "node")  # two of one hash are compared for nothing, no more
-    shared = materialize(_shared(hashed, key), "variants")  # most variants are alone and go no further
+    shared = materialize(_shared(lane, 2), "variants")
     cold, hot = shared.where(F.col("n") <= hot_limit), shared.where(F.col("n") > hot_limit)
     met = cold.select(*key, F.col("node").alias("a")).join(cold.select(*key, F.col("node").alias("b")), key).where("a < b").select("a", "b")
     few = hot.groupBy("node", F.pmod("variant", F.lit(LEADERS)).alias("class")).agg(F.min("variant").alias("variant")).drop("class")  # equal segments share all their variants: a few stand for them
