@@ -336,3 +336,19 @@ def test_repeated_rows_and_null_ids_in_line_dedup(spark):
     assert sum(r[1] for r in lows) == 1  # one of the two lowest loses the line that both have
     fives = [r for r in got if r[0] == "5"]
     assert sorted(r[1] for r in fives if r[2] != "x\nother text" and r[2] != "other text") in ([1, 1], [2, 2]) and sum("x" in r[2].split("\n") for r in fives) in (1, 2)
+
+
+def test_variants_that_nodes_share_are_found_all_and_counted(spark):
+    rng = random.Random(5)
+    fps = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(300)]
+    fps += [x ^ 1 << rng.randrange(63) for x in fps[:100]] + [-1, 0, -(1 << 63)]
+    nodes = [(i, i % 2, x) for i, x in enumerate(fps)] + [(i + 1000, i % 2, x) for i, x in enumerate(fps[:7])]
+    for distance in (0, 1, 2, 3, 5):
+        at = {}
+        for node, lane, fp in nodes:
+            for shift, mask, slot in S._cuts(distance):
+                at.setdefault(((fp & (1 << 64) - 1) >> shift & mask) | lane << 38 | slot, []).append(node)
+        expected = sorted((v, n, len(ns)) for v, ns in at.items() if len(ns) > 1 for n in ns)
+        frame = spark.createDataFrame(nodes, "node bigint, lane int, fp bigint")
+        assert sorted(tuple(r) for r in S._shared(frame, distance).select("variant", "node", "n").collect()) == expected
+    assert S._shared(spark.createDataFrame([], "node bigint, lane int, fp bigint"), 2).isEmpty()
