@@ -27,11 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trestle.llm._common import discard, materialize
+from trestle.llm._common import discard, materialize, partitions
 from trestle.llm.bloom import BLOCKS, added_up, bloom_filter, in_blocks, passes
 from trestle.llm.words import Words, chunks, digest_pairs, mix
 
@@ -235,11 +236,108 @@ def leader_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     return _pairs(_side(index, "x").join(led, "word").where("x_id >= y_id and x_set <> y_set").where(_may_be_similar("x_", "y_", threshold)))
 
 
-def candidate_pairs(sets: DataFrame, settled: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (x, y) of sets that share a prefix word and pass the filters, x not settled (set) and in no document before y's."""
-    asking = sets.join(settled.select("set"), "set", "left_anti")
-    met = _side(_index(asking), "x").join(_side(_index(sets), "y"), "word")
-    return _pairs(met.where("x_id >= y_id and x_set <> y_set").where(_may_be_similar("x_", "y_", threshold)))
+#: Index entries of a bucket, about; entries of a word in one cell of a bucket; pairs that are held against the filters at once.
+BUCKET, CELL, AT_ONCE = 1 << 20, 1 << 17, 1 << 21
+_ENTRY = (("key", "<u8"), ("set", "<i8"), ("id", "<i8"), ("bitmap", "<u8"), ("size", "<i4"), ("at", "<i4"), ("asks", "?"))
+
+
+def _in_cells(x: dict[str, np.ndarray], common: np.ndarray) -> dict[str, np.ndarray]:
+    """Index entries, keyed by word and cell. A common word's entries are dealt into blocks, and each goes to the cells of its block with every block."""
+    blocks = common[(x["word"] & np.uint32(len(common) - 1)).astype(np.int64)].astype(np.int64) // CELL + 1
+    row = np.repeat(np.arange(len(blocks)), blocks)
+    other = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    own = x["set"][row] % blocks[row]
+    cell = np.minimum(own, other) * blocks[row] + np.maximum(own, other)
+    return {"key": (x["word"][row].astype(np.uint64) << np.uint64(32)) | cell.astype(np.uint64)} | {k: v[row] for k, v in x.items() if k != "word"}
+
+
+def _packed(data: dict[str, np.ndarray], which: np.ndarray) -> bytes:
+    return zstandard.compress(b"".join(data[k][which].astype(t, copy=False).tobytes() for k, t in _ENTRY), 1)
+
+
+def _unpacked(parts: list[bytes]) -> dict[str, np.ndarray]:
+    width, found = sum(np.dtype(t).itemsize for _, t in _ENTRY), []
+    for part in map(zstandard.decompress, parts):
+        n, at, columns = len(part) // width, 0, {}
+        for k, t in _ENTRY:
+            columns[k] = np.frombuffer(part, t, n, at)
+            at += columns[k].nbytes
+        found.append(columns)
+    return {k: np.concatenate([c[k] for c in found]) for k, _ in _ENTRY}
+
+
+def _met(x: dict[str, np.ndarray], threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (places in x) of entries of one key that pass the length, positional and bitmap filters, some at a time; the keys are sorted, and the sizes within a key."""
+    group = np.cumsum(np.append(False, x["key"][1:] != x["key"][:-1])).astype(np.int64) << 32
+    size, left = x["size"].astype(np.int64), (x["size"] - x["at"]).astype(np.int64)
+    low = np.searchsorted(group | size, group | np.ceil(threshold * size - 1e-9).astype(np.int64))
+    n = np.arange(len(low)) - low
+    ends = np.cumsum(n)
+    i = 0
+    while i < len(n):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + AT_ONCE, "right")))
+        a = np.repeat(np.arange(i, j), n[i:j])
+        b = np.repeat(low[i:j] - (np.cumsum(n[i:j]) - n[i:j]), n[i:j]) + np.arange(len(a))
+        both = size[a] + size[b]
+        near = np.flatnonzero(np.minimum(left[a], left[b]) >= threshold / (1 + threshold) * both - 1e-9)
+        a, b, both = a[near], b[near], both[near]
+        near = np.bitwise_count(x["bitmap"][a] ^ x["bitmap"][b]) <= (1 - threshold) / (1 + threshold) * both + 1e-9
+        yield a[near], b[near]
+        i = j
+
+
+def candidate_pairs(sets: DataFrame, settled: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
+    """Pairs (x, y) of sets that share a prefix word and pass the filters, x not settled (set) and in no document before y's.
+
+    The index is shuffled once, in buckets of words whose entries lie in packed arrays; ``counts`` tell the words that are
+    too common for one cell of a bucket.
+    """
+    spark = sets.sparkSession
+    shared = spark.sparkContext.broadcast(counts)
+    entries = sets.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    n = max(partitions(spark), entries // BUCKET)
+    flagged = sets.join(settled.select("set").distinct().withColumn("known", F.lit(True)), "set", "left")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict[str, np.ndarray]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if any(len(h["key"]) for h in held):
+                data = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
+                held.clear()
+                bucket = (mix(data["key"]) % np.uint64(n)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+                parts = [_packed(data, order[i:j]) for i, j in zip(cuts, [*cuts[1:], len(order)], strict=True)]
+                yield pa.record_batch([pa.array(bucket[order[cuts]]), pa.array(parts, pa.binary())], names=["bucket", "data"])
+
+        for b in batches:
+            prefix = b.column("prefix")
+            lengths = np.diff(prefix.offsets.to_numpy())
+            row = np.repeat(np.arange(len(lengths)), lengths)
+            x = {c: b.column(c).to_numpy(zero_copy_only=False) for c in ("set", "id", "size", "bitmap", "skip")}
+            at = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + x["skip"][row]
+            word = prefix.flatten().to_numpy(zero_copy_only=False).astype(np.int32).view(np.uint32)
+            asks = ~b.column("known").fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
+            held.append(_in_cells({"word": word, "at": at, "asks": asks[row], **{k: x[k][row] for k in ("set", "id", "size", "bitmap")}}, shared.value))
+            if sum(len(h["key"]) for h in held) >= BUCKET:
+                yield from flush()
+        yield from flush()
+
+    def meet(bucket: pa.Table) -> pa.Table:
+        x = _unpacked(bucket.column("data").to_pylist())
+        order = np.lexsort((x["size"], x["key"]))
+        x = {k: v[order] for k, v in x.items()}
+        found = [np.zeros((0, 2), np.int64)]
+        for a, b in _met(x, threshold):
+            for p, q in ((a, b), (b, a)):
+                told = x["asks"][p] & (x["id"][p] >= x["id"][q]) & (x["set"][p] != x["set"][q])
+                found.append(np.stack([x["set"][p[told]], x["set"][q[told]]], 1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"x": pairs[:, 0], "y": pairs[:, 1]})
+
+    packed = flagged.select("set", "id", "size", "bitmap", "skip", "prefix", "known").mapInArrow(pack, "bucket bigint, data binary")
+    return packed.groupBy("bucket").applyInArrow(meet, "x bigint, y bigint").distinct()
 
 
 def _line_keys(ids: np.ndarray, text_keys: np.ndarray, line_no: np.ndarray | int) -> np.ndarray:
@@ -323,21 +421,22 @@ def _verified(rows: DataFrame, sets: DataFrame, pairs: DataFrame, threshold: flo
     return first.union(second).distinct()
 
 
-def late_sets(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def late_sets(rows: DataFrame, sets: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
     """The sets (set) that are similar to one before them.
 
     Round one settles most sets of a group of near copies, by leaders. Only what is left asks the whole index.
     """
     first = _verified(rows, sets, leader_pairs(sets, threshold), threshold)
-    return first.union(_verified(rows, sets, candidate_pairs(sets, first, threshold), threshold)).distinct()
+    return first.union(_verified(rows, sets, candidate_pairs(sets, first, counts, threshold), threshold)).distinct()
 
 
 def removed_lines(docs: DataFrame, threshold: float = 0.8, count_bits: int = 22, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id (a null one as the least integer), text_key and line_no of every line that resembles an earlier one."""
     rows, key = _rows(docs, id_col, text_col), secrets.randbits(62)  # the key of the words' hashes
-    lines = materialize(numbered_sets(lines_of(rows, word_counts(rows, count_bits, key), threshold, key)), "lines")
+    counts = word_counts(rows, count_bits, key)
+    lines = materialize(numbered_sets(lines_of(rows, counts, threshold, key)), "lines")
     sets = lines.where("not copy")
-    late = sets.join(late_sets(rows, sets, threshold), "set")
+    late = sets.join(late_sets(rows, sets, counts, threshold), "set")
     return lines.where("copy").select(*PLACE).union(late.select(*PLACE))
 
 
