@@ -1,8 +1,9 @@
 """Words of many texts at once: places and 64-bit hashes by array operations, without a Python object for each word.
 
-A word's hash holds two polynomials in its bytes, modulo two primes near 2**31, at bases drawn from a key: two different words
-of up to n bytes have one hash with a probability of at most (n / 2**31)**2 over the keys. Hashes choose what to compare;
-before anything is removed, the words themselves or a cryptographic digest of them decide.
+A word of up to 16 bytes is hashed as two integers and its length, mixed with a key; no two words of one length up to 8 bytes
+have one hash. A longer word's hash holds two polynomials in its bytes, modulo two primes near 2**31, at bases drawn from the
+key: two of up to n bytes have one hash with a probability of at most (n / 2**31)**2 over the keys. Hashes choose what to
+compare; before anything is removed, the words themselves or a cryptographic digest of them decide.
 """
 
 from __future__ import annotations
@@ -13,8 +14,9 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that are worked on at once, unless a single text is longer; words of more than LONG bytes are hashed by BLAKE2b.
-CHUNK, LONG = 1 << 18, 1 << 20
+#: Bytes of text that are worked on at once, unless a single text is longer; words of up to SHORT bytes are hashed as two integers, those of more than LONG bytes by BLAKE2b.
+CHUNK, SHORT, LONG = 1 << 18, 16, 1 << 20
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _PRIMES = ((1 << 31) - 1, (1 << 31) - 19)
@@ -50,18 +52,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int) -> np.ndarray:
-    """The hashes of words that lie in fewer than 2 * LONG bytes."""
-    first, last = int(starts[0]), int(ends[-1])
-    plain = data[first:last].astype(np.uint64) + np.uint64(1)
-    cuts = np.empty(2 * len(starts), np.int64)
-    cuts[::2], cuts[1::2] = starts - first, ends - first
+def _short_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, key: int) -> np.ndarray:
+    """The hashes of words by their length and first 16 bytes."""
+    padded = np.append(data, np.zeros(SHORT, np.uint8))
+    eight = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))  # the eight bytes at each place
+    keys = mix(np.array([key, key + 1], np.uint64))
+    out = mix((eight[starts] & _FIRST_BYTES[np.minimum(sizes, 8)]) ^ keys[0]) ^ keys[1]
+    over = np.flatnonzero(sizes > 8)
+    out[over] ^= eight[starts[over] + 8] & _FIRST_BYTES[np.minimum(sizes[over] - 8, 8)]
+    return mix(out + sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, key: int) -> np.ndarray:
+    """The hashes of words by all their bytes."""
+    ends = np.cumsum(sizes)
+    plain = data[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1])].astype(np.uint64) + np.uint64(1)
     out = np.zeros(len(starts), np.uint64)
     for i, prime in enumerate(_PRIMES):
         base = (1 << 20) + (key >> (31 * i)) % (prime - (1 << 21))
-        terms = np.append(plain * _power(base, prime, len(plain)), np.uint64(0))
-        sums = np.add.reduceat(terms, cuts)[::2] % np.uint64(prime)
-        out |= (sums * _power(pow(base, -1, prime), prime, len(plain))[cuts[::2]] % np.uint64(prime)) << np.uint64(31 * i)
+        sums = np.add.reduceat(plain * _power(base, prime, len(plain)), ends - sizes) % np.uint64(prime)
+        out |= (sums * _power(pow(base, -1, prime), prime, len(plain))[ends - sizes] % np.uint64(prime)) << np.uint64(31 * i)
     return mix(out)
 
 
@@ -78,14 +88,18 @@ class Words:
             starts[1:] &= blank[:-1] | first[1:n]
             ends[:-1] &= blank[1:] | first[1:n]
         self.data, self.starts, self.ends = data, np.flatnonzero(starts), np.flatnonzero(ends) + 1
-        self.hash = np.zeros(len(self.starts), np.uint64)
+        sizes = self.ends - self.starts
+        self.hash = _short_hashes(data, self.starts, sizes, key)
+        long = np.flatnonzero(sizes > SHORT)
+        upto = np.cumsum(sizes[long])
         i = 0
-        while i < len(self.starts):
-            j = i + max(1, int(np.searchsorted(self.ends[i:], self.starts[i] + LONG, "right")))
-            if self.ends[j - 1] - self.starts[i] > LONG:  # one very long word
-                self.hash[i] = int.from_bytes(digest(data[self.starts[i] : self.ends[i]].tobytes())[:8], "little")
+        while i < len(long):
+            j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + LONG, "right")))
+            some = long[i:j]
+            if sizes[some[0]] > LONG:  # one very long word
+                self.hash[some] = int.from_bytes(digest(data[self.starts[some[0]] : self.ends[some[0]]].tobytes())[:8], "little")
             else:
-                self.hash[i:j] = _hashes(data, self.starts[i:j], self.ends[i:j], key)
+                self.hash[some] = _hashes(data, self.starts[some], sizes[some], key)
             i = j
         lines = np.concatenate(([0], np.cumsum(data == 10)))
         self.text = np.searchsorted(offsets, self.starts, "right") - 1
