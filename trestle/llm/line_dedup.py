@@ -10,8 +10,8 @@ order of document id and line number, has a Jaccard similarity of ``threshold``
 3. Each set is indexed under the words of its prefix: two sets of the wanted similarity share one. Words that occur once
    are left out. Pairs that meet under a word are held to the length filter, the positional filter and a parity-bitmap
    bound on the symmetric difference, all of which only turn away pairs that cannot be similar.
-4. The lines of the sets that are left in a pair are fetched, by a Bloom filter that goes to the texts, and their words
-   compared. In a first round a set meets a few leaders, first sets under its rarest words. Sets that this settles ask no
+4. The lines of the sets that are left in a pair are fetched, by a Bloom filter that goes to the texts. Parity bitmaps of
+   1,024 bits turn pairs away that cannot be similar; of the others, the words are compared. In a first round a set meets a few leaders, first sets under its rarest words. Sets that this settles ask no
    more: they are taken out of the asking side before the join, so a group of near copies is never paired up.
 
 Defined cases: null texts have no lines; lines without words are always kept; ids are integers, and a null id counts as the
@@ -357,12 +357,53 @@ def line_filter(lines: DataFrame) -> np.ndarray:
     return bloom_filter(lines.select(*PLACE), 2 * lines.count(), keys_of)
 
 
+#: Bits of a line's sketch, and lines that are sketched at once.
+SKETCH, SKETCHED = 1024, 4096
+
+
+def sketches(lines: list[bytes], key: int) -> tuple[np.ndarray, list[bytes]]:
+    """Of each line, the number of its distinct words and a bitmap of the parity of words by place.
+
+    The places where two bitmaps differ are no more than the words that one line has and the other has not.
+    """
+    sizes, found = np.zeros(len(lines), np.int64), []
+    for k in range(0, len(lines), SKETCHED):
+        some = lines[k : k + SKETCHED]
+        line, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for row, words in chunks(pa.array(some, pa.binary()), key):
+            line.append(words.text + row)
+            hashes.append(words.hash)
+        line, hashes = np.concatenate(line), np.concatenate(hashes)
+        order = np.lexsort((hashes, line))
+        line, hashes = line[order], hashes[order]
+        own = np.append(True, (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1]))[: len(line)]
+        line, places = line[own], (hashes[own] % np.uint64(SKETCH)).astype(np.int64)
+        sizes[k : k + len(some)] = np.bincount(line, minlength=len(some))
+        odd = np.bincount(line * SKETCH + places, minlength=len(some) * SKETCH) & 1
+        found += [x.tobytes() for x in np.packbits(odd.astype(bool).reshape(len(some), SKETCH), axis=1)]
+    return sizes, found
+
+
+def _close_enough(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (x, y) whose sketches do not rule out that they are similar."""
+    side = lambda n: lines.select(F.col("set").alias(n), F.col("size").alias(f"{n}_size"), F.col("sketch").alias(f"{n}_sketch"))
+    met = pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", (F.col("x_size") + F.col("y_size")).alias("both"), "x_sketch", "y_sketch")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u8").reshape(b.num_rows, -1) for c in ("x_sketch", "y_sketch"))
+            near = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= (1 - threshold) / (1 + threshold) * b.column("both").to_numpy() + 1e-9
+            yield b.select(["x", "y"]).filter(pa.array(near))
+
+    return met.mapInArrow(run, "x bigint, y bigint")
+
+
 def _texts_of_lines(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id, text_key, line_no and line (bytes) of the lines wanted (id, text_key, line_no) and of a few others.
+    """id, text_key, line_no, line (bytes), size and sketch of the lines wanted (id, text_key, line_no) and of a few others.
 
     Texts stay where they are: a filter of the documents and lines wanted goes to them.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(line_filter(wanted))
+    shared, key = rows.sparkSession.sparkContext.broadcast(line_filter(wanted)), secrets.randbits(62)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told = shared.value
@@ -377,9 +418,12 @@ def _texts_of_lines(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             line_no = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             mine = np.flatnonzero(passes(told, _line_keys(ids[at], keys[at], line_no)))
             flat = [x for lines in lists for x in lines]
-            yield pa.record_batch([pa.array(ids[at[mine]]), pa.array(keys[at[mine]]), pa.array(line_no[mine].astype(np.int32)), pa.array([flat[i] for i in mine.tolist()], pa.binary())], names=[*PLACE, "line"])
+            told_lines = [flat[i] for i in mine.tolist()]
+            size, sketch = sketches(told_lines, key)
+            columns = [pa.array(ids[at[mine]]), pa.array(keys[at[mine]]), pa.array(line_no[mine].astype(np.int32)), pa.array(told_lines, pa.binary()), pa.array(size), pa.array(sketch, pa.binary())]
+            yield pa.record_batch(columns, names=[*PLACE, "line", "size", "sketch"])
 
-    return rows.mapInArrow(run, "id bigint, text_key bigint, line_no int, line binary")
+    return rows.mapInArrow(run, "id bigint, text_key bigint, line_no int, line binary, size bigint, sketch binary")
 
 
 def _later_of_similar(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
@@ -406,17 +450,19 @@ FEW = 8
 def _verified(rows: DataFrame, sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """The sets of pairs (x, y) whose line is similar to the other's, which is before it.
 
-    Each x is compared with a few of its partners first, and with the others only if that does not settle it.
+    Sketches turn most pairs away. Each x is compared with a few of its partners first, and with the others only if that does
+    not settle it.
     """
     pairs = materialize(pairs, "pairs")
     ends = pairs.select(F.col("x").alias("set")).union(pairs.select("y")).distinct()
     involved = materialize(sets.select("set", *PLACE).join(ends, "set"), "involved")
     lines = materialize(involved.join(_texts_of_lines(rows, involved), list(PLACE)).dropDuplicates(["set"]), "words")  # a repeated row gives its lines again
+    met, pairs = pairs, materialize(_close_enough(pairs, lines, threshold), "close")
     few = pairs.groupBy("x", F.pmod(F.xxhash64("y"), F.lit(FEW)).alias("class")).agg(F.min("y").alias("y")).drop("class")
     first = materialize(_later_of_similar(few, lines, threshold), "late")
     others = pairs.join(few, ["x", "y"], "left_anti").join(first.withColumnRenamed("set", "x"), "x", "left_anti")
     second = materialize(_later_of_similar(others, lines, threshold), "late")
-    for table in (pairs, involved, lines):
+    for table in (met, pairs, involved, lines):
         discard(table)
     return first.union(second).distinct()
 
