@@ -352,3 +352,41 @@ def test_variants_that_nodes_share_are_found_all_and_counted(spark):
         frame = spark.createDataFrame(nodes, "node bigint, lane int, fp bigint")
         assert sorted(tuple(r) for r in S._shared(frame, distance).select("variant", "node", "n").collect()) == expected
     assert S._shared(spark.createDataFrame([], "node bigint, lane int, fp bigint"), 2).isEmpty()
+
+
+def test_entries_of_a_common_word_meet_in_cells():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    n, common = 400, np.zeros(1 << 10, np.uint32)
+    common[7] = 3 * LD.CELL  # the word 7 is taken to be common: four blocks
+    x = {"word": rng.choice(np.array([7, 8, 9], np.uint32), n), "set": np.arange(n) * 3 + rng.integers(0, 3, n), "id": rng.integers(0, 50, n), "bitmap": rng.integers(0, 1 << 10, n)}
+    x |= {"size": rng.integers(4, 30, n), "at": rng.integers(0, 5, n), "asks": rng.random(n) < 0.5}
+    cells = LD._in_cells(x, common)
+    assert len(cells["key"]) == 4 * (x["word"] == 7).sum() + (x["word"] != 7).sum()
+    half = np.arange(len(cells["key"])) % 2 == 0
+    cells = LD._unpacked([LD._packed(cells, np.flatnonzero(half)), LD._packed(cells, np.flatnonzero(~half))])
+    order = np.lexsort((cells["size"], cells["key"]))
+    cells = {k: v[order] for k, v in cells.items()}
+    got = {frozenset((int(cells["set"][i]), int(cells["set"][j]))) for a, b in LD._met(cells, 0.8) for i, j in zip(a, b, strict=True)}
+    plain = set()
+    for i, j in itertools.combinations(range(n), 2):
+        (s, t), (u, v) = ((int(x["size"][k]), int(x["size"][k] - x["at"][k])) for k in (i, j))
+        apart = (int(x["bitmap"][i]) ^ int(x["bitmap"][j])).bit_count()
+        if x["word"][i] == x["word"][j] and min(s, u) >= 0.8 * max(s, u) - 1e-9 and min(t, v) >= 0.8 / 1.8 * (s + u) - 1e-9 and apart <= 0.2 / 1.8 * (s + u) + 1e-9:
+            plain.add(frozenset((int(x["set"][i]), int(x["set"][j]))))
+    assert plain and got - {g for g in got if len(g) == 1} == plain
+
+
+def test_sketches_never_overstate_the_difference(monkeypatch):
+    monkeypatch.setattr(LD, "SKETCHED", 7)
+    rng = random.Random(4)
+    pool = words(60, 9).split() + ["a longer word than sixteen bytes".replace(" ", "-")]
+    lines = [" ".join(rng.choices(pool, k=rng.randint(1, 80))).encode() for _ in range(40)]
+    sizes, found = LD.sketches(lines, 99)
+    assert sizes.tolist() == [len(set(x.split())) for x in lines]
+    for i, j in itertools.combinations(range(40), 2):
+        apart = (int.from_bytes(found[i], "big") ^ int.from_bytes(found[j], "big")).bit_count()
+        true = len(set(lines[i].split()) ^ set(lines[j].split()))
+        assert apart <= true and (true - apart) % 2 == 0
+    assert LD.sketches([], 1)[0].tolist() == []
