@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trestle.llm._common import bounded_batches, crc32_mod4, new_path
+from trestle.llm._common import bounded_batches, crc32_mod4, materialize, new_path
 from trestle.llm.chat_format import format_windows, long_conversations, read_back
+from trestle.llm.conversation_repair import damaged, repair, reports
 from trestle.llm.decontaminate import find_contamination
 from trestle.llm.exact_dedup import exact_dedup
+from trestle.llm.fill_in_middle import fill_in_middle, restored
+from trestle.llm.language_id import identify, prototypes
 from trestle.llm.line_dedup import line_dedup
 from trestle.llm.mixing import mix_sources, taken_words
 from trestle.llm.quality import is_good, quality_scores
@@ -95,5 +98,31 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = lambda c: F.coalesce(F.crc32(F.col(c).cast("string")) % 5 == 0, F.lit(True))
+    learned = materialize(prototypes(docs.where(~held_out("doc_id"))), "prototypes")
+    return identify(docs, learned).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = reports(repair(damaged(rows))).withColumnRenamed("conv_id", "c")
+    every = rows.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("c")), "left")
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    return every.select(
+        "conv_id",
+        *map(count, ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(_table(spark, sf_dir, "documents").select("doc_id", "text"), seed=42, fim_percent=50, spm_percent=80)
+    made = made.withColumn("restored", restored(F.col("output"), F.col("form")))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", F.col("restored.sha256").alias("restored_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op2_chat_format, op3_token_files, op4_substring_dedup, op5_quality_classifier, op6_warc, op7_exact_dedup, op8_line_dedup, op9_simhash_dedup, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_chat_format, op3_token_files, op4_substring_dedup, op5_quality_classifier, op6_warc, op7_exact_dedup, op8_line_dedup, op9_simhash_dedup, op10_decontaminate, op11_language_id, op12_conversation_repair, op13_fill_in_middle)}
