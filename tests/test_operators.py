@@ -175,12 +175,3 @@ def test_commands_are_dispatched_in_order(spark):
     assert [ask.report_of(c) for c in ("Сводка по проекту", "дефицит по проекту", "где риск", "все материалы", "кто отвечает", "помощь", "привет")] == ["summary", "context", "deficit", "list", "responsible", "help", "unknown"]
     m = material_rows(spark, [(5.0, 1.0, 0.0, 0.0, None, 1, None), (9.0, 5.0, 0.0, 0.0, None, 1, None)])
     assert ask.ask(m, "сводка").first().asDict() == {"materials": 2, "with_deficit": 2, "without_responsible": 1, "largest_name": "m0", "largest_deficit": 4.0}
-
-
-def test_catalogue_blocks_do_not_change_matches(spark):
-    catalogue = spark.createDataFrame([(f"w{i}", i, [f"прокладка кабеля {i}", f"труба {i}"]) for i in range(20)], "work_id string, ord int, names array<string>")
-    queries = spark.createDataFrame([("прокладка кабеля 7",), ("труба 19 мм",), ("прокладка",)], "q string")
-    whole = sorted(map(str, works.match_works(queries, "q", catalogue).collect()))
-    assert sorted(map(str, works.match_works(queries, "q", catalogue, block_works=3).collect())) == whole
-    named = {r["text"]: r["work_id"] for r in works.first_named(queries, "q", catalogue, block_works=3).collect()}
-    assert named == {"прокладка кабеля 7": "w7", "труба 19 мм": "w1", "прокладка": "w0"}

@@ -1,10 +1,15 @@
 """Sources, sinks and streams."""
 
+import random
+import time
 import zipfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from trestle.operators import history
+from trestle.plans import driver_tables as D
 from trestle.sources import stores as ST
 from trestle.sources import tables as S
 from trestle.sources.xlsx import XlsxSource, read_xlsx
@@ -95,14 +100,54 @@ def test_debounce(spark):
     assert sorted(r["n_events"] for r in runs.debounced_runs(frame).collect()) == [1, 2]
 
 
-def test_streaming_lifecycle_equals_batch_replay(spark, tmp_path):
-    acts = [("a", 0, "create"), ("a", 1, "update"), ("b", 2, "update"), ("a", 3, "archive"), ("b", 4, "create"), ("a", 5, "restore")]
-    schema = "key string, seq int, action string"
-    for i in range(0, len(acts), 2):
-        spark.createDataFrame(acts[i : i + 2], schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 100).json(str(tmp_path / "in"))
-    run = runs.lifecycle(stream).writeStream.outputMode("update").format("memory").queryName("lifecycle_out").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    run.awaitTermination(120)
-    last = spark.table("lifecycle_out").groupBy("key").agg(F.max_by("status", F.col("revision") + F.col("rejected")).alias("status"), F.max("revision").alias("revision")).orderBy("key").collect()
-    batch = history.replay(spark.createDataFrame(acts, schema), "key", ["seq"]).orderBy("key").collect()
-    assert [(r["key"], r["status"], r["revision"]) for r in last] == [(r["key"], r["status"], r["revision"]) for r in batch] == [("a", "active", 4), ("b", "active", 1)]
+def drained(spark, rows, path, name):
+    """The rows that a stream over JSON files gives, file by file."""
+    run = rows.writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", str(path / "cp")).trigger(availableNow=True).start()
+    run.awaitTermination(300)
+    return spark.table(name)
+
+
+@pytest.fixture
+def rocksdb(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    runs.use_rocksdb(spark)
+    yield
+    spark.conf.set(key, before)
+
+
+def test_streaming_lifecycle_equals_batch_replay_of_shuffled_batches(spark, tmp_path, rocksdb):
+    """Changes of the events table, out of order over several micro-batches and some of them twice, against the batch replay."""
+    whole = D.changes(spark, "/root/testdata/sf0.001").where("key < 6")
+    rows = [(str(r["key"]), r["seq"], r["ts"].isoformat(), r["action"]) for r in whole.collect()]
+    random.Random(5).shuffle(rows)
+    schema = "key string, seq bigint, ts timestamp, action string"
+    text = spark.createDataFrame([*rows, *rows[:20]], "key string, seq bigint, ts string, action string")
+    for i, part in enumerate(text.randomSplit([1.0, 1.0, 1.0], 1)):
+        part.coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    spark.createDataFrame([("end", 0, "2030-01-01T00:00:00", "create")], "key string, seq bigint, ts string, action string").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    got = drained(spark, runs.lifecycle(stream, delay="400 days"), tmp_path, "lifecycle_out")
+    last = got.groupBy("key").agg(F.max_by(F.struct("status", "revision", "rejected"), F.col("revision") + F.col("rejected")).alias("s")).select("key", "s.*")
+    batch = history.replay(whole, "key", ["seq"]).withColumn("key", F.col("key").cast("string"))
+    assert sorted(map(tuple, last.collect())) == sorted(map(tuple, batch.collect())) and batch.count() > 3
+
+
+def test_streaming_lifecycle_drops_what_comes_too_late(spark, tmp_path, rocksdb):
+    files = [[("a", 1, "2026-01-01T00:00:00", "create")], [("b", 2, "2026-01-02T00:00:00", "create")], [("b", 5, "2026-01-02T00:10:00", "update")], [("a", 3, "2026-01-01T00:10:00", "archive")], [("end", 4, "2027-01-01T00:00:00", "create")]]
+    for rows in files:
+        spark.createDataFrame(rows, "key string, seq bigint, ts string, action string").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        time.sleep(1.1)  # files are taken in the order of their times
+    stream = spark.readStream.schema("key string, seq bigint, ts timestamp, action string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    got = drained(spark, runs.lifecycle(stream, delay="1 hour"), tmp_path, "late_out")
+    assert sorted((r["key"], r["status"], r["revision"], r["rejected"]) for r in got.collect()) [-2:] == [("a", "active", 1, 0), ("b", "active", 2, 0)]
+
+
+def test_new_arrivals_pass_once(spark, tmp_path):
+    rows = [("x", "2026-01-01T00:00:00"), ("y", "2026-01-01T00:01:00"), ("x", "2026-01-01T00:20:00"), ("z", "2026-01-01T00:30:00"), ("y", "2026-01-01T00:40:00")]
+    for i in (0, 3):
+        spark.createDataFrame(rows[i : i + 3], "id string, ts string").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        time.sleep(1.1)
+    stream = spark.readStream.schema("id string, ts timestamp").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    got = drained(spark, runs.new_arrivals(stream, "id", "ts"), tmp_path, "arrivals_out")
+    assert sorted(r["id"] for r in got.collect()) == ["x", "y", "z"]

@@ -83,6 +83,15 @@ COVER_PATTERN = r"(?:проектн[а-яё]*|рабоч[а-яё]*)\s+докум
 #: Kind of the intake register for a kind found in text.
 INTAKE_KIND = {"working-documents": "project-documentation", "explanatory-note": "project-documentation", "work-volume": "work-volume", "schedule": "schedule", "specification": "specification", "estimate": "estimate", "commercial-proposal": "commercial-proposal", "agreement": "agreement", "cable-journal": "other"}
 REGISTRY_KIND = {"working-documents": "project-documentation", "work-volume": "work-volume", "schedule": "schedule", "specification": "specification", "estimate": "estimate", "commercial-proposal": "commercial-proposal", "agreement": "agreement", "cable-journal": "journal"}
+#: Patterns of lower-case file names and the kind of upload that they tell, the first that is found.
+FILE_NAME_KINDS = [
+    ("вор|ведомост", "work-volume"),
+    ("гпр|график", "schedule"),
+    ("доп.*соглаш|соглаш.*доп", "agreement"),
+    ("коммерч|ткп|(^|[^а-яa-z0-9])кп([^а-яa-z0-9]|$)", "commercial-proposal"),
+    ("смет", "estimate"),
+    (r"\.pdf$", "project-documentation"),
+]
 #: Kind, strength, pattern: signals of the intake classifier.
 _T = "[а-яё]*"
 SIGNALS = {

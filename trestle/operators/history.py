@@ -58,16 +58,64 @@ def apply_actions(state: Column, action: Column) -> Column:
     return out
 
 
-def replay(changes: DataFrame, key: str, order: Sequence[str], action: str = "action") -> DataFrame:
-    """The lifecycle of each key from its ordered actions: status, revision (accepted actions) and rejected ones.
+#: Changes of a key that are folded into one map.
+BLOCK = 10_000
+#: The states that a key can be in; a map tells for each of them where some changes lead.
+STATES = (None, *dict.fromkeys(to for to, _ in TRANSITIONS.values()))
 
-    Actions are folded as an array of short names for each key, in one aggregate expression.
+
+def _starts() -> Column:
+    return F.array(*[F.struct(F.lit(s).cast("string").alias("status"), F.lit(0).cast("bigint").alias("accepted")) for s in STATES])
+
+
+def _index(status: Column) -> Column:
+    out = F.lit(0)
+    for i, s in enumerate(STATES[1:], 1):
+        out = F.when(status == s, i).otherwise(out)
+    return out
+
+
+def transition_maps(changes: DataFrame, key: str, order: Sequence[str], action: str = "action", block: int = BLOCK) -> DataFrame:
+    """key, part, block, n and map (status and accepted changes for each start of STATES): what each block of a key's ordered changes does.
+
+    Rows are dealt out by ranges of key and order, so a busy key is cut over tasks; a block is ``block`` rows that lie together in one.
     """
-    row = changes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(action).alias("a")))).alias("acts"))
-    start = F.struct(F.lit(None).cast("string").alias("status"), F.lit(0).alias("revision"), F.lit(0).alias("rejected"))
+    names = [key, *order, action]
+    dealt = changes.select(*names).repartitionByRange(*names).sortWithinPartitions(*names).withColumn("at_", F.monotonically_increasing_id())
+    where = dealt.withColumn("part", F.shiftright("at_", 33)).withColumn("block", F.floor(F.col("at_").bitwiseAND(F.lit((1 << 33) - 1)) / block))
+    held = where.groupBy(key, "part", "block").agg(F.array_sort(F.collect_list(F.struct("at_", F.col(action).alias("a")))).alias("acts"))
+
+    def step(acc: Column, x: Column) -> Column:
+        def move(s: Column) -> Column:
+            to = apply_actions(s["status"], x["a"])
+            return F.struct(F.coalesce(to, s["status"]).alias("status"), (s["accepted"] + to.isNotNull().cast("bigint")).alias("accepted"))
+
+        return F.transform(acc, move)
+
+    return held.select(key, "part", "block", F.size("acts").cast("bigint").alias("n"), F.aggregate("acts", _starts(), step).alias("map"))
+
+
+def compose(maps: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """by..., n and map: the maps of each group, one after the other in order, as one."""
+    held = maps.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, "map"))).alias("maps"), F.sum("n").alias("n"))
 
     def step(acc: Column, x: Column) -> Column:
-        to = apply_actions(acc["status"], x["a"])
-        return F.struct(F.coalesce(to, acc["status"]).alias("status"), (acc["revision"] + to.isNotNull().cast("int")).alias("revision"), (acc["rejected"] + to.isNull().cast("int")).alias("rejected"))
+        def move(s: Column) -> Column:
+            to = F.get(x["map"], _index(s["status"]))
+            return F.struct(to["status"].alias("status"), (s["accepted"] + to["accepted"]).alias("accepted"))
+
+        return F.transform(acc, move)
 
-    return row.withColumn("s", F.aggregate("acts", start, step)).select(key, "s.status", "s.revision", "s.rejected")
+    return held.select(*by, "n", F.aggregate("maps", _starts(), step).alias("map"))
+
+
+def replay(changes: DataFrame, key: str, order: Sequence[str], action: str = "action", block: int = BLOCK) -> DataFrame:
+    """The lifecycle of each key from its ordered changes: status, revision (accepted ones) and rejected ones.
+
+    Each block of changes becomes a map from the state before it to the state behind it, and maps are composed, within a task's
+    range first and then over ranges. No row holds a key's changes: an array has a block, the blocks of one range, or one map for each range.
+    """
+    maps = transition_maps(changes, key, order, action, block)
+    whole = compose(compose(maps, [key, "part"], ["block"]), [key], ["part"])
+    end = F.get("map", F.lit(0))
+    return whole.select(key, end["status"].alias("status"), end["accepted"].cast("int").alias("revision"), (F.col("n") - end["accepted"]).cast("int").alias("rejected"))

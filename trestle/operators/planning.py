@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from trestle.functions.parse import ceil_to_step
 from trestle.operators import control, works
+from trestle.sources.scratch import cut
 
 SCALED, FIXED = ("per-length", "per-item"), ("fixed-per-work", "crew-fixed", "equipment-fixed")
 
@@ -37,7 +37,11 @@ def calculate(rules: DataFrame) -> DataFrame:
 
 
 def rules_summary(rules: DataFrame) -> DataFrame:
-    return rules.groupBy("calculation").agg(F.count("*").alias("n_rules"), F.countDistinct("work_id").alias("n_works"), F.countDistinct("family_id").alias("n_families"))
+    """Rules, distinct works and distinct families by calculation, and over all rules (whole is true): one pass with grouping sets."""
+    sums = rules.groupingSets([["calculation"], []], "calculation").agg(
+        (F.grouping_id() > 0).alias("whole"), F.count("*").alias("n_rules"), F.countDistinct("work_id").alias("n_works"), F.countDistinct("family_id").alias("n_families")
+    )
+    return sums.select("calculation", "whole", "n_rules", "n_works", "n_families")
 
 
 def quantity_cascade(contexts: DataFrame, needs: DataFrame) -> DataFrame:
@@ -63,46 +67,68 @@ def recommendations(deficits: Column, missing_required: Column, missing_typical:
     return F.when(F.size(some) > 0, some).otherwise(F.array(F.lit("general")))
 
 
-def resolve_work(taxonomy_work: Column, matched_work: Column, named_work: Column) -> tuple[Column, Column]:
-    """The work of a context and where it comes from: taxonomy, matcher, name, or unresolved."""
-    source = F.when(taxonomy_work.isNotNull(), "taxonomy").when(matched_work.isNotNull(), "matcher").when(named_work.isNotNull(), "name").otherwise("unresolved")
-    return F.coalesce(taxonomy_work, matched_work, named_work), source
+def resolve_work(taxonomy_work: Column, matched_work: Column, named_work: Column, family: Column | None = None) -> tuple[Column, Column]:
+    """The work of a context and where it comes from: taxonomy, matcher, name, variant-required (a family without a clear variant) or unresolved."""
+    source = F.when(taxonomy_work.isNotNull(), "taxonomy").when(matched_work.isNotNull(), "matcher").when(named_work.isNotNull(), "name")
+    if family is not None:
+        source = source.when(family.isNotNull(), "variant-required")
+    return F.coalesce(taxonomy_work, matched_work, named_work), source.otherwise("unresolved")
+
+
+def resolve_works(names: DataFrame, name: str, catalogue: DataFrame, taxonomy_works: DataFrame, taxonomy) -> DataFrame:
+    """name, work_id, source, family and variant of every distinct name: by taxonomy (family and variant to taxonomy_works), else by the matcher, else by containment.
+
+    catalogue: work_id, ord, names. taxonomy_works: family, variant, work_id, one for each family and variant. Only names
+    that the step before leaves open go on to the next.
+    """
+    rows = names.select(F.col(name).alias("name")).distinct()
+    known = taxonomy_works.select(F.col("family").alias("f_"), F.col("variant").alias("v_"), F.col("work_id").alias("t_"))
+    told = works.classify_taxonomy(rows, "name", taxonomy).select("name", "family", "variant", "decision")
+    told = cut(told.join(known, (F.col("family") == F.col("f_")) & (F.col("variant") == F.col("v_")), "left").drop("f_", "v_"), "told")
+    open_ = told.where("t_ is null and name is not null").select("name")
+    matched = cut(works.match_works(open_, "name", catalogue).where("work_id is not null").select("name", F.col("work_id").alias("m_")), "matched")
+    named = works.first_named(open_.join(matched, "name", "left_anti"), "name", catalogue).select(F.col("text").alias("name"), F.col("work_id").alias("n_"))
+    out = told.join(matched, "name", "left").join(named, "name", "left")
+    vague = F.when(F.col("variant").isNull(), F.col("family"))
+    work, source = resolve_work(F.col("t_"), F.col("m_"), F.col("n_"), vague)
+    by_taxonomy = F.col("t_").isNotNull()
+    return out.select("name", work.alias("work_id"), source.alias("source"), F.when(by_taxonomy, F.col("family")).alias("family"), F.when(by_taxonomy, F.col("variant")).alias("variant"))
+
+
+def resolve_contexts(contexts: DataFrame, name: str, catalogue: DataFrame, taxonomy_works: DataFrame, taxonomy) -> DataFrame:
+    """Contexts with the work_id, work_source, family_id and variant_id of their work name."""
+    found = resolve_works(contexts, name, catalogue, taxonomy_works, taxonomy).select(F.col("name").alias("n_"), "work_id", F.col("source").alias("work_source"), F.col("family").alias("family_id"), F.col("variant").alias("variant_id"))
+    return contexts.join(found, contexts[name].eqNullSafe(found["n_"]), "left").drop("n_")
+
+
+def audits(contexts: DataFrame, resources: DataFrame, present: DataFrame) -> DataFrame:
+    """context_id, missing_required and missing_typical: works that a taxonomy told are audited by contained names, all others by names and roots.
+
+    contexts: context_id, work_id and work_source. resources: work_id and the columns of works.audit(). present: context_id, name and ord.
+    """
+    wanted = cut(contexts.select("context_id", "work_id", "work_source").join(resources, "work_id").drop("work_id"), "wanted")
+    family = works.audit(wanted.where("work_source = 'taxonomy'").drop("work_source"), present, "context_id")
+    plain = works.engineering_audit(wanted.where("work_source <> 'taxonomy'").drop("work_source"), present, "context_id")
+    names = ["context_id", "missing_required", "missing_typical"]
+    return family.select(*names).unionByName(plain.select(*names))
 
 
 def report(contexts: DataFrame, state: DataFrame, resources: DataFrame, rules: DataFrame) -> DataFrame:
     """The plan of every context: its quantity, its materials' deficits, the audit of its work, its rules, the risk level and advice.
 
-    contexts: context_id, project, object, work, ord, work_id, family_id, variant_id, manual_quantity and document_quantity.
+    contexts: context_id, project, object, work, ord, work_id, work_source, family_id, variant_id (see resolve_contexts), manual_quantity and document_quantity.
     state: see control.material_state(). resources: work_id and the columns of works.audit(). rules: see rules_for_contexts().
     A context without a work has no audit and no rules. Everything meets by equal keys.
     """
+    contexts = cut(contexts, "contexts")
     met = control.context_materials(state, contexts.select("project", "object", "work", "ord")).withColumnRenamed("context_ord", "ord_")
-    met = met.join(contexts.select("context_id", F.col("ord").alias("ord_")), "ord_")
+    met = cut(met.join(contexts.select("context_id", F.col("ord").alias("ord_")), "ord_").select("context_id", "ord", "name", "need", "deficit"), "met")
     short = met.groupBy("context_id").agg(F.count("*").alias("materials"), F.count_if(F.col("deficit") > 0).alias("deficits"), F.sum("deficit").alias("deficit"))
     planned = quantity_cascade(contexts, met.select("context_id", "ord", "need"))
-    wanted = contexts.select("context_id", "work_id").join(resources, "work_id").drop("work_id")
-    audited = works.audit(wanted, met.select("context_id", "name"), "context_id").select("context_id", "missing_required", "missing_typical")
+    audited = audits(contexts, resources, met.select("context_id", "name", "ord"))
     done = calculate(rules_for_contexts(planned.select("context_id", "work_id", "family_id", "variant_id", "work_quantity"), rules))
     calculated = done.groupBy("context_id").agg(F.count("*").alias("rules"), F.count_if(F.col("error").isNull()).alias("calculated"))
     out = planned.join(short, "context_id", "left").join(audited, "context_id", "left").join(calculated, "context_id", "left")
     out = out.fillna(0, ["materials", "deficits", "deficit", "missing_required", "missing_typical", "rules", "calculated"])
     facts = F.col("deficits"), F.col("missing_required"), F.col("missing_typical"), F.col("calculated") > 0
     return out.withColumn("level", risk_level(*facts)).withColumn("advice", recommendations(*facts))
-
-
-def resolve_works(names: DataFrame, name: str, catalogue: DataFrame, taxonomy_works: DataFrame, taxonomy) -> DataFrame:
-    """name, work_id and source of every distinct name: by taxonomy (family and variant to taxonomy_works), else by the matcher, else by containment.
-
-    catalogue: work_id, ord, names. taxonomy_works: family, variant, work_id.
-    """
-    rows = names.select(F.col(name).alias("name")).distinct()
-    told = works.classify_taxonomy(rows, "name", taxonomy).select("name", "family", "variant").join(taxonomy_works.withColumnRenamed("work_id", "t_"), ["family", "variant"], "left").select("name", "t_")
-    matched = works.match_works(rows, "name", catalogue).select("name", F.col("work_id").alias("m_"))
-    named = works.first_named(rows, "name", catalogue).select(F.col("text").alias("name"), F.col("work_id").alias("n_"))
-    out = told.join(matched, "name", "left").join(named, "name", "left")
-    work, source = resolve_work(F.col("t_"), F.col("m_"), F.col("n_"))
-    return out.select("name", work.alias("work_id"), source.alias("source"))
-
-
-def latest(rows: DataFrame, key: str, order: Column) -> DataFrame:
-    return rows.withColumn("place_", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("place_ = 1").drop("place_")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trestle.functions.parse import mapping
-from trestle.functions.lexicon import REGISTRY_KIND
+from trestle.functions.lexicon import FILE_NAME_KINDS, REGISTRY_KIND
 
 IN_REVIEW = ("received", "under-review")
 
@@ -50,11 +50,12 @@ def register(arrivals: DataFrame, revisions: DataFrame) -> DataFrame:
     target = F.coalesce(F.col("document").cast("string"), F.concat(F.lit("new:"), F.lower(titled)))
     told = told.withColumn("document", F.when(F.col("error").isNull(), target))
     held = revisions.groupBy(F.col("document").cast("string").alias("document")).agg(F.count("*").alias("held_"), F.max(F.when(F.col("status") == "current", F.col("revision"))).alias("previous_revision"))
-    later = told.join(held, "document", "left").withColumn("nth_", F.row_number().over(Window.partitionBy("document").orderBy("seq")))
-    no = F.when(F.col("error").isNull(), F.coalesce("held_", F.lit(0)) + F.col("nth_"))
-    out = later.withColumn("revision_no", no).withColumn("revision_label", F.coalesce(F.when(F.trim("label") != "", F.trim("label")), F.concat(F.lit("R"), F.col("revision_no").cast("string"))))
-    fine = F.col("error").isNull()
-    return out.select("seq", "error", "document", "revision_no", F.when(fine, F.col("revision_label")).alias("revision_label"), F.when(fine, F.col("previous_revision")).alias("previous_revision"), F.when(fine, "received").alias("status"))
+    numbered = told.where("error is null").withColumn("nth_", F.row_number().over(Window.partitionBy("document").orderBy("seq"))).join(held, "document", "left")
+    no = F.coalesce("held_", F.lit(0)) + F.col("nth_")
+    label = F.coalesce(F.when(F.trim("label") != "", F.trim("label")), F.concat(F.lit("R"), no.cast("string")))
+    taken = numbered.select("seq", "error", "document", no.alias("revision_no"), label.alias("revision_label"), "previous_revision", F.lit("received").alias("status"))
+    refused = told.where("error is not null").select("seq", "error", "document")  # needs no number, so it meets no window
+    return taken.unionByName(refused, allowMissingColumns=True)
 
 
 def promote(rows: DataFrame, document: str, approved: Column, order: list[str]) -> DataFrame:
@@ -79,17 +80,19 @@ def counters(rows: DataFrame, document: str) -> DataFrame:
     )
 
 
+def overview(rows: DataFrame, document: str, by: str) -> DataFrame:
+    """Distinct documents, revisions, current ones and those in review by a column, and over all rows (whole is true), in one pass with grouping sets."""
+    sums = rows.groupingSets([[by], []], by).agg(
+        (F.grouping_id() > 0).alias("whole"), F.countDistinct(document).alias("documents"), F.count("*").alias("revisions"),
+        F.count_if(F.col("status") == "current").alias("current"), F.count_if(F.col("status").isin(*IN_REVIEW)).alias("in_review"),
+    )
+    return sums.select(by, "whole", "documents", "revisions", "current", "in_review")
+
+
 def guess_kind(name: Column, classified: Column) -> Column:
     """Kind of an upload from its classification, else from words in its file name, else by extension."""
     n = F.lower(F.coalesce(name, F.lit("")))
-    has = lambda w: F.contains(n, F.lit(w))
-    by_name = (
-        F.when(has("вор") | has("ведомост"), "work-volume")
-        .when(has("гпр") | has("график"), "schedule")
-        .when(has("доп") & has("соглаш"), "agreement")
-        .when(has("коммерч") | has("ткп") | F.regexp_like(n, F.lit("(^|[^а-яa-z0-9])кп([^а-яa-z0-9]|$)")), "commercial-proposal")
-        .when(has("смет"), "estimate")
-        .when(F.endswith(n, F.lit(".pdf")), "project-documentation")
-        .otherwise("other")
-    )
+    by_name = F.lit("other")
+    for pattern, kind in reversed(FILE_NAME_KINDS):
+        by_name = F.when(F.regexp_like(n, F.lit(pattern)), kind).otherwise(by_name)
     return F.coalesce(mapping(REGISTRY_KIND)[classified], by_name)

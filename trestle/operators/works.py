@@ -14,6 +14,8 @@ from pyspark.sql.window import Window
 
 from trestle.functions import lexicon as L
 from trestle.functions import text as T
+from trestle.operators import matching
+from trestle.sources.scratch import cut
 
 
 def confidence(score: Column, high: float, medium: float, low: float) -> Column:
@@ -50,64 +52,74 @@ def classify_taxonomy(rows: DataFrame, name: str, taxonomy: Mapping[str, Any] =
     return out.withColumn("alternatives", F.coalesce(alternatives, F.array().cast("array<string>"))).drop("roots_", "text_", "marks_")
 
 
+def root_score(matched: Column, size: Column, asked: Column) -> Column:
+    """0 to 92: of a candidate's ``size`` roots ``matched`` distinct ones are among the ``asked`` roots of a name."""
+    cc, qc = matched / F.greatest(size, F.lit(1)), matched / F.greatest(asked, F.lit(1))
+    return F.when((size >= 2) & (cc == 1), 92).otherwise(T.js_round((cc * 0.6 + qc * 0.4) * 60))
+
+
 def match_score(query: Column, candidate: Column) -> Column:
     """0 to 100: how well a work name fits one name or alias of a known work."""
     q, c = T.normalize_work(query), T.normalize_work(candidate)
     qr, cr = T.roots(T.tokens_work(query)), T.roots(T.tokens_work(candidate))
-    matched = F.size(F.array_distinct(T.matched_roots(cr, qr)))
-    cc, qc = matched / F.greatest(F.size(cr), F.lit(1)), matched / F.greatest(F.size(qr), F.lit(1))
-    partial = T.js_round((cc * 0.6 + qc * 0.4) * 60)
-    by_roots = F.when((F.size(cr) >= 2) & (cc == 1), 92).otherwise(partial)
+    by_roots = root_score(F.size(F.array_distinct(T.matched_roots(cr, qr))), F.size(cr), F.size(qr))
     score = F.when(q == c, 100).when(F.contains(q, c), 92).when(F.contains(c, q), 88).otherwise(by_roots)
     return F.when((q == "") | (c == ""), 0).otherwise(F.least(score, F.lit(100))).cast("int")
 
 
-#: Works of a catalogue that meet the names at once; a larger catalogue is dealt into as many blocks as it needs.
-BLOCK_WORKS = 2000
-
-
-def catalogue_blocks(works: DataFrame, block_works: int = BLOCK_WORKS) -> list[DataFrame]:
-    """The catalogue (work_id, ord, names) in blocks of about block_works rows, each packed into one row."""
-    blocks = max(1, -(-works.count() // block_works))
-    part = lambda i: works if blocks == 1 else works.where(F.pmod(F.xxhash64("work_id"), F.lit(blocks)) == i)
-    return [part(i).agg(F.sort_array(F.collect_list(F.struct("ord", "work_id", "names"))).alias("works")) for i in range(blocks)]
+def _entries(works: DataFrame, first: int) -> tuple[DataFrame, DataFrame]:
+    """The distinct normalised names of a catalogue (entry, roots, size, ord of the first work) and their first works (entry, ord, work_id)."""
+    held = works.select("work_id", "ord", F.explode("names").alias("n")).withColumn("entry", T.normalize_work("n")).where("entry <> ''").select("entry", "ord", "work_id").distinct()
+    holders = held.withColumn("place", F.row_number().over(Window.partitionBy("entry").orderBy("ord", "work_id"))).where(F.col("place") <= first).drop("place")
+    roots = T.roots(T.tokens_work("entry"))
+    entries = held.groupBy("entry").agg(F.min("ord").alias("ord")).select("entry", "ord", F.array_distinct(roots).alias("roots"), F.size(roots).alias("size"))
+    return entries, holders
 
 
-def match_works(queries: DataFrame, name: str, works: DataFrame, alternatives: int = 3, threshold: int = 40, block_works: int = BLOCK_WORKS) -> DataFrame:
+def match_works(queries: DataFrame, name: str, works: DataFrame, alternatives: int = 3, threshold: int = 40, hot: int = matching.HOT) -> DataFrame:
     """For each distinct name: work_id, score and confidence of the best work, and alternatives (work_id, score).
 
-    works: work_id, ord and names (array of the name and its aliases). Names are deduplicated first. The catalogue is laid
-    beside them in blocks of a bounded size, each keeps its best works, and the best of all blocks are ranked.
+    works: work_id, ord and names (array of the name and its aliases; empty ones fit nothing). Names and works meet where one
+    contains the other and where they share roots (see matching); only pairs that can be among the best are scored.
     """
-    names = queries.select(F.col(name).alias("name")).distinct()
-    best = lambda w: F.array_max(F.transform(w["names"], lambda n: match_score(F.col("name"), n)))
-    rank = lambda: F.sort_array(F.transform("works", lambda w: F.struct((-best(w)).alias("negative"), w["ord"].alias("ord"), w["work_id"].alias("work_id"))))
-    found = None
-    for block in catalogue_blocks(works, block_works):
-        one = names.join(F.broadcast(block), F.lit(True)).select("name", F.slice(rank(), 1, alternatives + 1).alias("ranked"))
-        found = one if found is None else found.unionByName(one)
-    scored = found.groupBy("name").agg(F.sort_array(F.flatten(F.collect_list("ranked"))).alias("ranked"))
-    top, rest = F.get("ranked", F.lit(0)), F.slice("ranked", 2, alternatives)
-    score = -top["negative"]
-    return scored.select(
+    first = alternatives + 1
+    names = queries.select(F.col(name).alias("name")).distinct().withColumn("ask", T.normalize_work("name"))
+    asks = cut(names.select("ask").distinct().where("ask <> ''").withColumn("asked", T.roots(T.tokens_work("ask"))), "asks")
+    entries, holders = _entries(works, first)
+    entries = cut(entries, "entries")
+    rooted = matching.sharing_roots(asks.select("ask", F.col("asked").alias("roots")), entries, first, hot)
+    wide = matching.contained(entries.select(F.col("entry").alias("short")), asks.select(F.col("ask").alias("long"))).select(F.col("long").alias("ask"), F.col("short").alias("entry"))
+    narrow = matching.contained(asks.select(F.col("ask").alias("short")), entries.select(F.col("entry").alias("long"))).select(F.col("short").alias("ask"), F.col("long").alias("entry"))
+    # all that contain a name score alike, but for the name itself, which is among the wide ones
+    narrow = narrow.join(entries.select("entry", "ord"), "entry").withColumn("place", F.dense_rank().over(Window.partitionBy("ask").orderBy("ord"))).where(F.col("place") <= first).select("ask", "entry")
+    met = rooted.unionByName(wide).unionByName(narrow).distinct().join(asks, "ask").join(entries.select("entry", "roots", "size"), "entry")
+    by_roots = root_score(F.size(T.matched_roots(F.col("roots"), F.col("asked"))), F.col("size"), F.size("asked"))
+    score = F.when(F.col("ask") == F.col("entry"), 100).when(F.contains("ask", F.col("entry")), 92).when(F.contains("entry", F.col("ask")), 88).otherwise(by_roots)
+    scored = met.select("ask", "entry", score.cast("int").alias("score")).where("score > 0").join(holders, "entry").groupBy("ask", "ord", "work_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("ask").orderBy(F.col("score").desc(), "ord", "work_id")
+    best = scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= first)
+    ranked = best.groupBy("ask").agg(F.sort_array(F.collect_list(F.struct("place", "work_id", "score"))).alias("ranked"))  # at most ``first``
+    out = names.join(ranked, "ask", "left")
+    top, score = F.get("ranked", F.lit(0)), F.coalesce(F.get("ranked", F.lit(0))["score"], F.lit(0))
+    rest = F.coalesce(F.slice("ranked", 2, alternatives), F.array().cast(out.schema["ranked"].dataType))
+    return out.select(
         "name",
         F.when(score >= threshold, top["work_id"]).alias("work_id"),
-        F.coalesce(score, F.lit(0)).alias("score"),
-        confidence(F.coalesce(score, F.lit(0)), 85, 60, 40).alias("confidence"),
-        F.transform(F.filter(rest, lambda r: r["negative"] < 0), lambda r: F.struct(r["work_id"].alias("work_id"), (-r["negative"]).alias("score"))).alias("alternatives"),
+        score.alias("score"),
+        confidence(score, 85, 60, 40).alias("confidence"),
+        F.transform(rest, lambda r: F.struct(r["work_id"].alias("work_id"), r["score"].alias("score"))).alias("alternatives"),
     )
 
 
-def first_named(texts: DataFrame, text: str, works: DataFrame, block_works: int = BLOCK_WORKS) -> DataFrame:
-    """text and work_id: for each distinct text the first work, by ord, one of whose names contains it or is contained in it."""
+def first_named(texts: DataFrame, text: str, works: DataFrame) -> DataFrame:
+    """text and work_id: for each distinct text the first work, by ord, one of whose names contains it or is contained in it (empty ones fit nothing)."""
     keyed = texts.select(F.col(text).alias("text")).distinct().withColumn("t", T.normalize_plain("text")).where("t <> ''")
-    out = None
-    for block in catalogue_blocks(works, block_works):
-        fits = lambda n: F.contains(F.col("t"), T.normalize_plain(n)) | F.contains(T.normalize_plain(n), F.col("t"))
-        hit = F.get(F.filter("works", lambda w: F.exists(w["names"], fits)), F.lit(0))
-        one = keyed.join(F.broadcast(block), F.lit(True)).select("text", F.struct(hit["ord"].alias("ord"), hit["work_id"].alias("work_id")).alias("w")).where("w.ord is not null")
-        out = one if out is None else out.unionByName(one)
-    return out.groupBy("text").agg(F.min("w").alias("w")).select("text", F.col("w.work_id").alias("work_id"))
+    held = works.select("work_id", "ord", F.explode("names").alias("n")).withColumn("n", T.normalize_plain("n")).where("n <> ''").groupBy("n").agg(F.min(F.struct("ord", "work_id")).alias("w"))
+    asks, named = keyed.select("t").distinct(), held.select("n")
+    inside = matching.contained(named.withColumnRenamed("n", "short"), asks.withColumnRenamed("t", "long")).select(F.col("long").alias("t"), F.col("short").alias("n"))
+    around = matching.contained(asks.withColumnRenamed("t", "short"), named.withColumnRenamed("n", "long")).select(F.col("short").alias("t"), F.col("long").alias("n"))
+    first = inside.unionByName(around).join(held, "n").groupBy("t").agg(F.min("w").alias("w"))
+    return keyed.join(first, "t").select("text", F.col("w.work_id").alias("work_id"))
 
 
 def overlay(base: DataFrame, extra: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -118,42 +130,88 @@ def overlay(base: DataFrame, extra: DataFrame, keys: list[str], name: str) -> Da
     return keyed.withColumn("place_", F.row_number().over(w)).where("place_ = 1").drop("layer_", "n_", "place_")
 
 
-def found_resources(expected: DataFrame, present: DataFrame, key: str, aliases: str = "names", name: str = "name") -> DataFrame:
-    """Adds found to the resources expected for a key: whether a row present for it has a name that contains, or is contained in, one of theirs."""
-    there = present.groupBy(key).agg(F.collect_set(T.normalize_plain(name)).alias("there_"))
-    out = expected.join(there, key, "left")
-    hit = F.exists(aliases, lambda a: F.exists("there_", lambda t: (t != "") & (T.normalize_plain(a) != "") & (F.contains(t, T.normalize_plain(a)) | F.contains(T.normalize_plain(a), t))))
-    return out.withColumn("found", F.coalesce(hit, F.lit(False))).drop("there_")
-
-
 def audit_rows(materials: DataFrame) -> DataFrame:
     """Materials as the audit reads them: quantity falls back to need, and rows without a name are left out."""
     quantity = F.coalesce(*[F.col(c).cast("double") for c in ("quantity", "need") if c in materials.columns] or [F.lit(None).cast("double")])
     return materials.withColumn("quantity", quantity).where(T.normalize_plain("name") != "")
 
 
-def _grams(text: Column, longest: int = 3) -> Column:
-    """The distinct pieces of one to three characters of a text: a text that contains another has the other's start among them."""
-    size = lambda n: F.greatest(F.length(text) - n, F.lit(-1))
-    pieces = [F.when(size(n) >= 0, F.transform(F.sequence(F.lit(1), size(n) + 1), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in range(1, longest + 1)]
-    return F.array_distinct(F.concat(*pieces))
+def resolve_pointers(rows: DataFrame, key: str, pointer: str) -> DataFrame:
+    """key, target, hops and state of every row whose pointer may lead to another row.
+
+    state is 'own' without a pointer, 'resolved' (target is the last row of the chain), 'unknown' (the chain ends at a key that no row has)
+    or 'cycle'; target is null in these two. Pointers jump over each other, twice as far in every round, so a chain of n links
+    takes log2(n) rounds; what still points anywhere after as many rounds as all rows could need runs in a circle. Keys are distinct.
+    """
+    known = rows.select(F.col(key).alias("id"), F.col(pointer).cast(rows.schema[key].dataType).alias("to"))
+    there = known.select(F.col("id").alias("i"), F.col("to").alias("onward"), F.lit(True).alias("is_there"))
+    # a link's far end: open (it points on), ended (it is a last row) or lost (there is no such row)
+    step = known.where("to is not null").join(there, F.col("to") == F.col("i"), "left")
+    end = F.when(F.col("is_there").isNull(), "lost").when(F.col("onward").isNull(), "ended").otherwise("open")
+    links = cut(step.select("id", "to", F.lit(1).cast("bigint").alias("hops"), end.alias("end")), "pointers")
+    n = links.count()
+    for _ in range(max(n, 1).bit_length()):
+        if links.where("end = 'open'").isEmpty():
+            break
+        far = links.select(F.col("id").alias("i"), F.col("to").alias("t"), F.col("hops").alias("h"), F.col("end").alias("e"))
+        moved = links.join(far, (F.col("to") == F.col("i")) & (F.col("end") == "open"), "left")
+        links = cut(moved.select("id", F.coalesce("t", "to").alias("to"), (F.col("hops") + F.coalesce("h", F.lit(0))).alias("hops"), F.coalesce("e", "end").alias("end")), "pointers")
+    found = links.select(F.col("id").alias("i"), "to", "hops", "end")
+    out = known.select("id").join(found, F.col("id") == F.col("i"), "left")
+    state = F.when(F.col("end").isNull(), "own").when(F.col("end") == "ended", "resolved").when(F.col("end") == "lost", "unknown").otherwise("cycle")
+    target = F.when(state == "own", F.col("id")).when(state == "resolved", F.col("to"))
+    return out.select(F.col("id").alias(key), target.alias("target"), F.when(state != "cycle", F.coalesce("hops", F.lit(0))).alias("hops"), state.alias("state"))
+
+
+def resolve_variants(asked: DataFrame, variants: DataFrame, pointers: DataFrame) -> DataFrame:
+    """family, variant, mode and work_id of every distinct asked family and variant.
+
+    variants: family, variant, work_id (a pointer to a work, or null). pointers: work_id, target (see resolve_pointers). mode is 'work'
+    (the pointer leads to a work, which stands for the variant), 'overlay' (the family's base with the variant's own rows laid over
+    it), 'base' (no variant asked), or null for a family or variant that is not known.
+    """
+    asks = asked.select("family", "variant").distinct()
+    families = variants.select(F.col("family").alias("f_")).distinct()
+    told = variants.select(F.col("family").alias("vf_"), F.col("variant").alias("vv_"), F.col("work_id").alias("w_")).withColumn("known_", F.lit(True))
+    ends = pointers.select(F.col("work_id").alias("p_"), F.col("target").alias("t_"))
+    out = asks.join(families, F.col("family") == F.col("f_"), "left").join(told, (F.col("family") == F.col("vf_")) & (F.col("variant") == F.col("vv_")), "left").join(ends, F.col("w_") == F.col("p_"), "left")
+    mode = F.when(F.col("f_").isNull(), None).when(F.col("variant").isNull(), "base").when(F.col("known_").isNull(), None).when(F.col("t_").isNotNull(), "work").otherwise("overlay")
+    return out.select("family", "variant", mode.alias("mode"), F.when(mode == "work", F.col("t_")).alias("work_id"))
+
+
+def variant_rows(asked: DataFrame, variants: DataFrame, pointers: DataFrame, works: DataFrame, base: DataFrame, extra: DataFrame, name: str = "name") -> DataFrame:
+    """The rows (resources) of every asked family and variant: those of the work it points to, or the family's base rows with the variant's own after them, one for each name.
+
+    works: work_id, name, ord. base: family, name, ord. extra: family, variant, name, ord. A family or variant that is not known has none.
+    """
+    found = resolve_variants(asked, variants, pointers)
+    told = found.select("family", "variant", "mode", F.col("work_id").alias("w_"))
+    pointed = told.where("mode = 'work'").join(works, F.col("w_") == F.col("work_id")).select("family", "variant", name, "ord")
+    laid = told.where("mode in ('overlay', 'base')").select("family", "variant")
+    own = laid.select("family", "variant").join(base, "family").select("family", "variant", name, "ord")
+    more = laid.join(extra, ["family", "variant"]).select("family", "variant", name, "ord")
+    return pointed.unionByName(overlay(own, more, ["family", "variant"], name))
 
 
-def match_resources(expected: DataFrame, present: DataFrame, key: str, order: str = "ord", names: str = "names", name: str = "name") -> DataFrame:
-    """Adds matched (the first present name, by order, that fits the resource or one of its names for the key; see texts_match) and found.
+def match_resources(expected: DataFrame, present: DataFrame, key: str, order: str | None = "ord", names: str = "names", name: str = "name", by_roots: bool = True) -> DataFrame:
+    """Adds matched (the first present name, by order or by itself, that fits the resource or one of its names for the key) and found.
 
-    Names meet on what a fit must share, the start of a root or the start of the contained text, never all with all. Each
-    distinct name of a key is compared once.
+    A name fits that contains one of the resource's names or is contained in it or, with by_roots, shares half the roots of the
+    shorter one (texts_match). Empty names fit nothing.
     """
-    mine = expected.select(key, F.col(name).alias("e_"), F.explode(F.array_union(F.array(name), F.col(names))).alias("alias_")).distinct().withColumn("a_", T.normalize_plain("alias_")).where("a_ <> ''")
-    theirs = present.groupBy(key, T.normalize_plain(name).alias("p_")).agg(F.min(F.struct(F.col(order).alias("o"), F.col(name).alias("n"))).alias("first_")).where("p_ <> ''")
-    start = lambda t: F.substring(t, 1, 3)
-    roots = lambda t: F.transform(T.roots(T.tokens_audit(t)), lambda r: F.concat(F.lit("r"), F.substring(r, 1, 4)))
-    tagged = lambda tag, c: F.transform(c, lambda x: F.concat(F.lit(tag), x))
-    mine = mine.withColumn("k_", F.explode(F.array_union(roots(F.col("a_")), F.array_union(tagged("a", F.array(start(F.col("a_")))), tagged("p", _grams(F.col("a_")))))))
-    theirs = theirs.withColumn("k_", F.explode(F.array_union(roots(F.col("p_")), F.array_union(tagged("p", F.array(start(F.col("p_")))), tagged("a", _grams(F.col("p_")))))))
-    met = mine.join(theirs, [key, "k_"]).select(key, "e_", "alias_", "p_", "first_").distinct().where(T.texts_match("alias_", F.col("p_")))
-    best = met.groupBy(key, F.col("e_").alias(name)).agg(F.min("first_").alias("best_"))
+    place = F.col(order) if order else F.lit(0)
+    mine = expected.select(key, F.col(name).alias("e_"), F.explode(F.array_union(F.array(name), F.col(names))).alias("a_")).withColumn("ask", T.normalize_plain("a_")).where("ask <> ''").select(key, "e_", "ask").distinct()
+    mine = cut(mine, "expected")
+    theirs = present.select(key, place.alias("o"), F.col(name).alias("n"), T.normalize_plain(name).alias("text")).where("text <> ''").groupBy(key, "text").agg(F.min(F.struct("o", "n")).alias("first"))
+    theirs = cut(theirs, "present")
+    asks, there = mine.select(key, "ask").distinct(), theirs.select(key, "text")
+    inside = matching.contained(there.withColumnRenamed("text", "short"), asks.withColumnRenamed("ask", "long"), [key]).select(key, F.col("long").alias("ask"), F.col("short").alias("text"))
+    around = matching.contained(asks.withColumnRenamed("ask", "short"), there.withColumnRenamed("text", "long"), [key]).select(key, F.col("short").alias("ask"), F.col("long").alias("text"))
+    fits = inside.unionByName(around).join(theirs, [key, "text"]).select(key, "ask", "first")
+    if by_roots:
+        rooted = lambda rows, text: rows.withColumn("roots", T.roots(T.tokens_audit(text)))
+        fits = fits.unionByName(matching.first_sharing(rooted(asks, "ask"), rooted(theirs, "text"), [key]))
+    best = mine.join(fits.groupBy(key, "ask").agg(F.min("first").alias("first")), [key, "ask"]).groupBy(key, F.col("e_").alias(name)).agg(F.min("first").alias("best_"))
     out = expected.join(best, [key, name], "left")
     return out.withColumn("matched", F.col("best_.n")).withColumn("found", F.col("best_").isNotNull()).drop("best_")
 
@@ -185,7 +243,7 @@ def audit(resources: DataFrame, present: DataFrame, key: str) -> DataFrame:
 
     resources: key, name, names, kind ('material', with required, or 'typical').
     """
-    seen = found_resources(resources, present, key)
+    seen = match_resources(resources, present, key, order=None, by_roots=False)
     lack = lambda kind: F.count_if(kind & ~F.col("found"))
     required, typical = (F.col("kind") == "material") & F.col("required"), F.col("kind") == "typical"
     sums = seen.groupBy(key).agg(F.count_if(F.col("kind") == "material").alias("expected"), F.count_if((F.col("kind") == "material") & F.col("found")).alias("found"), lack(required).alias("missing_required"), lack(typical).alias("missing_typical"))

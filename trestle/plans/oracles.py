@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from trestle.functions import lexicon as L
 from trestle.plans import driver_tables as D
-from trestle.plans.queries import PAGES, UNITS, WORK_NAMES
+from trestle.plans.queries import LATIN_TAXONOMY, PAGES, UNITS
 
 M, C, H, R = D.MATERIALS_SQL, D.CONTEXTS_SQL, D.CHANGES_SQL, D.REVISIONS_SQL
 
@@ -124,18 +124,61 @@ SQL["parse_unit"] = (
     + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in L.MATERIAL_UNITS.items()) + f" ELSE {_material} END AS material FROM x"
 )
 
-# work matching over part names and a catalogue of the first and last name of each type
+# work matching: every name with every alias, in plain SQL
 _q, _c = NORM["work"]("p.name"), NORM["work"]("c.alias")
 _qr, _cr = stems(words("qn", L.STOP_WORK, 2)), stems(words("cn", L.STOP_WORK, 2))
-_match = f"""WITH p AS (SELECT DISTINCT p_name AS name FROM part), k AS (SELECT p_type AS work_id, dense_rank() OVER (ORDER BY p_type) AS ord, min(p_name) AS a, max(p_name) AS b FROM part GROUP BY p_type),
-    c AS (SELECT work_id, ord, unnest([a, b]) AS alias FROM k), n AS (SELECT p.name, c.work_id, c.ord, {_q} AS qn, {_c} AS cn FROM p, c), r AS (SELECT *, {_qr} AS qr, {_cr} AS cr FROM n),
+
+
+def matching(names: str, aliases: str) -> str:
+    """CTEs up to ranked (name, work_id, ord, score, place), from SQL for p (name) and c (work_id, ord, alias)."""
+    return f"""p AS ({names}), c AS ({aliases}), n AS (SELECT p.name, c.work_id, c.ord, {_q} AS qn, {_c} AS cn FROM p, c), r AS (SELECT *, {_qr} AS qr, {_cr} AS cr FROM n),
     m AS (SELECT *, len(list_distinct(list_filter(cr, lambda a: len(list_filter(qr, lambda b: {match('a', 'b')})) > 0))) AS hit FROM r),
-    s AS (SELECT name, work_id, ord, CASE WHEN qn = cn THEN 100 WHEN contains(qn, cn) THEN 92 WHEN contains(cn, qn) THEN 88 WHEN len(cr) >= 2 AND hit = len(cr) THEN 92
+    s AS (SELECT name, work_id, ord, CASE WHEN qn = '' OR cn = '' THEN 0 WHEN qn = cn THEN 100 WHEN contains(qn, cn) THEN 92 WHEN contains(cn, qn) THEN 88 WHEN len(cr) >= 2 AND hit = len(cr) THEN 92
         ELSE CAST(floor((hit / greatest(len(cr), 1)::DOUBLE * 0.6::DOUBLE + hit / greatest(len(qr), 1)::DOUBLE * 0.4::DOUBLE) * 60 + 0.5) AS INTEGER) END AS score FROM m),
-    t AS (SELECT name, work_id, ord, max(score) AS score FROM s GROUP BY ALL), ranked AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, ord) AS place FROM t)"""
+    t AS (SELECT name, work_id, ord, max(score) AS score FROM s GROUP BY ALL), ranked AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, ord, work_id) AS place FROM t)"""
+
+
+_match = "WITH " + matching("SELECT DISTINCT p_name AS name FROM part", "SELECT p_type AS work_id, p_type AS ord, unnest([min(p_name), max(p_name)]) AS alias FROM part GROUP BY p_type")
 SQL["work_match_top1"] = _match + " SELECT name, CASE WHEN score >= 40 THEN work_id END AS work_id, CAST(score AS INTEGER) AS score, CASE WHEN score >= 85 THEN 'high' WHEN score >= 60 THEN 'medium' WHEN score >= 40 THEN 'low' ELSE 'none' END AS confidence FROM ranked WHERE place = 1"
 SQL["work_match_alternatives"] = _match + " SELECT name, work_id, CAST(score AS INTEGER) AS score FROM ranked WHERE place BETWEEN 2 AND 4 AND score > 0"
 
+# taxonomy over part names
+_work_name = "CASE WHEN p_size % 2 = 0 THEN p_name ELSE p_name || ' ' || p_type END"
+_has = lambda root: f"len(list_filter(roots, lambda r: {match('r', q(root))})) > 0"
+_hit = lambda m: _has(m[1]) if m[0] == "root" else f"contains(t, {NORM['work'](q(m[1]))})"
+_marks = " UNION ALL ".join(
+    f"SELECT name, {q(f)} AS family, {i} AS ord, {q(v)} AS variant, greatest(" + ", ".join(f"CASE WHEN {_hit(m)} THEN {m[2]} ELSE 0 END" for m in ms) + f", 0) AS score FROM tw WHERE family = {q(f)}"
+    for f, spec in LATIN_TAXONOMY.items() for i, (v, ms) in enumerate(spec["variants"].items())
+)
+_families = "CASE " + " ".join(f"WHEN {' AND '.join(_has(r) for r in spec['required'])} THEN {q(f)}" for f, spec in LATIN_TAXONOMY.items()) + " END"
+
+
+def taxonomy(names: str) -> str:
+    """CTEs up to told (name, family, variant, variant_score, second_score, decision, alternatives), from SQL for tn (name)."""
+    return f"""tn AS ({names}), tm AS (SELECT name, {NORM['work']('name')} AS t FROM tn), t0 AS (SELECT name, t, {stems(words('t', L.STOP_TAXONOMY, 2))} AS roots FROM tm), tw AS (SELECT *, {_families} AS family FROM t0), ts AS ({_marks}),
+    tk AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, ord) AS place, lead(score) OVER (PARTITION BY name ORDER BY score DESC, ord) AS second FROM ts),
+    tb AS (SELECT name, variant, score, second, score > 0 AND second > 0 AND score - second < 15 AS close FROM tk WHERE place = 1), ta AS (SELECT name, string_agg(variant, ',' ORDER BY place) AS alternatives FROM tk WHERE score > 0 AND place <= 3 GROUP BY name),
+    told AS (SELECT tw.name, tw.family, CASE WHEN score >= 50 AND NOT close THEN tb.variant END AS variant, CAST(coalesce(score, 0) AS INTEGER) AS variant_score, CAST(coalesce(second, 0) AS INTEGER) AS second_score,
+        CASE WHEN t = '' THEN 'name-required' WHEN tw.family IS NULL THEN 'family-not-found' WHEN score >= 50 AND NOT close THEN 'family-and-variant-detected' WHEN close THEN 'variant-ambiguous' ELSE 'family-detected-variant-required' END AS decision,
+        coalesce(alternatives, '') AS alternatives FROM tw LEFT JOIN tb ON tb.name = tw.name LEFT JOIN ta ON ta.name = tw.name)"""
+
+
+SQL["taxonomy_classify"] = f"WITH {taxonomy(f'SELECT DISTINCT {_work_name} AS name FROM part')} SELECT * FROM told"
+_catalogue = """SELECT p_brand || '/' || p_type AS work_id, min(p_partkey) AS ord, unnest([arg_min(p_name, p_partkey), max(p_name) || ' ' || p_type]) AS alias FROM part
+    WHERE p_name LIKE '%ing' OR p_name LIKE '%zmo' OR p_name LIKE '%late' GROUP BY p_brand, p_type"""
+
+
+def resolved(names: str) -> str:
+    """CTEs up to res (name, work_id, source, family, variant)."""
+    return f"""{taxonomy(names)}, {matching("SELECT name FROM tn WHERE name IS NOT NULL", _catalogue)}, tax AS (SELECT DISTINCT string_split(p_name, ' ')[2] AS family, string_split(p_name, ' ')[1] AS variant, 't:' || p_name AS work_id FROM part),
+    best AS (SELECT name, work_id FROM ranked WHERE place = 1 AND score >= 40), named AS (SELECT p.name, arg_min(c.work_id, c.ord) AS work_id FROM p, c WHERE contains(lower(p.name), lower(c.alias)) OR contains(lower(c.alias), lower(p.name)) GROUP BY 1),
+    res AS (SELECT told.name, coalesce(tax.work_id, best.work_id, named.work_id) AS work_id, CASE WHEN tax.work_id IS NOT NULL THEN 'taxonomy' WHEN best.work_id IS NOT NULL THEN 'matcher' WHEN named.work_id IS NOT NULL THEN 'name'
+        WHEN told.family IS NOT NULL AND told.variant IS NULL THEN 'variant-required' ELSE 'unresolved' END AS source, CASE WHEN tax.work_id IS NOT NULL THEN told.family END AS family, CASE WHEN tax.work_id IS NOT NULL THEN told.variant END AS variant
+        FROM told LEFT JOIN tax ON tax.family = told.family AND tax.variant = told.variant LEFT JOIN best ON best.name = told.name LEFT JOIN named ON named.name = told.name)"""
+
+
+SQL["work_resolved"] = f"WITH {resolved(f'SELECT DISTINCT {_work_name} AS name FROM part')} SELECT * FROM res"
+
 # rules
 _rules = """r0 AS (SELECT p_type, p_size, min(p_partkey) AS k FROM part GROUP BY 1, 2), rules AS (SELECT p_type || '-' || p_size AS rule_id, CASE WHEN k % 3 = 0 THEN p_type END AS work_id, CASE WHEN k % 3 <> 0 THEN p_type END AS family_id,
     CASE WHEN k % 3 = 2 THEN (p_size % 5)::VARCHAR END AS variant_id, ['per-length', 'per-item', 'fixed-per-work', 'crew-fixed', 'other'][CAST(k % 5 + 1 AS INTEGER)] AS calculation, p_size / 10.0::DOUBLE AS rate, p_size::DOUBLE AS quantity,
@@ -145,7 +188,7 @@ _rules = """r0 AS (SELECT p_type, p_size, min(p_partkey) AS k FROM part GROUP BY
 SQL["rules_for_context"] = f"WITH {_rules} SELECT context_id, rule_id FROM met"
 SQL["rule_calc"] = f"""WITH {_rules}, b AS (SELECT *, CASE WHEN calculation IN ('per-length', 'per-item') THEN wq * rate WHEN calculation <> 'other' THEN quantity END AS base FROM met)
     SELECT context_id, rule_id, ceil(base * (1 + reserve / 100) / step) * step AS calculated_quantity, CASE WHEN calculation IN ('per-length', 'per-item') AND wq IS NULL THEN 'WORK_QUANTITY_REQUIRED' WHEN calculation = 'other' THEN 'UNKNOWN_CALCULATION_TYPE' END AS error FROM b"""
-SQL["rules_summary"] = f"WITH {_rules} SELECT calculation, count(*) AS n_rules, count(DISTINCT work_id) AS n_works, count(DISTINCT family_id) AS n_families FROM rules GROUP BY 1"
+SQL["rules_summary"] = f"WITH {_rules} SELECT calculation, grouping(calculation) > 0 AS whole, count(*) AS n_rules, count(DISTINCT work_id) AS n_works, count(DISTINCT family_id) AS n_families FROM rules GROUP BY GROUPING SETS ((calculation), ())"
 SQL["kb_variant_overlay"] = """WITH x AS (SELECT p_type AS work_id, CASE WHEN p_size <= 25 THEN upper(p_name) ELSE p_name END AS name, p_partkey AS ord, p_size > 25 AS layer FROM part)
     SELECT work_id, name, ord FROM x QUALIFY row_number() OVER (PARTITION BY work_id, lower(name) ORDER BY layer, ord) = 1"""
 _audit = """e AS (SELECT p_type AS key, p_name AS name, min(p_size) AS size FROM part GROUP BY 1, 2), have AS (SELECT p_type AS key, lower(p_name) AS t FROM part WHERE p_partkey % 3 = 0),
@@ -155,19 +198,29 @@ SQL["audit_severity"] = f"""WITH {_audit}, a AS (SELECT key, count(*) FILTER (WH
     CASE WHEN missing_required > 0 THEN 'critical' WHEN missing_typical > 0 OR coalesce((SELECT count(*) FROM have WHERE have.key = a.key), 0) = 0 THEN 'warning' ELSE 'ok' END AS severity FROM a"""
 SQL["resource_missing_anti"] = """WITH e AS (SELECT DISTINCT p_type AS key, p_name AS name FROM part), have AS (SELECT DISTINCT p_type AS key, p_name AS name FROM part WHERE p_size > 45)
     SELECT key, name FROM e WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.key = e.key AND (contains(lower(h.name), lower(e.name)) OR contains(lower(e.name), lower(h.name))))"""
-SQL["quantity_cascade"] = f"""WITH {M}, {C}, n AS (SELECT c.ord AS id, max(need) AS largest FROM materials m JOIN contexts c ON lower(m.project) = c.kp AND lower(m.object) = c.ko AND lower(m.work) = c.kw GROUP BY 1),
-    x AS (SELECT ord AS id, CASE WHEN ord % 4 = 0 THEN (ord % 50)::DOUBLE END AS man, CASE WHEN ord % 4 = 1 THEN ord::DOUBLE END AS doc FROM contexts)
-    SELECT x.id AS context_id, CASE WHEN man > 0 THEN man WHEN doc IS NOT NULL THEN doc ELSE largest END AS work_quantity, CASE WHEN man > 0 THEN 'manual' WHEN doc IS NOT NULL THEN 'document' WHEN largest IS NOT NULL THEN 'estimate' ELSE 'none' END AS quantity_source FROM x LEFT JOIN n USING (id)"""
-SQL["plan_report"] = f"""WITH {M}, {C}, met AS (SELECT c.ord AS id, c.kw, s.* EXCLUDE (ord) FROM state s JOIN contexts c ON lower(project) = kp AND lower(object) = ko AND lower(work) = kw),
-    short AS (SELECT id, count(*) AS materials, count(*) FILTER (WHERE deficit > 0) AS deficits, sum(deficit) AS deficit, max(need) AS largest FROM met GROUP BY 1),
-    res AS (SELECT 'w' || (p_partkey % 11) AS w, 'part ' || min(p_partkey) AS name, arg_min(p_size, p_partkey) AS size FROM part GROUP BY p_partkey % 11, p_type),
-    lack AS (SELECT c.ord AS id, count(*) FILTER (WHERE size % 4 = 0) AS required, count(*) FILTER (WHERE size % 2 <> 0) AS typical FROM contexts c JOIN res r ON r.w = c.kw
-        WHERE NOT EXISTS (SELECT 1 FROM state s WHERE lower(s.project) = c.kp AND lower(s.object) = c.ko AND lower(s.work) = c.kw AND (contains(s.name, r.name) OR contains(r.name, s.name))) GROUP BY 1),
-    rule AS (SELECT p_partkey % 11 AS w, p_partkey % 5 AS n FROM part WHERE p_partkey % 11 <> 3 GROUP BY ALL),
-    done AS (SELECT c.ord AS id, count(*) AS rules, count(*) FILTER (WHERE n IN (2, 3) OR (n IN (0, 1) AND largest IS NOT NULL)) AS calculated FROM contexts c JOIN rule ON c.kw = 'w' || w LEFT JOIN short ON short.id = c.ord GROUP BY 1),
-    o AS (SELECT c.ord AS context_id, c.kw AS work_id, largest AS work_quantity, CASE WHEN largest IS NULL THEN 'none' ELSE 'estimate' END AS quantity_source, coalesce(materials, 0) AS materials, coalesce(deficits, 0) AS deficits, coalesce(deficit, 0) AS deficit,
+_plan = f"""{M}, {C}, told_ AS (SELECT o_custkey AS k, sum(l_quantity) AS q FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' GROUP BY 1),
+    ctx AS (SELECT c.ord AS id, c.kp, c.ko, c.kw, {_work_name} AS work_name, CASE WHEN c_acctbal > 7000 THEN c_acctbal END AS man, CASE WHEN c.ord % 3 = 0 THEN told_.q END AS doc
+        FROM contexts c JOIN customer ON c_custkey = c.ord LEFT JOIN part ON p_partkey = c.ord LEFT JOIN told_ ON told_.k = c.ord),
+    met AS (SELECT x.id, s.* EXCLUDE (ord, name), s.ord, coalesce(p_name || ' ' || p_type, name) AS name, p_name IS NOT NULL AS here FROM ctx x JOIN state s ON lower(project) = kp AND lower(object) = ko AND lower(work) = kw LEFT JOIN part ON p_partkey = s.part_key),
+    needs AS (SELECT id, max(need) AS largest FROM met GROUP BY 1),
+    casc AS (SELECT x.*, CASE WHEN man > 0 THEN man WHEN doc IS NOT NULL THEN doc ELSE largest END AS wq, CASE WHEN man > 0 THEN 'manual' WHEN doc IS NOT NULL THEN 'document' WHEN largest IS NOT NULL THEN 'estimate' ELSE 'none' END AS qs FROM ctx x LEFT JOIN needs USING (id))"""
+SQL["quantity_cascade"] = f"WITH {_plan} SELECT id AS context_id, wq AS work_quantity, qs AS quantity_source FROM casc"
+_na, _nh = stems(words("a", L.STOP_AUDIT, 2)), stems(words("t", L.STOP_AUDIT, 2))
+SQL["plan_report"] = f"""WITH {_plan}, {resolved("SELECT DISTINCT work_name AS name FROM ctx")},
+    short AS (SELECT id, count(*) AS materials, count(*) FILTER (WHERE deficit > 0) AS deficits, sum(deficit) AS deficit FROM met WHERE here GROUP BY 1),
+    pr AS (SELECT unnest([p_brand || '/' || p_type, 't:' || p_name]) AS w, p_type || ' ' || string_split(p_name, ' ')[-1] AS rn, p_size FROM part WHERE p_size > 40), rs AS (SELECT w, rn, min(p_size) AS size FROM pr GROUP BY 1, 2),
+    want AS (SELECT x.id, res.source, rs.rn, rs.size FROM ctx x JOIN res ON res.name IS NOT DISTINCT FROM x.work_name JOIN rs ON rs.w = res.work_id),
+    al AS (SELECT DISTINCT rn, lower(unnest([rn, string_split(rn, ' ')[-1]])) AS a FROM rs), pt AS (SELECT DISTINCT lower(name) AS t FROM met WHERE here),
+    lk AS (SELECT rn, a, t, contains(t, a) OR contains(a, t) AS inside, {_na} AS ra, {_nh} AS rt FROM al, pt),
+    fit AS (SELECT rn, t, bool_or(inside) AS inside, bool_or(inside OR (len(list_filter(ra, lambda x: len(list_filter(rt, lambda y: {match('x', 'y')})) > 0)) / greatest(least(len(ra), len(rt)), 1)::DOUBLE >= 0.5 AND len(list_filter(ra, lambda x: len(list_filter(rt, lambda y: {match('x', 'y')})) > 0)) > 0)) AS near FROM lk GROUP BY 1, 2),
+    seen AS (SELECT DISTINCT want.id, want.rn FROM want JOIN met ON met.id = want.id AND met.here JOIN fit ON fit.rn = want.rn AND fit.t = lower(met.name) WHERE CASE WHEN want.source = 'taxonomy' THEN fit.inside ELSE fit.near END),
+    lack AS (SELECT want.id, count(*) FILTER (WHERE size % 4 = 0 AND seen.rn IS NULL) AS required, count(*) FILTER (WHERE size % 2 <> 0 AND seen.rn IS NULL) AS typical FROM want LEFT JOIN seen USING (id, rn) GROUP BY 1),
+    rk AS (SELECT p_brand || '/' || p_type AS w, NULL AS f, NULL AS v, min(p_partkey) AS k FROM part GROUP BY p_brand, p_type, p_size % 4 UNION ALL SELECT NULL, string_split(p_name, ' ')[2], CASE WHEN min(p_partkey) % 2 = 0 THEN string_split(p_name, ' ')[1] END, min(p_partkey) FROM part GROUP BY p_name),
+    done AS (SELECT x.id, count(*) AS rules, count(*) FILTER (WHERE k % 5 IN (2, 3) OR (k % 5 IN (0, 1) AND x.wq IS NOT NULL)) AS calculated
+        FROM casc x JOIN res ON res.name IS NOT DISTINCT FROM x.work_name JOIN rk ON rk.w = res.work_id OR (rk.f = res.family AND (rk.v IS NULL OR rk.v = res.variant)) GROUP BY 1),
+    o AS (SELECT x.id AS context_id, res.work_id, res.source AS work_source, wq AS work_quantity, qs AS quantity_source, coalesce(materials, 0) AS materials, coalesce(deficits, 0) AS deficits, coalesce(deficit, 0) AS deficit,
         coalesce(required, 0) AS missing_required, coalesce(typical, 0) AS missing_typical, coalesce(rules, 0) AS rules, coalesce(calculated, 0) AS calculated
-        FROM contexts c LEFT JOIN short ON short.id = c.ord LEFT JOIN lack ON lack.id = c.ord LEFT JOIN done ON done.id = c.ord)
+        FROM casc x LEFT JOIN res ON res.name IS NOT DISTINCT FROM x.work_name LEFT JOIN short ON short.id = x.id LEFT JOIN lack ON lack.id = x.id LEFT JOIN done ON done.id = x.id)
     SELECT *, CASE WHEN deficits > 0 OR missing_required > 0 THEN 'high' WHEN missing_typical > 0 THEN 'medium' WHEN calculated > 0 THEN 'low' ELSE 'unknown' END AS level,
     CASE WHEN deficits + missing_required + missing_typical + calculated = 0 THEN 'general' ELSE concat_ws(',', CASE WHEN deficits > 0 THEN 'materials' END, CASE WHEN missing_required > 0 THEN 'audit-required' END, CASE WHEN missing_typical > 0 THEN 'audit-typical' END, CASE WHEN calculated > 0 THEN 'planning' END) END AS advice FROM o"""
 _ra, _rh = stems(words(NORM["plain"]("e.name"), L.STOP_AUDIT, 2)), stems(words("h.t", L.STOP_AUDIT, 2))
@@ -190,7 +243,24 @@ SQL["register_revisions"] = f"""WITH {R}, h AS (SELECT o_orderkey AS k, sha256(C
     g AS (SELECT *, CASE WHEN error IS NULL THEN coalesce(doc::VARCHAR, 'new:' || title) END AS document FROM f), n AS (SELECT document::VARCHAR AS document, count(*) AS held, max(CASE WHEN status = 'current' THEN revision END) AS previous FROM held GROUP BY 1),
     o AS (SELECT g.*, previous, coalesce(held, 0) + row_number() OVER (PARTITION BY g.document ORDER BY seq) AS no FROM g LEFT JOIN n ON n.document = g.document)
     SELECT seq, error, document, CASE WHEN error IS NULL THEN no END AS revision_no, CASE WHEN error IS NULL THEN coalesce(label, 'R' || no) END AS revision_label, CASE WHEN error IS NULL THEN previous END AS previous_revision, CASE WHEN error IS NULL THEN 'received' END AS status FROM o"""
-SQL["change_events"] = f"WITH {H}, x AS (SELECT DISTINCT action, CAST(ts AS DATE) AS day, key FROM changes) SELECT action, day, string_agg(key::VARCHAR, ',' ORDER BY key) AS ids, CAST(count(*) AS INTEGER) AS n FROM x GROUP BY 1, 2"
+SQL["change_events"] = f"WITH {H}, x AS (SELECT DISTINCT action, CAST(ts AS DATE) AS day, key FROM changes) SELECT action, day, count(*) OVER (PARTITION BY action, day) AS total, key AS id FROM x"
+SQL["registry_overview"] = f"""WITH {R}, y AS (SELECT *, CAST(year(received) AS INTEGER) AS year FROM promoted) SELECT year, grouping(year) > 0 AS whole, count(DISTINCT document) AS documents, count(*) AS revisions,
+    count(*) FILTER (WHERE status = 'current') AS current, count(*) FILTER (WHERE status IN ('received', 'under-review')) AS in_review FROM y GROUP BY GROUPING SETS ((year), ())"""
+_pointers = """ptr AS (SELECT p_partkey AS id, CASE WHEN p_size % 3 <> 0 THEN p_partkey // 2 + p_size END AS nxt FROM part),
+    walk AS (SELECT id, id AS pos, nxt, 0::BIGINT AS hops, true AS here FROM ptr
+        UNION ALL SELECT w.id, w.nxt, p.nxt, w.hops + 1, p.id IS NOT NULL FROM walk w LEFT JOIN ptr p ON p.id = w.nxt WHERE w.nxt IS NOT NULL AND w.hops <= (SELECT count(*) FROM ptr)),
+    ends AS (SELECT id, pos, hops, here FROM walk WHERE nxt IS NULL),
+    goal AS (SELECT ptr.id AS work_id, CASE WHEN here THEN pos END AS target, hops, CASE WHEN ends.id IS NULL THEN 'cycle' WHEN NOT here THEN 'unknown' WHEN hops = 0 THEN 'own' ELSE 'resolved' END AS state FROM ptr LEFT JOIN ends ON ends.id = ptr.id)"""
+SQL["kb_pointers"] = f"WITH RECURSIVE {_pointers} SELECT * FROM goal"
+SQL["kb_variant_rows"] = f"""WITH RECURSIVE {_pointers}, vs AS (SELECT p_brand AS f, p_type AS v, max(CASE WHEN p_partkey % 2 = 0 THEN p_partkey END) AS w FROM part WHERE p_size <= 40 GROUP BY 1, 2),
+    ask AS (SELECT DISTINCT p_brand AS f, CASE WHEN p_partkey % 5 <> 0 THEN p_type END AS v FROM part),
+    told AS (SELECT ask.f, ask.v, target, CASE WHEN ask.v IS NULL THEN 'base' WHEN vs.f IS NULL THEN NULL WHEN target IS NOT NULL THEN 'work' ELSE 'overlay' END AS mode FROM ask LEFT JOIN vs ON vs.f = ask.f AND vs.v = ask.v LEFT JOIN goal ON goal.work_id = vs.w WHERE ask.f IN (SELECT f FROM vs)),
+    lay AS (SELECT f, v, upper(p_name) AS name, p_partkey AS ord, 0 AS layer FROM told JOIN part ON p_brand = f AND p_size <= 10 WHERE mode IN ('overlay', 'base') UNION ALL SELECT f, v, p_name, p_partkey, 1 FROM told JOIN part ON p_brand = f AND p_type = v AND p_size > 30 WHERE mode = 'overlay')
+    SELECT f AS family, v AS variant, p_name AS name, p_partkey AS ord FROM told JOIN part ON p_partkey = target WHERE mode = 'work'
+    UNION ALL SELECT f, v, name, ord FROM lay QUALIFY row_number() OVER (PARTITION BY f, v, lower(name) ORDER BY layer, ord) = 1"""
+_sw, _st = words(NORM["work"]("p_name || ' ' || p_type"), L.STOP_WORK, 2), stems(words(NORM["plain"]("p_type || '-' || p_name"), L.STOP_AUDIT, 2))
+SQL["sql_text_functions"] = f"""WITH x AS (SELECT p_partkey, {_sw} AS wanted, {_st} AS there FROM part), y AS (SELECT *, {stems('wanted')} AS roots FROM x)
+    SELECT p_partkey, {covered('roots', 'there')} AS coverage, CAST(len(list_filter(wanted, lambda a: len(list_filter(there, lambda b: {match('a', 'b')})) > 0)) AS INTEGER) AS matched, {match('wanted[1]', 'there[1]')} AS first_match FROM y"""
 
 # documents
 _kinds = {"notice": [("the", 1), ("of the", 3), ("and", 1)], "bericht": [("der", 1), ("und", 2), ("die", 1)], "rapport": [("le", 2), ("la", 1), ("des", 1)], "informe": [("que", 1), ("de la", 3), ("los", 2)]}
@@ -247,7 +317,6 @@ SQL["revision_projects"] = f"""WITH {R}, b AS (SELECT document, revision FROM pr
 SQL["kb_categories"] = "SELECT p_brand AS category, count(DISTINCT p_type) AS works, count(DISTINCT p_type || '|' || p_name) AS names FROM part GROUP BY 1"
 SQL["work_named_first"] = """WITH k AS (SELECT p_type AS work_id, unnest([min(p_name), max(p_name)]) AS n FROM part GROUP BY 1), t AS (SELECT DISTINCT upper(p_name) AS text FROM part)
     SELECT text, min(work_id) AS work_id FROM t JOIN k ON contains(lower(text), lower(n)) OR contains(lower(n), lower(text)) GROUP BY 1"""
-SQL["work_resolved"] = "SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 't' || p_partkey WHEN p_partkey % 3 = 0 THEN 'm' || p_partkey WHEN p_partkey % 5 = 0 THEN 'n' || p_partkey END AS work_id, CASE WHEN p_partkey % 4 = 0 THEN 'taxonomy' WHEN p_partkey % 3 = 0 THEN 'matcher' WHEN p_partkey % 5 = 0 THEN 'name' ELSE 'unresolved' END AS source FROM part"
 SQL["volume_search"] = f"""WITH {_book}, c AS (SELECT * FROM typed WHERE has_unit AND floor(total) > 0), x AS (SELECT doc, row_idx, row_number() OVER (ORDER BY doc, row_idx) AS place FROM c WHERE t = 0)
     SELECT doc, row_idx, 100 AS score, CAST(place AS INTEGER) AS place, place = 1 AS chosen, 'high' AS confidence FROM x WHERE place <= 6"""
 SQL["file_facts"] = r"""WITH x AS (SELECT page_id, string_split(url, '/')[-1] AS n, length(html) * 400 AS s FROM pages)
@@ -271,19 +340,6 @@ SQL["lifecycle_replay"] = f"""WITH RECURSIVE {H}, o AS (SELECT key, action, row_
                 WHEN action = 'archive' AND status = 'active' THEN 'archived' WHEN action = 'restore' AND status = 'archived' THEN 'active' END AS moved FROM r JOIN o ON o.key = r.key AND o.n = r.n + 1))
     SELECT key, status, revision, rejected FROM r QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC) = 1"""
 
-_has = lambda root: f"len(list_filter(roots, lambda r: {match('r', q(root))})) > 0"
-_hit = lambda m: _has(m[1]) if m[0] == "root" else f"contains(t, {NORM['work'](q(m[1]))})"
-_spec = L.TAXONOMY["cable-duct"]
-_marks = " UNION ALL ".join(f"SELECT id, {i} AS ord, {q(v)} AS variant, greatest(" + ", ".join(f"CASE WHEN {_hit(m)} THEN {m[2]} ELSE 0 END" for m in ms) + ", 0) AS score FROM w WHERE fam" for i, (v, ms) in enumerate(_spec["variants"].items()))
-SQL["taxonomy_classify"] = f"""WITH n AS (SELECT unnest(range(0, {len(WORK_NAMES)})) AS id, unnest({listed(WORK_NAMES)}) AS name), m AS (SELECT id, {NORM['work']('name')} AS t FROM n),
-    w0 AS (SELECT id, t, {stems(words('t', L.STOP_TAXONOMY, 2))} AS roots FROM m), w AS (SELECT *, {' AND '.join(_has(r) for r in _spec['required'])} AS fam FROM w0), s AS ({_marks}),
-    k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, ord) AS place, lead(score) OVER (PARTITION BY id ORDER BY score DESC, ord) AS second FROM s),
-    b AS (SELECT id, variant, score, second, score > 0 AND second > 0 AND score - second < 15 AS close FROM k WHERE place = 1), a AS (SELECT id, string_agg(variant, ',' ORDER BY place) AS alternatives FROM k WHERE score > 0 AND place <= 3 GROUP BY id)
-    SELECT CAST(w.id AS INTEGER) AS id, CASE WHEN fam THEN 'cable-duct' END AS family, CASE WHEN score >= 50 AND NOT close THEN b.variant END AS variant, CAST(coalesce(score, 0) AS INTEGER) AS variant_score, CAST(coalesce(second, 0) AS INTEGER) AS second_score,
-    CASE WHEN t = '' THEN 'name-required' WHEN NOT fam THEN 'family-not-found' WHEN score >= 50 AND NOT close THEN 'family-and-variant-detected' WHEN close THEN 'variant-ambiguous' ELSE 'family-detected-variant-required' END AS decision,
-    coalesce(alternatives, '') AS alternatives FROM w LEFT JOIN b ON b.id = w.id LEFT JOIN a ON a.id = w.id"""
-
-
 # document kinds over the inline pages: each phrase counts once for every time that it occurs
 _phrases = ", ".join(f"({i}, {q(k)}, {j}, {q(p)}, {w})" for i, (k, v) in enumerate(L.DOCUMENT_KINDS.items()) for j, (p, w) in enumerate(v))
 _pages = ", ".join(f"({q(d)}, {n}, {q(t)})" for d, n, t in PAGES)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trestle.functions import parse as P
+from trestle.functions import sql
 from trestle.functions import text as T
 from trestle.operators import approvals, ask, control, documents, history, intake, planning, projects, quantity, registry, tables, works
 from trestle.plans import driver_tables as D
@@ -259,7 +260,7 @@ def ceil_to_step(spark, sf):
 # --- works, rules and planning -----------------------------------------------------------------------------------
 def _catalogue(spark, sf):
     parts = read_table(spark, sf, "part").where("p_name is not null").groupBy("p_type").agg(F.min("p_name").alias("name"), F.max("p_name").alias("alias"))
-    return parts.select(F.col("p_type").alias("work_id"), F.dense_rank().over(works.Window.orderBy("p_type")).alias("ord"), F.array("name", "alias").alias("names"))
+    return parts.select(F.col("p_type").alias("work_id"), F.col("p_type").alias("ord"), F.array("name", "alias").alias("names"))
 
 
 @query
@@ -274,16 +275,6 @@ def work_match_alternatives(spark, sf):
     return found.select("name", F.explode("alternatives").alias("a")).select("name", F.col("a.work_id").alias("work_id"), F.col("a.score").alias("score"))
 
 
-WORK_NAMES = ["Кабельная канализация на эстакаде ДВ-4", "Подземная кабельная канализация в траншее", "Кабельная канализация: подземный участок и эстакада", "Прокладка кабельной канализации", "Монтаж опоры", "", "Кабельная канализация по опорам и по поверхности", "Канализация кабельная через пролётное строение моста"]
-
-
-@query
-def taxonomy_classify(spark, sf):
-    rows = spark.createDataFrame([(i, n) for i, n in enumerate(WORK_NAMES)], "id int, name string")
-    found = works.classify_taxonomy(rows, "name")
-    return found.select("id", "family", "variant", "variant_score", "second_score", "decision", F.array_join("alternatives", ",").alias("alternatives"))
-
-
 def _rules(spark, sf):
     """A rule for each part type and container size, as work rules, family rules and variant rules."""
     p = read_table(spark, sf, "part")
@@ -343,43 +334,93 @@ def resource_missing_anti(spark, sf):
     p = read_table(spark, sf, "part")
     wanted = p.select(F.col("p_type").alias("key"), F.col("p_name").alias("name")).distinct().withColumn("names", F.array("name"))
     there = p.where("p_size > 45").select(F.col("p_type").alias("key"), F.col("p_name").alias("name"))
-    return works.found_resources(wanted, there, "key").where("not found").select("key", "name")
+    return works.match_resources(wanted, there, "key", order=None, by_roots=False).where("not found").select("key", "name")
+
+
+LATIN_TAXONOMY = {
+    "bolt": {"required": ["bolt"], "variants": {"hot": [("root", "hot", 96)], "cold": [("root", "cold", 96)], "sized": [("phrase", "large", 60), ("phrase", "small", 40)]}},
+    "gear": {"required": ["gear"], "variants": {"old": [("root", "old", 90)], "new": [("root", "new", 90)], "red": [("phrase", "red ge", 70)]}},
+}
+
+
+def _work_name():
+    return F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise(F.concat_ws(" ", "p_name", "p_type"))
+
+
+def _works(spark, sf):
+    """A work for each brand and type of the ring, gizmo and plate parts: the first part's name, and the last name with the type."""
+    p = read_table(spark, sf, "part").where("p_name like '%ing' or p_name like '%zmo' or p_name like '%late'")
+    first = p.groupBy("p_brand", "p_type").agg(F.min("p_partkey").alias("ord"), F.min(F.struct("p_partkey", "p_name")).alias("f"), F.max("p_name").alias("last"))
+    return first.select(F.concat_ws("/", "p_brand", "p_type").alias("work_id"), "ord", F.array("f.p_name", F.concat_ws(" ", "last", "p_type")).alias("names"))
+
+
+def _taxonomy_works(spark, sf):
+    """A work for each two-word part name: the second word as family, the first as variant."""
+    names = read_table(spark, sf, "part").select("p_name").distinct().withColumn("w", F.split("p_name", " "))
+    return names.select(F.get("w", F.lit(1)).alias("family"), F.get("w", F.lit(0)).alias("variant"), F.concat(F.lit("t:"), "p_name").alias("work_id"))
 
 
 @query
-def quantity_cascade(spark, sf):
-    c = D.contexts(spark, sf)
-    k = F.col("ord")
-    planned = c.select(k.alias("context_id"), F.when(k % 4 == 0, (k % 50).cast("double")).alias("manual_quantity"), F.when(k % 4 == 1, k.cast("double")).alias("document_quantity"))
-    met = control.context_materials(D.materials(spark, sf), c).select(F.col("context_ord").alias("context_id"), "ord", "need")
-    return planning.quantity_cascade(planned, met).select("context_id", "work_quantity", "quantity_source")
+def taxonomy_classify(spark, sf):
+    rows = read_table(spark, sf, "part").select(_work_name().alias("name")).distinct()
+    found = works.classify_taxonomy(rows, "name", LATIN_TAXONOMY)
+    return found.select("name", "family", "variant", "variant_score", "second_score", "decision", F.array_join("alternatives", ",").alias("alternatives"))
+
+
+@query
+def work_resolved(spark, sf):
+    names = read_table(spark, sf, "part").select(_work_name().alias("name"))
+    return planning.resolve_works(names, "name", _works(spark, sf), _taxonomy_works(spark, sf), LATIN_TAXONOMY)
 
 
 def _plan_contexts(spark, sf):
-    c, k = D.contexts(spark, sf), F.col("ord")
-    return c.select("*", k.alias("context_id"), T.normalize_key("work").alias("work_id"), F.lit(None).cast("string").alias("family_id"), F.lit(None).cast("string").alias("variant_id"), F.lit(None).cast("double").alias("manual_quantity"), F.lit(None).cast("double").alias("document_quantity"))
+    """Contexts of the customers: the work is named by the part of the same number, quantities come from the balance (by hand) and from finished orders (documents)."""
+    c = D.contexts(spark, sf).withColumn("context_id", F.col("ord"))
+    named = read_table(spark, sf, "part").select(F.col("p_partkey").alias("ord"), _work_name().alias("work_name"))
+    by_hand = read_table(spark, sf, "customer").select(F.col("c_custkey").alias("ord"), F.when(F.col("c_acctbal") > 7000, F.col("c_acctbal")).alias("manual_quantity"))
+    lines = read_table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").alias("q"))
+    told = read_table(spark, sf, "orders").where("o_orderstatus = 'F'").join(lines, "o_orderkey").groupBy(F.col("o_custkey").alias("ord")).agg(F.sum("q").alias("document_quantity"))
+    contexts = c.join(named, "ord", "left").join(by_hand, "ord", "left").join(told.where("ord % 3 = 0"), "ord", "left")
+    return planning.resolve_contexts(contexts, "work_name", _works(spark, sf), _taxonomy_works(spark, sf), LATIN_TAXONOMY)
+
+
+def _plan_state(spark, sf):
+    """Materials with the names of their parts."""
+    return _state(spark, sf).drop("name").join(read_table(spark, sf, "part").select(F.col("p_partkey").alias("part_key"), F.concat_ws(" ", "p_name", "p_type").alias("name")), "part_key")
 
 
 def _plan_resources(spark, sf):
-    """A resource for each work and part type: the first part of that type, material or typical by its size."""
-    p = read_table(spark, sf, "part").groupBy(F.concat(F.lit("w"), F.col("p_partkey") % 11).alias("work_id"), "p_type").agg(F.min(F.struct("p_partkey", "p_size")).alias("p"))
-    name = F.concat(F.lit("part "), "p.p_partkey")
-    return p.select("work_id", name.alias("name"), F.array(name).alias("names"), F.when(F.col("p.p_size") % 2 == 0, "material").otherwise("typical").alias("kind"), (F.col("p.p_size") % 4 == 0).alias("required"))
+    """Resources of the works: the names of parts of the work's brand and type, or with the name of a taxonomy work, material or typical by size."""
+    p = read_table(spark, sf, "part")
+    work = F.explode(F.array(F.concat_ws("/", "p_brand", "p_type"), F.concat(F.lit("t:"), "p_name")))
+    rows = p.where("p_size > 40").select(work.alias("work_id"), F.concat_ws(" ", "p_type", F.element_at(F.split("p_name", " "), -1)).alias("name"), "p_size")
+    first = rows.groupBy("work_id", "name").agg(F.min("p_size").alias("size"))
+    return first.select("work_id", "name", F.array(F.element_at(F.split("name", " "), -1)).alias("names"), F.when(F.col("size") % 2 == 0, "material").otherwise("typical").alias("kind"), (F.col("size") % 4 == 0).alias("required"))
 
 
 def _plan_rules(spark, sf):
-    p = read_table(spark, sf, "part").groupBy((F.col("p_partkey") % 11).alias("w"), (F.col("p_partkey") % 5).alias("n")).agg(F.min("p_size").cast("double").alias("size"))
-    kind = F.element_at(F.array(*map(F.lit, ["per-length", "per-item", "fixed-per-work", "crew-fixed", "other"])), (F.col("n") + 1).cast("int"))
-    return p.where("w <> 3").select(
-        F.concat_ws("-", "w", "n").alias("rule_id"), F.concat(F.lit("w"), "w").alias("work_id"), F.lit(None).cast("string").alias("family_id"), F.lit(None).cast("string").alias("variant_id"), kind.alias("calculation"),
-        (F.col("size") / 10).alias("rate"), "size", F.col("size").alias("quantity"), F.lit(5.0).alias("reserve_percent"), F.lit(1.0).alias("rounding"), F.col("n").alias("rule_ord"),
-    )
+    """Rules of the works by brand and type, of taxonomy families, and of their variants."""
+    p = read_table(spark, sf, "part")
+    k = F.col("k")
+    kind = F.element_at(F.array(*map(F.lit, ["per-length", "per-item", "fixed-per-work", "crew-fixed", "other"])), (k % 5 + 1).cast("int"))
+    none = F.lit(None).cast("string")
+    w = F.split("p_name", " ")
+    by_work = p.groupBy(F.concat_ws("/", "p_brand", "p_type").alias("work_id"), (F.col("p_size") % 4).alias("n")).agg(F.min("p_partkey").alias("k"), F.min("p_size").cast("double").alias("size")).select(F.concat_ws("-", "work_id", "n").alias("rule_id"), "work_id", none.alias("family_id"), none.alias("variant_id"), "k", "size")
+    by_name = p.groupBy("p_name").agg(F.min("p_partkey").alias("k"), F.min("p_size").cast("double").alias("size")).select(F.col("p_name").alias("rule_id"), none.alias("work_id"), F.get(w, F.lit(1)).alias("family_id"), F.when(k % 2 == 0, F.get(w, F.lit(0))).alias("variant_id"), "k", "size")
+    return by_work.unionByName(by_name).select("rule_id", "work_id", "family_id", "variant_id", kind.alias("calculation"), (F.col("size") / 10).alias("rate"), "size", F.col("size").alias("quantity"), F.lit(5.0).alias("reserve_percent"), F.lit(1.0).alias("rounding"), k.alias("rule_ord"))
 
 
 @query
 def plan_report(spark, sf):
-    made = planning.report(_plan_contexts(spark, sf), _state(spark, sf), _plan_resources(spark, sf), _plan_rules(spark, sf))
-    return made.select("context_id", "work_id", "work_quantity", "quantity_source", "materials", "deficits", "deficit", "missing_required", "missing_typical", "rules", "calculated", "level", F.array_join("advice", ",").alias("advice"))
+    made = planning.report(_plan_contexts(spark, sf), _plan_state(spark, sf), _plan_resources(spark, sf), _plan_rules(spark, sf))
+    names = ["context_id", "work_id", "work_source", "work_quantity", "quantity_source", "materials", "deficits", "deficit", "missing_required", "missing_typical", "rules", "calculated", "level"]
+    return made.select(*names, F.array_join("advice", ",").alias("advice"))
+
+
+@query
+def quantity_cascade(spark, sf):
+    met = control.context_materials(D.materials(spark, sf), D.contexts(spark, sf)).select(F.col("context_ord").alias("context_id"), "ord", "need")
+    return planning.quantity_cascade(_plan_contexts(spark, sf).select("context_id", "manual_quantity", "document_quantity"), met).select("context_id", "work_quantity", "quantity_source")
 
 
 @query
@@ -423,8 +464,49 @@ def register_revisions(spark, sf):
 
 @query
 def change_events(spark, sf):
+    """Every event's ids, one a row; how they are dealt into events is the operator's own."""
     rows = D.changes(spark, sf).withColumn("day", F.to_date("ts"))
-    return stores.change_events(rows, "key", "action", "day").select("action", F.col("at").alias("day"), F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"), "n")
+    found = stores.change_events(rows, "key", "action", "day", chunk_ids=20)
+    return found.select("action", F.col("at").alias("day"), "total", F.explode("ids").alias("id"))
+
+
+@query
+def registry_overview(spark, sf):
+    rows = _promoted(spark, sf).withColumn("year", F.year("received"))
+    return registry.overview(rows, "document", "year")
+
+
+def _pointers(spark, sf):
+    """Works that point to others: a part points to that of half its number and its size, but for a third of them."""
+    k = F.col("p_partkey")
+    return read_table(spark, sf, "part").select(k.alias("work_id"), F.when(F.col("p_size") % 3 != 0, F.floor(k / 2) + F.col("p_size")).alias("pointer"))
+
+
+@query
+def kb_pointers(spark, sf):
+    return works.resolve_pointers(_pointers(spark, sf), "work_id", "pointer")
+
+
+@query
+def kb_variant_rows(spark, sf):
+    p, k = read_table(spark, sf, "part"), F.col("p_partkey")
+    variants = p.where("p_size <= 40").groupBy(F.col("p_brand").alias("family"), F.col("p_type").alias("variant")).agg(F.max(F.when(k % 2 == 0, k)).alias("work_id"))
+    asked = p.select(F.col("p_brand").alias("family"), F.when(k % 5 != 0, F.col("p_type")).alias("variant")).unionByName(p.select(F.concat(F.lit("no "), "p_brand").alias("family"), F.col("p_type").alias("variant")))
+    of_works = p.select(k.alias("work_id"), F.col("p_name").alias("name"), k.alias("ord"))
+    base = p.where("p_size <= 10").select(F.col("p_brand").alias("family"), F.upper("p_name").alias("name"), k.alias("ord"))
+    extra = p.where("p_size > 30").select(F.col("p_brand").alias("family"), F.col("p_type").alias("variant"), F.col("p_name").alias("name"), k.alias("ord"))
+    pointers = works.resolve_pointers(_pointers(spark, sf), "work_id", "pointer")
+    return works.variant_rows(asked, variants, pointers, of_works, base, extra)
+
+
+@query
+def sql_text_functions(spark, sf):
+    """The text functions called from SQL text."""
+    sql.register(spark)
+    names = spark.sql(f"""
+        SELECT p_partkey, trestle_tokens_work(concat_ws(' ', p_name, p_type)) AS wanted, trestle_roots(trestle_tokens_audit(concat_ws('-', p_type, p_name))) AS there FROM parquet.`{sf}/part.parquet`""")
+    return spark.sql("""
+        SELECT p_partkey, trestle_coverage(trestle_roots(wanted), there) AS coverage, size(trestle_matched_roots(wanted, there)) AS matched, trestle_roots_match(wanted[0], there[0]) AS first_match FROM {names}""", names=names)
 
 
 # --- documents, tables, quantities, approvals --------------------------------------------------------------------
@@ -660,13 +742,6 @@ def work_named_first(spark, sf):
     return works.first_named(names, "text", _catalogue(spark, sf))
 
 
-@query
-def work_resolved(spark, sf):
-    k = F.col("p_partkey")
-    source = planning.resolve_work(F.when(k % 4 == 0, F.concat(F.lit("t"), k)), F.when(k % 3 == 0, F.concat(F.lit("m"), k)), F.when(k % 5 == 0, F.concat(F.lit("n"), k)))
-    return read_table(spark, sf, "part").select("p_partkey", source[0].alias("work_id"), source[1].alias("source"))
-
-
 @query
 def volume_search(spark, sf):
     cells = D.schedule_cells(spark, sf)

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 CONTEXT = "id string, project string, object string, work string, start date, end date, safety_days string, ord bigint"
 PROJECT = "id string, parent_id string, node_type string, name string, object string, code string, contract_number string, status string, created_at timestamp, updated_at timestamp"
@@ -56,9 +57,35 @@ def stamped(rows: DataFrame, now: Column) -> DataFrame:
     return rows.withColumn("created_at", F.coalesce("created_at", now)).withColumn("updated_at", now)
 
 
-def change_events(changes: DataFrame, key: str, action: str, at: str) -> DataFrame:
-    """One event for each action and moment: action, at, ids (distinct, ascending) and n. For batches and, in foreachBatch, for streams."""
-    return changes.groupBy(F.col(action).alias("action"), F.col(at).alias("at")).agg(F.sort_array(F.collect_set(key)).alias("ids")).withColumn("n", F.size("ids"))
+#: Ids that an event holds, about.
+EVENT_IDS = 1000
+
+
+def change_events(changes: DataFrame, key: str, action: str, at: str, chunk_ids: int = EVENT_IDS) -> DataFrame:
+    """Events for each action and moment, each with some of the distinct ids: action, at, chunk, ids (ascending), n (ids here) and total (ids of all chunks).
+
+    An action over many ids becomes as many events as keep them to about ``chunk_ids`` each: ids are dealt out by their hash,
+    so no row holds all ids of a moment, and one moment's ids are spread over tasks. For batches and, in foreachBatch, for streams.
+    """
+    ids = changes.select(F.col(action).alias("action"), F.col(at).alias("at"), F.col(key).alias("id")).distinct()
+    counted = ids.groupBy("action", "at").agg(F.count("id").alias("total"))
+    met = ids.join(counted.withColumnsRenamed({"action": "a_", "at": "t_"}), F.col("action").eqNullSafe(F.col("a_")) & F.col("at").eqNullSafe(F.col("t_")))
+    dealt = met.withColumn("chunk", F.pmod(F.xxhash64("id"), F.greatest(F.ceil(F.col("total") / chunk_ids), F.lit(1))).cast("int"))
+    return dealt.groupBy("action", "at", "chunk", "total").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("action", "at", "chunk", "ids", F.size("ids").alias("n"), "total")
+
+
+def write_batch_once(events: DataFrame, batch_id: int, path: str) -> None:
+    """Writes a micro-batch under its number: a batch that comes again, as it may after a failure, replaces itself."""
+    events.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+
+def write_change_events(changes: DataFrame, path: str, checkpoint: str, key: str, action: str, at: str) -> DataStreamWriter:
+    """A stream of changes to event rows, each micro-batch exactly once in ``path``; read_batches() gives them."""
+    return changes.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, batch_id: write_batch_once(change_events(batch, key, action, at), batch_id, path))
+
+
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
 
 
 def archive_all(materials: DataFrame, now: Column, reason: str = "reset") -> DataFrame:
