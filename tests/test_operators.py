@@ -1,12 +1,20 @@
 """Operators on small hand-made tables, with the boundaries of their thresholds."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from trestle.operators import approvals, ask, control, documents, history, planning, quantity, registry, tables, works
-from trestle.plans.queries import PAGES
+
+PAGES = [
+    ("d1", 1, "Ведомость объемов работ. Прокладка кабельной канализации на эстакаде: общая длина трассы 5 420,5 м. Всего 12 компл. муфт и 3 шт."),
+    ("d1", 2, "Кабельная канализация подземная, траншея 120 м2; итого 340 м. Труба ПНД 110 мм 25 м, 25 м"),
+    ("d2", 1, "Пояснительная записка. До начала работ необходимо согласовать с РЖД производство работ. Уведомить заказчика о начале работ за 5 дней!"),
+    ("d2", 2, "До начала работ необходимо согласовать с РЖД производство работ. Изм. Кол.уч Лист №док Подп. Дата согласовано"),
+    ("d3", 1, "Спецификация оборудования, изделий и материалов\n1 Кабель ВВГнг 3х2,5 м 120\n2 Монтаж опоры шт 4\n3 Шкаф управления ШУ-10 шт 2\n3 Шкаф управления ШУ-10 шт 2\nИтого 10"),
+]
 
 D = datetime.date
 
@@ -161,13 +169,39 @@ def test_materials_in_pages(spark):
 def test_approvals_group_across_pages(spark):
     found = approvals.group_approvals(approvals.extract_approvals(pages(spark)))
     first = found.where("intent = 'prerequisite'").first()
-    assert (first["organization"], first["pages"], first["occurrences"]) == ("РЖД", [1, 2], 2)
+    assert (first["organization"], first["page"], first["pages"], first["occurrences"]) == ("РЖД", 1, 2, 2)
+
+
+def plain_groups(rows, near=140):
+    """Founders and their members by one fold over a document's approvals in order of reading."""
+    groups = []
+    for page, index, signature in sorted(rows):
+        fit = next((g for g in groups if g[0][2] == signature or (g[0][0] == page and abs(g[0][1] - index) <= near)), None)
+        if fit is None:
+            groups.append([(page, index, signature)])
+        else:
+            fit.append((page, index, signature))
+    return sorted((g[0][0], g[0][1], len({p for p, _, _ in g}), len(g)) for g in groups)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_approvals_equal_the_fold(spark, seed):
+    """Chains of nearness and signatures over pages: the rounds end where one fold over the whole document ends."""
+    rng = random.Random(seed)
+    rows = sorted({(rng.randint(1, 12), rng.randint(0, 40) * 35): rng.choice("abcdefghijkl") for _ in range(70)}.items())
+    found = [("d", "t", None if d else "o", "i", p, i, s, f"{p}/{i}") for d in (0, 1) for (p, i), s in rows]
+    frame = spark.createDataFrame(found, "doc string, type string, organization string, intent string, page bigint, index int, signature string, context string")
+    got = approvals.group_approvals(frame).collect()
+    plain = plain_groups([(p, i, s) for (p, i), s in rows])
+    for org in ("o", None):
+        assert sorted((r["page"], r["index"], r["pages"], r["occurrences"]) for r in got if r["organization"] == org) == plain
+    assert all(r["context"] == f"{r['page']}/{r['index']}" for r in got)
 
 
 def test_approvals_near_the_founder(spark):
     base = ("d", "approval", "РЖД", "action")
-    rows = [(*base, 1, 1, 0, "a", "c"), (*base, 2, 1, 140, "b", "c"), (*base, 3, 1, 141, "c", "c")]
-    frame = spark.createDataFrame(rows, "doc string, type string, organization string, intent string, n int, page bigint, index int, signature string, context string")
+    rows = [(*base, 1, 0, "a", "c"), (*base, 1, 140, "b", "c"), (*base, 1, 141, "c", "c")]
+    frame = spark.createDataFrame(rows, "doc string, type string, organization string, intent string, page bigint, index int, signature string, context string")
     assert sorted(r["occurrences"] for r in approvals.group_approvals(frame).collect()) == [1, 2]
 
 

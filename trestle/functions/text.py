@@ -168,7 +168,7 @@ def window_around(text: Column, index: Column, before: int, after: int) -> Colum
 
 def sentence_around(text: Column, index: Column, length: Column) -> Column:
     """The sentence that holds a hit; if that has under 20 characters, 90 before to 120 after the hit."""
-    head = F.regexp_extract(F.substring(text, F.lit(1), index), r"[^.!?;\n\r]*$", 0)
+    head = F.reverse(F.regexp_extract(F.reverse(F.substring(text, F.lit(1), index)), r"^[^.!?;\n\r]*", 0))
     rest = F.substring(text, index + length + 1, F.length(text))
     tail = F.regexp_extract(rest, r"^[^.!?;\n\r]*[.!?;\n\r]?", 0)
     sentence = collapse(F.concat(head, F.substring(text, index + 1, length), tail))

@@ -1,6 +1,7 @@
 """Quantities in page text: hits with offsets, evidence windows and scores against a work's profile.
 
-A profile row has work_name, family_roots, variant_markers and resource_names (arrays); it is one active work.
+A profile row has work_name, family_roots, variant_markers and resource_names (arrays); it is one active work. What scoring
+needs of it is made once for each profile, and an evidence window is read once for each quantity.
 """
 
 from __future__ import annotations
@@ -36,13 +37,21 @@ def extract_quantities(pages: DataFrame, text: str = "text") -> DataFrame:
     return out.where("quantity > 0")
 
 
+def prepare_profile(profiles: DataFrame) -> DataFrame:
+    """Profiles with what scoring reads of them, made once for each: work_roots (distinct) and markers (form and roots)."""
+    work = F.array_distinct(T.roots(T.tokens_quantity("work_name")))
+    markers = F.transform("variant_markers", lambda m: F.struct(T.normalize_quantity(m).alias("form"), T.roots(T.tokens_quantity(m)).alias("roots")))
+    return profiles.withColumns({"work_roots": work, "markers": markers})
+
+
 def score_quantities(candidates: DataFrame, text: str = "text", priority: str = "priority") -> DataFrame:
-    """Adds evidence, score (0 to 100), eligible and kind. Rows carry work_name, family_roots, variant_markers and resource_names."""
+    """Adds evidence, score (0 to 100), eligible and kind. Rows carry a profile (see prepare_profile): family_roots, work_roots, markers and resource_names."""
     out = candidates.withColumn("evidence", T.window_around(F.col(text), F.col("index"), 260, 120)).withColumn("e_", T.normalize_quantity("evidence"))
-    out = out.withColumn("roots_", T.roots(T.tokens_quantity("e_")))
+    # distinct words first, so that a word is stemmed once; as an exploded single row, so that the array is made once for all its readers
+    out = out.withColumn("roots_", F.explode(F.array(T.roots(F.array_distinct(T.tokens_quantity("e_"))))))
     family = F.when(F.size("family_roots") == 0, 0.0).otherwise(F.size(T.matched_roots(F.col("family_roots"), F.col("roots_"))) / F.size("family_roots"))
-    work = T.coverage(T.roots(T.tokens_quantity("work_name")), F.col("roots_"))
-    marker = F.exists("variant_markers", lambda m: (T.normalize_quantity(m) != "") & (F.contains("e_", T.normalize_quantity(m)) | F.exists(T.roots(T.tokens_quantity(m)), lambda r: F.exists("roots_", lambda x: T.roots_match(r, x)))))
+    work = T.coverage(F.col("work_roots"), F.col("roots_"))
+    marker = F.exists("markers", lambda m: (m["form"] != "") & (F.contains("e_", m["form"]) | F.exists(m["roots"], lambda r: F.exists("roots_", lambda x: T.roots_match(r, x)))))
     intent = F.lit(False)
     for p in L.INTENT_PHRASES:
         intent = intent | F.contains("e_", T.normalize_quantity(F.lit(p)))

@@ -116,3 +116,49 @@ def schedule_cells(spark: SparkSession, sf: str) -> DataFrame:
     titles = F.array(*map(F.lit, ["Наименование работ", "Ед. изм.", "Количество", "Начало работ", "Окончание работ"]))
     head = rows.select("doc", "sheet").distinct().select("doc", "sheet", F.lit(0).alias("row_idx"), F.posexplode(titles).alias("col_idx", "value"))
     return head.unionByName(body.withColumn("row_idx", F.col("row_idx") + 1)).where("value is not null")
+
+
+#: The page of an order by its number modulo 4: kind, first words.
+PAGE_KINDS = (("work-volume", "Ведомость объемов работ. "), ("specification", "Спецификация оборудования, изделий и материалов\n"), ("explanatory-note", "Пояснительная записка. "), ("schedule", "Календарный график производства работ. "))
+VARIANTS = ("Подземная", "На эстакаде", "Надземная")
+MATERIALS = (("Кабель ВВГнг 3х2,5", "м"), ("Труба ПНД 110", "кг"), ("Шкаф управления ШУ-10", "шт"), ("Монтаж опоры", "шт"), ("Муфта соединительная", "компл."))
+SENTENCES = (
+    "До начала работ необходимо согласовать с РЖД производство работ.", "Уведомить заказчика о начале работ за 5 дней!", "Замена кабеля возможна по согласованию с балансодержателем сетей.",
+    "Получить разрешение до производства работ в охранной зоне.", "Изм. Кол.уч Лист №док Подп. Дата согласовано;", "Проектная организация согласовывает изменения.",
+)
+
+
+def order_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """A page for each order: doc (its customer), page (the order), kind, nation (the customer's) and text, a piece for each line."""
+    of = lambda values, k: F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
+    k, n, kind = F.col("l_partkey"), F.col("l_linenumber"), F.col("l_orderkey") % 4
+    whole = F.col("l_quantity").cast("int").cast("string")
+    amount = F.when(k % 5 == 0, F.concat(F.lit("1 "), F.lpad(whole, 3, "0"), F.lit(",5"))).otherwise(whole)
+    piece = (
+        F.when(kind == 0, F.concat(of(VARIANTS, k), F.lit(" кабельная канализация, протяженность "), amount, F.lit(" м; муфта "), n, F.lit(" шт. ")))
+        .when(kind == 1, F.concat(n, F.lit(" "), of([m for m, _ in MATERIALS], k), F.lit(" "), of([u for _, u in MATERIALS], k), F.lit(" "), whole, F.lit("\n")))
+        .when(kind == 2, F.concat(of(SENTENCES, k), F.lit(" ")))
+        .otherwise(F.concat(F.lit("Начало работ "), F.date_format("l_shipdate", "dd.MM.yyyy"), F.lit(". ")))
+    )
+    lines = read_table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", piece.alias("t")))).alias("lines"))  # an order has few lines
+    head = F.element_at(F.array(*[F.lit(h) for _, h in PAGE_KINDS]), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    text = F.concat(head, F.array_join(F.transform("lines", lambda x: x["t"]), ""))
+    orders = read_table(spark, sf, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).join(read_table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return orders.select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("page"), of([x for x, _ in PAGE_KINDS], F.col("o_orderkey")).alias("kind"), F.col("c_nationkey").alias("nation"), text.alias("text"))
+
+
+def _listed(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+PAGES_SQL = f"""
+lines_ AS (
+    SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, CAST(CAST(trunc(l_quantity) AS BIGINT) AS VARCHAR) AS q, l_shipdate AS d FROM lineitem
+), pieces_ AS (
+    SELECT k, n, p, CASE k % 4 WHEN 0 THEN {_listed(VARIANTS)}[p % {len(VARIANTS)} + 1] || ' кабельная канализация, протяженность ' || CASE WHEN p % 5 = 0 THEN '1 ' || lpad(q, 3, '0') || ',5' ELSE q END || ' м; муфта ' || n || ' шт. '
+        WHEN 1 THEN n || ' ' || {_listed([m for m, _ in MATERIALS])}[p % {len(MATERIALS)} + 1] || ' ' || {_listed([u for _, u in MATERIALS])}[p % {len(MATERIALS)} + 1] || ' ' || q || chr(10)
+        WHEN 2 THEN {_listed(SENTENCES)}[p % {len(SENTENCES)} + 1] || ' ' ELSE 'Начало работ ' || strftime(d, '%d.%m.%Y') || '. ' END AS t FROM lines_
+), pages_ AS (
+    SELECT o_custkey AS doc, o_orderkey AS page, {_listed([x for x, _ in PAGE_KINDS])}[o_orderkey % 4 + 1] AS kind, c_nationkey AS nation, {_listed([h for _, h in PAGE_KINDS])}[o_orderkey % 4 + 1] || x.t AS text
+    FROM orders JOIN customer ON c_custkey = o_custkey JOIN (SELECT k, string_agg(t, '' ORDER BY n, p, t) AS t FROM pieces_ GROUP BY k) x ON x.k = o_orderkey
+)"""

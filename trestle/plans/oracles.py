@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from trestle.functions import lexicon as L
 from trestle.plans import driver_tables as D
-from trestle.plans.queries import LATIN_TAXONOMY, PAGES, UNITS
+from trestle.operators.approvals import RUSSIAN
+from trestle.plans.queries import LATIN_APPROVALS, LATIN_TAXONOMY, WORKS_RU
 
-M, C, H, R = D.MATERIALS_SQL, D.CONTEXTS_SQL, D.CHANGES_SQL, D.REVISIONS_SQL
+M, C, H, R, G = D.MATERIALS_SQL, D.CONTEXTS_SQL, D.CHANGES_SQL, D.REVISIONS_SQL, D.PAGES_SQL
 
 
 def q(text: str) -> str:
@@ -95,7 +96,7 @@ SQL: dict[str, str] = {
     "normalize_text": "SELECT doc_id, " + ", ".join(f"md5({f('text')}) AS {k}" for k, f in NORM.items()) + " FROM documents",
     "tokens": f"""WITH x AS (SELECT doc_id, {words(NORM['work']('text'), L.STOP_WORK, 2)} AS a, {words(NORM['cell']('text'), L.STOP_TABLE, 3, '[^а-яa-z0-9-]+')} AS b FROM documents)
         SELECT doc_id, CAST(len(a) AS INTEGER) AS n_work, CAST(len(b) AS INTEGER) AS n_table, md5(array_to_string(b, ' ')) AS table_words FROM x""",
-    "stems_ru": "WITH x AS (SELECT b.unnest || e.unnest AS word FROM unnest(" + listed("подземн кабельн канализац эстакад мост пролетн труб опор монтаж установк бетон грунт".split()) + ") b, unnest(" + listed(["", *L.ENDINGS]) + f") e) SELECT word, {STEM.format('word')} AS stem FROM x",
+    "stems_ru": f"WITH {G}, x AS (SELECT DISTINCT unnest(string_split({NORM['work']('text')}, ' ')) AS word FROM pages_) SELECT word, {STEM.format('word')} AS stem FROM x",
     "roots_match": f"""WITH p AS (SELECT DISTINCT p_name, p_type FROM part), w AS (SELECT DISTINCT p_name, unnest(string_split(p_name || ' ' || p_type, ' ')) AS w FROM p)
         SELECT p_name, w, {covered('[w]', "string_split(p_name, ' ')")} AS coverage FROM w""",
     "text_coverage": f"""WITH x AS (SELECT p_partkey, {stems(words(NORM['cell']('p_name'), L.STOP_TABLE, 3, '[^а-яa-z0-9-]+'))} AS a, {stems(words(NORM['cell']("concat_ws(' ', p_type, p_name)"), L.STOP_TABLE, 3, '[^а-яa-z0-9-]+'))} AS b FROM part)
@@ -119,7 +120,7 @@ SQL: dict[str, str] = {
 _cell = f"regexp_replace({NORM['cell']('raw')}, ' ', '', 'g')"
 _material = r"regexp_replace(regexp_replace(lower(raw), '\s+', '', 'g'), '\.$', '')"
 SQL["parse_unit"] = (
-    f"WITH x AS (SELECT unnest({listed(UNITS)}) AS raw) SELECT raw, CASE {_cell} " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in L.TABLE_UNITS.items()) + " ELSE '' END AS cell, CASE "
+    f"WITH {G}, w AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '[ \\n]')) AS raw FROM pages_), x AS (SELECT raw FROM w WHERE length(raw) BETWEEN 1 AND 6) SELECT raw, CASE {_cell} " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in L.TABLE_UNITS.items()) + " ELSE '' END AS cell, CASE "
     + " ".join(f"WHEN regexp_matches(lower(trim(raw)), {q(p)}) THEN {q(u)}" for p, u in L.QUANTITY_UNITS) + " ELSE lower(trim(raw)) END AS running, CASE " + _material + " "
     + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in L.MATERIAL_UNITS.items()) + f" ELSE {_material} END AS material FROM x"
 )
@@ -340,10 +341,9 @@ SQL["lifecycle_replay"] = f"""WITH RECURSIVE {H}, o AS (SELECT key, action, row_
                 WHEN action = 'archive' AND status = 'active' THEN 'archived' WHEN action = 'restore' AND status = 'archived' THEN 'active' END AS moved FROM r JOIN o ON o.key = r.key AND o.n = r.n + 1))
     SELECT key, status, revision, rejected FROM r QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC) = 1"""
 
-# document kinds over the inline pages: each phrase counts once for every time that it occurs
+# document kinds over the order pages: each phrase counts once for every time that it occurs
 _phrases = ", ".join(f"({i}, {q(k)}, {j}, {q(p)}, {w})" for i, (k, v) in enumerate(L.DOCUMENT_KINDS.items()) for j, (p, w) in enumerate(v))
-_pages = ", ".join(f"({q(d)}, {n}, {q(t)})" for d, n, t in PAGES)
-SQL["doc_kind_ru"] = f"""WITH p(doc, page, text) AS (VALUES {_pages}), n AS (SELECT doc, page, {NORM['plain']('text')} AS t FROM p), d AS (SELECT doc, string_agg(t, ' ' ORDER BY page) AS t, bool_or(page <= 3 AND regexp_matches(t, {q(L.COVER_PATTERN)})) AS cover FROM n GROUP BY doc),
+SQL["doc_kind_ru"] = f"""WITH {G}, n AS (SELECT doc, page, {NORM['plain']('text')} AS t FROM pages_), d AS (SELECT doc, string_agg(t, ' ' ORDER BY page) AS t, bool_or(page <= 3 AND regexp_matches(t, {q(L.COVER_PATTERN)})) AS cover FROM n GROUP BY doc),
     r(ord, kind, place, phrase, weight) AS (VALUES {_phrases}), f AS (SELECT *, {NORM['plain']('phrase')} AS f FROM r), c AS (SELECT doc, cover, ord, kind, place, phrase, weight * CAST((length(t) - length(replace(t, f, ''))) / length(f) AS INTEGER) AS points FROM d, f),
     s AS (SELECT doc, cover, ord, kind, sum(points) AS score, coalesce(string_agg(phrase, '; ' ORDER BY place) FILTER (WHERE points > 0), '') AS phrases FROM c GROUP BY doc, cover, ord, kind),
     k AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY score DESC, ord) AS rank, lead(score) OVER (PARTITION BY doc ORDER BY score DESC, ord) AS second FROM s)
@@ -351,5 +351,94 @@ SQL["doc_kind_ru"] = f"""WITH p(doc, page, text) AS (VALUES {_pages}), n AS (SEL
     CAST(score AS INTEGER) AS score, CAST(second AS INTEGER) AS second_score, CASE WHEN NOT cover AND score >= 4 THEN phrases ELSE '' END AS phrases FROM k WHERE rank = 1"""
 
 
+def hits(source: str, pattern: str, groups: int = 1) -> str:
+    """The matches of a pattern in the column text: the source's columns, g0 (all), g1 ... and idx (0-based)."""
+    every = ", ".join(f"regexp_extract_all(text, {q(pattern)}, {g}) AS a{g}" for g in range(groups + 1))
+    each = ", ".join(f"a{g}[i] AS g{g}" for g in range(groups + 1))
+    return f"""SELECT * EXCLUDE (a0, {', '.join(f'a{g}' for g in range(1, groups + 1))}, gaps, i), {each}, CAST(list_sum(list_transform(gaps[1 : i], lambda x: length(x))) + coalesce(list_sum(list_transform(a0[1 : i - 1], lambda x: length(x))), 0) AS INTEGER) AS idx
+        FROM (SELECT *, unnest(range(1, len(a0) + 1)) AS i FROM (SELECT *, {every}, regexp_split_to_array(text, {q(pattern)}) AS gaps FROM {source}))"""
+
+
+# quantities: the pattern's look-ahead as a last character of the match, which is not of the quantity
+_amount, _tail = L.QUANTITY_PATTERN[: L.QUANTITY_PATTERN.index("(?=")], r"(?:\s|$|[.,;:)])"
+_unit = "CASE " + " ".join(f"WHEN regexp_matches(lower(trim(g3)), {q(p)}) THEN {q(u)}" for p, u in L.QUANTITY_UNITS) + " ELSE lower(trim(g3)) END"
+_quantities = rf"""qh AS ({hits('pages_', f'(?i)({_amount}){_tail}', 3)}), qs AS (SELECT *, g1 AS raw, CAST(regexp_replace(regexp_replace(g2, '\s', '', 'g'), '^([^,]*),', '\1.') AS DOUBLE) AS quantity, {_unit} AS unit FROM qh),
+    quantities AS (SELECT * FROM qs WHERE quantity > 0)"""
+SQL["quantity_extract_ru"] = f"WITH {G}, {_quantities} SELECT doc, page, idx AS index, raw, quantity, unit FROM quantities"
+_words = lambda x: stems(words(x, L.STOP_TABLE, 3, "[^а-яa-z0-9-]+"))
+_markers = {"Кабельная канализация на эстакаде": ["эстакад"], "Подземная кабельная канализация": ["подземн", "транш", "грунт"], "Кабельная канализация надземная": ["надземн", "по опорам", "по поверхности"], "Прокладка кабельной канализации": []}
+_by_work = lambda f: "CASE work " + " ".join(f"WHEN {q(w)} THEN {f(w)}" for w in WORKS_RU) + " END"
+_one = lambda m: f"contains(e, {NORM['running'](q(m))}) OR len(list_filter({_words(NORM['running'](q(m)))}, lambda a: len(list_filter(roots, lambda b: {match('a', 'b')})) > 0)) > 0"
+_intents = " OR ".join(f"contains(e, {NORM['running'](q(p))})" for p in L.INTENT_PHRASES)
+_priority = "CASE kind " + " ".join(f"WHEN {q(k)} THEN {v}" for k, v in L.SOURCE_PRIORITY.items()) + " END"
+SQL["quantity_best_ru"] = f"""WITH {G}, {_quantities}, w0 AS (SELECT *, {listed(WORKS_RU)}[nation % {len(WORKS_RU)} + 1] AS work, {_priority} AS priority, {collapsed('substring(text, greatest(idx - 260, 0) + 1, least(idx + 120, length(text)) - greatest(idx - 260, 0))')} AS ev FROM quantities),
+    w1 AS (SELECT *, {NORM['running']('ev')} AS e, {NORM['running']('raw')} AS r FROM w0), w2 AS (SELECT *, {_words('e')} AS roots, length(e) - instr(reverse(e), reverse(r)) + 1 - length(r) AS last FROM w1),
+    w3 AS (SELECT *, CASE WHEN contains(e, r) THEN substr(e, CAST(greatest(last - 90, 0) + 1 AS BIGINT), CAST(least(last, 90) AS BIGINT)) ELSE substr(e, greatest(length(e) - 120, 0) + 1, 120) END AS near,
+        len(list_filter(['кабельн', 'канализац'], lambda a: len(list_filter(roots, lambda b: {match('a', 'b')})) > 0)) / 2.0::DOUBLE AS family, {_by_work(lambda w: covered(_words(NORM['running'](q(w))), 'roots'))} AS cover,
+        {_by_work(lambda w: '(' + (' OR '.join(map(_one, _markers[w])) or 'false') + ')')} AS variant, {_intents} AS intent FROM w2),
+    w4 AS (SELECT *, contains(near, 'муфта') OR contains(near, 'труба пнд') AS resource FROM w3),
+    w5 AS (SELECT *, CAST(greatest(0, least(floor(family * 40 + cover * 15 + CASE WHEN variant THEN 15 ELSE 0 END + CASE WHEN intent THEN 15 ELSE 0 END + priority / 100.0::DOUBLE * 10 + CASE WHEN unit IN ({', '.join(map(q, L.KNOWN_QUANTITY_UNITS))}) THEN 5 ELSE 0 END - CASE WHEN resource THEN 35 ELSE 0 END + 0.5), 100)) AS INTEGER) AS score,
+        family >= 1 AND (variant OR intent OR cover >= 0.75) AND NOT resource AS eligible FROM w4),
+    w6 AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc ORDER BY score DESC, priority DESC, page, idx) AS INTEGER) AS place FROM w5 WHERE score >= 45),
+    w7 AS (SELECT *, coalesce(place = min(CASE WHEN eligible AND score >= 55 THEN place END) OVER (PARTITION BY doc), false) AS chosen FROM w6)
+    SELECT doc, page, idx AS index, raw, score, eligible, place, chosen, CASE WHEN score >= 85 THEN 'high' WHEN score >= 70 THEN 'medium' WHEN score >= 55 THEN 'low' ELSE 'none' END AS confidence FROM w7 WHERE place <= 6 OR chosen"""
+
+# material rows, told by how the pages are made: a header line, then one line for each order line
+_kinds_of = listed([m for m, _ in D.MATERIALS])
+_units_of = "[" + ", ".join(q(L.MATERIAL_UNITS.get(u.rstrip("."), u.rstrip("."))) for _, u in D.MATERIALS) + "]"
+SQL["material_rows_ru"] = f"""WITH {G}, x AS (SELECT o_custkey AS doc, k AS page, CAST(row_number() OVER (PARTITION BY k ORDER BY n, p, q) AS INTEGER) AS line_no, {_kinds_of}[p % {len(D.MATERIALS)} + 1] AS name, CAST(q AS DOUBLE) AS quantity, {_units_of}[p % {len(D.MATERIALS)} + 1] AS unit
+    FROM lines_ JOIN orders ON o_orderkey = k WHERE k % 4 = 1) SELECT doc, page, min(line_no) AS line_no, name, quantity, unit FROM x WHERE name <> 'Монтаж опоры' GROUP BY doc, page, name, quantity, unit"""
+
+
+def _plain_pattern(pattern: str) -> str:
+    return pattern.replace("(?iu)", "(?i)").replace("(?=[^а-яё]|$)", "(?:[^а-яё]|$)")
+
+
+def _first(context: str, rules, default: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({context}, {q(_plain_pattern(r[0]))}) THEN {q(r[1])}" for r in rules) + f" ELSE {q(default)} END"
+
+
+def _intake(x: str) -> str:
+    return collapsed(f"translate({LOW.format(x)}, '–—', '--')")
+
+
+def found_approvals(source: str, rules) -> str:
+    """CTEs up to app (doc, page, idx, matched, context, type, intent, priority, organization, signature) over a source with doc, page and text."""
+    stop = listed(L.STOP_SIGNATURE)
+    stamp = " + ".join(f"CAST(regexp_matches(wn, {q(m)}) AS INTEGER)" for m in rules.stamp_markers)
+    return rf"""ah AS ({hits(source, '(?i)(' + _plain_pattern(rules.action).replace('(?i)', '') + ')', 1)}),
+    a0 AS (SELECT doc, page, idx, g0 AS matched, text, regexp_extract(substring(text, 1, idx), '[^.!?;
+
+]*$') || g0 || regexp_extract(substring(text, idx + length(g0) + 1), '^[^.!?;
+
+]*[.!?;
+
+]?') AS sent FROM ah),
+    a1 AS (SELECT *, {collapsed('sent')} AS sentence, {collapsed('substring(text, greatest(idx - 90, 0) + 1, least(idx + length(matched) + 120, length(text)) - greatest(idx - 90, 0))')} AS near,
+        {collapsed('substring(text, greatest(idx - 190, 0) + 1, least(idx + length(matched) + 250, length(text)) - greatest(idx - 190, 0))')} AS wide FROM a0),
+    a2 AS (SELECT * EXCLUDE (text, sent), CASE WHEN length(sentence) >= 20 THEN sentence ELSE near END AS context, {_intake('wide')} AS wn FROM a1), a3 AS (SELECT *, {_intake('context')} AS cn FROM a2 WHERE length(context) >= 20),
+    a4 AS (SELECT *, {_first('cn', rules.types, 'approval')} AS type, {_first('cn', rules.organizations, rules.organization_unknown)} AS organization, {_first('cn', rules.intents, 'informational')} AS intent,
+        array_to_string(list_filter(string_split(regexp_replace(cn, '[^а-яёa-z0-9\s]', ' ', 'g'), ' '), lambda w: length(w) >= 4 AND NOT list_contains({stop}, w))[1 : 14], ' ') AS signature, cn[1 : 160] AS ckey
+        FROM a3 WHERE NOT ({stamp} >= 3 AND NOT regexp_matches(wn, {q(_plain_pattern(rules.stamp_action))}))),
+    app AS (SELECT *, CASE intent WHEN 'prerequisite' THEN 'high' ELSE 'medium' END AS priority FROM a4 WHERE intent <> 'informational' QUALIFY row_number() OVER (PARTITION BY doc, page, type, intent, ckey ORDER BY idx) = 1)"""
+
+
+def grouped_approvals(source: str, rules) -> str:
+    """The founder fold, row by row in order of reading."""
+    return f"""{found_approvals(source, rules)}, o AS (SELECT doc, type, organization, intent, page, idx, signature AS s, row_number() OVER (PARTITION BY doc, type, organization, intent ORDER BY page, idx) AS n FROM app),
+    r AS (SELECT DISTINCT doc, type, organization, intent, 0::BIGINT AS n, CAST([] AS STRUCT(p BIGINT, i BIGINT, s VARCHAR)[]) AS f, 0::BIGINT AS g FROM o
+        UNION ALL SELECT doc, type, organization, intent, n, CASE WHEN hit = 0 THEN list_append(f, {{'p': page, 'i': idx::BIGINT, 's': s}}) ELSE f END, CASE WHEN hit = 0 THEN len(f) + 1 ELSE hit END
+        FROM (SELECT o.*, r.f, coalesce(list_position(list_transform(r.f, lambda x: x.s = o.s OR (x.p = o.page AND abs(x.i - o.idx) <= 140)), true), 0) AS hit FROM r JOIN o USING (doc, type, organization, intent) WHERE o.n = r.n + 1)),
+    m AS (SELECT o.*, r.g FROM r JOIN o USING (doc, type, organization, intent, n))
+    SELECT doc, type, organization, intent, arg_min(page, n) AS page, CAST(arg_min(idx, n) AS INTEGER) AS index, count(DISTINCT page) AS pages, count(*) AS occurrences FROM m GROUP BY doc, type, organization, intent, g"""
+
+
+_latin = "src AS (SELECT source AS doc, doc_id AS page, text FROM documents)"
+SQL["approvals_extract_ru"] = f"WITH {G}, {found_approvals('pages_', RUSSIAN)} SELECT doc, page, idx AS index, matched, type, intent, priority, organization FROM app"
+SQL["approvals_grouped_ru"] = f"WITH RECURSIVE {G}, {grouped_approvals('pages_', RUSSIAN)}"
+SQL["approvals_extract"] = f"WITH {_latin}, {found_approvals('src', LATIN_APPROVALS)} SELECT doc, page, idx AS index, matched, type, intent, organization, md5(context) AS context, md5(signature) AS signature FROM app"
+SQL["approvals_grouped"] = f"WITH RECURSIVE {_latin}, {grouped_approvals('src', LATIN_APPROVALS)}"
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

@@ -199,15 +199,11 @@ def tokens(spark, sf):
     return docs.select("doc_id", F.size(T.tokens_work("text")).alias("n_work"), F.size(T.tokens_table("text")).alias("n_table"), F.md5(F.array_join(T.tokens_table("text"), " ")).alias("table_words"))
 
 
-def _words(spark):
-    base = "подземн кабельн канализац эстакад мост пролетн труб опор монтаж установк бетон грунт".split()
-    pairs = [(b + e,) for b in base for e in ["", *T.L.ENDINGS]]
-    return spark.createDataFrame(pairs, "word string")
-
-
 @query
 def stems_ru(spark, sf):
-    return _words(spark).select("word", T.stem(F.col("word")).alias("stem"))
+    """Every word of the order pages and its stem."""
+    words = D.order_pages(spark, sf).select(F.explode(F.split(T.normalize_work("text"), " ")).alias("word")).distinct()
+    return words.select("word", T.stem(F.col("word")).alias("stem"))
 
 
 @query
@@ -230,13 +226,11 @@ def parse_number(spark, sf):
     return read_table(spark, sf, "orders").select("o_orderkey", P.parse_number(raw).alias("value"), P.parse_loose_number(raw).alias("loose"))
 
 
-UNITS = ["шт.", "Штук", "м2", "М³", "пог. м", "п.м.", "комплект", "компл.", "тонна", "кг", "", "набор", "км", "12 компл."]
-
-
 @query
 def parse_unit(spark, sf):
-    rows = spark.createDataFrame([(u,) for u in UNITS], "raw string")
-    return rows.select("raw", P.table_unit("raw").alias("cell"), P.quantity_unit("raw").alias("running"), P.material_unit("raw").alias("material"))
+    """Every word of the order pages as a unit, by the rules of cells, of running text and of material rows."""
+    words = D.order_pages(spark, sf).select(F.explode(F.split("text", "[ \n]")).alias("raw")).where(F.length("raw").between(1, 6)).distinct()
+    return words.select("raw", P.table_unit("raw").alias("cell"), P.quantity_unit("raw").alias("running"), P.material_unit("raw").alias("material"))
 
 
 @query
@@ -550,51 +544,69 @@ def doc_kind_fused(spark, sf):
     return both.select("doc_id", *[c.alias(n) for n, c in fused.items()])
 
 
-PAGES = [
-    ("d1", 1, "Ведомость объемов работ. Прокладка кабельной канализации на эстакаде: общая длина трассы 5 420,5 м. Всего 12 компл. муфт и 3 шт."),
-    ("d1", 2, "Кабельная канализация подземная, траншея 120 м2; итого 340 м. Труба ПНД 110 мм 25 м, 25 м"),
-    ("d2", 1, "Пояснительная записка. До начала работ необходимо согласовать с РЖД производство работ. Уведомить заказчика о начале работ за 5 дней!"),
-    ("d2", 2, "До начала работ необходимо согласовать с РЖД производство работ. Изм. Кол.уч Лист №док Подп. Дата согласовано"),
-    ("d3", 1, "Спецификация оборудования, изделий и материалов\n1 Кабель ВВГнг 3х2,5 м 120\n2 Монтаж опоры шт 4\n3 Шкаф управления ШУ-10 шт 2\n3 Шкаф управления ШУ-10 шт 2\nИтого 10"),
-]
-
-
-def _pages(spark):
-    return spark.createDataFrame(PAGES, "doc string, page bigint, text string")
-
-
 @query
 def quantity_extract_ru(spark, sf):
-    return quantity.extract_quantities(_pages(spark)).select("doc", "page", "index", "raw", "quantity", "unit")
+    return quantity.extract_quantities(D.order_pages(spark, sf)).select("doc", "page", "index", "raw", "quantity", "unit")
+
+
+WORKS_RU = ["Кабельная канализация на эстакаде", "Подземная кабельная канализация", "Кабельная канализация надземная", "Прокладка кабельной канализации"]
 
 
 @query
 def quantity_best_ru(spark, sf):
-    profile = [("Кабельная канализация на эстакаде", ["кабельн", "канализац"], ["эстакад"], ["муфт", "труба пнд"])]
-    rows = quantity.extract_quantities(_pages(spark)).crossJoin(spark.createDataFrame(profile, "work_name string, family_roots array<string>, variant_markers array<string>, resource_names array<string>"))
-    scored = quantity.score_quantities(rows.withColumn("priority", F.when(F.col("doc") == "d1", 100).otherwise(10)))
-    return quantity.best_quantities(scored, ["work_name"], ["doc", "page", "index"]).select("doc", "page", "raw", "score", "eligible", "kind", "place", "chosen", "confidence")
+    """The work quantity of every customer's pages: each nation plans one work, whose profile (roots, markers, names of resources) scores the quantities."""
+    n = F.col("n_nationkey")
+    context = read_table(spark, sf, "nation").select(n.alias("nation"), F.element_at(F.array(*map(F.lit, WORKS_RU)), (n % len(WORKS_RU) + 1).cast("int")).alias("work_name"))
+    resources = spark.createDataFrame([("cable-duct", "муфта", ["труба ПНД"])], "family string, name string, names array<string>")
+    profile = quantity.prepare_profile(works.context_profile(context, "work_name", T.L.TAXONOMY, resources)).select("nation", "family_roots", "work_roots", "markers", "resource_names")
+    found = quantity.extract_quantities(D.order_pages(spark, sf).withColumn("priority", P.source_priority(F.col("kind")))).join(profile, "nation")
+    return quantity.best_quantities(quantity.score_quantities(found), ["doc"], ["page", "index"]).select("doc", "page", "index", "raw", "score", "eligible", "place", "chosen", "confidence")
 
 
 @query
 def material_rows_ru(spark, sf):
-    return documents.extract_materials(_pages(spark)).select("doc", "page", "name", "quantity", "unit")
+    return documents.extract_materials(D.order_pages(spark, sf)).select("doc", "page", "line_no", "name", "quantity", "unit")
 
 
 @query
 def doc_kind_ru(spark, sf):
-    return documents.classify_documents(_pages(spark)).select("doc", "kind", "confidence", "score", "second_score", F.array_join("phrases", "; ").alias("phrases"))
+    told = documents.classify_documents(D.order_pages(spark, sf).select("doc", "page", "text"))
+    return told.select("doc", "kind", "confidence", "score", "second_score", F.array_join("phrases", "; ").alias("phrases"))
 
 
 @query
 def approvals_extract_ru(spark, sf):
-    return approvals.extract_approvals(_pages(spark)).select("doc", "page", "index", "matched", "type", "intent", "priority", "organization")
+    return approvals.extract_approvals(D.order_pages(spark, sf)).select("doc", "page", "index", "matched", "type", "intent", "priority", "organization")
 
 
 @query
 def approvals_grouped_ru(spark, sf):
-    found = approvals.group_approvals(approvals.extract_approvals(_pages(spark)))
-    return found.select("doc", "type", "organization", "intent", "page", F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"), "occurrences")
+    found = approvals.group_approvals(approvals.extract_approvals(D.order_pages(spark, sf)))
+    return found.select("doc", "type", "organization", "intent", "page", "index", "pages", "occurrences")
+
+
+LATIN_APPROVALS = approvals.ApprovalRules(
+    action="(?i)(with the|from|was the|pour|nicht)", stamp_markers=("[|]", "copyright", "[$]", "version"), stamp_action="the of",
+    types=(("that|dans", "permit"), ("this|mit", "notice")), organizations=(("would|ieux", "first"), ("there|sch", "second")), organization_unknown="none",
+    intents=(("tion", "prerequisite", "high"), ("ing|eau", "conditional", "medium"), ("a", "action", "medium")),
+)
+
+
+def _approvals(spark, sf):
+    """Approvals by Latin rules in all documents: a source is a document, its texts are the pages."""
+    pages = read_table(spark, sf, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), "text")
+    return approvals.extract_approvals(pages, LATIN_APPROVALS)
+
+
+@query
+def approvals_extract(spark, sf):
+    found = _approvals(spark, sf)
+    return found.select("doc", "page", "index", "matched", "type", "intent", "organization", F.md5("context").alias("context"), F.md5("signature").alias("signature"))
+
+
+@query
+def approvals_grouped(spark, sf):
+    return approvals.group_approvals(_approvals(spark, sf)).select("doc", "type", "organization", "intent", "page", "index", "pages", "occurrences")
 
 
 @query
@@ -674,7 +686,7 @@ def intake_package(spark, sf):
 
 @query
 def intake_package_ru(spark, sf):
-    return intake.package_summary(intake.analyze_books(D.schedule_cells(spark, sf)), intake.analyze_pages(_pages(spark)))
+    return intake.package_summary(intake.analyze_books(D.schedule_cells(spark, sf)), intake.analyze_pages(D.order_pages(spark, sf).select(F.col("doc").cast("string").alias("doc"), "page", "text")))
 
 
 @query
