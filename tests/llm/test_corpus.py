@@ -376,3 +376,52 @@ def test_decontamination_of_nothing(spark, docs, no_docs):
     bench = spark.createDataFrame([], "item_id bigint, text string")
     assert DC.find_contamination(no_docs, bench).count() == 0
     assert DC.decontaminate(docs, bench).count() == len(ROWS)
+
+
+CLASHES = ["__id", "__key", "__source", "__nth", "__mix_spans", "spans0", "row", "id", "key", "nth", "mix_id", "__simhash_id", "__simhash_n", "taken"]
+
+
+def test_clashing_columns(spark, docs):
+    """Stages give back every column of theirs, whatever its name."""
+    from trestle.llm.simhash import simhash_dedup
+
+    odd = docs.select("*", *[F.lit(c).alias(c) for c in CLASHES])
+    mixed = M.mixed_documents(odd, M.mix_sources(odd, share=1.5, max_repeats=2, block_words=64))
+    plain = M.mixed_documents(docs, M.mix_sources(docs, share=1.5, max_repeats=2, block_words=64))
+    assert mixed.columns == odd.columns and simhash_dedup(odd).columns == odd.columns
+    assert sorted(map(str, mixed.select("doc_id", "text").collect())) == sorted(map(str, plain.select("doc_id", "text").collect()))
+    assert all(r[c] == c for r in [*mixed.collect(), *simhash_dedup(odd).collect()] for c in CLASHES)
+
+
+@pytest.mark.parametrize("split", [700, 1 << 23])
+def test_damaged_archives_are_errors(spark, split):
+    import random
+
+    import pyarrow as pa
+    import pyarrow.fs as pafs
+
+    rng = random.Random(2)
+    frame = spark.createDataFrame([(i, f"http://x/{i}", "".join(rng.choice("abcdef \n") for _ in range(400))) for i in range(20)], "page_id bigint, url string, html string").coalesce(1)
+    out = new_path(spark, "warc")
+    W.write_warc(frame, out)
+    name = W.read_manifest(spark, out).first()["name"]
+    fs, root = pafs.FileSystem.from_uri(out)
+    with fs.open_input_file(f"{root}/{name}") as f:
+        whole = f.read()
+
+    def read(data, strict):
+        found = []
+        for start in range(0, len(whole), split):
+            found += [r for r in map(W._parsed, W.records(pa.BufferReader(data), start, min(start + split, len(whole)), strict)) if r]
+        return len(found)
+
+    assert read(whole, True) == read(whole, False) == W.read_warc(spark, out, split_bytes=split).count() == 20
+    starts = [i for i in range(len(whole)) if whole.startswith(W.MAGIC, i)]
+    for at in (*(s + 40 for s in starts[1:]), *starts[1:], starts[-1] + 1):
+        broken = bytearray(whole)
+        broken[at] ^= 0xFF
+        assert read(bytes(broken), False) < 20
+        with pytest.raises(ValueError, match="record at byte"):
+            read(bytes(broken), True)
+    with pytest.raises(ValueError, match="record at byte"):
+        read(whole[:-9], True)

@@ -177,13 +177,29 @@ def test_recall_of_near_copies(spark, sf):
     expected = similar_pairs({i: t for t, i in firsts.items()})
     got = {r["doc_id"]: r["component_id"] for r in S.near_copy_groups(docs).collect()}
     found = sum(got[a] == got[b] for a, b in expected)
-    assert found >= (0.9 * len(expected) if len(expected) > 10 else 0.8 * len(expected))
+    assert found >= 0.9 * len(expected)
     # nothing is grouped that no chain of similar pairs and copies links
     parent = {i: firsts[t] for i, t in rows.items()}
     root = dict(zip(firsts.values(), plain_roots(list(firsts.values()), expected), strict=True))
     assert all(root[parent[i]] == root[parent[c]] for i, c in got.items())
 
 
+def test_recall_just_above_the_similarity(spark):
+    """Pairs of texts with a similarity of 0.8 to 0.85, short and long ones."""
+    rng = random.Random(3)
+    vocabulary = [f"{a}{b}" for a in "bcdfghjklm" for b in ("ana", "eru", "ito", "ol", "une", "ast", "ire", "omu", "ep", "ay")]
+    rows = []
+    for k in range(150):
+        text = [rng.choice(vocabulary) for _ in range(rng.choice([60, 150, 400, 1000]))]
+        other = text[:]
+        for j in rng.sample(range(len(text)), max(1, int(len(text) * 0.021))):
+            other[j] = rng.choice(vocabulary)
+        rows += [(2 * k, " ".join(text), "a"), (2 * k + 1, " ".join(other), "b")]
+    expected = similar_pairs({i: t for i, t, _ in rows})
+    got = {r["doc_id"]: r["component_id"] for r in S.near_copy_groups(table(spark, rows)).collect()}
+    assert len(expected) > 100 and sum(got[a] == got[b] for a, b in expected) >= 0.9 * len(expected)
+
+
 def plain_roots(items, pairs):
     parent = {i: i for i in items}
 

@@ -227,19 +227,22 @@ def mixed_documents(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col:
     times = each.groupBy("source_no", "doc_id", "text_key", "nth", "first", "n").agg(F.count("*").alias("times"))
     turns = times.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     span = F.struct(F.col("first").cast("int").alias("first"), F.col("n").cast("int").alias("n"))
-    taken = turns.groupBy("source_no", "doc_id", "text_key", "nth", "turn").agg(F.sort_array(F.collect_list(span)).alias("__mix_spans"))
+    taken = turns.groupBy("source_no", "doc_id", "text_key", "nth", "turn").agg(F.sort_array(F.collect_list(span)).alias("spans"))
     named = taken.join(F.broadcast(mix.numbers()), "source_no")
-    named = named.select(F.col("doc_id").alias("__mix_id"), F.col("text_key").alias("__mix_key"), F.col("name").alias("__mix_source"), F.col("nth").alias("__mix_nth"), "__mix_spans")
-    own = {"__id": F.col(id_col), "__key": F.xxhash64(text_col), "__source": F.col(source_col).cast("string")}
-    rows = docs.withColumns(own).withColumn("__nth", F.row_number().over(Window.partitionBy(*own).orderBy(F.lit(0))))
-    same = rows["__id"].eqNullSafe(named["__mix_id"]) & (rows["__key"] == named["__mix_key"]) & rows["__source"].eqNullSafe(named["__mix_source"]) & (rows["__nth"] == named["__mix_nth"])
-    joined = rows.join(named, same).select(*(rows[c] for c in docs.columns), "__mix_spans")
+    named = named.select(F.col("doc_id").alias("mix_id"), F.col("text_key").alias("mix_key"), F.col("name").alias("mix_source"), F.col("nth").alias("mix_nth"), "spans")
+    # a document is one struct until its columns come back, so no name of theirs meets one of these
+    own = {"id": F.col(id_col), "key": F.xxhash64(text_col), "source": F.col(source_col).cast("string")}
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in own.items()])
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*own).orderBy(F.lit(0))))
+    same = F.col("id").eqNullSafe(F.col("mix_id")) & (F.col("key") == F.col("mix_key")) & F.col("source").eqNullSafe(F.col("mix_source")) & (F.col("nth") == F.col("mix_nth"))
+    stretches = next(n for n in ("spans", *(f"spans{i}" for i in range(len(docs.columns)))) if n not in docs.columns)
+    joined = rows.join(named, same).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns), F.col("spans").alias(stretches))
     word, names = re.compile(WORD), docs.columns
 
     def cut(batches):
         for b in batches:
             out = []
-            for text, spans in zip(b.column(text_col).to_pylist(), b.column("__mix_spans").to_pylist(), strict=True):
+            for text, spans in zip(b.column(text_col).to_pylist(), b.column(stretches).to_pylist(), strict=True):
                 runs: list[list[int]] = []
                 for s in spans:
                     if runs and runs[-1][1] == s["first"]:

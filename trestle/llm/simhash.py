@@ -271,7 +271,7 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str
     return rows.mapInArrow(run, "node bigint, shingles array<bigint>").dropDuplicates(["node"])
 
 
-def near_copy_groups(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, feature_words: int = 2, lanes: int = 6, hot_limit: int = HOT_TEXTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_copy_groups(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, feature_words: int = 2, lanes: int = 8, hot_limit: int = HOT_TEXTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_key and component_id, the smallest id of the near copies' group; one row per input row.
 
     A longer fingerprint of ``lanes`` times 64 bits over shingles of ``feature_words`` words stands in for max_distance: two
@@ -302,8 +302,9 @@ def simhash_dedup(docs: DataFrame, shingle_words: int = 5, similarity: float = 0
     Rows without an id are left alone; of repeated rows of one id and text, one stays.
     """
     groups = near_copy_groups(docs, shingle_words, similarity, id_col=id_col, text_col=text_col, **settings)
-    dropped = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__simhash_id"), F.col("text_key").alias("__simhash_key")).distinct()
-    keyed = docs.withColumns({"__simhash_id": F.col(id_col), "__simhash_key": F.xxhash64(text_col)})
-    left = keyed.join(dropped, ["__simhash_id", "__simhash_key"], "left_anti")
-    first = Window.partitionBy("__simhash_id", "__simhash_key").orderBy("__simhash_id")
-    return left.withColumn("__simhash_n", F.row_number().over(first)).where("__simhash_id is null or __simhash_n = 1").drop("__simhash_id", "__simhash_key", "__simhash_n")
+    dropped = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).distinct()
+    # a document is one struct until its columns come back, so no name of theirs meets one of these
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"))
+    left = keyed.where("id is not null").join(dropped, ["id", "key"], "left_anti")
+    once = left.withColumn("nth", F.row_number().over(Window.partitionBy("id", "key").orderBy("id"))).where("nth = 1")
+    return once.select("row").unionByName(keyed.where("id is null").select("row")).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))

@@ -9,9 +9,10 @@ The manifest, a Parquet table beside them, has a row per shard with its files, c
 shards before it, a prefix sum over shards. A document starts at base + offset. Shard names carry a fresh suffix for each
 attempt and only those that the manifest names count, so lost executors, retries and speculative tasks are harmless.
 
-Reading maps the .bin into memory where the folder is local and reads ranges from the store where it is not.
+Reading maps the .bin into memory where the folder is local and reads a whole shard where it is not.
 
-Defined cases: null and empty texts are the end id alone; null ids come first and are stored as the least 64-bit integer;
+Defined cases: null and empty texts are the end id alone; null ids come first and are stored as the least 64-bit integer, so a
+real id of that value comes back as null; a very long text is encoded whole by one task, in memory for its pieces and ids;
 rows of one id are ordered by a hash of their text; an empty table gives an empty manifest; other columns are not read.
 """
 

@@ -7,10 +7,12 @@ that the manifest names count, so lost executors, retries and speculative tasks
 
 Reading: archives are cut into byte ranges, a task for each group of ranges. A task looks for gzip magic from the start
 of its range, accepts a candidate only if the member there decodes to a WARC header, and owns the records that start
-inside its range; the last of them it reads to its end, past the range.
+inside its range; the last of them it reads to its end, past the range. Members have to follow each other without a gap: a
+damaged or cut-off record fails the read instead of vanishing (strict=False passes over it).
 
 Defined cases: a null html is an empty payload; a row without page id is a response without an id; rows of one smallest
-id and payload are all responses; a null url leaves out the target URI; an empty table gives no archive and no rows;
+id and payload are all responses; repeated rows are records each; a very long payload is one record, held whole by one task
+when it is written and when it is read (2 GB at most, Spark's bound for a value); a null url leaves out the target URI; an empty table gives no archive and no rows;
 other columns are not read.
 """
 
@@ -31,7 +33,7 @@ from trestle.llm._common import materialize, partitions
 
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-SPLIT_BYTES, READ_BYTES, HEAD_BYTES = 8 << 20, 1 << 18, 1 << 16
+SPLIT_BYTES, READ_BYTES = 8 << 20, 1 << 18
 RECORD = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary"
 
 
@@ -134,11 +136,21 @@ def _member(window: _Window) -> bytes | None:
     return b"".join(out)
 
 
-def records(file: pa.NativeFile, start: int, stop: int) -> Iterator[bytes]:
-    """The records whose gzip member starts in [start, stop)."""
-    window = _Window(file, start)
+def records(file: pa.NativeFile, start: int, stop: int, strict: bool = True) -> Iterator[bytes]:
+    """The records whose gzip member starts in [start, stop).
+
+    Members follow each other without a gap, so once one is found the next begins where it ends. With strict, anything else there is an
+    error, up to the first member behind the range: a record that does not decode is met by its own range or by the one before.
+    """
+    window, chained = _Window(file, start), start == 0
     while window.start < stop:
         at = window.data.find(MAGIC)
+        if chained and strict and at != 0:
+            if len(window.data) < len(MAGIC) and window.more():
+                continue
+            if not window.data:
+                return
+            raise ValueError(f"no record at byte {window.start}")
         if at < 0:
             window.drop(max(0, len(window.data) - 2))
             if not window.more():
@@ -148,10 +160,15 @@ def records(file: pa.NativeFile, start: int, stop: int) -> Iterator[bytes]:
         if window.start >= stop:
             return
         content = _member(window)
-        if content is None:
-            window.drop(1)
-        else:
+        if content is not None:
+            chained = True
             yield content
+        elif chained and strict:
+            raise ValueError(f"damaged record at byte {window.start}")
+        else:
+            window.drop(1)
+    if chained and strict and (window.data or window.more()) and _member(window) is None:
+        raise ValueError(f"damaged record at byte {window.start}")
 
 
 _FIELD = re.compile(rb"^([^:\r\n]+):[ \t]*(.*?)\r?$", re.M)
@@ -178,8 +195,8 @@ def _parsed(record: bytes) -> tuple | None:
     return number(warc[b"warc-record-id"]), url and url.decode(), kind, number(warc.get(b"warc-refers-to")), size, digest, payload if kind == "response" else None
 
 
-def read_warc(spark: SparkSession, out_dir: str, split_bytes: int = SPLIT_BYTES, batch_bytes: int = 16 << 20) -> DataFrame:
-    """The response and revisit records of the archives that the manifest names; payload is null for revisits."""
+def read_warc(spark: SparkSession, out_dir: str, split_bytes: int = SPLIT_BYTES, batch_bytes: int = 16 << 20, strict: bool = True) -> DataFrame:
+    """The response and revisit records of the archives that the manifest names; payload is null for revisits. Damage is an error, or with strict=False left out."""
     ranges = read_manifest(spark, out_dir).withColumn("start", F.explode(F.expr(f"sequence(0L, bytes - 1, {split_bytes}L)"))).select("name", "start", F.least(F.col("start") + split_bytes, "bytes").alias("stop"))
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
 
@@ -189,7 +206,7 @@ def read_warc(spark: SparkSession, out_dir: str, split_bytes: int = SPLIT_BYTES,
         held = 0
         for r in (r for b in batches for r in b.to_pylist()):
             with fs.open_input_file(f"{root}/{r['name']}") as file:
-                for content in records(file, r["start"], r["stop"]):
+                for content in records(file, r["start"], r["stop"], strict):
                     if row := _parsed(content):
                         rows.append(row)
                         held += len(content)
