@@ -8,6 +8,12 @@
 5. tokens: texts are written as token files and read back.
 
 Each stage gets its predecessor's table from Parquet.
+
+Defined cases: a null or empty text has zero statistics and is scored like any other, shares its near-copy group with all
+wordless texts, holds no benchmark window, gives no words to the mix (so it ends there) and would be the end id alone in token
+files; a null id is never dropped as a near copy; rows of one id and text are one after stage 2; a null source is a
+source of its own, last in order; a very long text is read whole by one task in each stage; an empty table passes all stages;
+extra columns are kept by stages 1 to 4, whatever their names.
 """
 
 from __future__ import annotations
