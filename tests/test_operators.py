@@ -209,3 +209,15 @@ def test_commands_are_dispatched_in_order(spark):
     assert [ask.report_of(c) for c in ("Сводка по проекту", "дефицит по проекту", "где риск", "все материалы", "кто отвечает", "помощь", "привет")] == ["summary", "context", "deficit", "list", "responsible", "help", "unknown"]
     m = material_rows(spark, [(5.0, 1.0, 0.0, 0.0, None, 1, None), (9.0, 5.0, 0.0, 0.0, None, 1, None)])
     assert ask.ask(m, "сводка").first().asDict() == {"materials": 2, "with_deficit": 2, "without_responsible": 1, "largest_name": "m0", "largest_deficit": 4.0}
+
+
+def test_history_sentences(spark):
+    rows = [(1, "create", 5, "шт", 1), (2, "update", 6, "шт", 1), (3, "update", 6, "шт", 1), (4, "archive", 6, "шт", 1), (5, "restore", 6, None, 1), (6, "odd", 6, "м", 2)]
+    frame = spark.createDataFrame([("k", *r) for r in rows], "key string, seq int, action string, need int, unit string, lead_days int")
+    fields = [("need", "Потребность"), ("unit", "Единица"), ("lead_days", "Срок поставки")]
+    seen = history.with_before(frame, "key", ["seq"], [f for f, _ in fields])
+    got = [tuple(r) for r in seen.orderBy("seq").select(history.action_label(F.col("action")), history.describe_event(F.col("action"), fields)).collect()]
+    assert got == [
+        ("Добавлено", "Создана позиция: 5 шт."), ("Изменено", "Потребность: 5 → 6"), ("Изменено", "Сохранение без изменения контролируемых полей."),
+        ("Исключено", "Позиция исключена из активного расчёта. Предыдущие данные сохранены."), ("Восстановлено", "Позиция восстановлена в активный расчёт."), ("Изменено", "Единица: — → м; Срок поставки: 1 → 2"),
+    ]

@@ -2,17 +2,17 @@
 
 import random
 import time
+import tracemalloc
 import zipfile
 
 import pytest
-
 from pyspark.sql import functions as F
 
 from trestle.operators import history
 from trestle.plans import driver_tables as D
 from trestle.sources import stores as ST
 from trestle.sources import tables as S
-from trestle.sources.xlsx import XlsxSource, read_xlsx
+from trestle.sources.xlsx import XlsxSource, cells_of, read_xlsx
 from trestle.streaming import runs
 
 SHEET = """<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>
@@ -41,6 +41,50 @@ def test_xlsx(spark, tmp_path):
     assert spark.read.format("xlsx_cells").load(f"{tmp_path}/a.xlsx").count() == 4
 
 
+def big_workbook(path, rows, sheets=("Первый", "Второй")):
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets>' + "".join(f'<sheet name="{s}" sheetId="{i}" r:id="r{i}"/>' for i, s in enumerate(sheets)) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="r{i}" Target="/xl/worksheets/s{i}.xml"/>' for i in range(len(sheets))) + "</Relationships>")
+        z.writestr("xl/sharedStrings.xml", f"<sst {main}>" + "".join(f"<si><r><t>им</t></r><r><t>я {i}</t></r></si>" for i in range(50)) + "</sst>")
+        for k in range(len(sheets)):
+            body = "".join(f'<row r="{i + 1}"><c r="A{i + 1}" t="s"><v>{i % 50}</v></c><c r="B{i + 1}"><v>{i + k}</v></c></row>' for i in range(rows))
+            z.writestr(f"xl/worksheets/s{k}.xml", f"<worksheet {main}><sheetData>{body}</sheetData></worksheet>")
+
+
+def test_a_large_workbook_streams(tmp_path):
+    """100,000 rows: every cell as it was written, in a fraction of the memory that the parsed sheet would take."""
+    big_workbook(tmp_path / "big.xlsx", 100_000)
+    tracemalloc.start()
+    n = 0
+    with open(tmp_path / "big.xlsx", "rb") as f:
+        for doc, sheet, row, col, value in cells_of("big.xlsx", f, "Второй"):
+            assert (doc, sheet, value) == ("big.xlsx", "Второй", f"имя {row % 50}" if col == 0 else str(row + 1))
+            n += 1
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 200_000 and peak < 8 << 20
+
+
+def test_sheets_are_partitions_and_filters_reach_them(spark, tmp_path):
+    big_workbook(tmp_path / "a.xlsx", 30)
+    (tmp_path / "old.xls").write_bytes(b"x")
+    (tmp_path / "b.xlsx").write_bytes(b"no workbook")
+    spark.dataSource.register(XlsxSource)
+    cells = spark.read.format("xlsx_cells").load(str(tmp_path))
+    assert cells.rdd.getNumPartitions() == 4 and cells.where("sheet is not null").count() == 120
+    assert sorted(r["value"].split(":")[0] for r in cells.where("sheet is null").collect()) == ["BROKEN_WORKBOOK", "UNSUPPORTED_FORMAT"]
+    key = "spark.sql.python.filterPushdown.enabled"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "true")
+        some = spark.read.format("xlsx_cells").load(f"{tmp_path}/*.xlsx").where("doc = 'a.xlsx' and sheet in ('Второй', 'нет') and col_idx = 1 and value > '2'")
+        assert some.rdd.getNumPartitions() == 1
+        assert sorted(int(r["value"]) for r in some.collect()) == sorted(i for i in range(1, 31) if str(i) > "2")
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_uploads_and_csv(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "x.csv").write_text('Имя,"Кол, шт"\n\nпесок,5\n', encoding="utf-8")
@@ -54,6 +98,18 @@ def test_uploads_and_csv(spark, tmp_path):
     assert [(r["row_idx"], r["col_idx"], r["value"]) for r in cells] == [(0, 0, "a;b"), (0, 1, 'с "кавычкой"'), (1, 0, "две\nстроки"), (1, 2, "3")]
 
 
+def test_a_wider_row_is_an_error(spark, tmp_path):
+    (tmp_path / "w.csv").write_text("a,b,c,d\n", encoding="utf-8")
+    assert S.read_cells(spark, str(tmp_path / "w.csv"), columns=4).count() == 4
+    with pytest.raises(Exception, match="(?i)columns"):
+        S.read_cells(spark, str(tmp_path / "w.csv"), columns=3).collect()
+
+
+def test_reviews(spark, tmp_path):
+    (tmp_path / "r.json").write_text('[{"document": "d", "page": 1, "name": "x"}, {"document": "d", "page": 2, "name": "y", "review_status": "rejected"}]')
+    assert [r["review_status"] for r in ST.read_reviews(spark, str(tmp_path / "r.json")).orderBy("page").collect()] == ["pending", "rejected"]
+
+
 def test_material_json_round_trip(spark, tmp_path):
     (tmp_path / "m.json").write_text('[{"id": "a", "need": 2.0}, {"id": "b", "status": "archived", "revision": 3}]')
     got = S.read_materials(spark, str(tmp_path / "m.json"))

@@ -66,6 +66,17 @@ TAXONOMY = {
     }
 }
 
+# --- fixed values: history texts ---------------------------------------------------------------------------------
+#: Field of a material and its label, in the order in which changes are told.
+HISTORY_FIELDS = [
+    ("project", "Проект"), ("object", "Объект"), ("work", "Работа"), ("name", "Материал"), ("responsible", "Ответственный"), ("need", "Потребность"),
+    ("unit", "Единица"), ("stock", "Общий остаток"), ("reserved", "Резерв"), ("confirmed", "Подтверждено"), ("delivery", "Дата поставки"), ("lead_days", "Срок поставки"),
+]
+HISTORY_ACTIONS = {"create": "Добавлено", "update": "Изменено", "archive": "Исключено", "restore": "Восстановлено"}
+HISTORY_CREATED, HISTORY_UNCHANGED = "Создана позиция: ", "Сохранение без изменения контролируемых полей."
+HISTORY_ARCHIVED = "Позиция исключена из активного расчёта. Предыдущие данные сохранены."
+HISTORY_RESTORED = "Позиция восстановлена в активный расчёт."
+
 # --- fixed values: documents -------------------------------------------------------------------------------------
 #: Kind and its phrases with weights, in order of precedence.
 DOCUMENT_KINDS = {

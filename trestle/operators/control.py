@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trestle.functions.text import normalize_key
+from trestle.operators.registry import counters
 
 CONTEXT = ("project", "object", "work")
 CATEGORIES = ("critical", "order", "low-stock", "expected", "delayed", "ok")
@@ -131,3 +132,26 @@ def dashboard(events: DataFrame) -> DataFrame:
     """One row of counters."""
     has = lambda c: F.count_if(F.array_contains("categories", c)).alias(c.replace("-", "_"))
     return events.agg(F.count("*").alias("materials"), *[has(c) for c in CATEGORIES])
+
+
+def prepare_import(candidates: DataFrame, materials: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Register rows filled in from candidates (document, page, name, quantity, unit) that the register does not have and no review rejects.
+
+    Need comes from the candidate's quantity; stock, reserve and confirmed quantity are 0, the lead is a day; the source is kept.
+    """
+    keyed = candidates.withColumn("k_name", normalize_key("name"))
+    moved = materials.select(F.col("source_document").alias("document"), F.col("source_page").alias("page"), normalize_key("name").alias("k_name"))
+    saved = reviews.select("document", "page", normalize_key("name").alias("k_name"), "review_status").dropDuplicates(["document", "page", "k_name"])
+    keys = ["document", "page", "k_name"]
+    left = keyed.join(moved, keys, "left_anti").join(saved, keys, "left").where("review_status is null or review_status <> 'rejected'")
+    zero = F.lit(0.0)
+    return left.select(
+        F.trim("name").alias("name"), "unit", F.col("quantity").alias("need"), zero.alias("stock"), zero.alias("reserved"), zero.alias("confirmed"), F.lit(1).alias("lead_days"),
+        F.col("document").alias("source_document"), F.col("page").alias("source_page"), F.coalesce("review_status", F.lit("pending")).alias("source_review_status"),
+    )
+
+
+def workspace_counters(events: DataFrame, revisions: DataFrame, document: str) -> DataFrame:
+    """counter and value: the counters of materials (see dashboard) and of the document register (documents, revisions, current, in_review)."""
+    long = lambda one: one.unpivot([], one.columns, "counter", "value")
+    return long(dashboard(events)).unionByName(long(counters(revisions, document)))

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from trestle.functions import lexicon as L
+from trestle.functions.parse import mapping
+
 #: Actions, the state that they lead to, and the states from which they are allowed (None: no row yet).
 TRANSITIONS = {"create": ("active", (None,)), "update": ("active", ("active",)), "archive": ("archived", ("active",)), "restore": ("active", ("archived",))}
 RETAINED, SHOWN = 1000, 100
@@ -42,6 +45,18 @@ def describe_changes(fields: Sequence[tuple[str, str]]) -> Column:
     return F.array_join(F.filter(F.array(*parts), lambda x: x.isNotNull()), "; ")
 
 
+def describe_event(action: Column, fields: Sequence[tuple[str, str]] = tuple(L.HISTORY_FIELDS)) -> Column:
+    """What a change did, as a sentence: made with its need and unit, taken out, brought back, or the fields that changed. Needs with_before()."""
+    changed = describe_changes(fields)
+    made = F.concat(F.lit(L.HISTORY_CREATED), shown(F.col("need")), F.lit(" "), shown(F.col("unit")), F.lit("."))
+    told = F.when(action == "create", made).when(action == "archive", L.HISTORY_ARCHIVED).when(action == "restore", L.HISTORY_RESTORED)
+    return told.otherwise(F.when(changed != "", changed).otherwise(L.HISTORY_UNCHANGED))
+
+
+def action_label(action: Column) -> Column:
+    return F.coalesce(mapping(L.HISTORY_ACTIONS)[action], F.lit(L.HISTORY_ACTIONS["update"]))
+
+
 def retained(history: DataFrame, order: Sequence[Column], n: int = RETAINED) -> DataFrame:
     """The latest n events."""
     return history.orderBy(*order).limit(n)

@@ -21,6 +21,17 @@ def analyze_pages(pages: DataFrame, kinds=None, signals=None) -> dict[str, DataF
     return {"documents": both.select("doc", *[c.alias(n) for n, c in fused.items()]), "materials": documents.extract_materials(pages), "approvals": approvals.group_approvals(found)}
 
 
+def classify_books(cells: DataFrame, signals=None) -> DataFrame:
+    """doc, kind, confidence and conflict of every workbook: what its sheets are, against the signals of its file name and text."""
+    sheets = tables.classify_tables(cells)
+    rank = F.when(F.col("confidence") == "high", 2).when(F.col("confidence") == "medium", 1).otherwise(0)
+    structure = sheets.groupBy("doc").agg(tables.structure_kind(F.collect_set("kind")).alias("structure"), F.max_by("confidence", rank).alias("structure_confidence"))  # a sheet has one of five kinds
+    text = tables.table_text(cells).groupBy("doc").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sheet", "text"))), lambda x: x["text"]), " ").alias("text"))  # the first rows of each sheet
+    signs = documents.classify_signals(text, "doc", "text", **({"signals": signals} if signals else {}))
+    fused = documents.fuse_table_kinds(F.col("signal_kind"), F.col("signal_confidence"), F.col("strong_file"), F.col("structure"), F.col("structure_confidence"))
+    return structure.join(signs, "doc").select("doc", *[c.alias(n) for n, c in fused.items()])
+
+
 def analyze_books(cells: DataFrame, limit: int | None = None) -> dict[str, DataFrame]:
     """What workbooks (doc, sheet, row_idx, col_idx, value) give: documents (doc, kind), rows, and rows by what they become."""
     rows = tables.analyze_sheets(cells, tables.known_family(), limit)

@@ -5,6 +5,8 @@ A revision row has document, revision, content hash, status, received (timestamp
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -89,10 +91,10 @@ def overview(rows: DataFrame, document: str, by: str) -> DataFrame:
     return sums.select(by, "whole", "documents", "revisions", "current", "in_review")
 
 
-def guess_kind(name: Column, classified: Column) -> Column:
-    """Kind of an upload from its classification, else from words in its file name, else by extension."""
+def guess_kind(name: Column, classified: Column, patterns: Sequence[tuple[str, str]] = tuple(FILE_NAME_KINDS)) -> Column:
+    """Kind of an upload from its classification, else by the first pattern (words, then extension) that its file name has."""
     n = F.lower(F.coalesce(name, F.lit("")))
     by_name = F.lit("other")
-    for pattern, kind in reversed(FILE_NAME_KINDS):
+    for pattern, kind in reversed(patterns):
         by_name = F.when(F.regexp_like(n, F.lit(pattern)), kind).otherwise(by_name)
     return F.coalesce(mapping(REGISTRY_KIND)[classified], by_name)

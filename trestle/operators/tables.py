@@ -113,15 +113,16 @@ def schedule_review(start: Column, finish: Column) -> Column:
 def analyze_sheets(cells: DataFrame, looks_like_work=None, limit: int | None = None, scan_rows: int | None = SCAN_ROWS) -> DataFrame:
     """Typed rows of every sheet with a header: work name, unit, quantity, dates, row type and review reasons; all of them, or the first ``limit`` of each sheet.
 
-    looks_like_work: Column -> Column, whether a work name is known to the taxonomy, as known_family() tells. Cells become
-    one row for each row of a sheet first, so sheets of any size are spread over tasks by their rows.
+    looks_like_work: Column -> Column, whether a work name is known to the taxonomy, as known_family() tells. Cells in a
+    column with a role become one row for each row of a sheet, so sheets of any size are spread over tasks by their rows.
     """
     kinds = classify_tables(cells, scan_rows)
     heads = find_headers(cells, kinds, scan_rows).join(kinds, SHEET)
-    wide = cells.groupBy(*SHEET, "row_idx").agg(F.map_from_entries(F.collect_list(F.struct("col_idx", "value"))).alias("cells_"))
-    joined = wide.join(heads, SHEET).where(F.col("row_idx") > F.col("header_row"))
-    at = lambda role: F.try_element_at("cells_", F.col(f"{role}_col")).alias(f"{role}_raw")
-    rows = joined.select(*SHEET, "row_idx", "kind", "automatic", *[at(r) for r in L.HEADER_ALIASES])
+    roles = F.explode(F.array(*[F.struct(F.lit(r).alias("role"), F.col(f"{r}_col").alias("col_idx")) for r in L.HEADER_ALIASES])).alias("r")
+    told = heads.select(*SHEET, "header_row", "kind", "automatic", roles).select(*SHEET, "header_row", "kind", "automatic", "r.role", "r.col_idx").where("col_idx is not null")
+    named = cells.join(told, [*SHEET, "col_idx"]).where(F.col("row_idx") > F.col("header_row"))
+    # the few cells that a role reads, put side by side by partial maxima where they stand
+    rows = named.groupBy(*SHEET, "row_idx", "kind", "automatic").agg(*[F.max(F.when(F.col("role") == r, F.col("value"))).alias(f"{r}_raw") for r in L.HEADER_ALIASES])
     rows = rows.withColumns({"work_name": T.clean_work_name("work_raw"), "unit": table_unit("unit_raw"), "quantity": parse_number("quantity_raw"), "start": parse_date("start_date_raw"), "finish": parse_date("finish_date_raw")})
     rows = rows.where("length(work_name) >= 3 and unit <> '' and quantity > 0")
     known = looks_like_work(F.col("work_name")) if looks_like_work else F.lit(False)

@@ -118,6 +118,29 @@ def schedule_cells(spark: SparkSession, sf: str) -> DataFrame:
     return head.unionByName(body.withColumn("row_idx", F.col("row_idx") + 1)).where("value is not null")
 
 
+#: Workbooks by the nation's number modulo 5: file name, and the cells of its first rows.
+BOOKS = (
+    ("ГПР", (("Наименование работ", "Ед. изм.", "Количество", "Начало работ", "Окончание работ"),)),
+    ("Книга", (("Ведомость объемов работ",), ("Наименование работ", "Ед. изм.", "Количество"))),
+    ("Книга", (("Спецификация материалов",), ("Наименование", "Ед. изм.", "Количество"))),
+    ("Смета", (("Материалы и работы", "Стоимость"), ("Наименование", "Ед. изм.", "Количество", "Стоимость"))),
+    ("Лист", (("Наименование", "Ед. изм.", "Количество"),)),
+)
+
+
+def order_books(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells of a workbook for each nation: first rows by BOOKS, then a row for each order of its customers."""
+    names = F.element_at(F.array(*[F.lit(n) for n, _ in BOOKS]), (F.col("n_nationkey") % len(BOOKS) + 1).cast("int"))
+    nation = read_table(spark, sf, "nation").select(F.col("n_nationkey").alias("nation"), F.concat(names, F.lit(" "), "n_nationkey", F.lit(".xlsx")).alias("doc"))
+    rows = [(i, r, c, v) for i, (_, head) in enumerate(BOOKS) for r, cells in enumerate(head) for c, v in enumerate(cells)]
+    heads = spark.createDataFrame(rows, "book int, row_idx int, col_idx int, value string")
+    top = nation.join(heads, F.col("nation") % len(BOOKS) == F.col("book")).select("doc", F.lit("лист 1").alias("sheet"), "row_idx", "col_idx", "value")
+    orders = read_table(spark, sf, "orders").join(read_table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("nation"))
+    cells = F.array(F.concat(F.lit("Позиция "), "o_orderkey"), F.lit("шт"), F.col("o_custkey").cast("string"))
+    body = orders.select("doc", F.lit("лист 1").alias("sheet"), (F.col("o_orderkey") + 10).cast("int").alias("row_idx"), F.posexplode(cells).alias("col_idx", "value"))
+    return top.unionByName(body)
+
+
 #: The page of an order by its number modulo 4: kind, first words.
 PAGE_KINDS = (("work-volume", "Ведомость объемов работ. "), ("specification", "Спецификация оборудования, изделий и материалов\n"), ("explanatory-note", "Пояснительная записка. "), ("schedule", "Календарный график производства работ. "))
 VARIANTS = ("Подземная", "На эстакаде", "Надземная")

@@ -325,13 +325,17 @@ SQL["file_facts"] = r"""WITH x AS (SELECT page_id, string_split(url, '/')[-1] AS
     CASE WHEN s < 1024 THEN s || ' Б' WHEN s / 1024.0 < 1024 THEN format('{:.1f}', floor(s / 1024.0::DOUBLE * 10 + 0.5) / 10) || ' КБ' ELSE format('{:.1f}', floor(s / 1048576.0::DOUBLE * 10 + 0.5) / 10) || ' МБ' END AS size,
     page_id || ' ' || CASE WHEN page_id % 100 BETWEEN 11 AND 14 THEN 'документов' WHEN page_id % 10 = 1 THEN 'документ' WHEN page_id % 10 BETWEEN 2 AND 4 THEN 'документа' ELSE 'документов' END AS documents,
     ['scan', 'mixed', 'text'][page_id % 3 + 1] AS layer FROM x"""
-SQL["registry_kind_guess"] = """SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND doc_id % 3 = 0 THEN 'schedule' WHEN doc_id % 2 = 0 AND doc_id % 3 = 1 THEN 'journal'
-    ELSE ['work-volume', 'schedule', 'agreement', 'commercial-proposal', 'estimate', 'project-documentation', 'other'][doc_id % 7 + 1] END AS kind FROM documents"""
-SQL["table_kind_fused"] = """WITH x AS (SELECT doc_id, ['estimate', NULL, 'schedule'][doc_id % 3 + 1] AS s, ['high', NULL, 'medium'][doc_id % 3 + 1] AS sc, doc_id % 11 = 0 AS strong, ['commercial-proposal', 'schedule', NULL, 'specification'][doc_id % 4 + 1] AS t,
-    ['medium', 'high', NULL, 'medium'][doc_id % 4 + 1] AS tc FROM documents), y AS (SELECT *, s IS NOT NULL AND t IS NOT NULL AS b FROM x), z AS (SELECT *, b AND t = 'commercial-proposal' AND s = 'estimate' AS priced, b AND s = t AS agree FROM y)
-    SELECT doc_id, CASE WHEN strong OR priced OR agree THEN s WHEN b THEN t ELSE coalesce(s, t, 'other') END AS kind,
-    CASE WHEN strong THEN 'high' WHEN priced THEN CASE WHEN sc = 'high' THEN 'high' ELSE 'medium' END WHEN agree THEN CASE WHEN sc = 'high' OR tc = 'high' THEN 'high' ELSE 'medium' END WHEN b THEN 'medium' ELSE coalesce(sc, tc, 'low') END AS confidence,
-    b AND s <> t AS conflict FROM z"""
+SQL["registry_kind_guess"] = r"""WITH x AS (SELECT page_id, string_split(url, '/')[4] AS f, lower(string_split(url, '/')[-1]) AS n FROM pages)
+    SELECT page_id, CASE WHEN f = 'de' THEN 'schedule' WHEN f = 'fr' THEN 'journal' WHEN ends_with(n, '.html') THEN 'work-volume' WHEN contains(n, 'page=') THEN 'schedule' WHEN contains(n, '#') THEN 'agreement'
+        WHEN contains(n, 'ref=') OR contains(n, 'utm') THEN 'commercial-proposal' WHEN regexp_full_match(n, '[0-9]+') THEN 'estimate' ELSE 'other' END AS kind FROM x"""
+# told by how the books are made: a schedule by name and sheet, a work volume and a specification by sheet and text, a priced table in an estimate, a bare table
+SQL["table_kind_fused"] = """SELECT ['ГПР', 'Книга', 'Книга', 'Смета', 'Лист'][n_nationkey % 5 + 1] || ' ' || n_nationkey || '.xlsx' AS doc, ['schedule', 'work-volume', 'specification', 'estimate', 'other'][n_nationkey % 5 + 1] AS kind,
+    ['high', 'high', 'high', 'high', 'low'][n_nationkey % 5 + 1] AS confidence, n_nationkey % 5 = 3 AS conflict FROM nation"""
+SQL["history_events"] = f"""WITH {H}, x AS (SELECT *, CAST(need AS DECIMAL(18, 2)) AS n, CAST(seq % 3 AS INTEGER) AS d FROM changes), y AS (SELECT *, lag(n) OVER w AS n0, lag(unit) OVER w AS u0, lag(d) OVER w AS d0 FROM x WINDOW w AS (PARTITION BY key ORDER BY seq)),
+    z AS (SELECT *, concat_ws('; ', CASE WHEN n IS DISTINCT FROM n0 THEN 'Потребность: ' || coalesce(n0::VARCHAR, '—') || ' → ' || coalesce(n::VARCHAR, '—') END, CASE WHEN unit IS DISTINCT FROM u0 THEN 'Единица: ' || coalesce(u0, '—') || ' → ' || coalesce(unit, '—') END,
+        CASE WHEN d IS DISTINCT FROM d0 THEN 'Срок поставки: ' || coalesce(d0::VARCHAR, '—') || ' → ' || d END) AS c FROM y)
+    SELECT key, seq, CASE action WHEN 'create' THEN 'Добавлено' WHEN 'archive' THEN 'Исключено' WHEN 'restore' THEN 'Восстановлено' ELSE 'Изменено' END AS label,
+        CASE action WHEN 'create' THEN 'Создана позиция: ' || coalesce(n::VARCHAR, '—') || ' ' || unit || '.' WHEN 'archive' THEN {q(L.HISTORY_ARCHIVED)} WHEN 'restore' THEN {q(L.HISTORY_RESTORED)} ELSE CASE WHEN c = '' THEN {q(L.HISTORY_UNCHANGED)} ELSE c END END AS told FROM z"""
 
 
 SQL["lifecycle_replay"] = f"""WITH RECURSIVE {H}, o AS (SELECT key, action, row_number() OVER (PARTITION BY key ORDER BY seq) AS n FROM changes),
@@ -390,6 +394,11 @@ SQL["material_rows_ru"] = f"""WITH {G}, x AS (SELECT o_custkey AS doc, k AS page
     FROM lines_ JOIN orders ON o_orderkey = k WHERE k % 4 = 1) SELECT doc, page, min(line_no) AS line_no, name, quantity, unit FROM x WHERE name <> 'Монтаж опоры' GROUP BY doc, page, name, quantity, unit"""
 
 
+SQL["candidate_import"] = f"""SELECT name, unit, quantity AS need, 1 AS lead_days, doc AS source_document, page AS source_page, CASE WHEN page % 3 = 1 THEN 'confirmed' ELSE 'pending' END AS source_review_status
+    FROM ({SQL['material_rows_ru']}) WHERE page % 3 <> 0 AND NOT (page % 3 = 1 AND name LIKE 'К%')"""
+SQL["workspace_dashboard"] = "UNPIVOT (SELECT * FROM (" + SQL["dashboard"] + ") a, (" + SQL["registry_counters"] + ") b) ON COLUMNS(*) INTO NAME counter VALUE value"
+
+
 def _plain_pattern(pattern: str) -> str:
     return pattern.replace("(?iu)", "(?i)").replace("(?=[^а-яё]|$)", "(?:[^а-яё]|$)")
 

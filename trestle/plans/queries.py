@@ -11,6 +11,7 @@ from trestle.functions import text as T
 from trestle.operators import approvals, ask, control, documents, history, intake, planning, projects, quantity, registry, tables, works
 from trestle.plans import driver_tables as D
 from trestle.sources import stores
+from trestle.sources.scratch import cut
 from trestle.sources.tables import read_table
 from trestle.streaming.runs import debounced_runs
 
@@ -81,6 +82,20 @@ def dashboard(spark, sf):
     return control.dashboard(_events(spark, sf))
 
 
+@query
+def workspace_dashboard(spark, sf):
+    return control.workspace_counters(_events(spark, sf), _promoted(spark, sf), "document")
+
+
+@query
+def candidate_import(spark, sf):
+    """Material rows of the order pages, those of every third page in the register already and some of the next rejected."""
+    found = documents.extract_materials(D.order_pages(spark, sf)).select(F.col("doc").alias("document"), "page", "name", "quantity", "unit")
+    moved = found.where("page % 3 = 0").select(F.col("document").alias("source_document"), F.col("page").alias("source_page"), F.concat(F.lit(" "), F.upper("name")).alias("name"))
+    reviews = found.where("page % 3 = 1").select("document", "page", "name", F.when(F.col("name").like("К%"), "rejected").otherwise("confirmed").alias("review_status"))
+    return control.prepare_import(found, moved, reviews).drop("stock", "reserved", "confirmed")
+
+
 @query
 def schedule_lookup_first(spark, sf):
     found = control.with_schedule(D.materials(spark, sf).drop("need_date"), D.contexts(spark, sf))
@@ -134,6 +149,15 @@ def history_diff(spark, sf):
     return seen.select("key", "seq", history.describe_changes([("need", "Потребность"), ("unit", "Единица")]).alias("changes"))
 
 
+@query
+def history_events(spark, sf):
+    """Every change as a labelled sentence."""
+    rows = D.changes(spark, sf).withColumns({"need": F.col("need").cast("decimal(18,2)"), "lead_days": (F.col("seq") % 3).cast("int")})
+    fields = [(f, label) for f, label in T.L.HISTORY_FIELDS if f in rows.columns]
+    seen = history.with_before(rows, "key", ["seq"], [f for f, _ in fields])
+    return seen.select("key", "seq", history.action_label(F.col("action")).alias("label"), history.describe_event(F.col("action"), fields).alias("told"))
+
+
 @query
 def history_retained(spark, sf):
     return history.retained(D.changes(spark, sf), [F.col("seq").desc()], history.RETAINED).select("key", "seq", "action")
@@ -616,32 +640,37 @@ def sentence_context(spark, sf):
     return docs.where("instr(text, 'the') > 0").select("doc_id", F.md5(T.window_around(F.col("text"), at, 220, 100)).alias("evidence"))
 
 
+def _cells(spark, sf):
+    """The schedule books' cells, as a file source would give them: made once, then read."""
+    return cut(D.schedule_cells(spark, sf), "cells")
+
+
 @query
 def table_kind(spark, sf):
-    return tables.classify_tables(D.schedule_cells(spark, sf)).select("doc", "sheet", "kind", "confidence", "generic_name", "automatic")
+    return tables.classify_tables(_cells(spark, sf)).select("doc", "sheet", "kind", "confidence", "generic_name", "automatic")
 
 
 @query
 def header_detect(spark, sf):
-    cells = D.schedule_cells(spark, sf)
+    cells = _cells(spark, sf)
     return tables.find_headers(cells, tables.classify_tables(cells)).select("doc", "header_row", "header_score", "header_confidence", "work_col", "unit_col", "quantity_col", "start_date_col", "finish_date_col")
 
 
 @query
 def row_type_counts(spark, sf):
-    rows = D.schedule_cells(spark, sf).where("col_idx = 0 and row_idx > 0")
+    rows = _cells(spark, sf).where("col_idx = 0 and row_idx > 0")
     return tables.row_type_counts(tables.with_row_type(rows, "value"), ["doc"])
 
 
 @query
 def sheet_rows(spark, sf):
-    rows = tables.analyze_sheets(D.schedule_cells(spark, sf))
+    rows = tables.analyze_sheets(_cells(spark, sf))
     return rows.select("doc", "row_idx", "work_name", "unit", "quantity", "start", "finish", "row_type", "duration_days", F.array_join("review", ",").alias("review"))
 
 
 @query
 def uncertain_groups(spark, sf):
-    rows = D.schedule_cells(spark, sf).where("col_idx = 0 and row_idx > 0")
+    rows = _cells(spark, sf).where("col_idx = 0 and row_idx > 0")
     found = tables.uncertain_groups(tables.with_row_type(rows, "value"), "doc", "value", ["row_idx"])
     return found.select("doc", "n", F.array_join("examples", "; ").alias("examples"))
 
@@ -676,17 +705,17 @@ def intake_summary(spark, sf):
 
 @query
 def intake_review_items(spark, sf):
-    return intake.review_items(intake.analyze_books(D.schedule_cells(spark, sf)))
+    return intake.review_items(intake.analyze_books(_cells(spark, sf)))
 
 
 @query
 def intake_package(spark, sf):
-    return intake.package_summary(intake.analyze_books(D.schedule_cells(spark, sf)))
+    return intake.package_summary(intake.analyze_books(_cells(spark, sf)))
 
 
 @query
 def intake_package_ru(spark, sf):
-    return intake.package_summary(intake.analyze_books(D.schedule_cells(spark, sf)), intake.analyze_pages(D.order_pages(spark, sf).select(F.col("doc").cast("string").alias("doc"), "page", "text")))
+    return intake.package_summary(intake.analyze_books(_cells(spark, sf)), intake.analyze_pages(D.order_pages(spark, sf).select(F.col("doc").cast("string").alias("doc"), "page", "text")))
 
 
 @query
@@ -756,7 +785,7 @@ def work_named_first(spark, sf):
 
 @query
 def volume_search(spark, sf):
-    cells = D.schedule_cells(spark, sf)
+    cells = _cells(spark, sf)
     rows = tables.analyze_sheets(cells, lambda n: F.startswith(n, F.lit("Монтаж"))).withColumn("automatic", F.col("row_type") == "work")
     return tables.find_volume(rows, F.lit("монтаж секции")).select("doc", "row_idx", "score", "place", "chosen", "confidence")
 
@@ -769,21 +798,22 @@ def file_facts(spark, sf):
     return pages.select("page_id", P.extension(name).alias("extension"), P.file_id(name, size, F.col("page_id")).alias("file_id"), P.size_label(size).alias("size"), T.plural_documents(F.col("page_id")).alias("documents"), P.text_layer(F.col("page_id") % 3, F.lit(2)).alias("layer"))
 
 
+URL_KINDS = [("[.]html$", "work-volume"), ("page=", "schedule"), ("#", "agreement"), ("ref=|utm", "commercial-proposal"), (r"^\d+$", "estimate")]
+
+
 @query
 def registry_kind_guess(spark, sf):
-    docs = read_table(spark, sf, "documents")
-    k = F.col("doc_id")
-    pick = lambda of: F.element_at(F.array(*map(F.lit, of)), (k % len(of) + 1).cast("int"))
-    name = pick(["ВОР.xlsx", "график.pdf", "Доп. соглашение.pdf", "ткп.pdf", "смета 1.xls", "раздел.PDF", "план.csv"])
-    return docs.select("doc_id", registry.guess_kind(name, F.when(k % 2 == 0, pick(["schedule", "cable-journal", "unknown"]))).alias("kind"))
+    """Pages as uploads: kinds by the ends of their addresses, unless the folder (the language) is classified already."""
+    pages = read_table(spark, sf, "pages")
+    parts = F.split("url", "/")
+    folder = F.try_element_at(parts, F.lit(4))
+    classified = F.when(folder == "de", "schedule").when(folder == "fr", "cable-journal").when(folder == "es", "unknown")
+    return pages.select("page_id", registry.guess_kind(F.element_at(parts, -1), classified, URL_KINDS).alias("kind"))
 
 
 @query
 def table_kind_fused(spark, sf):
-    k = F.col("doc_id")
-    pick = lambda of: F.element_at(F.array(*[F.lit(x).cast("string") for x in of]), (k % len(of) + 1).cast("int"))
-    fused = documents.fuse_table_kinds(pick(["estimate", None, "schedule"]), pick(["high", None, "medium"]), k % 11 == 0, pick(["commercial-proposal", "schedule", None, "specification"]), pick(["medium", "high", None, "medium"]))
-    return read_table(spark, sf, "documents").select("doc_id", *[c.alias(n) for n, c in fused.items()])
+    return intake.classify_books(D.order_books(spark, sf))
 
 
 def queries() -> dict:

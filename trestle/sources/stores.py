@@ -12,6 +12,7 @@ from pyspark.sql.streaming import DataStreamWriter
 CONTEXT = "id string, project string, object string, work string, start date, end date, safety_days string, ord bigint"
 PROJECT = "id string, parent_id string, node_type string, name string, object string, code string, contract_number string, status string, created_at timestamp, updated_at timestamp"
 REVISION = "document string, title string, kind string, revision string, revision_label string, previous_revision string, project_ids array<string>, file_name string, bytes bigint, sha256 string, received timestamp, status string"
+REVIEW = "document string, page int, name string, review_status string, reviewed_at timestamp"
 EVENT = "id string, material_id string, material_name string, action string, occurred_at timestamp, reason string"
 
 
@@ -47,6 +48,11 @@ def read_register(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("status", F.coalesce("status", F.lit("received"))).withColumn("project_ids", F.coalesce("project_ids", F.array().cast("array<string>")))
 
 
+def read_reviews(spark: SparkSession, path: str) -> DataFrame:
+    """Reviews of material candidates: a missing status is pending."""
+    return _read(spark, path, REVIEW).withColumn("review_status", F.coalesce("review_status", F.lit("pending")))
+
+
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     """Events of the material history, or of an archive."""
     return _read(spark, path, EVENT)

@@ -47,10 +47,10 @@ def read_cells(spark: SparkSession, path: str, separator: str = ",", columns: in
     """Filled cells of CSV files, long: doc, sheet ('csv'), row_idx, col_idx, value. Rows without any value are left out before rows are numbered.
 
     Quoted cells may hold separators, line ends and doubled quotes, so a file is read as a whole by one task; files are
-    spread over tasks. columns: the widest row that is expected.
+    spread over tasks. columns: the widest row that is expected; a wider one is an error, no cell is left out.
     """
     names = [f"c{i}" for i in range(columns)]
-    reader = spark.read.schema(", ".join(f"{c} string" for c in names)).option("sep", separator).option("multiLine", True).option("quote", '"').option("escape", '"')
+    reader = spark.read.schema(", ".join(f"{c} string" for c in names)).option("sep", separator).option("maxColumns", columns).option("multiLine", True).option("quote", '"').option("escape", '"')
     rows = reader.csv(path).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("doc"), F.monotonically_increasing_id().alias("n"), F.array(*[F.nullif(F.trim(c), F.lit("")) for c in names]).alias("cells"))
     rows = rows.where(F.exists("cells", lambda c: c.isNotNull()))
     numbered = rows.withColumn("row_idx", F.row_number().over(Window.partitionBy("doc").orderBy("n")) - 1)
