@@ -78,7 +78,7 @@ def test_sheets_are_partitions_and_filters_reach_them(spark, tmp_path):
     before = spark.conf.get(key)
     try:
         spark.conf.set(key, "true")
-        some = spark.read.format("xlsx_cells").load(f"{tmp_path}/*.xlsx").where("doc = 'a.xlsx' and sheet in ('Второй', 'нет') and col_idx = 1 and value > '2'")
+        some = spark.read.format("xlsx_cells").option("filters", "true").load(f"{tmp_path}/*.xlsx").where("doc = 'a.xlsx' and sheet in ('Второй', 'нет') and col_idx = 1 and value > '2'")
         assert some.rdd.getNumPartitions() == 1
         assert sorted(int(r["value"]) for r in some.collect()) == sorted(i for i in range(1, 31) if str(i) > "2")
     finally:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trestle.functions.parse import ceil_to_step
+from trestle.functions.parse import ceil_to_step, finite
 from trestle.operators import control, works
 from trestle.sources.scratch import cut
 
@@ -45,13 +45,13 @@ def rules_summary(rules: DataFrame) -> DataFrame:
 
 
 def quantity_cascade(contexts: DataFrame, needs: DataFrame) -> DataFrame:
-    """Adds work_quantity and its source: manual if above zero, else from documents, else the largest need, else none.
+    """Adds work_quantity and its source: manual if above zero, else from documents, else the largest need, else none. What is no finite number counts as missing.
 
     contexts: context_id, manual_quantity, document_quantity. needs: context_id, ord, need.
     """
     best = needs.where("need > 0").groupBy("context_id").agg(F.max("need").alias("largest_need"))
     out = contexts.join(best, "context_id", "left")
-    manual, document = F.col("manual_quantity") > 0, F.col("document_quantity").isNotNull()
+    manual, document = F.coalesce(finite("manual_quantity") > 0, F.lit(False)), finite("document_quantity").isNotNull()
     source = F.when(manual, "manual").when(document, "document").when(F.col("largest_need").isNotNull(), "estimate").otherwise("none")
     value = F.when(manual, F.col("manual_quantity")).when(document, F.col("document_quantity")).otherwise(F.col("largest_need"))
     return out.withColumn("work_quantity", value).withColumn("quantity_source", source)

@@ -2,8 +2,9 @@
 
 A workbook is a zip of XML. Each sheet is a partition of its own; its rows are parsed as a stream, so a task holds one row and the
 workbook's shared strings, which it reads once. Shared and inline strings, numbers, booleans and dates by style come as text
-(dates as yyyy-mm-dd). Rows without values are left out before rows are numbered. Filters on doc, sheet and col_idx reach the
-source where the session has spark.sql.python.filterPushdown.enabled: sheets that they rule out are not read.
+(dates as yyyy-mm-dd). Rows without values are left out before rows are numbered. With option("filters", "true"),
+in sessions with spark.sql.python.filterPushdown.enabled, filters on doc, sheet and col_idx reach the source: sheets that they
+rule out are not read.
 
 What cannot be read is a value, not a crash: one row with a null sheet and a code, UNSUPPORTED_FORMAT (by extension; the older .xls
 too) or BROKEN_WORKBOOK with the reason.
@@ -127,14 +128,6 @@ class XlsxReader(DataSourceReader):
     def __init__(self, path: str):
         self.path, self.only = path, {}
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            if isinstance(f, EqualTo | In) and f.attribute in (("doc",), ("sheet",), ("col_idx",)):
-                values = {f.value} if isinstance(f, EqualTo) else set(f.value)
-                self.only[f.attribute[0]] = self.only.get(f.attribute[0], values) & values
-            else:
-                yield f
-
     def _files(self) -> tuple[pafs.FileSystem, list[str]]:
         folder, _, pattern = self.path.rpartition("/") if re.search("[*?[]", self.path) else (self.path, "", "")
         fs, root = pafs.FileSystem.from_uri(folder if "://" in folder else "file://" + (folder if folder.startswith("/") else "/" + folder))
@@ -169,6 +162,18 @@ class XlsxReader(DataSourceReader):
                     yield cell
 
 
+class FilteredXlsxReader(XlsxReader):
+    """Takes equalities and lists of doc, sheet and col_idx out of a query's filters."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            if isinstance(f, EqualTo | In) and f.attribute in (("doc",), ("sheet",), ("col_idx",)):
+                values = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.only[f.attribute[0]] = self.only.get(f.attribute[0], values) & values
+            else:
+                yield f
+
+
 class XlsxSource(DataSource):
     """For workbooks in any folder that pyarrow's file systems reach (a file, a folder or a pattern of file names); see read_xlsx() for others."""
 
@@ -180,7 +185,8 @@ class XlsxSource(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return XlsxReader(self.options["path"])
+        kind = FilteredXlsxReader if self.options.get("filters", "").lower() == "true" else XlsxReader
+        return kind(self.options["path"])
 
 
 def read_xlsx(spark: SparkSession, path: str, batch_cells: int = 50_000) -> DataFrame:
