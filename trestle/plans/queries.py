@@ -715,7 +715,7 @@ def intake_package(spark, sf):
 
 @query
 def intake_package_ru(spark, sf):
-    return intake.package_summary(intake.analyze_books(_cells(spark, sf)), intake.analyze_pages(D.order_pages(spark, sf).select(F.col("doc").cast("string").alias("doc"), "page", "text")))
+    return intake.package_summary(intake.analyze_books(_cells(spark, sf)), intake.analyze_pages(cut(D.order_pages(spark, sf).select(F.col("doc").cast("string").alias("doc"), "page", "text"), "pages")))
 
 
 @query
