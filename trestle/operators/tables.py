@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from trestle.functions import lexicon as L
 from trestle.functions import text as T
 from trestle.functions.parse import duration_days, parse_date, parse_number, table_unit
+from trestle.functions.rows import once
 
 #: Rows at the top of a sheet that tell its kind and hold its header, and days from which a schedule row is long.
 SCAN_ROWS, LONG_DAYS = 40, 180
@@ -36,10 +37,12 @@ def table_text(cells: DataFrame, scan_rows: int | None = SCAN_ROWS) -> DataFrame
 def classify_tables(cells: DataFrame, scan_rows: int | None = SCAN_ROWS) -> DataFrame:
     """doc, sheet, kind, confidence, evidence, generic_name (a bare name column counts) and automatic (its rows may count as work volume)."""
     out = table_text(cells, scan_rows)
-    for name, phrases in L.TABLE_PHRASES.items():
-        out = out.withColumn(f"{name}_", T.phrases_found(F.col("text"), phrases, T.normalize_table))
+    out = once(out, cells=F.col("cells"), text=F.col("text"))
+    out = once(out, **{f"{name}_": T.phrases_found(F.col("text"), phrases, T.normalize_table) for name, phrases in L.TABLE_PHRASES.items()})
     start, finish = F.arrays_overlap("cells", F.array(*map(F.lit, L.START_HEADERS))), F.arrays_overlap("cells", F.array(*map(F.lit, L.FINISH_HEADERS)))
     scale = F.exists("cells", lambda c: F.regexp_like(c, F.lit(L.CALENDAR_CELL)))
+    out = once(out, start_=start, finish_=finish, scale_=scale)
+    start, finish, scale = F.col("start_"), F.col("finish_"), F.col("scale_")
     price = F.arrays_overlap("mixed_", F.array(*map(F.lit, L.PRICE_PHRASES)))
     mixed = F.array_contains("mixed_", L.MIXED_PHRASE) & price
     schedule = (F.size("schedule_") >= 2) | (start & finish & (scale | (F.size("schedule_") >= 1)))
@@ -64,7 +67,8 @@ def header_score(cell: Column, aliases: list[str]) -> Column:
 
 def header_rows(cells: DataFrame, kinds: DataFrame, scan_rows: int | None = SCAN_ROWS) -> DataFrame:
     """doc, sheet, row_idx, score and for each role its column and score, for the first rows; the first of equal columns counts."""
-    head = _head(cells, scan_rows).join(kinds.select(*SHEET, "generic_name"), SHEET).withColumn("v", T.normalize_table("value"))
+    head = _head(cells, scan_rows).join(kinds.select(*SHEET, "generic_name"), SHEET)
+    head = once(head, v=T.normalize_table("value"))
     aggs = []
     for role, aliases in L.HEADER_ALIASES.items():
         score = header_score(F.col("v"), aliases)
@@ -88,15 +92,15 @@ def find_headers(cells: DataFrame, kinds: DataFrame, scan_rows: int | None = SCA
 def with_row_type(rows: DataFrame, name: str, looks_like_work: Column | None = None, out: str = "row_type") -> DataFrame:
     """Adds the type of a row and out + "_mark", the phrase that tells it, from its work name."""
     known = looks_like_work if looks_like_work is not None else F.lit(False)
-    text = rows.withColumn("text_", T.normalize_table(T.clean_work_name(name)))
-    mark = {k: F.col(f"{k}_mark_") for k in L.ROW_PREFIXES}
-    marked = text.withColumns({f"{k}_mark_": T.starts_with_any(F.col("text_"), v) for k, v in L.ROW_PREFIXES.items()})
+    text = once(rows, text_=T.normalize_table(T.clean_work_name(name)), known_=known)
+    mark, known = {k: F.col(f"{k}_mark_") for k in L.ROW_PREFIXES}, F.col("known_")
+    marked = once(text, **{f"{k}_mark_": T.starts_with_any(F.col("text_"), v) for k, v in L.ROW_PREFIXES.items()})
     kind = (
         F.when(F.col("text_") == "", "uncertain").when(mark["summary"].isNotNull(), "summary").when(mark["section"].isNotNull(), "section").when(mark["strong_machinery"].isNotNull(), "machinery")
         .when(mark["work"].isNotNull() | known, "work").when(mark["material"].isNotNull(), "material").when(mark["machinery"].isNotNull(), "machinery").otherwise("uncertain")
     )
     told = F.coalesce(mark["summary"], mark["section"], mark["strong_machinery"], mark["work"], F.when(~known, F.coalesce(mark["material"], mark["machinery"])))
-    return marked.withColumns({out: kind, f"{out}_mark": told}).drop("text_", *[f"{k}_mark_" for k in L.ROW_PREFIXES])
+    return marked.withColumns({out: kind, f"{out}_mark": told}).drop("text_", "known_", *[f"{k}_mark_" for k in L.ROW_PREFIXES])
 
 
 def schedule_review(start: Column, finish: Column) -> Column:
@@ -120,11 +124,13 @@ def analyze_sheets(cells: DataFrame, looks_like_work=None, limit: int | None = N
     heads = find_headers(cells, kinds, scan_rows).join(kinds, SHEET)
     roles = F.explode(F.array(*[F.struct(F.lit(r).alias("role"), F.col(f"{r}_col").alias("col_idx")) for r in L.HEADER_ALIASES])).alias("r")
     told = heads.select(*SHEET, "header_row", "kind", "automatic", roles).select(*SHEET, "header_row", "kind", "automatic", "r.role", "r.col_idx").where("col_idx is not null")
-    named = cells.join(told, [*SHEET, "col_idx"]).where(F.col("row_idx") > F.col("header_row"))
-    # the few cells that a role reads, put side by side by partial maxima where they stand
-    rows = named.groupBy(*SHEET, "row_idx", "kind", "automatic").agg(*[F.max(F.when(F.col("role") == r, F.col("value"))).alias(f"{r}_raw") for r in L.HEADER_ALIASES])
-    rows = rows.withColumns({"work_name": T.clean_work_name("work_raw"), "unit": table_unit("unit_raw"), "quantity": parse_number("quantity_raw"), "start": parse_date("start_date_raw"), "finish": parse_date("finish_date_raw")})
+    # a sheet's header, at most one short row for each role, goes to the sheet's cells, never the cells to it
+    named = cells.join(F.broadcast(told), [*SHEET, "col_idx"]).where(F.col("row_idx") > F.col("header_row"))
+    # dealt by rows before they are put side by side: maxima of texts are sorted for, and no task sorts more than its share
+    rows = named.repartition(*SHEET, "row_idx").groupBy(*SHEET, "row_idx", "kind", "automatic").agg(*[F.max(F.when(F.col("role") == r, F.col("value"))).alias(f"{r}_raw") for r in L.HEADER_ALIASES])
+    rows = once(rows, work_name=T.clean_work_name("work_raw"), unit=table_unit("unit_raw"), quantity=parse_number("quantity_raw"))
     rows = rows.where("length(work_name) >= 3 and unit <> '' and quantity > 0")
+    rows = once(rows, start=parse_date("start_date_raw"), finish=parse_date("finish_date_raw"))
     known = looks_like_work(F.col("work_name")) if looks_like_work else F.lit(False)
     is_schedule, both, neither = F.col("kind") == "schedule-table", F.col("start").isNotNull() & F.col("finish").isNotNull(), F.col("start").isNull() & F.col("finish").isNull()
     out = with_row_type(rows, "work_name", known, "base_")
@@ -167,10 +173,12 @@ def row_type_counts(rows: DataFrame, by: list[str]) -> DataFrame:
 
 def uncertain_groups(rows: DataFrame, document: str, name: str, order: list[str]) -> DataFrame:
     """Rows of uncertain type by document: count and the first three names."""
-    w = Window.partitionBy(document).orderBy(*order)
-    ranked = rows.where("row_type = 'uncertain'").withColumn("n_", F.row_number().over(w))
-    first = F.transform(F.sort_array(F.collect_list(F.when(F.col("n_") <= 3, F.struct("n_", F.col(name).alias("name"))))), lambda x: x["name"])
-    return ranked.groupBy(document).agg(F.count("*").alias("n"), first.alias("examples"))
+    vague = rows.where("row_type = 'uncertain'").select(F.col(document).alias("d_"), F.col(name).alias("name_"), F.struct(*order).alias("o_"))
+    # the filter on the place alone is what lets every task rank its own first rows before anything is shuffled
+    ranked = vague.withColumn("n_", F.row_number().over(Window.partitionBy("d_").orderBy("o_"))).where(F.col("n_") <= 3)
+    first = ranked.groupBy("d_").agg(F.transform(F.sort_array(F.collect_list(F.struct("n_", "name_"))), lambda x: x["name_"]).alias("examples"))
+    sums = vague.groupBy(F.col("d_").alias("k_")).agg(F.count("*").alias("n"))
+    return sums.join(first, F.col("k_").eqNullSafe(F.col("d_"))).select(F.col("k_").alias(document), "n", "examples")
 
 
 def structure_kind(kinds: Column) -> Column:
