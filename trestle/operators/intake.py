@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trestle.operators import approvals, documents, tables
+from trestle.sources.scratch import cut
 
 REVIEW = ("doc", "item", "place", "reason")
 
@@ -18,7 +19,8 @@ def analyze_pages(pages: DataFrame, kinds=None, signals=None) -> dict[str, DataF
     fused = documents.fuse_kinds(F.col("signal_kind"), F.col("signal_confidence"), F.col("kind"), F.col("confidence"), **({"kinds": {k: k for k in kinds}} if kinds else {}))
     both = told.join(signs.select("doc", "signal_kind", "signal_confidence"), "doc")
     found = approvals.extract_approvals(pages)
-    return {"documents": both.select("doc", *[c.alias(n) for n, c in fused.items()]), "materials": documents.extract_materials(pages), "approvals": approvals.group_approvals(found)}
+    told = cut(both.select("doc", *[c.alias(n) for n, c in fused.items()]), "documents")
+    return {"documents": told, "materials": documents.extract_materials(pages), "approvals": cut(approvals.group_approvals(found), "groups")}
 
 
 def classify_books(cells: DataFrame, signals=None) -> DataFrame:
@@ -34,7 +36,7 @@ def classify_books(cells: DataFrame, signals=None) -> DataFrame:
 
 def analyze_books(cells: DataFrame, limit: int | None = None) -> dict[str, DataFrame]:
     """What workbooks (doc, sheet, row_idx, col_idx, value) give: documents (doc, kind), rows, and rows by what they become."""
-    rows = tables.analyze_sheets(cells, tables.known_family(), limit)
+    rows = cut(tables.analyze_sheets(cells, tables.known_family(), limit), "rows")  # read by every list and count that is made of them
     sheets = tables.classify_tables(cells)
     books = sheets.groupBy("doc").agg(tables.structure_kind(F.collect_set("kind")).alias("kind"))
     return {"documents": books, "rows": rows} | tables.split_by_type(rows)
