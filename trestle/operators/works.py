@@ -5,7 +5,7 @@ Rules and knowledge are tables of the caller's: small ones, sent to all tasks on
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -146,7 +146,7 @@ def resolve_pointers(rows: DataFrame, key: str, pointer: str) -> DataFrame:
     known = rows.select(F.col(key).alias("id"), F.col(pointer).cast(rows.schema[key].dataType).alias("to"))
     there = known.select(F.col("id").alias("i"), F.col("to").alias("onward"), F.lit(True).alias("is_there"))
     # a link's far end: open (it points on), ended (it is a last row) or lost (there is no such row)
-    step = known.where("to is not null").join(there, F.col("to") == F.col("i"), "left")
+    step = known.where("to is not null").join(there.hint("merge"), F.col("to") == F.col("i"), "left")
     end = F.when(F.col("is_there").isNull(), "lost").when(F.col("onward").isNull(), "ended").otherwise("open")
     links = cut(step.select("id", "to", F.lit(1).cast("bigint").alias("hops"), end.alias("end")), "pointers")
     n = links.count()
@@ -154,10 +154,10 @@ def resolve_pointers(rows: DataFrame, key: str, pointer: str) -> DataFrame:
         if links.where("end = 'open'").isEmpty():
             break
         far = links.select(F.col("id").alias("i"), F.col("to").alias("t"), F.col("hops").alias("h"), F.col("end").alias("e"))
-        moved = links.join(far, (F.col("to") == F.col("i")) & (F.col("end") == "open"), "left")
+        moved = links.join(far.hint("merge"), (F.col("to") == F.col("i")) & (F.col("end") == "open"), "left")  # as large as the table: not by way of the driver
         links = cut(moved.select("id", F.coalesce("t", "to").alias("to"), (F.col("hops") + F.coalesce("h", F.lit(0))).alias("hops"), F.coalesce("e", "end").alias("end")), "pointers")
     found = links.select(F.col("id").alias("i"), "to", "hops", "end")
-    out = known.select("id").join(found, F.col("id") == F.col("i"), "left")
+    out = known.select("id").join(found.hint("merge"), F.col("id") == F.col("i"), "left")
     state = F.when(F.col("end").isNull(), "own").when(F.col("end") == "ended", "resolved").when(F.col("end") == "lost", "unknown").otherwise("cycle")
     target = F.when(state == "own", F.col("id")).when(state == "resolved", F.col("to"))
     return out.select(F.col("id").alias(key), target.alias("target"), F.when(state != "cycle", F.coalesce("hops", F.lit(0))).alias("hops"), state.alias("state"))
@@ -193,14 +193,14 @@ def variant_rows(asked: DataFrame, variants: DataFrame, pointers: DataFrame, wor
     return pointed.unionByName(overlay(own, more, ["family", "variant"], name))
 
 
-def match_resources(expected: DataFrame, present: DataFrame, key: str, order: str | None = "ord", names: str = "names", name: str = "name", by_roots: bool = True) -> DataFrame:
+def match_resources(expected: DataFrame, present: DataFrame, key: str, order: str | None = "ord", names: str = "names", name: str = "name", by_roots: bool = True, by: Sequence[str] = ()) -> DataFrame:
     """Adds matched (the first present name, by order or by itself, that fits the resource or one of its names for the key) and found.
 
     A name fits that contains one of the resource's names or is contained in it or, with by_roots, shares half the roots of the
-    shorter one (texts_match). Empty names fit nothing.
+    shorter one (texts_match). Empty names fit nothing. by: columns that tell resources of one key and name apart.
     """
     place = F.col(order) if order else F.lit(0)
-    mine = expected.select(key, F.col(name).alias("e_"), F.explode(F.array_union(F.array(name), F.col(names))).alias("a_")).withColumn("ask", T.normalize_plain("a_")).where("ask <> ''").select(key, "e_", "ask").distinct()
+    mine = expected.select(key, *by, F.col(name).alias("e_"), F.explode(F.array_union(F.array(name), F.col(names))).alias("a_")).withColumn("ask", T.normalize_plain("a_")).where("ask <> ''").select(key, *by, "e_", "ask").distinct()
     mine = cut(mine, "expected")
     theirs = present.select(key, place.alias("o"), F.col(name).alias("n"), T.normalize_plain(name).alias("text")).where("text <> ''").groupBy(key, "text").agg(F.min(F.struct("o", "n")).alias("first"))
     theirs = cut(theirs, "present")
@@ -211,22 +211,22 @@ def match_resources(expected: DataFrame, present: DataFrame, key: str, order: st
     if by_roots:
         rooted = lambda rows, text: rows.withColumn("roots", T.roots(T.tokens_audit(text)))
         fits = fits.unionByName(matching.first_sharing(rooted(asks, "ask"), rooted(theirs, "text"), [key]))
-    best = mine.join(fits.groupBy(key, "ask").agg(F.min("first").alias("first")), [key, "ask"]).groupBy(key, F.col("e_").alias(name)).agg(F.min("first").alias("best_"))
-    out = expected.join(best, [key, name], "left")
+    best = mine.join(fits.groupBy(key, "ask").agg(F.min("first").alias("first")), [key, "ask"]).groupBy(key, *by, F.col("e_").alias(name)).agg(F.min("first").alias("best_"))
+    out = expected.join(best, [key, *by, name], "left")
     return out.withColumn("matched", F.col("best_.n")).withColumn("found", F.col("best_").isNotNull()).drop("best_")
 
 
-def engineering_audit(resources: DataFrame, present: DataFrame, key: str, order: str = "ord") -> DataFrame:
-    """One row per key: the counts of the completeness audit, matching by names and roots, and its severity.
+def engineering_audit(resources: DataFrame, present: DataFrame, key: str, order: str = "ord", by: Sequence[str] = ()) -> DataFrame:
+    """One row per key (and by, columns of the resources): the counts of the completeness audit, matching by names and roots, and its severity.
 
     resources: key, name, names, kind ('material', with required, or 'typical'). Counts: expected, found, missing, required,
     found_required, missing_required, typical, found_typical, missing_typical and materials.
     """
     there = audit_rows(present)
-    seen = match_resources(resources, there, key, order)
+    seen = match_resources(resources, there, key, order, by=by)
     material, required, typical, found = F.col("kind") == "material", (F.col("kind") == "material") & F.col("required"), F.col("kind") == "typical", F.col("found")
     n = lambda test, name: F.count_if(test).alias(name)
-    sums = seen.groupBy(key).agg(
+    sums = seen.groupBy(key, *by).agg(
         n(material, "expected"), n(material & found, "found"), n(material & ~found, "missing"), n(required, "required"), n(required & found, "found_required"), n(required & ~found, "missing_required"),
         n(typical, "typical"), n(typical & found, "found_typical"), n(typical & ~found, "missing_typical"),
     )
@@ -238,15 +238,15 @@ def audit_severity(required_missing: Column, typical_missing: Column, materials:
     return F.when(required_missing > 0, "critical").when((typical_missing > 0) | (materials == 0), "warning").otherwise("ok")
 
 
-def audit(resources: DataFrame, present: DataFrame, key: str) -> DataFrame:
-    """One row per key: counts of expected, found and missing resources (required, typical) and severity.
+def audit(resources: DataFrame, present: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
+    """One row per key (and by, columns of the resources): counts of expected, found and missing resources (required, typical) and severity.
 
     resources: key, name, names, kind ('material', with required, or 'typical').
     """
-    seen = match_resources(resources, present, key, order=None, by_roots=False)
+    seen = match_resources(resources, present, key, order=None, by_roots=False, by=by)
     lack = lambda kind: F.count_if(kind & ~F.col("found"))
     required, typical = (F.col("kind") == "material") & F.col("required"), F.col("kind") == "typical"
-    sums = seen.groupBy(key).agg(F.count_if(F.col("kind") == "material").alias("expected"), F.count_if((F.col("kind") == "material") & F.col("found")).alias("found"), lack(required).alias("missing_required"), lack(typical).alias("missing_typical"))
+    sums = seen.groupBy(key, *by).agg(F.count_if(F.col("kind") == "material").alias("expected"), F.count_if((F.col("kind") == "material") & F.col("found")).alias("found"), lack(required).alias("missing_required"), lack(typical).alias("missing_typical"))
     n = present.groupBy(key).agg(F.count("*").alias("materials"))
     out = sums.join(n, key, "left").withColumn("materials", F.coalesce("materials", F.lit(0)))
     return out.withColumn("severity", audit_severity(F.col("missing_required"), F.col("missing_typical"), F.col("materials")))
