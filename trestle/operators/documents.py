@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from trestle.functions import lexicon as L
 from trestle.functions import text as T
 from trestle.functions.parse import mapping, material_unit
+from trestle.functions.rows import once
 
 #: Characters at the start of a text that count as its lead.
 LEAD_CHARS = 2000
@@ -21,20 +22,26 @@ LEAD_CHARS = 2000
 
 def phrase_scores(text: Column, kinds: Mapping[str, Sequence[tuple[str, int]]], normalize=T.normalize_plain) -> Column:
     """Array of (negative score, ord, kind, matched phrases) of every kind, best first. text is normalised."""
-    out = []
-    for i, (kind, phrases) in enumerate(kinds.items()):
-        counts = [T.phrase_count(text, normalize(F.lit(p))) * w for p, w in phrases]
-        found = F.filter(F.array(*[F.when(c > 0, p) for c, (p, _) in zip(counts, phrases, strict=True)]), lambda x: x.isNotNull())
-        out.append(F.struct((-sum(counts, F.lit(0))).cast("int").alias("negative"), F.lit(i).alias("ord"), F.lit(kind).alias("kind"), found.alias("phrases")))
-    return F.array_sort(F.array(*out), lambda a, b: F.when(a["negative"] != b["negative"], F.signum(a["negative"] - b["negative"])).otherwise(F.signum(a["ord"] - b["ord"])).cast("int"))
+    asked = F.array(*[
+        F.struct(F.lit(i).alias("ord"), F.lit(kind).alias("kind"), F.array(*[F.struct(F.lit(p).alias("phrase"), normalize(F.lit(p)).alias("form"), F.lit(w).alias("weight")) for p, w in phrases]).alias("of"))
+        for i, (kind, phrases) in enumerate(kinds.items())
+    ])
+    # each phrase is counted once, and only where it occurs
+    points = lambda p: F.when(F.contains(text, p["form"]), T.phrase_count(text, p["form"]) * p["weight"]).otherwise(0)
+    counted = F.transform(asked, lambda k: F.struct(k["ord"].alias("ord"), k["kind"].alias("kind"), F.transform(k["of"], lambda p: F.struct(p["phrase"].alias("phrase"), points(p).alias("n"))).alias("of")))
+    scored = F.transform(counted, lambda k: F.struct(
+        (-F.aggregate(k["of"], F.lit(0), lambda a, x: a + x["n"])).alias("negative"), k["ord"].alias("ord"), k["kind"].alias("kind"),
+        F.transform(F.filter(k["of"], lambda x: x["n"] > 0), lambda x: x["phrase"]).alias("phrases"),
+    ))
+    return F.array_sort(scored, lambda a, b: F.when(a["negative"] != b["negative"], F.signum(a["negative"] - b["negative"])).otherwise(F.signum(a["ord"] - b["ord"])).cast("int"))
 
 
 def classify_documents(pages: DataFrame, kinds: Mapping[str, Sequence[tuple[str, int]]] = L.DOCUMENT_KINDS, cover: str | None = L.COVER_PATTERN, max_phrases: int | None = None) -> DataFrame:
     """doc, kind, confidence, score, second_score and phrases (all, or the first max_phrases). A cover phrase on the first three pages decides; else the best score from 4 on."""
-    norm = pages.withColumn("t", T.normalize_plain("text"))
+    norm = once(pages.select("doc", "page", "text"), t=T.normalize_plain("text"))
     front = F.regexp_like("t", F.lit(cover)) & (F.col("page") <= 3) if cover else F.lit(False)
     docs = norm.groupBy("doc").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "t"))), lambda x: x["t"]), " ").alias("t"), F.bool_or(front).alias("cover"))
-    out = docs.withColumn("ranked", phrase_scores(F.col("t"), kinds))
+    out = once(once(docs, t=F.col("t")), ranked=phrase_scores(F.col("t"), kinds))
     best, second = -F.get("ranked", F.lit(0))["negative"], F.coalesce(-F.get("ranked", F.lit(1))["negative"], F.lit(0))
     known = best >= 4
     named = F.get("ranked", F.lit(0))["phrases"]
@@ -46,8 +53,8 @@ def classify_documents(pages: DataFrame, kinds: Mapping[str, Sequence[tuple[str,
 
 
 def signal_scores(name: Column, text: Column, signals: Mapping[str, Mapping[str, Sequence[str]]] = L.SIGNALS, lead_chars: int = LEAD_CHARS) -> Column:
-    """Array of (negative score, ord, kind, file, body, lead, strong_file, strong_lead), best first."""
-    file, body = T.normalize_intake(name), T.normalize_intake(text)
+    """text is normalised (normalize_intake). Array of (negative score, ord, kind, file, body, lead, strong_file, strong_lead), best first."""
+    file, body = T.normalize_intake(name), text
     lead = F.substring(body, 1, lead_chars)
     out = []
     for i, (kind, s) in enumerate(signals.items()):
@@ -59,10 +66,11 @@ def signal_scores(name: Column, text: Column, signals: Mapping[str, Mapping[str,
 
 def classify_signals(rows: DataFrame, name: str, text: str, signals: Mapping[str, Mapping[str, Sequence[str]]] = L.SIGNALS) -> DataFrame:
     """Adds signal_kind (null without any signal), signal_confidence, signal_score and strong_file."""
-    out = rows.withColumn("ranked_", signal_scores(F.col(name), F.col(text), signals))
+    out = once(once(rows, body_=T.normalize_intake(text)), ranked_=signal_scores(F.col(name), F.col("body_"), signals))
     best, second = F.get("ranked_", F.lit(0)), F.get("ranked_", F.lit(1))
     score = -best["negative"]
     sure = best["strong_file"] | best["strong_lead"] | ((score >= 12) & (score >= -second["negative"] + 5))
+    out = out.drop("body_")
     some = score > 0
     return out.withColumns({"signal_kind": F.when(some, best["kind"]), "signal_confidence": F.when(some, F.when(sure, "high").otherwise("medium")), "signal_score": score, "strong_file": some & best["strong_file"]}).drop("ranked_")
 
@@ -93,22 +101,26 @@ def fuse_table_kinds(signal_kind: Column, signal_confidence: Column, strong_file
 
 
 def is_material_page(text: Column) -> Column:
-    t = T.normalize_plain(text)
+    """text is normalised (normalize_plain)."""
+    t = text
     return (T.patterns_matched(t, L.MATERIAL_PAGE_STRONG) > 0) | (T.patterns_matched(t, L.MATERIAL_PAGE_MARKERS) >= 3)
 
 
-def is_material_name(name: Column) -> Column:
-    t = T.normalize_plain(name)
+def is_material_name(name: Column, plain: Column | None = None) -> Column:
+    """plain: the name normalised, if it is there already."""
+    t = T.normalize_plain(name) if plain is None else plain
     fine = (t != "") & (F.size(F.split(t, " ")) <= 18) & (T.patterns_matched(t, L.MATERIAL_NOISE) == 0) & (T.patterns_matched(t, L.MATERIAL_WORK_VERBS) == 0)
     return fine & (F.regexp_like(t, F.lit("|".join(L.MATERIAL_STEMS))) | F.regexp_like(T.collapse(name), F.lit(L.MODEL_CODE)))
 
 
 def extract_materials(pages: DataFrame, limit: int | None = None) -> DataFrame:
     """Material rows of page text: doc, page, line_no, name, quantity, unit; each once for a page; all of a document, or the first ``limit`` in order of reading."""
-    lines = pages.where(is_material_page(F.col("text"))).select("doc", "page", F.posexplode(F.split("text", r"\r?\n")).alias("line_no", "line"))
-    part = lambda i: F.regexp_extract(F.trim("line"), L.MATERIAL_ROW, i)
-    rows = lines.where(part(1) != "").select("doc", "page", "line_no", T.material_name(part(1)).alias("name"), F.replace(part(3), F.lit(","), F.lit(".")).cast("double").alias("quantity"), material_unit(part(2)).alias("unit"))
-    rows = rows.where((F.length("name") >= 3) & is_material_name(F.col("name")) & (F.col("quantity") > 0))
+    pages = once(pages.select("doc", "page", "text"), plain_=T.normalize_plain("text")).where(is_material_page(F.col("plain_")))
+    lines = pages.select("doc", "page", F.posexplode(F.split("text", r"\r?\n")).alias("line_no", "line"))
+    part = lambda i: F.regexp_extract("line", L.MATERIAL_ROW, i)
+    rows = once(once(lines, line=F.trim("line")), one_=part(1)).where("one_ <> ''")
+    rows = once(rows, name=T.material_name("one_"), quantity=F.replace(part(3), F.lit(","), F.lit(".")).cast("double"), two_=part(2)).where((F.length("name") >= 3) & (F.col("quantity") > 0))
+    rows = once(rows, plain_=T.normalize_plain("name"), unit=material_unit("two_")).where(is_material_name(F.col("name"), F.col("plain_")))
     first = rows.groupBy("doc", "page", F.lower("name").alias("k"), "quantity", "unit").agg(F.min(F.struct("line_no", "name")).alias("f"))
     if limit is not None:
         w = Window.partitionBy("doc").orderBy("page", "f.line_no")
