@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from trestle.functions import lexicon as L
 from trestle.functions import text as T
+from trestle.functions.rows import once
 from trestle.operators.quantity import hits
 from trestle.sources.scratch import cut
 
@@ -40,12 +41,6 @@ class ApprovalRules:
 RUSSIAN = ApprovalRules()
 
 
-def _once(rows: DataFrame, **columns: Column) -> DataFrame:
-    """rows with columns that are made once for each row, however many expressions and filters read them (a generator of one row)."""
-    made = rows.withColumn("made_", F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
-    return made.select(*rows.columns, *[F.col(f"made_.{n}").alias(n) for n in columns])
-
-
 def _stamped(normal: Column, rules: ApprovalRules) -> Column:
     return (T.patterns_matched(normal, rules.stamp_markers) >= 3) & ~F.regexp_like(normal, F.lit(rules.stamp_action))
 
@@ -80,10 +75,10 @@ def extract_approvals(pages: DataFrame, rules: ApprovalRules = RUSSIAN, limit: i
     start = F.greatest(F.col("index") - 190, F.lit(0))
     wide = T.collapse(F.substring("text", start + 1, F.least(F.col("index") + F.length("matched") + 250, F.length("text")) - start))
     context = T.sentence_around(F.col("text"), F.col("index"), F.length("matched"))
-    rows = _once(rows, context=context, wide=wide).drop("text").where(F.length("context") >= 20)
-    rows = _once(rows, near_=T.normalize_intake("context"), wide_=T.normalize_intake("wide"))
+    rows = once(rows, context=context, wide=wide).drop("text").where(F.length("context") >= 20)
+    rows = once(rows, near_=T.normalize_intake("context"), wide_=T.normalize_intake("wide"))
     near, title = F.col("near_"), _stamped(F.col("wide_"), rules)
-    rows = rows.withColumn("intent", first_matching(near, [(p, i) for p, i, _ in rules.intents], F.lit("informational"))).where((F.col("intent") != "informational") & ~title)
+    rows = once(rows, intent=first_matching(near, [(p, i) for p, i, _ in rules.intents], F.lit("informational"))).where((F.col("intent") != "informational") & ~title)
     told = {"type": first_matching(near, rules.types, F.lit("approval")), "organization": first_matching(near, rules.organizations, F.lit(rules.organization_unknown))}
     rows = rows.withColumns(told | {"priority": priority(F.col("intent")), "signature": T.signature(near), "key": F.substring(near, 1, key_chars)})
     first = rows.groupBy("doc", "page", "type", "intent", "key").agg(F.min(F.struct("index", "matched", "context", "organization", "priority", "signature")).alias("f")).select("doc", "page", "type", "intent", "f.*")

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from trestle.functions import lexicon as L
 from trestle.functions import text as T
+from trestle.functions.rows import once
 from trestle.functions.parse import parse_loose_number, quantity_unit
 
 FLAGS = "(?iu)"
@@ -32,8 +33,10 @@ def hits(text: Column, pattern: str) -> Column:
 def extract_quantities(pages: DataFrame, text: str = "text") -> DataFrame:
     """One row per quantity above zero: the page's columns, raw, index, quantity and unit."""
     rows = pages.where(F.regexp_like(text, F.lit(r"\d"))).withColumn("hit_", F.explode(hits(F.col(text), FLAGS + L.QUANTITY_PATTERN)))
-    number, unit = (F.regexp_extract("hit_.raw", FLAGS + L.QUANTITY_PATTERN, i) for i in (1, 2))
-    out = rows.select("*", F.col("hit_.raw").alias("raw"), F.col("hit_.index").alias("index"), parse_loose_number(number).alias("quantity"), quantity_unit(unit).alias("unit")).drop("hit_")
+    rows = rows.select("*", F.col("hit_.raw").alias("raw"), F.col("hit_.index").alias("index")).drop("hit_")
+    number, unit = (F.regexp_extract("raw", FLAGS + L.QUANTITY_PATTERN, i) for i in (1, 2))
+    rows = once(rows, number_=number, unit_=unit)
+    out = once(rows, quantity=parse_loose_number("number_"), unit=quantity_unit("unit_")).drop("number_", "unit_")
     return out.where("quantity > 0")
 
 
@@ -46,27 +49,26 @@ def prepare_profile(profiles: DataFrame) -> DataFrame:
 
 def score_quantities(candidates: DataFrame, text: str = "text", priority: str = "priority") -> DataFrame:
     """Adds evidence, score (0 to 100), eligible and kind. Rows carry a profile (see prepare_profile): family_roots, work_roots, markers and resource_names."""
-    out = candidates.withColumn("evidence", T.window_around(F.col(text), F.col("index"), 260, 120)).withColumn("e_", T.normalize_quantity("evidence"))
-    # distinct words first, so that a word is stemmed once; as an exploded single row, so that the array is made once for all its readers
-    out = out.withColumn("roots_", F.explode(F.array(T.roots(F.array_distinct(T.tokens_quantity("e_"))))))
+    out = once(candidates, evidence=T.window_around(F.col(text), F.col("index"), 260, 120), raw_=T.normalize_quantity("raw"))
+    out = once(out, e_=T.normalize_quantity("evidence"))
+    # distinct words first, so that a word is stemmed once
+    out = once(out, roots_=T.roots(F.array_distinct(T.tokens_quantity("e_"))), last_=F.length("e_") - F.call_function("locate", F.reverse("raw_"), F.reverse("e_")) + 1 - F.length("raw_"))
     family = F.when(F.size("family_roots") == 0, 0.0).otherwise(F.size(T.matched_roots(F.col("family_roots"), F.col("roots_"))) / F.size("family_roots"))
     work = T.coverage(F.col("work_roots"), F.col("roots_"))
     marker = F.exists("markers", lambda m: (m["form"] != "") & (F.contains("e_", m["form"]) | F.exists(m["roots"], lambda r: F.exists("roots_", lambda x: T.roots_match(r, x)))))
     intent = F.lit(False)
     for p in L.INTENT_PHRASES:
         intent = intent | F.contains("e_", T.normalize_quantity(F.lit(p)))
-    raw = T.normalize_quantity("raw")
-    last = F.length("e_") - F.call_function("locate", F.reverse(raw), F.reverse("e_")) + 1 - F.length(raw)
-    there = F.contains("e_", raw)
+    last, there = F.col("last_"), F.contains("e_", F.col("raw_"))
     local = F.when(there, F.substring("e_", F.greatest(last - 90, F.lit(0)) + 1, F.least(last, F.lit(90)))).otherwise(F.substring("e_", F.greatest(F.length("e_") - 120, F.lit(0)) + 1, F.lit(120)))
-    out = out.withColumns({"family_": family, "work_": work, "variant_": marker, "intent_": intent, "local_": local})
+    out = once(out, family_=family, work_=work, variant_=marker, intent_=intent, local_=local)
     resource = F.exists("resource_names", lambda r: (F.length(r) >= 3) & F.contains("local_", r))
-    out = out.withColumn("near_resource", resource)
+    out = once(out, near_resource=resource)
     points = F.col("family_") * 40 + F.col("work_") * 15 + F.when(F.col("variant_"), 15).otherwise(0) + F.when(F.col("intent_"), 15).otherwise(0) + F.col(priority) / 100 * 10
     points = points + F.when(F.col("unit").isin(*L.KNOWN_QUANTITY_UNITS), 5).otherwise(0) - F.when(F.col("near_resource"), 35).otherwise(0)
     strong = (F.col("family_") >= 1) & (F.col("variant_") | F.col("intent_") | (F.col("work_") >= 0.75))
     out = out.withColumns({"score": F.greatest(F.lit(0), F.least(T.js_round(points), F.lit(100))).cast("int"), "eligible": strong & ~F.col("near_resource"), "kind": F.when(F.col("near_resource"), "material-quantity").otherwise("work-quantity-candidate")})
-    return out.drop("e_", "roots_", "family_", "work_", "variant_", "intent_", "local_")
+    return out.drop("raw_", "last_", "e_", "roots_", "family_", "work_", "variant_", "intent_", "local_")
 
 
 def confidence(score: Column) -> Column:
