@@ -406,3 +406,71 @@ def test_sketches_never_overstate_the_difference(monkeypatch):
         true = len(set(lines[i].split()) ^ set(lines[j].split()))
         assert apart <= true and (true - apart) % 2 == 0
     assert LD.sketches([], 1)[0].tolist() == []
+
+
+def near_copies(n, seed, size=30, changed=1):
+    """Lines that differ from one line in a word or two each."""
+    rng, base = random.Random(seed), words(size, seed).split()
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for i in rng.sample(range(size), changed):
+            w[i] = f"w{rng.randrange(10**6)}"
+        out.append(" ".join(w))
+    return out
+
+
+def partners_of(spark, lines):
+    rows = LD._rows(table(spark, [(i, x, "s") for i, x in enumerate(lines)]), "doc_id", "text")
+    counts = LD.word_counts(rows, 16, 99)
+    sets = LD.materialize(LD.numbered_sets(LD.lines_of(rows, counts, 0.8, 99)), "lines").where("not copy")
+    return sets, counts, LD.close_partners(sets, None, counts, 0.8, LD.FEW).collect()
+
+
+def test_partners_of_near_copies_grow_with_the_lines(spark):
+    few, many = (partners_of(spark, near_copies(n, 3))[2] for n in (100, 400))
+    assert len(few) == 99 and len(many) == 399  # each but the first has an earlier one
+    assert sum(len(r["ys"]) for r in many) < 6 * sum(len(r["ys"]) for r in few)  # all pairs: 16 times as many
+    assert sum(r["more"] for r in many) > 300  # what a set leaves out is told
+
+
+def test_unlike_long_lines_that_share_rare_words_are_no_partners(spark):
+    rng = random.Random(4)
+    lines = [" ".join([f"rare{i // 10}x{k}" for k in range(6)] + [f"w{k}" for k in rng.sample(range(500), 200)]) for i in range(60)]
+    assert partners_of(spark, lines)[2] == []  # 64 bits for each line let all 270 pairs pass
+
+
+def test_sets_that_their_first_partners_do_not_settle_ask_again(spark, monkeypatch):
+    rng = random.Random(8)
+    lines = near_copies(60, 5, 40, 2) + near_copies(60, 6, 40, 4) + near_copies(12, 7, 180, 12) + near_copies(12, 9, 400, 20) + near_copies(6, 10, 800, 30)
+    rng.shuffle(lines)
+    texts = ["\n".join(lines[i : i + 5]) for i in range(0, len(lines), 5)]
+    rounds, real = [], LD.close_partners
+    monkeypatch.setattr(LD, "FEW", 1)
+    monkeypatch.setattr(LD, "close_partners", lambda *a: (rounds.append(a[-1]), real(*a))[1])
+    got = sorted(((r["doc_id"], r["n_lines"], r["n_removed"], r["kept_text"]) for r in LD.line_dedup(table(spark, [(i, t, "s") for i, t in enumerate(texts)]), 0.8).collect()), key=str)
+    assert got == plain_lines(list(enumerate(texts)), 0.8) and rounds[:2] == [1, LD.MORE]
+
+
+def test_bitmaps_of_any_width_never_overstate_the_difference():
+    import numpy as np
+    import pyarrow as pa
+
+    from trestle.llm.words import chunks
+
+    lines = [x for size in (3, 60, 66, 150, 170, 350, 380, 700, 740, 1500) for x in near_copies(2, size, size, 3)]
+    (_, found), = chunks(pa.array(["\n".join(lines).encode()], pa.binary()), 5)
+    s = LD.LineSets(found, np.ones(1 << 10, np.uint32))
+    bitmap, wide, lengths = LD.parity_bitmaps(s)
+    assert lengths.max() == 15 and lengths.min() == 0
+    n = len(lines)
+    x = {"key": np.zeros(2 * n, np.uint64), "row": np.repeat(np.arange(n), 2), "id": np.zeros(2 * n, np.int64), "at": np.zeros(2 * n, np.int64), "asks": np.ones(2 * n, bool)}
+    x |= {"set": x["row"] + 100, "size": s.size[x["row"]], "bitmap": bitmap[x["row"]]}
+    cuts = [np.arange(0, n, 3), np.setdiff1d(np.arange(2 * n), np.arange(0, n, 3))]
+    told = LD._unpacked([LD._packed(x, c) for c in cuts])
+    full = LD._bitmaps([LD._wide_packed(x["set"][c], x["row"][c], (wide, np.cumsum(lengths) - lengths, lengths)) for c in cuts], told, [len(c) for c in cuts])
+    a, b = (np.array(p) for p in zip(*itertools.combinations(range(2 * n), 2), strict=True))
+    sets = [set(t.split()) for t in lines]
+    for i, j, apart in zip(told["set"][a] - 100, told["set"][b] - 100, LD._apart(*full, a, b).tolist(), strict=True):
+        true = len(sets[i] ^ sets[j])
+        assert apart <= true and (true - apart) % 2 == 0 and (apart > 0 or i == j or true < 8)

@@ -8,11 +8,13 @@ order of document id and line number, has a Jaccard similarity of ``threshold``
 2. Lines of one word set are one set, kept with its first line; the others are removed and go no further. Sets are told
    apart by a cryptographic digest of their words. Copies within a task are found before the shuffle.
 3. Each set is indexed under the words of its prefix: two sets of the wanted similarity share one. Words that occur once
-   are left out. Pairs that meet under a word are held to the length filter, the positional filter and a parity-bitmap
-   bound on the symmetric difference, all of which only turn away pairs that cannot be similar.
-4. The lines of the sets that are left in a pair are fetched, by a Bloom filter that goes to the texts. Parity bitmaps of
-   1,024 bits turn pairs away that cannot be similar; of the others, the words are compared. In a first round a set meets a few leaders, first sets under its rarest words. Sets that this settles ask no
-   more: they are taken out of the asking side before the join, so a group of near copies is never paired up.
+   are left out. Pairs that meet under a word are held to the length filter, the positional filter and a bound on the
+   symmetric difference by parity bitmaps that are as wide as the sets are large, all of which only turn away pairs that
+   cannot be similar. Of the partners that pass, a set takes the few closest of each bucket of words.
+4. The lines of these pairs are fetched, by a Bloom filter that goes to the texts, and their words are compared: the closest
+   partner first, the others only if that does not settle the set. Sets that are not settled and had more partners than
+   they took ask the index again, for eight times as many, until no partner is left. A group of near copies is settled by
+   a few partners of each member, so its pairs leave no task.
 
 Defined cases: null texts have no lines; lines without words are always kept; ids are integers, and a null id counts as the
 least 64-bit integer in the order and comes back null; rows of one id are told apart by a hash of their text, and the lines
@@ -23,12 +25,13 @@ empty table gives an empty result; other columns are not read, whatever their na
 from __future__ import annotations
 
 import secrets
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -77,8 +80,8 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(number.alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("binary").alias("text"))
 
 
-def word_counts(rows: DataFrame, count_bits: int, key: int) -> np.ndarray:
-    """Counters of words over all texts: the place of a word is the low bits of its hash."""
+def _counters(rows: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], count_bits: int) -> np.ndarray:
+    """Counters of hashes: the place of one is its low bits."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, mask = np.zeros(1 << count_bits, np.int64), np.uint64((1 << count_bits) - 1)
@@ -90,8 +93,8 @@ def word_counts(rows: DataFrame, count_bits: int, key: int) -> np.ndarray:
                 held.clear()
 
         for b in batches:
-            for _, words in chunks(b.column("text"), key):
-                held.append((words.hash & mask).astype(np.uint32))
+            for hashes in hashes_of(b):
+                held.append((hashes & mask).astype(np.uint32))
                 if sum(map(len, held)) > len(total):
                     flush()
         flush()
@@ -103,10 +106,24 @@ def word_counts(rows: DataFrame, count_bits: int, key: int) -> np.ndarray:
             total += np.frombuffer(x, "<u4")
         return np.minimum(total, (1 << 32) - 1).astype("<u4")
 
-    found = added_up(rows.select("text").mapInArrow(count, "block int, data binary"), add)  # 4 * 2**count_bits bytes in all
+    found = added_up(rows.mapInArrow(count, "block int, data binary"), add)  # 4 * 2**count_bits bytes in all
     return np.concatenate([np.frombuffer(found[i], "<u4") for i in range(BLOCKS)]) if found else np.zeros(1 << count_bits, "<u4")
 
 
+def word_counts(rows: DataFrame, count_bits: int, key: int) -> np.ndarray:
+    """Counters of words over all texts."""
+    return _counters(rows.select("text"), lambda b: (words.hash for _, words in chunks(b.column("text"), key)), count_bits)
+
+
+def prefix_counts(sets: DataFrame, count_bits: int) -> np.ndarray:
+    """Counters of words over the prefixes of sets."""
+    return _counters(sets.select("prefix"), lambda b: iter([_words_of(b.column("prefix")).astype(np.uint64)]), count_bits)
+
+
+def _words_of(prefix: pa.ListArray) -> np.ndarray:
+    return prefix.flatten().to_numpy(zero_copy_only=False).astype(np.int32).view(np.uint32)
+
+
 #: A set that so many lines of a batch share is remembered by the task, which then holds back its later copies; so many sets at most.
 MANY, HELD_SETS = 16, 65_536
 
@@ -144,10 +161,29 @@ class _Copies:
         return roles
 
 
+#: The bitmap of a set has 64 bits, and twice as many each time that the set has more than so many words.
+WIDER = (64, 160, 360, 720)
+
+
+def parity_bitmaps(s: LineSets) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bitmap of each line folded to 64 bits, all words (64 bits) of the bitmaps but each one's last, and how many these are.
+
+    A bit is the parity of the words at its place. The last word is the fold xor the others.
+    """
+    width = np.int64(1) << np.searchsorted(WIDER, s.size)
+    upto = np.cumsum(width)
+    place = (s.hash >> np.uint64(54)).astype(np.int64) & (64 * width - 1)[s.line]
+    odd = np.bincount(64 * (upto - width)[s.line] + place, minlength=64 * int(upto[-1])) & 1
+    words = np.packbits(odd.astype(bool), bitorder="little").view("<u8")
+    kept = np.ones(len(words), bool)
+    kept[upto - 1] = False
+    return np.bitwise_xor.reduceat(words, upto - width), words[kept], width - 1
+
+
 def lines_of(rows: DataFrame, counts: np.ndarray, threshold: float, key: int) -> DataFrame:
-    """One row per line with words: id, text_key, line_no, copy (is it known to repeat an earlier one), s1 and s2 (digest of the word set), size, bitmap, and prefix, less the ``skip`` words at its start that occur once."""
+    """One row per line with words: id, text_key, line_no, copy (is it known to repeat an earlier one), s1 and s2 (digest of the word set), size, bitmap (64 bits) and wide (its other words), and prefix, less the ``skip`` words at its start that occur once."""
     shared = rows.sparkSession.sparkContext.broadcast(counts)
-    names = ("id", "text_key", "line_no", "copy", "s1", "s2", "size", "bitmap", "skip", "prefix")
+    names = ("id", "text_key", "line_no", "copy", "s1", "s2", "size", "bitmap", "wide", "skip", "prefix")
 
     def of_texts(words: Words) -> dict[str, np.ndarray]:
         s = LineSets(words, shared.value)
@@ -155,9 +191,10 @@ def lines_of(rows: DataFrame, counts: np.ndarray, threshold: float, key: int) ->
         within = np.arange(len(s.hash)) - s.start[s.line] < length[s.line]
         once = within & (s.rank <= 1)
         listed = within & ~once
+        bitmap, wide, widths = parity_bitmaps(s)
         return {
             "text": s.text, "line_no": s.line_no.astype(np.int32), "s1": s.digest[:, 0], "s2": s.digest[:, 1], "size": s.size.astype(np.int32),
-            "bitmap": np.bitwise_xor.reduceat(np.uint64(1) << (s.hash >> np.uint64(58)), s.start).view(np.int64), "skip": np.bincount(s.line[once], minlength=len(s.size)).astype(np.int32),
+            "bitmap": bitmap.view(np.int64), "wide": wide, "widths": widths, "skip": np.bincount(s.line[once], minlength=len(s.size)).astype(np.int32),
             "listed": np.bincount(s.line[listed], minlength=len(s.size)), "words": (s.hash[listed] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32),
         }
 
@@ -177,12 +214,15 @@ def lines_of(rows: DataFrame, counts: np.ndarray, threshold: float, key: int) ->
             alone = roles == 1  # copies need no group: they are spread by a digest of their place
             x["s1"][alone] = _line_keys(ids, keys, x["line_no"])[alone]
             x["listed"] = np.where(alone, 0, x["listed"])
+            wide = x["wide"][np.repeat(~alone, x["widths"])]
+            x["widths"] = np.where(alone, 0, x["widths"])
             listed = x["words"][np.repeat(~alone, np.concatenate([p["listed"] for p in found]))]
             prefix = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(x["listed"]))).astype(np.int32)), pa.array(listed))
-            columns = [pa.array(ids), pa.array(keys), pa.array(x["line_no"]), pa.array(alone), pa.array(x["s1"].view(np.int64)), pa.array(x["s2"].view(np.int64)), pa.array(x["size"]), pa.array(x["bitmap"]), pa.array(x["skip"]), prefix]
+            wide = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(np.concatenate(([0], 8 * np.cumsum(x["widths"]))).astype(np.int32)), pa.py_buffer(wide)])
+            columns = [pa.array(ids), pa.array(keys), pa.array(x["line_no"]), pa.array(alone), pa.array(x["s1"].view(np.int64)), pa.array(x["s2"].view(np.int64)), pa.array(x["size"]), pa.array(x["bitmap"]), wide, pa.array(x["skip"]), prefix]
             yield pa.record_batch(columns, names=list(names)).filter(pa.array(roles < 2))
 
-    return rows.mapInArrow(run, "id bigint, text_key bigint, line_no int, copy boolean, s1 bigint, s2 bigint, size int, bitmap bigint, skip int, prefix array<int>")
+    return rows.mapInArrow(run, "id bigint, text_key bigint, line_no int, copy boolean, s1 bigint, s2 bigint, size int, bitmap bigint, wide binary, skip int, prefix array<int>")
 
 
 def numbered_sets(lines: DataFrame) -> DataFrame:
@@ -191,49 +231,7 @@ def numbered_sets(lines: DataFrame) -> DataFrame:
     upto = Window.partitionBy("s1", "s2").orderBy(*PLACE)
     told = lines.withColumns({"nth": F.row_number().over(upto), "first": F.first(place).over(upto)})
     told = told.withColumn("copy", F.col("copy") | (place > F.col("first"))).where("copy or nth = 1")
-    return told.select(*PLACE, "copy", "size", "bitmap", "skip", F.when(~F.col("copy"), F.col("prefix")).alias("prefix"), F.monotonically_increasing_id().alias("set"))
-
-
-#: Words of a prefix that are looked at in the first round.
-HEAD_WORDS = 3
-
-
-def _index(sets: DataFrame, words: int | None = None) -> DataFrame:
-    """word, set, id, bitmap and shape (size and place of the word in the set): the words of each set's prefix, all or the first ones."""
-    prefix = F.col("prefix") if words is None else F.slice("prefix", 1, words)
-    rows = sets.select("set", "id", "size", "bitmap", "skip", F.posexplode(prefix).alias("at", "word"))
-    shape = F.shiftleft(F.col("size").cast("bigint"), 32).bitwiseOR((F.col("at") + F.col("skip")).cast("bigint"))
-    return rows.select("word", "set", "id", "bitmap", shape.alias("shape"))
-
-
-def _may_be_similar(x: str, y: str, threshold: float) -> Column:
-    """The length, positional and bitmap filters on two index entries of one word, of columns x + name and y + name."""
-    size = lambda n: F.shiftright(f"{n}shape", 32)
-    left = lambda n: size(n) - F.col(f"{n}shape").bitwiseAND((1 << 32) - 1)
-    both = size(x) + size(y)
-    length = F.least(size(x), size(y)) >= threshold * F.greatest(size(x), size(y)) - 1e-9
-    place = F.least(left(x), left(y)) >= threshold / (1 + threshold) * both - 1e-9
-    apart = F.bit_count(F.col(f"{x}bitmap").bitwiseXOR(F.col(f"{y}bitmap"))) <= (1 - threshold) / (1 + threshold) * both + 1e-9
-    return length & place & apart
-
-
-def _pairs(met: DataFrame) -> DataFrame:
-    return met.select(F.col("x_set").alias("x"), F.col("y_set").alias("y")).distinct()
-
-
-def _side(index: DataFrame, name: str) -> DataFrame:
-    return index.select("word", *(F.col(c).alias(f"{name}_{c}") for c in ("set", "id", "bitmap", "shape")))
-
-
-#: Leaders under a word in the first round: the first set of each of so many classes of sets.
-LEADERS = 8
-
-
-def leader_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (x, y) of a set with the leaders under each of its rarest prefix words: a few for each set, however many share a word."""
-    index = _index(sets, HEAD_WORDS)
-    led = index.groupBy("word", F.pmod(F.xxhash64("set"), F.lit(LEADERS)).alias("class")).agg(*(F.min_by(c, "id").alias(f"y_{c}") for c in ("set", "bitmap", "shape")), F.min("id").alias("y_id"))
-    return _pairs(_side(index, "x").join(led, "word").where("x_id >= y_id and x_set <> y_set").where(_may_be_similar("x_", "y_", threshold)))
+    return told.select(*PLACE, "copy", "size", "bitmap", "wide", "skip", F.when(~F.col("copy"), F.col("prefix")).alias("prefix"), F.monotonically_increasing_id().alias("set"))
 
 
 #: Index entries of a bucket, about; entries of a word in one cell of a bucket; pairs that are held against the filters at once.
@@ -286,58 +284,158 @@ def _met(x: dict[str, np.ndarray], threshold: float) -> Iterator[tuple[np.ndarra
         i = j
 
 
-def candidate_pairs(sets: DataFrame, settled: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
-    """Pairs (x, y) of sets that share a prefix word and pass the filters, x not settled (set) and in no document before y's.
+def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places starts[0] .. starts[0] + lengths[0] - 1, starts[1] .., end to end."""
+    return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+
+
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where equal neighbours begin."""
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1])[: len(x)])
+
+
+def _wide_packed(sets: np.ndarray, row: np.ndarray, wide: tuple[np.ndarray, np.ndarray, np.ndarray]) -> bytes:
+    """The wide bitmaps (words, their start and number for each row) of the entries' sets, each set once."""
+    words, starts, lengths = wide
+    own = row[_runs(sets)]
+    return np.int64(len(own)).tobytes() + lengths[own].astype(np.uint8).tobytes() + words[_ragged(starts[own], lengths[own])].tobytes()
+
+
+def _bitmaps(parts: list[bytes], x: dict[str, np.ndarray], sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of entries that were unpacked from parts of so many entries, all bitmaps end to end, where each entry's begins and its number of words."""
+    words, width, at, i = [np.zeros(0, "<u8")], np.zeros(len(x["set"]), np.int64), np.zeros(len(x["set"]), np.int64), 0
+    total = 0
+    for part, n in zip(parts, sizes, strict=True):
+        first = _runs(x["set"][i : i + n])
+        m = int(np.frombuffer(part, "<i8", 1)[0])
+        lengths = np.frombuffer(part, np.uint8, m, 8).astype(np.int64)
+        told = np.frombuffer(part[8 + m :], "<u8")
+        ends = np.cumsum(lengths + 1)
+        full = np.zeros(int(ends[-1]) if m else 0, np.uint64)
+        full[_ragged(ends - lengths - 1, lengths)] = told
+        full[ends - 1] = x["bitmap"][i + first] ^ (np.bitwise_xor.reduceat(full, ends - lengths - 1) if m else full)
+        each = np.diff(np.append(first, n))
+        width[i : i + n], at[i : i + n] = np.repeat(lengths + 1, each), np.repeat(total + ends - lengths - 1, each)
+        words.append(full)
+        total += len(full)
+        i += n
+    return np.concatenate(words), at, width
+
+
+def _apart(words: np.ndarray, at: np.ndarray, width: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places where the bitmaps of entries a and b differ, the wider one folded: no more than the words that one set has and the other has not."""
+    out, kinds = np.zeros(len(a), np.int64), 256 * width[a] + width[b]
+    for kind in np.unique(kinds).tolist():
+        some = np.flatnonzero(kinds == kind)
+        n, folded = min(divmod(kind, 256)), []
+        for i, w in zip((a[some], b[some]), divmod(kind, 256), strict=True):
+            folded.append(np.bitwise_xor.reduce(words[at[i][:, None] + np.arange(w)].reshape(-1, w // n, n), axis=1))
+        out[some] = np.bitwise_count(folded[0] ^ folded[1]).sum(1, dtype=np.int64)
+    return out
 
-    The index is shuffled once, in buckets of words whose entries lie in packed arrays; ``counts`` tell the words that are
-    too common for one cell of a bucket.
+
+def _closest(x: np.ndarray, y: np.ndarray, apart: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of distinct pairs (x, y), the places of those with the ``keep`` closest y of each x, and of those left out."""
+    order = np.lexsort((y, apart, x))
+    a, b = x[order], y[order]
+    order = order[np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]]
+    first = _runs(x[order])
+    nth = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+    return order[nth < keep], order[nth >= keep]
+
+
+#: Pairs that a bucket holds before it drops all but the closest.
+HELD_PAIRS = 1 << 21
+
+
+def close_partners(sets: DataFrame, asking: DataFrame | None, counts: np.ndarray, threshold: float, keep: int) -> DataFrame:
+    """x, ys and more: for the sets x that ask (all, or those of ``asking``), the closest sets y under a shared prefix word that pass the filters, closest first, and whether there are others.
+
+    No y is in a document behind x's. The index is shuffled once, in buckets of words whose entries lie in packed arrays (``counts``
+    tell the words that are too common for one cell of a bucket); a bucket names ``keep`` partners of a set.
     """
     spark = sets.sparkSession
-    shared = spark.sparkContext.broadcast(counts)
-    entries = sets.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    if asking is None:
+        told = sets.withColumn("asks", F.lit(True))
+        entries = sets.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    else:
+        told = sets.join(asking.withColumn("told", F.lit(True)), "set", "left").withColumn("asks", F.col("told").isNotNull())
+        asked = prefix_counts(told.where("asks"), len(counts).bit_length() - 1) > 0
+        counts = np.where(asked, counts, np.uint32(0))
+        entries = int(counts.sum(dtype=np.int64))
+    shared, mask = spark.sparkContext.broadcast(counts), np.uint32(len(counts) - 1)
     n = max(partitions(spark), entries // BUCKET)
-    flagged = sets.join(settled.select("set").distinct().withColumn("known", F.lit(True)), "set", "left")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []
+        bitmaps: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
             if any(len(h["key"]) for h in held):
-                data = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
-                held.clear()
+                shift = np.cumsum([0, *(len(lengths) for _, lengths in bitmaps)]).tolist()
+                data = {k: np.concatenate([h[k] + i if k == "row" else h[k] for h, i in zip(held, shift, strict=False)]) for k in held[0]}
+                lengths = np.concatenate([x for _, x in bitmaps])
+                wide = np.concatenate([x for x, _ in bitmaps]), np.cumsum(lengths) - lengths, lengths
                 bucket = (mix(data["key"]) % np.uint64(n)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-                parts = [_packed(data, order[i:j]) for i, j in zip(cuts, [*cuts[1:], len(order)], strict=True)]
-                yield pa.record_batch([pa.array(bucket[order[cuts]]), pa.array(parts, pa.binary())], names=["bucket", "data"])
+                cut = [order[i:j] for i, j in zip(cuts, [*cuts[1:], len(order)], strict=True)]
+                columns = [pa.array(bucket[order[cuts]]), pa.array([len(c) for c in cut]), pa.array([_packed(data, c) for c in cut], pa.binary())]
+                columns.append(pa.array([_wide_packed(data["set"][c], data["row"][c], wide) for c in cut], pa.binary()))
+                yield pa.record_batch(columns, names=["bucket", "n", "data", "wide"])
+            held.clear()
+            bitmaps.clear()
 
         for b in batches:
-            prefix = b.column("prefix")
-            lengths = np.diff(prefix.offsets.to_numpy())
+            lengths = np.diff(b.column("prefix").offsets.to_numpy())
             row = np.repeat(np.arange(len(lengths)), lengths)
-            x = {c: b.column(c).to_numpy(zero_copy_only=False) for c in ("set", "id", "size", "bitmap", "skip")}
+            x = {c: b.column(c).to_numpy(zero_copy_only=False) for c in ("set", "id", "size", "bitmap", "skip", "asks")}
             at = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + x["skip"][row]
-            word = prefix.flatten().to_numpy(zero_copy_only=False).astype(np.int32).view(np.uint32)
-            asks = ~b.column("known").fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
-            held.append(_in_cells({"word": word, "at": at, "asks": asks[row], **{k: x[k][row] for k in ("set", "id", "size", "bitmap")}}, shared.value))
+            word = _words_of(b.column("prefix"))
+            met = np.flatnonzero(shared.value[word & mask] > 0)  # a word that nobody asks for brings nothing
+            row = row[met]
+            held.append(_in_cells({"word": word[met], "at": at[met], "row": row, **{k: x[k][row] for k in ("set", "id", "size", "bitmap", "asks")}}, shared.value))
+            wide = b.column("wide")
+            bitmaps.append((np.frombuffer(b"".join(wide.to_pylist()), "<u8"), pc.binary_length(wide).to_numpy(zero_copy_only=False).astype(np.int64) // 8))
             if sum(len(h["key"]) for h in held) >= BUCKET:
                 yield from flush()
         yield from flush()
 
     def meet(bucket: pa.Table) -> pa.Table:
         x = _unpacked(bucket.column("data").to_pylist())
+        words, at, width = _bitmaps(bucket.column("wide").to_pylist(), x, bucket.column("n").to_pylist())
         order = np.lexsort((x["size"], x["key"]))
-        x = {k: v[order] for k, v in x.items()}
-        found = [np.zeros((0, 2), np.int64)]
+        x, at, width = {k: v[order] for k, v in x.items()}, at[order], width[order]
+        size, found, more = x["size"].astype(np.int64), np.zeros((0, 3), np.int64), [np.zeros(0, np.int64)]
+        held, n_held = [found], 0
+
+        def closest() -> np.ndarray:
+            pairs = np.concatenate(held)
+            kept, others = _closest(pairs[:, 0], pairs[:, 1], pairs[:, 2], keep)
+            more.append(np.unique(pairs[others, 0]))
+            return pairs[kept]
+
         for a, b in _met(x, threshold):
+            both = size[a] + size[b]
+            apart = _apart(words, at, width, a, b)
+            near = np.flatnonzero((apart <= (1 - threshold) / (1 + threshold) * both + 1e-9) & (x["set"][a] != x["set"][b]))
+            a, b, share = a[near], b[near], (apart[near] << 20) // both[near]
             for p, q in ((a, b), (b, a)):
-                told = x["asks"][p] & (x["id"][p] >= x["id"][q]) & (x["set"][p] != x["set"][q])
-                found.append(np.stack([x["set"][p[told]], x["set"][q[told]]], 1))
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pa.table({"x": pairs[:, 0], "y": pairs[:, 1]})
-
-    packed = flagged.select("set", "id", "size", "bitmap", "skip", "prefix", "known").mapInArrow(pack, "bucket bigint, data binary")
-    return packed.groupBy("bucket").applyInArrow(meet, "x bigint, y bigint").distinct()
+                told = x["asks"][p] & (x["id"][p] >= x["id"][q])
+                held.append(np.stack([x["set"][p[told]], x["set"][q[told]], share[told]], 1))
+                n_held += len(held[-1])
+            if n_held >= HELD_PAIRS + len(found):
+                found = closest()
+                held, n_held = [found], len(found)
+        pairs = closest()
+        first = _runs(pairs[:, 0])
+        ys = pa.ListArray.from_arrays(pa.array(np.append(first, len(pairs)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(pairs[:, 2]), pa.array(pairs[:, 1])], ["apart", "y"]))
+        return pa.table({"x": pairs[first, 0], "ys": ys, "more": np.isin(pairs[first, 0], np.concatenate(more))})
+
+    packed = told.select("set", "id", "size", "bitmap", "wide", "skip", "prefix", "asks").mapInArrow(pack, "bucket bigint, n bigint, data binary, wide binary")
+    met = packed.groupBy("bucket").applyInArrow(meet, "x bigint, ys array<struct<apart: bigint, y: bigint>>, more boolean")
+    met = met.groupBy("x").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ys")))).alias("ys"), F.max("more").alias("more"))
+    return met.select("x", F.transform("ys", lambda p: p["y"]).alias("ys"), "more")
 
 
 def _line_keys(ids: np.ndarray, text_keys: np.ndarray, line_no: np.ndarray | int) -> np.ndarray:
@@ -443,37 +541,40 @@ def _later_of_similar(pairs: DataFrame, lines: DataFrame, threshold: float) -> D
     return met.mapInArrow(run, "set bigint").distinct()
 
 
-#: Partners of a set that are compared before the others.
-FEW = 8
+#: Partners of a set that a bucket names in the first round, and how many times as many in each further round.
+FEW, MORE = 8, 8
 
 
-def _verified(rows: DataFrame, sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """The sets of pairs (x, y) whose line is similar to the other's, which is before it.
+def _verified(rows: DataFrame, sets: DataFrame, partners: DataFrame, threshold: float) -> DataFrame:
+    """Sets (set) of the pairs of x with ys whose line is similar to the other's, which is before it.
 
-    Sketches turn most pairs away. Each x is compared with a few of its partners first, and with the others only if that does
-    not settle it.
+    Each x is compared with its closest partner first, and with the others only if that does not settle it. Sketches turn
+    most of the others away.
     """
-    pairs = materialize(pairs, "pairs")
-    ends = pairs.select(F.col("x").alias("set")).union(pairs.select("y")).distinct()
+    ends = partners.select(F.col("x").alias("set")).union(partners.select(F.explode("ys"))).distinct()
     involved = materialize(sets.select("set", *PLACE).join(ends, "set"), "involved")
     lines = materialize(involved.join(_texts_of_lines(rows, involved), list(PLACE)).dropDuplicates(["set"]), "words")  # a repeated row gives its lines again
-    met, pairs = pairs, materialize(_close_enough(pairs, lines, threshold), "close")
-    few = pairs.groupBy("x", F.pmod(F.xxhash64("y"), F.lit(FEW)).alias("class")).agg(F.min("y").alias("y")).drop("class")
-    first = materialize(_later_of_similar(few, lines, threshold), "late")
-    others = pairs.join(few, ["x", "y"], "left_anti").join(first.withColumnRenamed("set", "x"), "x", "left_anti")
-    second = materialize(_later_of_similar(others, lines, threshold), "late")
-    for table in (met, pairs, involved, lines):
+    first = materialize(_later_of_similar(partners.select("x", F.col("ys")[0].alias("y")), lines, threshold), "late")
+    others = partners.where(F.size("ys") > 1).join(first.withColumnRenamed("set", "x"), "x", "left_anti")
+    others = materialize(others.select("x", F.explode(F.slice("ys", 2, 1 << 30)).alias("y")), "others")
+    second = materialize(_later_of_similar(_close_enough(others, lines, threshold), lines, threshold), "late")
+    for table in (involved, lines, others):
         discard(table)
     return first.union(second).distinct()
 
 
 def late_sets(rows: DataFrame, sets: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
-    """The sets (set) that are similar to one before them.
-
-    Round one settles most sets of a group of near copies, by leaders. Only what is left asks the whole index.
-    """
-    first = _verified(rows, sets, leader_pairs(sets, threshold), threshold)
-    return first.union(_verified(rows, sets, candidate_pairs(sets, first, counts, threshold), threshold)).distinct()
+    """The sets (set) that are similar to one before them."""
+    late, asking, keep = None, None, FEW
+    while True:
+        partners = materialize(close_partners(sets, asking, counts, threshold, keep), "partners")
+        found = _verified(rows, sets, partners, threshold)
+        late = found if late is None else late.union(found)
+        asking = materialize(partners.where("more").select(F.col("x").alias("set")).join(late, "set", "left_anti"), "asking")
+        discard(partners)
+        if asking.isEmpty():
+            return late.distinct()
+        keep *= MORE
 
 
 def removed_lines(docs: DataFrame, threshold: float = 0.8, count_bits: int = 22, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
