@@ -437,7 +437,7 @@ def test_partners_of_near_copies_grow_with_the_lines(spark):
 def test_unlike_long_lines_that_share_rare_words_are_no_partners(spark):
     rng = random.Random(4)
     lines = [" ".join([f"rare{i // 10}x{k}" for k in range(6)] + [f"w{k}" for k in rng.sample(range(500), 200)]) for i in range(60)]
-    assert partners_of(spark, lines)[2] == []  # 64 bits for each line let all 270 pairs pass
+    assert partners_of(spark, lines)[2] == []  # each shares six rare words with nine others
 
 
 def test_sets_that_their_first_partners_do_not_settle_ask_again(spark, monkeypatch):
@@ -449,7 +449,7 @@ def test_sets_that_their_first_partners_do_not_settle_ask_again(spark, monkeypat
     monkeypatch.setattr(LD, "FEW", 1)
     monkeypatch.setattr(LD, "close_partners", lambda *a: (rounds.append(a[-1]), real(*a))[1])
     got = sorted(((r["doc_id"], r["n_lines"], r["n_removed"], r["kept_text"]) for r in LD.line_dedup(table(spark, [(i, t, "s") for i, t in enumerate(texts)]), 0.8).collect()), key=str)
-    assert got == plain_lines(list(enumerate(texts)), 0.8) and rounds[:2] == [1, LD.MORE]
+    assert got == plain_lines(list(enumerate(texts)), 0.8) and rounds[0] == 1 and rounds[1] >= LD.MORE
 
 
 def test_bitmaps_of_any_width_never_overstate_the_difference():

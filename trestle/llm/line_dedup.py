@@ -13,7 +13,7 @@ order of document id and line number, has a Jaccard similarity of ``threshold``
    cannot be similar. Of the partners that pass, a set takes the few closest of each bucket of words.
 4. The lines of these pairs are fetched, by a Bloom filter that goes to the texts, and their words are compared: the closest
    partner first, the others only if that does not settle the set. Sets that are not settled and had more partners than
-   they took ask the index again, for eight times as many, until no partner is left. A group of near copies is settled by
+   they took ask the index again, for eight times as many at least, until no partner is left. A group of near copies is settled by
    a few partners of each member, so its pairs leave no task.
 
 Defined cases: null texts have no lines; lines without words are always kept; ids are integers, and a null id counts as the
@@ -541,7 +541,7 @@ def _later_of_similar(pairs: DataFrame, lines: DataFrame, threshold: float) -> D
     return met.mapInArrow(run, "set bigint").distinct()
 
 
-#: Partners of a set that a bucket names in the first round, and how many times as many in each further round.
+#: Partners of a set that a bucket names in the first round, and how many times as many at least in each further round.
 FEW, MORE = 8, 8
 
 
@@ -572,9 +572,10 @@ def late_sets(rows: DataFrame, sets: DataFrame, counts: np.ndarray, threshold: f
         late = found if late is None else late.union(found)
         asking = materialize(partners.where("more").select(F.col("x").alias("set")).join(late, "set", "left_anti"), "asking")
         discard(partners)
-        if asking.isEmpty():
+        left = asking.count()
+        if not left:
             return late.distinct()
-        keep *= MORE
+        keep = max(keep * MORE, sets.count() // left)  # few that ask may take as many as there are sets in all
 
 
 def removed_lines(docs: DataFrame, threshold: float = 0.8, count_bits: int = 22, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
