@@ -137,6 +137,13 @@ def test_repeated_rows_have_their_own_words(spark):
     assert found == +taken
 
 
+def test_slots_are_dealt_out_and_never_sent_to_all(spark):
+    blocks = M.mix_sources(mixed_rows(spark), block_words=16, shard_blocks=32).blocks()
+    assert len(blocks.collect()) > 0
+    final = blocks._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]  # as it ran: sizes of steps are known by then
+    assert "SortMergeJoin [source_no" in final and "BroadcastHashJoin [source_no" not in final
+
+
 def test_mix_of_nothing(no_docs):
     mix = M.mix_sources(no_docs)
     assert M.taken_words(mix).count() == 0 and M.mixed_documents(no_docs, mix).count() == 0

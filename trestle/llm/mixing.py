@@ -164,7 +164,8 @@ class Mix:
         """The mix: shard, slot, source_no, block and pieces (array of doc_start, first, n, doc_id, text_key, nth), at most block_words pieces."""
         piece = F.struct("doc_start", "first", "n", "doc_id", "text_key", "nth")
         packed = self.pieces().groupBy("source_no", "block").agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
-        return self.slots().join(packed, ["source_no", "block"])
+        # slots are made of a few rows that are small enough to be sent to all, so Spark has to be told to deal both sides out
+        return self.slots().hint("merge").join(packed, ["source_no", "block"])
 
 
 def mix_sources(
