@@ -119,3 +119,20 @@ def test_pointers_do_not_go_by_the_driver(spark):
     found = works.resolve_pointers(rows, "k", "p")
     assert {tuple(r) for r in found.collect()} == {(1, 1, 0, "own"), (2, 1, 1, "resolved"), (3, 1, 2, "resolved"), (4, None, 1, "unknown")}
     assert "Broadcast" not in found._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_quantity_windows_are_cut_out_of_pages_made_normal_once(spark):
+    texts = ["Подземная  «кабельная»\tканализация – 12,5 м; муфта 3 шт. ", "ΑΣ Кабельная (канализация) 7 м", "İ кабельная\nканализация ё 7 м, всего 1 000 м", "x" * 300 + " кабельная канализация 5 м " + "é" * 200 + "Σ 6 м"]
+    pages = spark.createDataFrame([(i, 1, t, 100) for i, t in enumerate(texts)], "doc int, page int, text string, priority int")
+    profile = quantity.prepare_profile(spark.createDataFrame([("Подземная кабельная канализация", ["кабельн", "канализац"], ["подземная"], ["муфта"])], "work_name string, family_roots array<string>, variant_markers array<string>, resource_names array<string>"))
+    plain = quantity.score_quantities(quantity.extract_quantities(pages).crossJoin(profile))
+    made = quantity.score_quantities(quantity.extract_quantities(once(pages, normal=T.quantity_chars("text"))).crossJoin(profile), normal="normal")
+    columns = ["doc", "index", "raw", "unit", "evidence", "score", "eligible", "kind"]
+    assert sorted(map(str, made.select(columns).collect())) == sorted(map(str, plain.select(columns).collect()))
+    assert [r[0] is None for r in pages.orderBy("doc").select(T.quantity_chars("text")).collect()] == [False, True, True, True]
+    assert plan(made.select("score")).count("split(") == 0  # words are found, texts are not split at all that parts them
+
+
+def test_words_of_running_text(spark):
+    rows = spark.createDataFrame([("Кабельная-трасса, устройство; ab abc é-1x 😀абв№12",), ("",), (None,)], "t string")
+    assert [r[0] for r in rows.select(T.tokens_quantity("t")).collect()] == [["кабельная-трасса", "abc", "-1x", "абв"], [], []]

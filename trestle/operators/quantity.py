@@ -47,12 +47,17 @@ def prepare_profile(profiles: DataFrame) -> DataFrame:
     return profiles.withColumns({"work_roots": work, "markers": markers})
 
 
-def score_quantities(candidates: DataFrame, text: str = "text", priority: str = "priority") -> DataFrame:
-    """Adds evidence, score (0 to 100), eligible and kind. Rows carry a profile (see prepare_profile): family_roots, work_roots, markers and resource_names."""
-    out = once(candidates, evidence=T.window_around(F.col(text), F.col("index"), 260, 120), raw_=T.normalize_quantity("raw"))
-    out = once(out, e_=T.normalize_quantity("evidence"))
+def score_quantities(candidates: DataFrame, text: str = "text", priority: str = "priority", normal: str | None = None) -> DataFrame:
+    """Adds evidence, score (0 to 100), eligible and kind. Rows carry a profile (see prepare_profile): family_roots, work_roots, markers and resource_names.
+
+    normal: a column with T.quantity_chars() of the text, made once for each page; windows are cut out of it.
+    """
+    window = lambda c: T.window_around(F.col(c), F.col("index"), 260, 120)
+    own = T.normalize_quantity(window(text))
+    out = once(candidates, e_=own if normal is None else F.when(F.col(normal).isNull(), own).otherwise(window(normal)), raw_=T.normalize_quantity("raw"))
+    out = out.withColumn("evidence", window(text))
     # distinct words first, so that a word is stemmed once
-    out = once(out, roots_=T.roots(F.array_distinct(T.tokens_quantity("e_"))), last_=F.length("e_") - F.call_function("locate", F.reverse("raw_"), F.reverse("e_")) + 1 - F.length("raw_"))
+    out = once(out, roots_=T.roots(F.array_distinct(T.tokens_quantity("e_", normalized=True))), last_=F.length("e_") - F.call_function("locate", F.reverse("raw_"), F.reverse("e_")) + 1 - F.length("raw_"))
     family = F.when(F.size("family_roots") == 0, 0.0).otherwise(F.size(T.matched_roots(F.col("family_roots"), F.col("roots_"))) / F.size("family_roots"))
     work = T.coverage(F.col("work_roots"), F.col("roots_"))
     marker = F.exists("markers", lambda m: (m["form"] != "") & (F.contains("e_", m["form"]) | F.exists(m["roots"], lambda r: F.exists("roots_", lambda x: T.roots_match(r, x)))))
