@@ -136,3 +136,20 @@ def test_quantity_windows_are_cut_out_of_pages_made_normal_once(spark):
 def test_words_of_running_text(spark):
     rows = spark.createDataFrame([("Кабельная-трасса, устройство; ab abc é-1x 😀абв№12",), ("",), (None,)], "t string")
     assert [r[0] for r in rows.select(T.tokens_quantity("t")).collect()] == [["кабельная-трасса", "abc", "-1x", "абв"], [], []]
+
+
+def test_bounded_words_are_looked_for_by_their_letters(spark):
+    plain = [r"(^|[^а-яa-z0-9])кп([^а-яa-z0-9]|$)", r"(^|[^а-яa-z0-9])дс\s*№?", r"(^|\s)изм\.?($|\s)", r"(^|[^а-яa-z0-9])спецификац[а-яё]*", r"(^|[^ab])xy*|z", r"(^|[^ab])(x)", r"(^|[^ab])xyz?"]
+    assert [p != T.by_letters(p) for p in plain] == [True, True, True, True, False, False, True]
+    texts = ["кп", "скп", "с кп", "скп кп", "кпс", "ТЗ,кп.", "кп\n", "\nкп", "кпкп", "производство", "дс №1", "адс дс", "😀кп😀", "изм", "изм.", "низм изм", "изм.\n", "и изм .", "спецификация", "аспецификац", "", "z", "ax", "cx", "x", "axy", "cxy", "axz", "xyz bxyz", "ё кп", "ёкп"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for p in plain:
+        assert rows.where(F.regexp_like("t", F.lit(p)) != F.regexp_like("t", F.lit(T.by_letters(p)))).count() == 0, p
+
+
+def test_signals_are_counted_once(spark):
+    rows = spark.createDataFrame([("a.pdf", "коммерческое предложение"), ("a.pdf", "x " * 1000 + "коммерческое предложение"), ("кп 1.pdf", ""), ("a", None)], "name string, t string")
+    signals = {"commercial-proposal": L.SIGNALS["commercial-proposal"], "estimate": L.SIGNALS["estimate"]}
+    found = documents.classify_signals(rows, "name", "t", signals)
+    assert [tuple(r)[2:] for r in found.collect()] == [("commercial-proposal", "high", 20, False), ("commercial-proposal", "medium", 6, False), ("commercial-proposal", "high", 12, True), (None, None, 0, False)]
+    assert plan(found).count(L.SIGNALS["estimate"]["strong"][0]) == 3  # file name, text and, if that is long, its lead

@@ -21,7 +21,7 @@ NEAR_CHARS = 140
 def first_matching(text: Column, rules, default: Column | None = None) -> Column:
     out = default if default is not None else F.lit(None).cast("string")
     for pattern, value in reversed(rules):
-        out = F.when(F.regexp_like(text, F.lit(pattern)), F.lit(value)).otherwise(out)
+        out = F.when(F.regexp_like(text, F.lit(T.by_letters(pattern))), F.lit(value)).otherwise(out)
     return out
 
 

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from trestle.functions import lexicon as L
 from trestle.functions import text as T
 from trestle.functions.parse import mapping, material_unit
-from trestle.functions.rows import once
+from trestle.functions.rows import let, once
 
 #: Characters at the start of a text that count as its lead.
 LEAD_CHARS = 2000
@@ -54,14 +54,23 @@ def classify_documents(pages: DataFrame, kinds: Mapping[str, Sequence[tuple[str,
 
 def signal_scores(name: Column, text: Column, signals: Mapping[str, Mapping[str, Sequence[str]]] = L.SIGNALS, lead_chars: int = LEAD_CHARS) -> Column:
     """text is normalised (normalize_intake). Array of (negative score, ord, kind, file, body, lead, strong_file, strong_lead), best first."""
-    file, body = T.normalize_intake(name), text
-    lead = F.substring(body, 1, lead_chars)
-    out = []
-    for i, (kind, s) in enumerate(signals.items()):
-        n = {(w, p): T.patterns_matched(t, s[p]) for w, t in (("file", file), ("body", body), ("lead", lead)) for p in ("strong", "weak")}
-        file_score, body_score, lead_score = n["file", "strong"] * 12 + n["file", "weak"] * 5, n["body", "strong"] * 6 + n["body", "weak"] * 2, n["lead", "strong"] * 14 + n["lead", "weak"] * 4
-        out.append(F.struct((-(file_score + body_score + lead_score)).alias("negative"), F.lit(i).alias("ord"), F.lit(kind).alias("kind"), file_score.alias("file"), body_score.alias("body"), lead_score.alias("lead"), (n["file", "strong"] > 0).alias("strong_file"), (n["lead", "strong"] > 0).alias("strong_lead")))
-    return F.sort_array(F.array(*out))
+    # texts, then counts, then scores: what is read more than once is made once
+    texts = F.struct(T.normalize_intake(name).alias("file"), text.alias("body"), F.when(F.length(text) > lead_chars, F.substring(text, 1, lead_chars)).alias("lead"))
+
+    def counts(t: Column) -> Column:
+        out = []
+        for i, (kind, s) in enumerate(signals.items()):
+            n = [T.patterns_matched(t[w], s[p]).alias(f"{w}_{p}") for w in ("file", "body") for p in ("strong", "weak")]
+            lead = [F.when(t["lead"].isNotNull(), T.patterns_matched(t["lead"], s[p])).alias(f"lead_{p}") for p in ("strong", "weak")]
+            out.append(F.struct(F.lit(i).alias("ord"), F.lit(kind).alias("kind"), *n, *lead))
+        return F.array(*out)
+
+    def score(k: Column) -> Column:
+        lead_strong, lead_weak = (F.coalesce(k[f"lead_{p}"], k[f"body_{p}"]) for p in ("strong", "weak"))  # a short text is its own lead
+        file_score, body_score, lead_score = k["file_strong"] * 12 + k["file_weak"] * 5, k["body_strong"] * 6 + k["body_weak"] * 2, lead_strong * 14 + lead_weak * 4
+        return F.struct((-(file_score + body_score + lead_score)).alias("negative"), k["ord"].alias("ord"), k["kind"].alias("kind"), file_score.alias("file"), body_score.alias("body"), lead_score.alias("lead"), (k["file_strong"] > 0).alias("strong_file"), (lead_strong > 0).alias("strong_lead"))
+
+    return F.sort_array(F.transform(let(texts, counts), score))
 
 
 def classify_signals(rows: DataFrame, name: str, text: str, signals: Mapping[str, Mapping[str, Sequence[str]]] = L.SIGNALS) -> DataFrame:
